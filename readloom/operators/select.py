@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators.ordered import DEFAULT_WIDTH, with_rank, with_running_sum
+from readloom.operators.ordered import with_rank, with_running_sum
 
 TOP_ROWS = 10_000
 LENGTH_STEP = 1 << 10
+WIDE = "decimal(38,0)"
 
 
 def longest_n(reads: DataFrame, n: int, length: str = "len", tie: str = "id") -> DataFrame:
@@ -22,7 +23,7 @@ def longest_n(reads: DataFrame, n: int, length: str = "len", tie: str = "id") ->
     if n <= TOP_ROWS:
         chosen = reads.orderBy(F.desc(length), F.asc(tie)).limit(n)
     else:
-        chosen = _longest_until(reads, F.lit(1), F.lit(n), length, tie)
+        chosen = _longest_until(reads, F.lit(n), length, tie, by_bases=False)
     return chosen.orderBy(F.asc(length), F.desc(tie))
 
 
@@ -38,44 +39,48 @@ def longest_to_coverage(
     The read that reaches the target is included, and there is always one read.
     ``tie`` is a unique numeric column giving the order among equal lengths.
     """
-    target = F.lit(genome_size).cast("decimal(38,0)") * F.lit(coverage)
-    return _longest_until(reads, F.col(length), target.cast("decimal(38,0)"), length, tie)
+    target = F.lit(str(genome_size * coverage)).cast(WIDE)
+    return _longest_until(reads, target, length, tie, by_bases=True)
 
 
-def _longest_until(reads: DataFrame, weight: Column, target: Column, length: str, tie: str) -> DataFrame:
-    """Reads, longest first, up to and with the one that brings the weight to the target.
+def _longest_until(
+    reads: DataFrame, target: Column, length: str, tie: str, by_bases: bool
+) -> DataFrame:
+    """Reads, longest first, up to and with the one whose weight reaches the target.
 
-    Works on a histogram of lengths: lengths wholly before the cut are taken as
-    they are, and only reads of the one length at the cut are ranked. ``weight``
-    is the same for all reads of a length.
+    A read weighs its length, or 1. The cut is found on a histogram of lengths:
+    longer reads pass a plain filter, and only reads of the one length at the
+    cut are ranked.
     """
-    histogram = reads.groupBy(F.col(length).alias("_len")).agg(
-        F.count(F.lit(1)).alias("_n"), F.first(weight).cast("decimal(38,0)").alias("_w")
+    weight = F.col("_len") if by_bases else F.lit(1)
+    histogram = (
+        reads.groupBy(F.col(length).alias("_len"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_len", (-F.col("_len")).alias("_down"), "_n", weight.cast(WIDE).alias("_w"))
     )
-    down = histogram.withColumn("_down", -F.col("_len"))
-    total = (F.col("_n") * F.col("_w")).cast("decimal(38,0)")
-    summed = with_running_sum(down, "_cum", total, [], ["_down"], LENGTH_STEP)
-    missing = (target - (F.col("_cum") - total)).cast("decimal(38,0)")
-    # Reads still needed when this length's turn comes; the first length gives at least one.
-    needed = (
-        F.when((F.col("_cum") == total), F.greatest(missing, F.lit(1)))
-        .otherwise(missing)
-        .cast("decimal(38,0)")
+    summed = with_running_sum(
+        histogram, "_cum", (F.col("_n") * F.col("_w")).cast(WIDE), [], ["_down"], LENGTH_STEP
     )
-    per_length = summed.select(
+    before = F.col("_cum") - F.col("_n") * F.col("_w")
+    counted = summed.select(
         "_len",
         "_n",
-        F.when(F.col("_w") > 0, F.ceil(needed / F.col("_w")))
-        .when(needed > 0, F.col("_n"))
+        "_w",
+        (target - before).cast(WIDE).alias("_missing"),
+        F.least(target - before, F.col("_n") * F.col("_w")).cast(WIDE).alias("_bounded"),
+        (before == 0).alias("_first"),
+    )
+    take = (
+        F.when((F.col("_missing") > 0) & (F.col("_w") == 0), F.col("_n"))
+        .when(F.col("_missing") > 0, F.expr("(_bounded + _w - 1) div greatest(_w, 1)"))
+        .when(F.col("_first") & F.lit(by_bases), F.lit(1))
         .otherwise(F.lit(0))
-        .cast("decimal(38,0)")
-        .alias("_take"),
-    ).filter(F.col("_take") > 0)
-    offered = reads.join(per_length, F.col(length) == F.col("_len"))
-    whole = offered.filter(F.col("_take") >= F.col("_n"))
-    at_cut = with_rank(offered.filter(F.col("_take") < F.col("_n")), "_rank", ["_len"], [tie], DEFAULT_WIDTH)
-    part = at_cut.filter(F.col("_rank") <= F.col("_take")).drop("_rank")
-    return whole.unionByName(part).select(*reads.columns)
+    )
+    reached = counted.select("_len", take.alias("_take")).filter(F.col("_take") > 0)
+    cut = reached.select(F.min(F.struct("_len", "_take"))).scalar()
+    longer = reads.filter(F.col(length) > cut["_len"])
+    at_cut = with_rank(reads.filter(F.col(length) == cut["_len"]), "_rank", [], [tie])
+    return longer.unionByName(at_cut.filter(F.col("_rank") <= cut["_take"]).drop("_rank"))
 
 
 def above_similarity(matches: DataFrame, cutoff: float) -> DataFrame:
