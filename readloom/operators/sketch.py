@@ -79,34 +79,25 @@ def best_match(
     """(target_id, reference_id, hits, asize, bsize, ji): the best reference per target.
 
     Ties go to the lowest reference id; a target without a hit keeps hits 0 and
-    ji 0. Equal sketches always match alike, so copies among targets are matched
-    once, and of equal references only the lowest id can win.
+    ji 0. References with equal sketches match alike, so only the lowest id of
+    them is tried.
     """
-    sketched = targets.select(F.col("id").alias("target_id"), options.of(F.col("seq")).alias("_sketch"))
-    keyed = sketched.select(
-        "target_id", F.md5(F.to_json(F.struct("_sketch"))).alias("_copy"), "_sketch"
-    )
-    distinct = keyed.groupBy("_copy").agg(F.first("_sketch").alias("_sketch"))
-    best = _best_per_sketch(distinct, references, options)
-    return keyed.select("target_id", "_copy").join(best, "_copy").drop("_copy")
-
-
-def _best_per_sketch(distinct: DataFrame, references: DataFrame, options: SketchOptions) -> DataFrame:
     refs = (
         references.select("id", options.of(F.col("seq")).alias("_sketch"))
         .groupBy("_sketch")
         .agg(F.min("id").alias("reference_id"))
         .select("reference_id", F.size("_sketch").alias("bsize"), F.explode("_sketch").alias("h"))
     )
-    # The reference side is broadcast only when its hash table is known to be small.
+    # Broadcast only a reference table known to be small; otherwise the join shuffles on h.
     if references.count() * options.n <= BROADCAST_ROWS:
         refs = F.broadcast(refs)
-    hashes = distinct.select(
-        "_copy", F.size("_sketch").alias("asize"), F.explode_outer("_sketch").alias("h")
+    sketched = targets.select(F.col("id").alias("target_id"), options.of(F.col("seq")).alias("_sketch"))
+    hashes = sketched.select(
+        "target_id", F.size("_sketch").alias("asize"), F.explode_outer("_sketch").alias("h")
     )
     counted = (
         hashes.join(refs, "h", "left")
-        .groupBy("_copy", "asize", "reference_id", "bsize")
+        .groupBy("target_id", "asize", "reference_id", "bsize")
         .agg(F.count("reference_id").alias("hits"))
     )
     ji = F.col("hits") / (F.col("asize") + F.col("bsize") - F.col("hits"))
@@ -118,10 +109,10 @@ def _best_per_sketch(distinct: DataFrame, references: DataFrame, options: Sketch
         F.coalesce(F.col("bsize"), F.lit(0)).cast("bigint").alias("bsize"),
     )
     return (
-        counted.groupBy("_copy")
+        counted.groupBy("target_id")
         .agg(F.max(ranked).alias("_best"))
         .select(
-            "_copy",
+            "target_id",
             (-F.col("_best._low")).alias("reference_id"),
             "_best.hits",
             "_best.asize",
