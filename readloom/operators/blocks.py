@@ -38,7 +38,10 @@ def block_pairs(blocks: DataFrame, use_masking: bool = True) -> DataFrame:
     """
     n = blocks.select(F.count(F.lit(1))).scalar()
     numbered = with_rank(blocks.select("block_id"), "block_id1", [], ["block_id"])
-    paired = numbered.select("block_id1", n.alias("_n")).select(
+    # Few rows go in and many come out, so they are spread over a fixed number of tasks first.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = numbered.repartition(tasks, "block_id1")
+    paired = spread.select("block_id1", n.alias("_n")).select(
         "block_id1", "_n", F.explode(F.sequence(F.col("block_id1"), F.col("_n"))).alias("block_id2")
     )
     b1, b2 = F.col("block_id1"), F.col("block_id2")

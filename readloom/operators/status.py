@@ -44,7 +44,7 @@ def log_events(lines: DataFrame) -> DataFrame:
 
 
 def with_known_token(
-    lines: DataFrame, tokens: DataFrame, pattern: str = r"_([0-9a-f]+_[0-9]+)_[0-9]+_[0-9]+_[0-9]+\.log$"
+    lines: DataFrame, tokens: DataFrame, pattern: str = r"_([0-9a-f]+_[0-9]+)_[0-9]+_[0-9]+\.log$"
 ) -> DataFrame:
     """Lines of files whose name carries one of the ``tokens`` (column token).
 
