@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators.intervals import overlap_length
+from readloom.operators.intervals import merge_intervals, overlap_length
 from readloom.operators.sketch import kmers
 
 HOT_KMER = 100_000
@@ -17,11 +17,8 @@ def seed_positions(reads: DataFrame, k: int) -> DataFrame:
 
 
 def outside_masks(seeds: DataFrame, masks: DataFrame, k: int) -> DataFrame:
-    """Seeds that touch no masked interval of their read.
-
-    ``masks`` is a track with disjoint intervals per read.
-    """
-    per_read = masks.groupBy("read_id").agg(F.collect_list(F.struct("b", "e")).alias("_masks"))
+    """Seeds that touch no masked interval of their read."""
+    per_read = merge_intervals(masks, ["read_id"]).groupBy("read_id").agg(F.collect_list(F.struct("b", "e")).alias("_masks"))
     touched = F.exists(
         "_masks", lambda m: overlap_length(F.col("pos"), F.col("pos") + k, m["b"], m["e"]) > 0
     )
