@@ -6,12 +6,13 @@ SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import schemas
 from readloom.functions.sequence import dna_only, seq_length
 from readloom.operators.blocks import block_pairs
+from readloom.operators.ordered import Running, with_preceding
 
 
 class Tables:
@@ -223,23 +224,23 @@ class Tables:
         return self.layout().select("read_id", F.substring(F.repeat(letters, 40), F.lit(1), F.col("len")).alias("seq"))
 
     def layout_overlap(self) -> DataFrame:
-        """Overlaps of each order with the next two of its customer."""
-        by_start = Window.partitionBy("line").orderBy("b", "read_id")
-        following = [
-            F.struct(*[F.lead(c, step).over(by_start).alias(c) for c in ("read_id", "b", "len")]) for step in (1, 2)
-        ]
-        pairs = self.layout().select(
-            F.col("read_id").alias("a"), F.col("b").alias("_b"), F.col("len").alias("a_len"),
-            F.array(*following).alias("_next"),
-        ).select("a", "_b", "a_len", F.explode("_next").alias("_n"))
-        start = F.col("_n.b")
-        end = F.least(F.col("_b") + F.col("a_len"), start + F.col("_n.len"))
-        return pairs.filter(F.col("_n.read_id").isNotNull() & (start < F.col("_b") + F.col("a_len"))).select(
-            "a", F.col("_n.read_id").alias("b"), F.lit("+").alias("strand"),
-            (start - F.col("_b")).alias("ab"), (end - F.col("_b")).alias("ae"),
-            F.lit(0).cast("bigint").alias("bb"), (end - start).alias("be"),
-            "a_len", F.col("_n.len").alias("b_len"),
-            F.lit(0).cast("bigint").alias("diffs"), F.lit(1).cast("bigint").alias("block"),
+        """Overlaps of each order with the two before it on its customer's line."""
+        order, width = ["b", "read_id"], 32
+        here = F.struct("read_id", "b", "len")
+        once = with_preceding(self.layout(), [Running("_one", "last", here)], ["line"], order, width)
+        twice = with_preceding(once, [Running("_two", "last", F.col("_one"))], ["line"], order, width)
+        pairs = twice.select(
+            F.explode(F.array("_one", "_two")).alias("_a"), F.col("read_id").alias("b"),
+            F.col("b").alias("_start"), F.col("len").alias("b_len"),
+        )
+        a_end = F.col("_a.b") + F.col("_a.len")
+        end = F.least(a_end, F.col("_start") + F.col("b_len"))
+        zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+        return pairs.filter(F.col("_start") < a_end).select(
+            F.col("_a.read_id").alias("a"), "b", F.lit("+").alias("strand"),
+            (F.col("_start") - F.col("_a.b")).alias("ab"), (end - F.col("_a.b")).alias("ae"),
+            zero.alias("bb"), (end - F.col("_start")).alias("be"),
+            F.col("_a.len").alias("a_len"), "b_len", zero.alias("diffs"), one.alias("block"),
         )
 
 
