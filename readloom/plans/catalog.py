@@ -112,29 +112,34 @@ def accounting_round_trip(t: Tables) -> DataFrame:
 
 @_query
 def telemetry_files(t: Tables) -> DataFrame:
-    """Sample files, one folder per cluster and node, a title line in each."""
+    """One sample file per job, its cluster, node and job in the path."""
     path = _scratch(t.spark)
-    s = t.samples().withColumn("job", F.col("job_raw"))
     numbers = F.array_join(F.transform("cores", lambda c: c.cast("string")), " ")
     line = F.concat_ws(" ", "localtime", "raw_time", "mem_limit_gb", "mem_used_gb", "swap_used_gb", numbers)
-    s.select("node", line.alias("value")).write.partitionBy("node").text(f"{path}/main")
-    files = t.spark.read.option("recursiveFileLookup", True).text(f"{path}/main")
-    fields = F.split(F.trim("value"), r"\s+")
-    return files.select(
-        fields[0].alias("localtime"), fields[1].cast("bigint").alias("raw_time"),
-        fields[3].cast("double").alias("mem_used_gb"), (F.size(fields) - 5).cast("bigint").alias("n_cores"),
-    )
+    place = ["cluster", "node", "job_raw"]
+    t.samples().select(*place, line.alias("value")).repartition(*place).write.partitionBy(*place).text(path)
+    back = tables.read_telemetry(t.spark, path, r"/cluster=([^/]+)/node=([^/]+)/job_raw=([^/]+)/")
+    return back.select(*place, "localtime", "raw_time", "mem_used_gb", F.size("cores").cast("bigint").alias("n_cores"))
 
 
 @_query
 def task_log_files(t: Tables) -> DataFrame:
-    """Status folded from log files on disk, read in splits."""
+    """Status folded from log files on disk, one per user."""
+    path = _scratch(t.spark)
+    (
+        t.log_lines().repartition("file").sortWithinPartitions("file", "line_no")
+        .select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    )
+    lines = tables.read_task_logs(t.spark, path)
+    return status.fold_status(t.requested(), lines, order="split_row", chunk="split_start")
+
+
+@_query
+def file_inventory(t: Tables) -> DataFrame:
+    """Files of a written read set: their sizes add up to its records."""
     path = _scratch(t.spark)
-    t.log_lines().select("file", "line_no", F.col("line").alias("value")).repartition("file").sortWithinPartitions(
-        "file", "line_no").select("file", "value").write.partitionBy("file").text(path)
-    lines = t.spark.read.option("recursiveFileLookup", True).text(path).select(F.col("value").alias("line"))
-    events = status.log_events(lines)
-    return events.groupBy("rowid").agg(F.max("rank").cast("bigint").alias("rank"))
+    fasta.write_fasta(t.reads(), path)
+    return tables.file_inventory(t.spark, path, "*.txt").agg(F.sum("size").alias("n_bytes"))
 
 
 # --- headers, sequences, index ---------------------------------------------------

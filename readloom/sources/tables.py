@@ -47,8 +47,8 @@ def read_accounting(spark: SparkSession, path: str) -> DataFrame:
 SAMPLE_PATH = r"/([^/]+)/(?:[^/]+/)?([^/]+)/([0-9]+)$"
 
 
-def read_telemetry(spark: SparkSession, directory: str) -> DataFrame:
-    """Samples with their cluster, node and job, taken from the file path.
+def read_telemetry(spark: SparkSession, directory: str, path_pattern: str = SAMPLE_PATH) -> DataFrame:
+    """Samples with their cluster, node and job: groups 1 to 3 of the file path.
 
     Fields: time, raw time, memory limit, memory used, swap used, then one
     number per core. The title line is told by its raw time not being a number.
@@ -60,9 +60,9 @@ def read_telemetry(spark: SparkSession, directory: str) -> DataFrame:
     )
     samples = lines.filter(F.get("_f", F.lit(1)).try_cast("bigint").isNotNull() & (F.size("_f") >= 5))
     return samples.select(
-        F.regexp_extract("_path", SAMPLE_PATH, 1).alias("cluster"),
-        F.regexp_extract("_path", SAMPLE_PATH, 2).alias("node"),
-        F.regexp_extract("_path", SAMPLE_PATH, 3).alias("job_raw"),
+        F.regexp_extract("_path", path_pattern, 1).alias("cluster"),
+        F.regexp_extract("_path", path_pattern, 2).alias("node"),
+        F.regexp_extract("_path", path_pattern, 3).alias("job_raw"),
         F.col("_f")[0].alias("localtime"),
         F.col("_f")[1].cast("bigint").alias("raw_time"),
         F.col("_f")[2].cast("double").alias("mem_limit_gb"),
@@ -91,7 +91,7 @@ def read_task_logs(spark: SparkSession, directory: str) -> DataFrame:
     (split_start, split_row) is file order; split_start cuts a large log into
     chunks, so no operator needs the whole file in one task.
     """
-    return spark.read.text(directory).select(
+    return spark.read.option("recursiveFileLookup", True).text(directory).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("split_row"),
