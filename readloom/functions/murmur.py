@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The published algorithm's constants, and the seed of sequence hashes.
 C1 = np.uint32(0xCC9E2D51)
@@ -69,7 +70,7 @@ def murmur3_32(values: list[bytes], seed: int = SEQUENCE_SEED) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _seq_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for seqs in batches:
         hashed = pd.Series(murmur3_32([s.encode() if s is not None else b"" for s in seqs]))

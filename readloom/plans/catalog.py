@@ -519,8 +519,9 @@ class _Arriving(Tables):
     """Views over tables read as a stream."""
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(path)
+        layout = super().table(name).schema
+        stream = self.spark.readStream.schema(layout).option("pathGlobFilter", f"{name}.parquet")
+        return stream.parquet(self.sf_dir)
 
 
 @_query

@@ -19,6 +19,24 @@ from readloom.plans.catalog import (
 # Views, each after those it uses.
 VIEWS: dict[str, str] = {
     "reads": """SELECT doc_id AS id, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM documents""",
+    # Whole words scrambled in a list, then folded; the tail word is scrambled but only xor-ed in.
+    "words": """
+        SELECT id, strlen(seq) AS n, list_transform(range(0, (strlen(seq) + 3) // 4), lambda i: CAST(
+            greatest(0, ord(seq[4 * i + 1])) + greatest(0, ord(seq[4 * i + 2])) * 256 + greatest(0, ord(seq[4 * i + 3])) * 65536 + CAST(greatest(0, ord(seq[4 * i + 4])) AS BIGINT) * 16777216 AS UBIGINT)) AS word
+        FROM reads""",
+    "scrambled": """
+        SELECT id, n, list_transform(word, lambda w: ((((w * 3432918353) & 4294967295) << 15 | ((w * 3432918353) & 4294967295) >> 17) & 4294967295)
+            * 461845907 & 4294967295) AS k FROM words""",
+    "folded": """
+        SELECT id, n, CASE WHEN n % 4 > 0 THEN xor(h, k[-1]) ELSE h END AS h FROM (SELECT *, list_reduce(
+            list_prepend(CAST(314159265 AS UBIGINT), k[:n // 4]),
+            lambda s, x: ((xor(s, x) << 13 | xor(s, x) >> 19) & 4294967295) * 5 + 3864292196 & 4294967295) AS h FROM scrambled)""",
+    "hashes": """
+        SELECT id, CAST(xor(h, h >> 16) AS BIGINT) AS hash FROM (SELECT id, xor(h, h >> 13) * 3266489909 & 4294967295 AS h FROM (
+            SELECT id, xor(h, h >> 16) * 2246822507 & 4294967295 AS h FROM (SELECT id, xor(h, CAST(n AS UBIGINT)) AS h FROM folded)))""",
+    "offsets": """
+        SELECT id, strlen(seq) AS len, CAST(coalesce(sum(strlen(CAST(id AS VARCHAR)) + strlen(seq) + 3)
+            OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM reads""",
     "targets": "SELECT doc_id AS id, text AS seq FROM documents",
     "refs": "SELECT item_id AS id, text AS seq FROM benchmark",
     "subreads": """
@@ -259,9 +277,11 @@ def all_sql() -> dict[str, str]:
     q["sequence_lengths"] = _with(["targets"], "SELECT id, strlen(seq) AS n_bytes, length(seq) AS n_chars FROM targets")
     counts = ", ".join(f"length(regexp_replace(seq, '[^{b}]', '', 'g')) AS n{b.lower()}" for b in "ACGTN")
     q["base_composition"] = _with(["reads"], f"SELECT id, {counts} FROM reads")
-    q["record_offsets"] = _with(["reads"], """
-        SELECT id, strlen(seq) AS len, CAST(coalesce(sum(strlen(CAST(id AS VARCHAR)) + strlen(seq) + 3)
-            OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM reads""")
+    hashed = ["reads", "words", "scrambled", "folded", "hashes"]
+    q["sequence_hash"] = _with(hashed, "SELECT id, hash FROM hashes")
+    q["record_offsets"] = _with(["reads", "offsets"], "SELECT * FROM offsets")
+    q["read_index"] = _with([*hashed, "offsets"], f"""
+        SELECT r.id, len, {counts}, "offset", hash FROM reads r JOIN offsets o ON r.id = o.id JOIN hashes h ON r.id = h.id""")
     q["longest_n"] = _with(["reads"], _LONGEST)
     q["longest_to_coverage"] = _with(["reads"], f"""
         SELECT id, len FROM (SELECT *, sum(len) OVER w AS cum, row_number() OVER w AS r FROM (SELECT id, strlen(seq) AS len FROM reads)
