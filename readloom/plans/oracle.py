@@ -25,12 +25,12 @@ VIEWS: dict[str, str] = {
             greatest(0, ord(seq[4 * i + 1])) + greatest(0, ord(seq[4 * i + 2])) * 256 + greatest(0, ord(seq[4 * i + 3])) * 65536 + CAST(greatest(0, ord(seq[4 * i + 4])) AS BIGINT) * 16777216 AS UBIGINT)) AS word
         FROM reads""",
     "scrambled": """
-        SELECT id, n, list_transform(word, lambda w: ((((w * 3432918353) & 4294967295) << 15 | ((w * 3432918353) & 4294967295) >> 17) & 4294967295)
+        SELECT id, n, list_transform(word, lambda w: (((((w * 3432918353) & 4294967295) << 15) | (((w * 3432918353) & 4294967295) >> 17)) & 4294967295)
             * 461845907 & 4294967295) AS k FROM words""",
     "folded": """
         SELECT id, n, CASE WHEN n % 4 > 0 THEN xor(h, k[-1]) ELSE h END AS h FROM (SELECT *, list_reduce(
             list_prepend(CAST(314159265 AS UBIGINT), k[:n // 4]),
-            lambda s, x: ((xor(s, x) << 13 | xor(s, x) >> 19) & 4294967295) * 5 + 3864292196 & 4294967295) AS h FROM scrambled)""",
+            lambda s, x: (((xor(s, x) << 13) | (xor(s, x) >> 19)) & 4294967295) * 5 + 3864292196 & 4294967295) AS h FROM scrambled)""",
     "hashes": """
         SELECT id, CAST(xor(h, h >> 16) AS BIGINT) AS hash FROM (SELECT id, xor(h, h >> 13) * 3266489909 & 4294967295 AS h FROM (
             SELECT id, xor(h, h >> 16) * 2246822507 & 4294967295 AS h FROM (SELECT id, xor(h, CAST(n AS UBIGINT)) AS h FROM folded)))""",
