@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom import schemas
-from readloom.operators.ordered import DEFAULT_WIDTH, with_rank, with_running_sum
+from readloom.operators.ordered import AUTO, DEFAULT_WIDTH, Width, choose_width, with_rank, with_running_sum
 from readloom.operators.select import with_status
 
 BLOCK_BASES = 200_000_000
@@ -80,11 +80,12 @@ def select_work(
 
 
 def chunk_within_key(
-    work: DataFrame, size: int, key: str = "block_id1", width: int | None = DEFAULT_WIDTH
+    work: DataFrame, size: int, key: str = "block_id1", width: Width = AUTO
 ) -> DataFrame:
     """Add ``batch``, counting from 0: at most ``size`` rows of one key and priority each."""
-    ranked = with_rank(work.withColumn("_pos", F.col("rowid")), "_rank", [key, "priority"], ["_pos"], width)
-    return ranked.withColumn("batch", F.expr(f"(_rank - 1) div {int(size)}")).drop("_rank", "_pos")
+    keys = [key, "priority"]
+    ranked = with_rank(work, "_rank", keys, ["rowid"], choose_width(work, keys, width))
+    return ranked.withColumn("batch", F.expr(f"(_rank - 1) div {int(size)}")).drop("_rank")
 
 
 def fixed_batches(

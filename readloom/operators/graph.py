@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import reverse_complement
-from readloom.operators.ordered import with_running_sum
+from readloom.operators.ordered import choose_width, with_running_sum
 from readloom.session import cut_lineage
 
 MAX_ROUNDS = 64
@@ -262,7 +262,10 @@ def path_pieces(path: DataFrame, reads: DataFrame) -> DataFrame:
         F.substring(turned, F.length("seq") - F.col("overhang") + 1, F.col("overhang"))
     )
     pieces = path.join(reads.select("read_id", "seq"), "read_id").select(*path.columns, added.alias("piece"))
-    sized = with_running_sum(pieces, "_end", F.length("piece").cast("bigint"), ["component", "path_id"], ["pos"])
+    keys = ["component", "path_id"]
+    sized = with_running_sum(
+        pieces, "_end", F.length("piece").cast("bigint"), keys, ["pos"], choose_width(path, keys)
+    )
     return sized.withColumn("offset", F.col("_end") - F.length("piece")).drop("_end")
 
 

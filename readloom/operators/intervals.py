@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.operators.ordered import Running, with_preceding
-
 
 def overlap_length(b1: Column, e1: Column, b2: Column, e2: Column) -> Column:
     """Bases shared by two intervals."""
@@ -24,30 +22,23 @@ def covered_by(b: Column, e: Column, intervals: Column) -> Column:
     )
 
 
-def merge_intervals(
-    df: DataFrame,
-    keys: Sequence[str],
-    bridge: int = 0,
-    width: int | None = None,
-) -> DataFrame:
+def merge_intervals(df: DataFrame, keys: Sequence[str], bridge: int = 0) -> DataFrame:
     """Union of intervals per key; gaps up to ``bridge`` are closed.
 
-    Input columns: keys, b, e. Rows are first reduced to one per (key, b), so
-    copies of an interval cost nothing and a key has at most one row per place.
+    Input columns: keys, b, e. The keys are things with an extent, like reads:
+    rows are first reduced to one per (key, b), so a key has at most one row per
+    place on it, however many intervals it came with.
     """
     by_start = df.groupBy(*keys, "b").agg(F.max("e").alias("e"))
-    reached = with_preceding(
-        by_start, [Running("_reach", "max", F.col("e"))], keys, ["b"], width
-    )
+    by_place = Window.partitionBy(*keys).orderBy("b")
+    reach = F.max("e").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.col("_reach").isNull() | (F.col("b") > F.col("_reach") + F.lit(bridge))
-    marked = reached.withColumn("_open", F.when(opens, F.col("b")))
-    placed = with_preceding(
-        marked, [Running("_island", "last", F.col("_open"))], keys, ["b"], width
-    )
-    island = F.coalesce(F.col("_open"), F.col("_island"))
+    marked = by_start.withColumn("_reach", reach).withColumn("_open", F.when(opens, F.col("b")))
+    so_far = by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    island = F.last("_open", ignorenulls=True).over(so_far)
     return (
-        placed.select(*keys, island.alias("b"), "e")
-        .groupBy(*keys, "b")
+        marked.select(*keys, island.alias("_start"), "e")
+        .groupBy(*keys, F.col("_start").alias("b"))
         .agg(F.max("e").alias("e"))
     )
 

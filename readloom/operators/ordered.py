@@ -1,14 +1,18 @@
-"""Running values over ordered rows, without a task per key.
+"""Running values over ordered rows, without a task per hot key.
 
 A window partitioned by a key puts every row of that key into one task, and a
-window without a key puts everything there. The functions below cut each key's
-rows into chunks by position, run the window inside (key, chunk), and add what
-earlier chunks contribute from a table with one row per (key, chunk).
+window without a key puts everything there. Where that could be too much, the
+functions below cut each key's rows into chunks by position, run the window
+inside (key, chunk), and add what earlier chunks contribute from a table with
+one row per (key, chunk).
 
 Callers bring rows that are unique, or nearly so, per (key, position) — most
 aggregate duplicates first — so a chunk of ``width`` positions holds about
 ``width`` rows however many rows the key has. The chunk is plain arithmetic on
 the row, so a recomputed partition always lands in the same chunk.
+
+``choose_width`` measures whether any key is that large; if none is, a plain
+window is the shorter plan.
 """
 
 from __future__ import annotations
@@ -21,6 +25,33 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 DEFAULT_WIDTH = 1 << 16
+AUTO = "auto"
+Width = int | None | str
+
+KEY_BUCKETS = 1 << 16
+TASK_ROWS = 1_000_000
+FAIR_SHARES = 4
+
+
+def choose_width(df: DataFrame, keys: Sequence[str], width: Width = AUTO) -> int | None:
+    """None if no key is too large for one task, else a chunk width.
+
+    Rows are counted per hash bucket of the key, which sums up almost wholly
+    before the shuffle. A bucket bounds each of its keys; one that is neither
+    large in itself nor in comparison with the others holds no hot key.
+    """
+    if width != AUTO:
+        return width
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS))
+    sizes = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    limit = max(TASK_ROWS, FAIR_SHARES * (total or 0) // KEY_BUCKETS)
+    return None if (largest or 0) <= limit else DEFAULT_WIDTH
+
+
+def chunk_of(position: str, width: int) -> Column:
+    """Number of the chunk of ``width`` positions, also below zero."""
+    return F.expr(f"({position} - pmod({position}, {int(width)})) div {int(width)}")
 
 
 @dataclass(frozen=True)
@@ -67,26 +98,25 @@ def with_preceding(
     keys: Sequence[str],
     order: Sequence[str],
     width: int | None = DEFAULT_WIDTH,
-    chunk: Column | None = None,
 ) -> DataFrame:
     """Add each ``Running`` value as a column.
 
-    order[0] is the numeric position that chunks are cut on, unless ``chunk``
-    gives another column that grows with ``order``. Keys and position must not
-    be null. width=None runs one plain window per key: only for keys whose
-    positions are bounded, like places on one read.
+    order[0] is the integer position that chunks are cut on, unless ``df`` comes
+    with a column named CHUNK that grows with ``order``; such a column is kept,
+    so that a second call finds its rows where the first one left them. Keys and
+    position must not be null. width=None runs one plain window per key.
     """
     before_row = (Window.unboundedPreceding, -1)
     kept = df.columns
-    if width is None and chunk is None:
+    given = CHUNK in kept
+    if width is None and not given:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before_row)
         return df.select(*kept, *[r.finish(r.over(window)).alias(r.name) for r in running])
 
-    cut = chunk if chunk is not None else F.floor(F.col(order[0]) / F.lit(width))
-    chunked = df.withColumn(CHUNK, cut)
+    chunked = df if given else df.withColumn(CHUNK, chunk_of(order[0], width))
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(*before_row)
     rows = chunked.select(
-        *kept, CHUNK, *[r.over(inside).alias(f"_near_{r.name}") for r in running]
+        *chunked.columns, *[r.over(inside).alias(f"_near_{r.name}") for r in running]
     )
     totals = chunked.groupBy(*keys, CHUNK).agg(
         *[r.total(order).alias(f"_total_{r.name}") for r in running]

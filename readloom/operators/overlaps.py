@@ -22,14 +22,12 @@ from readloom.operators.intervals import (
     merge_intervals,
     step_function,
 )
-from readloom.operators.ordered import DEFAULT_WIDTH, Running, with_preceding
+from readloom.operators.ordered import AUTO, CHUNK, Running, Width, choose_width, chunk_of, with_preceding
 
 PAIR = ["a", "b", "strand"]
 
 
-def stitch(
-    overlap: DataFrame, max_distance: int = 40, width: int | None = DEFAULT_WIDTH
-) -> DataFrame:
+def stitch(overlap: DataFrame, max_distance: int = 40, width: Width = AUTO) -> DataFrame:
     """Join overlaps of one pair and strand that lie within ``max_distance`` on both reads.
 
     In order of place on a, an overlap joins those before it if it starts at
@@ -39,6 +37,9 @@ def stitch(
     per_pair = [*PAIR, "a_len", "b_len", "block"]
     distinct = overlap.groupBy(*per_pair, "ab", "ae", "bb", "be").agg(F.sum("diffs").alias("diffs"))
     order = ["ab", "ae", "bb", "be"]
+    width = choose_width(overlap, PAIR, width)
+    if width is not None:
+        distinct = distinct.withColumn(CHUNK, chunk_of("ab", width))
     reached = with_preceding(
         distinct,
         [Running("_reach_a", "max", F.col("ae")), Running("_reach_b", "max", F.col("be"))],

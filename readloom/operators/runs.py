@@ -7,17 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators.ordered import DEFAULT_WIDTH, with_rank
+from readloom.operators.ordered import AUTO, DEFAULT_WIDTH, Width, choose_width, with_rank
 
 RUNS_PER_SEGMENT = 10_000
 
 
 def consecutive_runs(
-    df: DataFrame, value: str, keys: Sequence[str] = (), width: int | None = DEFAULT_WIDTH
+    df: DataFrame, value: str, keys: Sequence[str] = (), width: Width = AUTO
 ) -> DataFrame:
     """(keys, first, last): maximal runs of consecutive values; duplicates do not matter."""
     distinct = df.select(*keys, F.col(value).cast("bigint").alias("_v")).distinct()
-    ranked = with_rank(distinct, "_rank", keys, ["_v"], width)
+    ranked = with_rank(distinct, "_rank", keys, ["_v"], _width(df, keys, width))
     return (
         ranked.groupBy(*keys, (F.col("_v") - F.col("_rank")).alias("_run"))
         .agg(F.min("_v").alias("first"), F.max("_v").alias("last"))
@@ -30,7 +30,7 @@ def compress_runs(
     value: str,
     keys: Sequence[str] = (),
     runs_per_segment: int = RUNS_PER_SEGMENT,
-    width: int | None = DEFAULT_WIDTH,
+    width: Width = AUTO,
 ) -> DataFrame:
     """(keys, segment, runs): runs as text, like ``1-3,5``.
 
@@ -38,6 +38,7 @@ def compress_runs(
     a row of text, and the group it is collected from, to a bounded size; a key
     with no more runs than ``runs_per_segment`` has segment 0 only.
     """
+    width = _width(df, keys, width)
     found = consecutive_runs(df, value, keys, width)
     ranked = with_rank(found, "_rank", keys, ["first"], width)
     text = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(
@@ -49,3 +50,10 @@ def compress_runs(
         .groupBy(*keys, "segment")
         .agg(F.array_join(F.transform(listed, lambda r: r["text"]), ",").alias("runs"))
     )
+
+
+def _width(df: DataFrame, keys: Sequence[str], width: Width) -> int | None:
+    """Without keys everything is one group, so it is always cut."""
+    if not keys and width == AUTO:
+        return DEFAULT_WIDTH
+    return choose_width(df, keys, width)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.operators.intervals import merge_intervals, overlap_length
+from readloom.operators.ordered import choose_width
 from readloom.operators.sketch import kmers
 
 HOT_KMER = 100_000
+MAX_HOT = 1_000_000
 
 
 def seed_positions(reads: DataFrame, k: int) -> DataFrame:
@@ -26,6 +28,22 @@ def outside_masks(seeds: DataFrame, masks: DataFrame, k: int) -> DataFrame:
     return joined.filter(~F.coalesce(touched, F.lit(False))).select(*seeds.columns)
 
 
+def without_hot_kmers(seeds: DataFrame) -> DataFrame:
+    """Seeds whose k-mer is not so frequent that its rows alone would burden a task.
+
+    Mostly there is none, and the seeds come back as they are. Else at most
+    MAX_HOT k-mers can exceed the bar, which grows with the number of seeds, so
+    their list is safe to broadcast and their rows go before any shuffle.
+    """
+    if choose_width(seeds, ["kmer"]) is None:
+        return seeds
+    counts = seeds.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.select(F.sum("_n")).scalar()
+    bar = F.greatest(F.lit(HOT_KMER), F.expr(f"_total div {MAX_HOT}"))
+    hot = counts.withColumn("_total", total).filter(F.col("_n") > bar).select("kmer")
+    return seeds.join(F.broadcast(hot), "kmer", "left_anti")
+
+
 def candidate_pairs(
     reads: DataFrame,
     k: int = 14,
@@ -37,29 +55,29 @@ def candidate_pairs(
 ) -> DataFrame:
     """(a, b, diagonal, shared): read pairs with at least ``min_shared`` seeds on one diagonal band.
 
-    k-mers found more than ``max_freq`` times are no seeds. That rule also bounds
-    the join: what is left has at most max_freq rows per k-mer. a < b, or a <= b
-    with ``identity``; a seed never pairs with itself.
+    k-mers found more than ``max_freq`` times are no seeds, which is part of the
+    definition and bounds the pairs made per place. a < b, or a <= b with
+    ``identity``; a seed never pairs with itself.
     """
+    if max_freq > HOT_KMER:
+        raise ValueError(f"max_freq is at most {HOT_KMER}")
     seeds = seed_positions(reads, k)
     if masks is not None:
         seeds = outside_masks(seeds, masks, k)
-    counts = seeds.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n"))
-    # Very frequent k-mers are few (at most rows / HOT_KMER); taken out before the
-    # shuffle, they leave no task with more than HOT_KMER rows of one k-mer.
-    hot = counts.filter(F.col("_n") > HOT_KMER).select("kmer")
-    usable = counts.filter((F.col("_n") > 1) & (F.col("_n") <= max_freq)).select("kmer")
-    kept = seeds.join(F.broadcast(hot), "kmer", "left_anti").join(usable, "kmer", "left_semi")
-    one = kept.select("kmer", F.col("read_id").alias("a"), F.col("pos").alias("_pa"))
-    two = kept.select("kmer", F.col("read_id").alias("b"), F.col("pos").alias("_pb"))
-    later = F.col("a") < F.col("b")
-    if identity:
-        later = later | ((F.col("a") == F.col("b")) & (F.col("_pa") < F.col("_pb")))
-    diagonal = F.floor((F.col("_pa") - F.col("_pb")) / F.lit(band)).cast("bigint")
+    # One shuffle by k-mer serves both windows. A seed of a usable k-mer has all its
+    # partners among the max_freq - 1 rows after it.
+    places = Window.partitionBy("kmer").orderBy("read_id", "pos")
+    found = F.count(F.lit(1)).over(places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    later = F.collect_list(F.struct("read_id", "pos")).over(places.rowsBetween(1, max(1, max_freq - 1)))
+    usable = without_hot_kmers(seeds).withColumn("_n", found).filter(F.col("_n").between(2, max_freq))
+    pairs = usable.withColumn("_later", later).select(
+        F.col("read_id").alias("a"), "pos", F.explode("_later").alias("_b")
+    ).select("a", F.col("_b.read_id").alias("b"), (F.col("pos") - F.col("_b.pos")).alias("_shift"))
+    if not identity:
+        pairs = pairs.filter(F.col("a") < F.col("b"))
+    diagonal = F.expr(f"cast((_shift - pmod(_shift, {int(band)})) div {int(band)} as bigint)")
     return (
-        one.join(two, "kmer")
-        .filter(later)
-        .groupBy("a", "b", diagonal.alias("diagonal"))
+        pairs.groupBy("a", "b", diagonal.alias("diagonal"))
         .agg(F.count(F.lit(1)).alias("shared"))
         .filter(F.col("shared") >= min_shared)
     )

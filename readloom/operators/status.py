@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom import schemas
-from readloom.operators.ordered import Running, with_preceding
+from readloom.operators.ordered import AUTO, CHUNK, Running, Width, choose_width, with_preceding
 
 # Line shapes of the task logs.
 STARTED = r"Starting job\(s\) ((?:[0-9]+ ?)+)"
@@ -57,28 +57,27 @@ def with_known_token(
 
 
 def attribute_failures(
-    lines: DataFrame, order: str = "line_no", chunk: str | None = None, width: int | None = 1 << 16
+    lines: DataFrame, order: str = "line_no", chunk: str | None = None, width: Width = AUTO
 ) -> DataFrame:
     """(rowid, file, line_no): rows hit by a scheduler error.
 
     The error names no rows, so it falls on those of the last start line before
-    it in the same file. An error before any start hits nothing. Large files
-    are worked on in chunks of ``width`` lines, or by the ``chunk`` column.
+    it in the same file. An error before any start hits nothing. A file too
+    large for a task is cut into chunks of ``width`` lines, or by the ``chunk``
+    column, which must grow with ``order``.
     """
     marked = lines.select(
         "file",
         order,
-        *([chunk] if chunk else []),
+        *([F.col(chunk).alias(CHUNK)] if chunk else []),
         _ids(F.col("line"), STARTED).alias("_started"),
         F.col("line").rlike(SCHEDULER_ERROR).alias("_error"),
     ).filter(F.col("_error") | F.col("_started").isNotNull())
+    chosen = choose_width(lines, ["file"], width)
+    if chosen is None:
+        marked = marked.drop(CHUNK)
     placed = with_preceding(
-        marked,
-        [Running("_hit", "last", F.col("_started"))],
-        ["file"],
-        [order],
-        width,
-        F.col(chunk) if chunk else None,
+        marked, [Running("_hit", "last", F.col("_started"))], ["file"], [order], chosen
     )
     hits = placed.filter(F.col("_error") & F.col("_hit").isNotNull())
     return hits.select(F.explode("_hit").alias("rowid"), "file", order)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators.ordered import DEFAULT_WIDTH, Running, with_preceding
+from readloom.operators.ordered import AUTO, Running, Width, choose_width, with_preceding
 
 WELL = ["cell", "hole"]
 
@@ -39,7 +39,7 @@ def interval_overlaps(
 
 
 def adjacent_pairs(
-    subreads: DataFrame, mode: str = "reference", width: int | None = DEFAULT_WIDTH
+    subreads: DataFrame, mode: str = "reference", width: Width = AUTO
 ) -> DataFrame:
     """(cell, hole, a_start, a_end, b_start, b_end, distance, overlaps, pairs).
 
@@ -47,7 +47,7 @@ def adjacent_pairs(
     """
     distinct = subreads.groupBy(*WELL, "qs", "qe").agg(F.count(F.lit(1)).alias("_n"))
     previous = Running("_prev", "last", F.struct("qs", "qe"))
-    ordered = with_preceding(distinct, [previous], WELL, ["qs", "qe"], width)
+    ordered = with_preceding(distinct, [previous], WELL, ["qs", "qe"], choose_width(subreads, WELL, width))
     to_previous = F.struct(
         F.col("_prev.qs").alias("a_start"), F.col("_prev.qe").alias("a_end"), F.lit(1).cast("bigint").alias("pairs")
     )
@@ -74,7 +74,7 @@ def reads_per_well_histogram(subreads: DataFrame) -> DataFrame:
 
 
 def well_summary(
-    subreads: DataFrame, mode: str = "reference", width: int | None = DEFAULT_WIDTH
+    subreads: DataFrame, mode: str = "reference", width: Width = AUTO
 ) -> DataFrame:
     """One row: wells with several reads, and wells with an overlapping pair."""
     wells = adjacent_pairs(subreads, mode, width).groupBy(*WELL).agg(F.max("overlaps").alias("_any"))
@@ -88,7 +88,7 @@ def gap_histogram(
     subreads: DataFrame,
     bin_width: int = 100,
     mode: str = "all",
-    width: int | None = DEFAULT_WIDTH,
+    width: Width = AUTO,
 ) -> DataFrame:
     """(bin_start, n_pairs): gap sizes between neighbours; overlaps fall in bin 0.
 
@@ -98,7 +98,7 @@ def gap_histogram(
     if mode == "reference":
         last = subreads.select(F.max(F.struct(*WELL))).scalar()
         pairs = pairs.filter(F.struct(*WELL) != last)
-    bin_start = (F.floor(F.col("distance") / F.lit(bin_width)) * bin_width).cast("bigint")
+    bin_start = F.expr(f"distance div {int(bin_width)} * {int(bin_width)}")
     return (
         pairs.groupBy(bin_start.alias("bin_start"))
         .agg(F.sum("pairs").alias("n_pairs"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from readloom import schemas
 from readloom.functions.sequence import dna_only, seq_length
 from readloom.operators.blocks import block_pairs
-from readloom.operators.ordered import Running, with_preceding
+from readloom.operators.ordered import Running, choose_width, with_preceding
+from readloom.sources.tables import spread
 
 
 class Tables:
@@ -27,15 +28,18 @@ class Tables:
 
     # Reads: one per document, nucleotide letters of its text.
 
+    def documents(self) -> DataFrame:
+        """Documents over all cores: their text is worked on long before any shuffle."""
+        return spread(self.table("documents").select("doc_id", "text"), "doc_id")
+
     def reads(self) -> DataFrame:
-        docs = self.table("documents")
-        return docs.select(F.col("doc_id").alias("id"), dna_only(F.col("text")).alias("seq"))
+        return self.documents().select(F.col("doc_id").alias("id"), dna_only(F.col("text")).alias("seq"))
 
     def read_lengths(self) -> DataFrame:
         return self.reads().select("id", seq_length(F.col("seq")).alias("len"))
 
     def targets(self) -> DataFrame:
-        return self.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seq"))
+        return self.documents().select(F.col("doc_id").alias("id"), F.col("text").alias("seq"))
 
     def references(self) -> DataFrame:
         return self.table("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("seq"))
@@ -225,7 +229,9 @@ class Tables:
 
     def layout_overlap(self) -> DataFrame:
         """Overlaps of each order with the two before it on its customer's line."""
-        order, width = ["b", "read_id"], 32
+        order = ["b", "read_id"]
+        # Dates are few, so a crowded line is cut by the day.
+        width = choose_width(self.layout(), ["line"]) and 1
         here = F.struct("read_id", "b", "len")
         once = with_preceding(self.layout(), [Running("_one", "last", here)], ["line"], order, width)
         twice = with_preceding(once, [Running("_two", "last", F.col("_one"))], ["line"], order, width)

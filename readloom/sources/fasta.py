@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators.ordered import Running, with_preceding
+from readloom.operators.ordered import CHUNK, Running, with_preceding
 
 RECORD_BREAK = "\n>"
 
@@ -59,13 +59,9 @@ def read_fasta_offsets(spark: SparkSession, paths: str | Sequence[str]) -> DataF
         "split_start",
         "split_row",
         (F.octet_length("value") + len(RECORD_BREAK)).cast("bigint").alias("_bytes"),
-    )
+    ).withColumnRenamed("split_start", CHUNK)
     placed = with_preceding(
-        raw,
-        [Running("_before", "sum", F.col("_bytes"))],
-        ["source_file"],
-        ["split_row"],
-        chunk=F.col("split_start"),
+        raw, [Running("_before", "sum", F.col("_bytes"))], ["source_file"], ["split_row"]
     )
     # All but the first record lost their leading '>' to the separator.
     offset = F.when(F.col("_before") == 0, F.lit(0)).otherwise(F.col("_before") - 1)

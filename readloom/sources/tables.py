@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from readloom import schemas
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A table of too few files for the session's cores, over all of them.
+
+    Only where the scan has fewer partitions than there are cores, so a large
+    table is never shuffled for this.
+    """
+    if table.isStreaming:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("sep", "\t").option("header", header).csv(path)
 

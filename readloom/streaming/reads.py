@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from readloom.operators.select import longest_n
 from readloom.operators.sketch import SketchOptions, clean, contaminants, screen
+from readloom.sources.tables import spread
 from readloom.streaming.versions import read_version, start_batches, write_version
 
 
@@ -37,7 +38,7 @@ def stream_screen(
     """Screen arriving reads (id, seq) against a static reference set, into two sinks."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        screened = screen(batch, references, min_similarity, options).persist()
+        screened = screen(spread(batch, "id"), references, min_similarity, options).persist()
         write_version(contaminants(screened), contaminant_dir, batch_id)
         write_version(clean(screened), clean_dir, batch_id)
         screened.unpersist()
