@@ -60,20 +60,19 @@ def _follow(parents: DataFrame) -> DataFrame:
     """(node, p) with p the root of each node's tree; roots point at themselves."""
     current = cut_lineage(parents)
     for _ in range(MAX_ROUNDS):
-        jumped = _jump(_jump(current))
-        settled = cut_lineage(jumped)
-        # A node is settled once its parent is a root, that is, its own parent.
-        inner = settled.filter(F.col("p") != F.col("node"))
-        open_parents = inner.select(F.col("p").alias("node")).distinct().join(inner, "node", "left_semi")
-        current = settled
-        if open_parents.isEmpty():
+        moved = cut_lineage(_jump(_jump(current).drop("moved")))
+        current = moved.drop("moved")
+        # If the last jump moved nothing, every parent is its own parent.
+        if moved.filter("moved").isEmpty():
             return current
     raise RuntimeError(f"pointers not settled after {MAX_ROUNDS} rounds")
 
 
 def _jump(pointers: DataFrame) -> DataFrame:
     above = pointers.select(F.col("node").alias("p"), F.col("p").alias("_pp"))
-    return pointers.join(above, "p").select("node", F.col("_pp").alias("p"))
+    return pointers.join(above, "p").select(
+        "node", F.col("_pp").alias("p"), (F.col("_pp") != F.col("p")).alias("moved")
+    )
 
 
 # --- edges --------------------------------------------------------------------
@@ -117,23 +116,28 @@ def dovetail_edges(overlap: DataFrame) -> DataFrame:
     return said.groupBy("src", "dst", "strand").agg(F.min("overhang").alias("overhang"))
 
 
-def _degrees(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_out"))
-    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_in"))
-    return out, into
+def _degrees(edges: DataFrame) -> DataFrame:
+    """(node, n_out, n_in) of every node with an edge."""
+    ends = F.array(
+        F.struct(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")),
+        F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")),
+    )
+    per_end = edges.select(F.explode(ends).alias("_e")).select("_e.*")
+    return per_end.groupBy("node").agg(F.sum("out").alias("n_out"), F.sum("in").alias("n_in"))
 
 
 def drop_tips(edges: DataFrame) -> DataFrame:
     """Edges without single-edge dead ends: leaves hanging off a node that goes on elsewhere."""
-    out, into = _degrees(edges)
-    rows = (
-        edges.join(out.select(F.col("node").alias("src"), F.col("_out").alias("_src_out")), "src")
-        .join(into.select(F.col("node").alias("src"), F.col("_in").alias("_src_in")), "src", "left")
-        .join(into.select(F.col("node").alias("dst"), F.col("_in").alias("_dst_in")), "dst")
-        .join(out.select(F.col("node").alias("dst"), F.col("_out").alias("_dst_out")), "dst", "left")
-    )
-    leads_nowhere = F.col("_dst_out").isNull() & (F.col("_dst_in") == 1) & (F.col("_src_out") > 1)
-    comes_from_nowhere = F.col("_src_in").isNull() & (F.col("_src_out") == 1) & (F.col("_dst_in") > 1)
+    degrees = _degrees(edges)
+
+    def of(end: str) -> DataFrame:
+        return degrees.select(
+            F.col("node").alias(end), F.col("n_out").alias(f"_{end}_out"), F.col("n_in").alias(f"_{end}_in")
+        )
+
+    rows = edges.join(of("src"), "src").join(of("dst"), "dst")
+    leads_nowhere = (F.col("_dst_out") == 0) & (F.col("_dst_in") == 1) & (F.col("_src_out") > 1)
+    comes_from_nowhere = (F.col("_src_in") == 0) & (F.col("_src_out") == 1) & (F.col("_dst_in") > 1)
     return rows.filter(~(leads_nowhere | comes_from_nowhere)).select(*edges.columns)
 
 
@@ -159,9 +163,9 @@ def unbranched_links(edges: DataFrame) -> DataFrame:
     pairs = edges.groupBy("src", "dst").agg(
         F.min_by(F.struct(*[c for c in edges.columns if c not in ("src", "dst")]), "strand").alias("_e")
     ).select("src", "dst", "_e.*")
-    out, into = _degrees(pairs)
-    single_out = out.filter(F.col("_out") == 1).select(F.col("node").alias("src"))
-    single_in = into.filter(F.col("_in") == 1).select(F.col("node").alias("dst"))
+    degrees = _degrees(pairs)
+    single_out = degrees.filter("n_out = 1").select(F.col("node").alias("src"))
+    single_in = degrees.filter("n_in = 1").select(F.col("node").alias("dst"))
     return pairs.filter(F.col("src") != F.col("dst")).join(single_out, "src", "left_semi").join(single_in, "dst", "left_semi")
 
 
@@ -202,7 +206,7 @@ def tour(edges: DataFrame, circular: bool = True) -> DataFrame:
 def _rank_chains(links: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, anchor, steps, flips, done, low): each node's chain head and distance from it.
 
-    Pointer doubling: a node knows the node 2^i steps back, so i rounds settle
+    Pointer doubling: a node knows the node 2^i steps back, so i doublings settle
     all nodes within 2^i of their head. Nodes of cycles never settle; they learn
     the lowest node of their cycle. Only unsettled nodes are joined, and their
     anchors are all different, so no key is hot.
@@ -219,14 +223,12 @@ def _rank_chains(links: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("_back").isNull().alias("done"),
         F.least("node", "_back").alias("low"),
     ))
-    state = current.select(F.count_if(~F.col("done")), F.sum(F.when(~F.col("done"), F.col("low")).cast("decimal(38,0)"))).first()
+    state = _unsettled(current)
     for _ in range(MAX_ROUNDS):
         if state[0] == 0:
             return current
-        current = cut_lineage(_double(current))
-        following = current.select(
-            F.count_if(~F.col("done")), F.sum(F.when(~F.col("done"), F.col("low")).cast("decimal(38,0)"))
-        ).first()
+        current = cut_lineage(_double(_double(current)))
+        following = _unsettled(current)
         # Chains settle nodes in every round, and cycles lower some node's lowest
         # until all know it; so a round that changes neither was the last.
         if following == state:
@@ -235,6 +237,13 @@ def _rank_chains(links: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"chains not settled after {MAX_ROUNDS} rounds")
 
 
+def _unsettled(current: DataFrame) -> tuple:
+    """How many nodes are not settled, and the sum of the lowest nodes they know."""
+    inner = ~F.col("done")
+    low = F.sum(F.when(inner, F.col("low")).cast("decimal(38,0)"))
+    return tuple(current.select(F.count_if(inner), low).first())
+
+
 def _double(current: DataFrame) -> DataFrame:
     at = current.select(
         F.col("node").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("steps").alias("_steps"),

@@ -161,17 +161,14 @@ def remove_gaps(overlap: DataFrame, trim: DataFrame, distance: int = 100) -> Dat
     overlaps outside it, are dropped. The earliest stretch wins ties.
     """
     bounds = trim.select(F.col("read_id").alias("a"), F.col("b").alias("_tb"), F.col("e").alias("_te"))
-    clipped = overlap.join(bounds, "a").select(
-        *overlap.columns, F.greatest("ab", "_tb").alias("_b"), F.least("ae", "_te").alias("_e")
-    ).filter(F.col("_e") > F.col("_b"))
-    spans = clipped.select("a", F.col("_b").alias("b"), F.col("_e").alias("e"))
+    begin, end = F.greatest("ab", "_tb"), F.least("ae", "_te")
+    # One row per place on the read is all the stretches need, and all that meets the trim here.
+    places = overlap.groupBy("a", "ab").agg(F.max("ae").alias("ae"))
+    spans = places.join(bounds, "a").select("a", begin.alias("b"), end.alias("e")).filter("e > b")
     stretch = longest_interval(merge_intervals(spans, ["a"], distance), ["a"])
-    kept = stretch.select("a", F.col("b").alias("_sb"), F.col("e").alias("_se"))
-    return (
-        clipped.join(kept, "a")
-        .filter((F.col("_b") >= F.col("_sb")) & (F.col("_e") <= F.col("_se")))
-        .select(*overlap.columns)
-    )
+    kept = stretch.select("a", F.col("b").alias("_sb"), F.col("e").alias("_se")).join(bounds, "a")
+    inside = (end > begin) & (begin >= F.col("_sb")) & (end <= F.col("_se"))
+    return overlap.join(kept, "a").filter(inside).select(*overlap.columns)
 
 
 def _shifted(places: Sequence[str], by: Column) -> list[Column]:

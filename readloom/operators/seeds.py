@@ -13,19 +13,23 @@ HOT_KMER = 100_000
 MAX_HOT = 1_000_000
 
 
-def seed_positions(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer, read_id, pos): every k-mer with its 0-based place."""
-    return reads.select("read_id", F.posexplode(kmers(F.col("seq"), k)).alias("pos", "kmer"))
+def seed_positions(reads: DataFrame, k: int, masks: DataFrame | None = None) -> DataFrame:
+    """(kmer, read_id, pos): every k-mer with its 0-based place.
 
-
-def outside_masks(seeds: DataFrame, masks: DataFrame, k: int) -> DataFrame:
-    """Seeds that touch no masked interval of their read."""
-    per_read = merge_intervals(masks, ["read_id"]).groupBy("read_id").agg(F.collect_list(F.struct("b", "e")).alias("_masks"))
+    Those that touch an interval of the track ``masks`` are left out. A read
+    meets its masks before it is taken apart.
+    """
+    if masks is None:
+        return reads.select("read_id", F.posexplode(kmers(F.col("seq"), k)).alias("pos", "kmer"))
+    per_read = merge_intervals(masks, ["read_id"]).groupBy("read_id")
+    lists = per_read.agg(F.collect_list(F.struct("b", "e")).alias("_masks"))
+    placed = reads.select("read_id", "seq").join(lists, "read_id", "left").select(
+        "read_id", "_masks", F.posexplode(kmers(F.col("seq"), k)).alias("pos", "kmer")
+    )
     touched = F.exists(
         "_masks", lambda m: overlap_length(F.col("pos"), F.col("pos") + k, m["b"], m["e"]) > 0
     )
-    joined = seeds.join(per_read, "read_id", "left")
-    return joined.filter(~F.coalesce(touched, F.lit(False))).select(*seeds.columns)
+    return placed.filter(~F.coalesce(touched, F.lit(False))).select("read_id", "pos", "kmer")
 
 
 def without_hot_kmers(seeds: DataFrame) -> DataFrame:
@@ -61,9 +65,7 @@ def candidate_pairs(
     """
     if max_freq > HOT_KMER:
         raise ValueError(f"max_freq is at most {HOT_KMER}")
-    seeds = seed_positions(reads, k)
-    if masks is not None:
-        seeds = outside_masks(seeds, masks, k)
+    seeds = seed_positions(reads, k, masks)
     # One shuffle by k-mer serves both windows. A seed of a usable k-mer has all its
     # partners among the max_freq - 1 rows after it.
     places = Window.partitionBy("kmer").orderBy("read_id", "pos")
