@@ -1,8 +1,8 @@
 """Overlap graph: edges, components, unbranched paths, and their sequences.
 
 The rules here are this library's own. Loops run a logarithmic number of rounds
-on DataFrames; each round is written to the shared checkpoint folder, and only a
-yes/no answer or a count ever comes back to the driver.
+on DataFrames; each round is written to the shared folder, and only a yes/no
+answer or a count ever comes back to the driver.
 """
 
 from __future__ import annotations

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ from readloom.operators import (
     telemetry,
 )
 from readloom.plans.views import Tables
-from readloom.session import shared_dir
+from readloom.session import scratch_path
 from readloom.sources import fasta, tables
 from readloom.streaming.reads import stream_longest, stream_screen
 from readloom.streaming.status import running_status, stream_failures
@@ -60,11 +59,6 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder name that all executors can reach."""
-    return f"{shared_dir(spark)}/readloom-{uuid.uuid4().hex}"
-
-
 def _as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
@@ -74,7 +68,7 @@ def _as_of():
 
 @_query
 def fasta_round_trip(t: Tables) -> DataFrame:
-    path = _scratch(t.spark)
+    path = scratch_path(t.spark)
     fasta.write_fasta(t.reads(), path, width=70)
     back = fasta.read_fasta(t.spark, path)
     return back.select(F.col("id").cast("bigint").alias("id"), seq_length(F.col("seq")).alias("len"), F.md5("seq").alias("seq_md5"))
@@ -82,14 +76,14 @@ def fasta_round_trip(t: Tables) -> DataFrame:
 
 @_query
 def fasta_headers(t: Tables) -> DataFrame:
-    path = _scratch(t.spark)
+    path = scratch_path(t.spark)
     t.header_lines().select(F.col("line").alias("value")).write.text(path)
     return parse_headers(fasta.read_headers(t.spark, path)).select("cell", "hole", "qs", "qe")
 
 
 @_query
 def alignments_to_reads(t: Tables) -> DataFrame:
-    path = _scratch(t.spark)
+    path = scratch_path(t.spark)
     star = F.lit("*")
     columns = [F.col("id").cast("string"), F.lit("4"), star, F.lit("0"), F.lit("0"), star, star, F.lit("0"), F.lit("0"), F.col("seq"), star]
     t.reads().select(F.concat_ws("\t", *columns).alias("value")).write.text(path)
@@ -105,7 +99,7 @@ def concat_sources(t: Tables) -> DataFrame:
 
 @_query
 def accounting_round_trip(t: Tables) -> DataFrame:
-    path = _scratch(t.spark)
+    path = scratch_path(t.spark)
     tables.write_tsv(t.accounting(), path, header=False)
     return tables.read_accounting(t.spark, path)
 
@@ -113,7 +107,7 @@ def accounting_round_trip(t: Tables) -> DataFrame:
 @_query
 def telemetry_files(t: Tables) -> DataFrame:
     """One sample file per job, its cluster, node and job in the path."""
-    path = _scratch(t.spark)
+    path = scratch_path(t.spark)
     numbers = F.array_join(F.transform("cores", lambda c: c.cast("string")), " ")
     line = F.concat_ws(" ", "localtime", "raw_time", "mem_limit_gb", "mem_used_gb", "swap_used_gb", numbers)
     place = ["cluster", "node", "job_raw"]
@@ -125,7 +119,7 @@ def telemetry_files(t: Tables) -> DataFrame:
 @_query
 def task_log_files(t: Tables) -> DataFrame:
     """Status folded from log files on disk, one per user."""
-    path = _scratch(t.spark)
+    path = scratch_path(t.spark)
     (
         t.log_lines().repartition("file").sortWithinPartitions("file", "line_no")
         .select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
@@ -137,7 +131,7 @@ def task_log_files(t: Tables) -> DataFrame:
 @_query
 def file_inventory(t: Tables) -> DataFrame:
     """Files of a written read set: their sizes add up to its records."""
-    path = _scratch(t.spark)
+    path = scratch_path(t.spark)
     fasta.write_fasta(t.reads(), path)
     return tables.file_inventory(t.spark, path, "*.txt").agg(F.sum("size").alias("n_bytes"))
 
@@ -251,7 +245,7 @@ def contaminant_records(t: Tables) -> DataFrame:
 
 @_query
 def match_stats(t: Tables) -> DataFrame:
-    path = _scratch(t.spark)
+    path = scratch_path(t.spark)
     tables.write_tsv(sketch.best_match(t.targets(), t.references(), SKETCH), path)
     return t.spark.read.schema(schemas.MATCH).option("sep", "\t").option("header", True).csv(path)
 
@@ -526,7 +520,7 @@ class _Arriving(Tables):
 
 @_query
 def streamed_status(t: Tables) -> DataFrame:
-    root = _scratch(t.spark)
+    root = scratch_path(t.spark)
     found = running_status(_Arriving(t.spark, t.sf_dir).log_lines())
     newest = [0]
 
@@ -541,7 +535,7 @@ def streamed_status(t: Tables) -> DataFrame:
 
 @_query
 def streamed_failures(t: Tables) -> DataFrame:
-    root = _scratch(t.spark)
+    root = scratch_path(t.spark)
     lines = _Arriving(t.spark, t.sf_dir).log_lines()
     stream_failures(lines, f"{root}/hits", f"{root}/state", f"{root}/checkpoint").awaitTermination()
     return read_all_versions(t.spark, f"{root}/hits")
@@ -549,7 +543,7 @@ def streamed_failures(t: Tables) -> DataFrame:
 
 @_query
 def streamed_longest(t: Tables) -> DataFrame:
-    root = _scratch(t.spark)
+    root = scratch_path(t.spark)
     query = stream_longest(_Arriving(t.spark, t.sf_dir).read_lengths(), LONGEST, f"{root}/top", f"{root}/checkpoint")
     query.awaitTermination()
     return read_version(t.spark, f"{root}/top", query.lastProgress["batchId"])
@@ -557,7 +551,7 @@ def streamed_longest(t: Tables) -> DataFrame:
 
 @_query
 def streamed_screen(t: Tables) -> DataFrame:
-    root = _scratch(t.spark)
+    root = scratch_path(t.spark)
     arriving = _Arriving(t.spark, t.sf_dir).targets()
     stream_screen(
         arriving, t.references(), CUTOFF, f"{root}/contaminant", f"{root}/clean", f"{root}/checkpoint", SKETCH

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,14 +58,19 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="readloom-")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/readloom-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
+    """Write ``df`` as a table in the shared folder and read on from there.
 
-    The copy outlives lost executors, so a long loop restarts from its last
-    round and not from its input.
+    The table outlives lost executors, so a long loop goes on from its last
+    round and not from its input. Unlike a checkpointed DataFrame, a table read
+    back does not inherit the constraints of the plan that made it; over many
+    rounds these grow until planning takes longer than running.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
