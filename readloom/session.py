@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,18 +43,14 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    Only a local session without the setting gets a folder of its own.
+    A session without the setting uses a folder beside its warehouse, which all
+    executors reach as well.
     """
-    context = spark.sparkContext
-    configured = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if configured:
         return configured
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="readloom-")
+    current = spark.sparkContext.getCheckpointDir()
+    return current or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/readloom-scratch"
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -63,14 +58,23 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/readloom-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that :func:`scratch_path` named, once nothing reads it any more."""
+    if "/readloom-" not in path:
+        raise ValueError(f"not a scratch table: {path}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read on from there.
 
     The table outlives lost executors, so a long loop goes on from its last
     round and not from its input. Unlike a checkpointed DataFrame, a table read
     back does not inherit the constraints of the plan that made it; over many
-    rounds these grow until planning takes longer than running.
+    rounds these grow until planning takes longer than running. A caller that
+    names the ``path`` can drop the table later.
     """
-    path = scratch_path(df.sparkSession)
+    path = path or scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
