@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import exact_dedup, langid, mixing, packing, quality, simhash, toxicity
+from readloom.llm import exact_dedup, langid, mixing, packing, quality, secrets, simhash, suffixes, toxicity, voronoi
 from readloom.llm.common import table
 
 
@@ -16,15 +16,27 @@ def op1_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,5 +65,34 @@ FROM flat WINDOW same AS (PARTITION BY t)
 """
 
 
+OP2_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(q.c, d.c) AS BIGINT) AS score
+  FROM v AS q JOIN v AS d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 20
+"""
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), p AS (
+  SELECT doc_id, i, array_to_string(ws[i + 1:i + 50], ' ') AS g FROM w, unnest(range(0, len(ws) - 49)) AS t(i)
+), r AS (
+  SELECT doc_id, i, min(doc_id) OVER same AS lo, max(doc_id) OVER same AS hi FROM p WINDOW same AS (PARTITION BY g)
+), n AS (
+  SELECT doc_id, i, lo, coalesce(CAST(i > 50 + max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INTEGER), 1) AS fresh
+  FROM r WHERE lo < hi
+), s AS (SELECT doc_id, i, lo, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM n)
+SELECT doc_id, min(i) AS start_word, max(i) + 50 AS end_word, max(i) + 50 - min(i) AS n_words, min(lo) AS first_doc_id
+FROM s GROUP BY doc_id, span
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op2_voronoi_top_k": OP2_SQL, "op4_repeated_passages": OP4_SQL, "op9_exact_dedup": OP9_SQL}
