@@ -12,8 +12,9 @@ its matches extended to the left and right as far as they go: the result is that
 comparing all windows of all texts, without listing those whose seed is unique.
 
 Of all words about one in ``(least - seed + 2) / 2`` becomes a suffix. Seeds with more
-than ``hot`` suffixes are compared by one aggregate over windows instead of in one
-task; its partial sums fold the copies before they move.
+than ``hot`` suffixes are compared by one aggregate over their windows instead of in one
+task; its partial sums fold the copies before they move. That lists the windows one by
+one, so it is kept for seeds that no task could hold.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from xxhash import xxh3_64_intdigest
 from readloom.llm.common import batches, cut_lineage
 
 LEAST, SEED = 50, 8
-HOT = 4_096
+#: Most suffixes of a seed that are compared in one task: some 100 MB of window hashes.
+HOT = 32_768
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Windows of a text that are handled at a time.
 _SPAN = 1 << 16
