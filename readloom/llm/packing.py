@@ -15,10 +15,12 @@ from __future__ import annotations
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,60 +30,83 @@ CAPACITY = 2048
 #: Id after each document.
 END = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept with their ids in a worker.
-MOST_WORDS = 1_000_000
+#: Words kept with their ids in a worker; beyond, it starts anew.
+MOST_WORDS = 500_000
+#: Bytes of text that are cut into words at a time.
+SLICE = 1 << 23
 #: Pieces that are ranked together, on average.
 RANK_ROWS = 4_096
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
-class WordTokenizer:
-    """Ids of whole texts, by way of their words.
+#: How the byte-level step of the tokenizer writes each byte: printable ones as they are, the rest from 256 on.
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_SPELLED = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
+class WordTokenizer(dict):
+    """Little-endian unsigned 32-bit ids of words, made when first asked for.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those
     of its words, one after another. Closing punctuation is cut off a word of letters
-    first: both are tokens of their own to the tokenizer. ``most`` bounds the memory, not
-    the result.
+    first: both are tokens of their own to the tokenizer. Lower-case words of Latin
+    letters go straight to its model, as no other step of it changes them; anything else
+    takes all its steps. ``most`` bounds the memory, not the result.
     """
 
     def __init__(self, path: str, most: int = MOST_WORDS) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> None:
-        slow = []
-        for word in words:
-            if word.isascii() and word.isalpha():
-                self.cores[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        self.split_off = self.tokenizer.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_MARKS)
+        plain = core.isascii()
+        if core.isalpha() and (plain or (max(core) < "\u0250" and "\u0130" not in core)):
+            small = core.lower()
+            if len(core) < len(word):
+                found = self[small] + self[word[len(core) :]]
+            elif small != word:
+                found = self[small]
             else:
-                slow.append(word)
-        for word, found in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False) if slow else (), strict=True):
-            self.cores[word] = array("I", found.ids).tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids, without the closing one."""
-        words = text.split()
-        new = set(words).difference(self.words)
-        if new:
-            if len(self.words) + len(new) > self.most:
-                self.words.clear()
-                self.cores.clear()
-                new = set(words)
-            parts = {}
-            for word in new:
-                core = word.rstrip(_MARKS)
-                if core.isalpha():
-                    parts[word] = (core.lower() if core.isascii() else core, word[len(core) :])
-                else:
-                    parts[word] = (word, "")
-            self._encode([p for p in {p for pair in parts.values() for p in pair} if p and p not in self.cores])
-            self.cores[""] = b""
-            for word, (core, mark) in parts.items():
-                self.words[word] = self.cores[core] + self.cores[mark]
-        return b"".join(map(self.words.__getitem__, words))
+                found = array("I", [t.id for t in self.split_off(word if plain else word.encode().decode("latin-1").translate(_SPELLED))]).tobytes()
+        else:
+            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = found
+        return found
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another and without closing ones, and where each begins.
+
+        Words are cut and numbered by Arrow; only different words are looked up.
+        """
+        if len(self) > self.most:
+            self.clear()
+        words = pc.ascii_split_whitespace(texts)
+        numbered = words.flatten().dictionary_encode()
+        # one string for all of them is quicker to hand over than a string each
+        listed = pc.binary_join(pa.ListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary), " ")[0].as_py()
+        found = list(map(self.__getitem__, listed.split(" "))) if len(numbered.dictionary) else []
+        known, sizes = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        index = numbered.indices.to_numpy()
+        size = sizes[index]
+        ends = np.cumsum(size)
+        # the n-th id of a word stands n places behind the word's first one
+        place = np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        begins = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return known[place], np.concatenate(([0], ends))[begins]
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about SLICE bytes, a longer text by itself."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")), at + 1)
+        yield texts.slice(at, end - at)
+        at = end
 
 
 _KEPT: dict[str, WordTokenizer] = {}
@@ -98,15 +123,19 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "te
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, piece, start, length, crc = [], [], [], [], []
-            for n, text in enumerate(batch.column(1)):
-                ids = memoryview(tokenizer.ids(text.as_py()) + closing)
-                for k, at in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    row.append(n)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            n = 0
+            for texts in _slices(batch.column(1)):
+                ids, begins = tokenizer.ids(texts)
+                for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                    whole = memoryview(ids[begin:end].tobytes() + closing)
+                    for k, at in enumerate(range(0, len(whole) // 4, capacity)):
+                        part = whole[4 * at : 4 * (at + capacity)]
+                        row.append(n)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                    n += 1
             return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
