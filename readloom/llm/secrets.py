@@ -2,7 +2,7 @@
 
 Two first-order Markov models over characters, one of random strings and one of
 ordinary identifiers, are trained from labelled samples: what the fixed patterns find
-in a bounded sample of rows is random, the other long words there are ordinary. Any
+in a bounded sample of rows is random, the other words there are ordinary. Any
 long run of token characters outside the patterns' spans is compared under both, and
 is reported if the log-likelihood ratio favours the random model clearly.
 
@@ -30,10 +30,11 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _RUN = "[A-Za-z0-9+/_=-]"
-#: Least length of a run that the models judge, and of a word that teaches the ordinary model.
+#: Least length of a run that the models judge, and of a word that teaches the ordinary model;
+#: such a word is shorter than a run, so no run that is itself in doubt teaches it.
 RUN_LENGTH, WORD_LENGTH = 20, 6
 LONG_RUN = rf"(?<!{_RUN}){_RUN}{{{RUN_LENGTH},}}"
-WORD = rf"(?<!{_RUN}){_RUN}{{{WORD_LENGTH},}}"
+WORD = rf"(?<!{_RUN}){_RUN}{{{WORD_LENGTH},{RUN_LENGTH - 1}}}(?!{_RUN})"
 MAX_ROWS = 20_000
 #: Added to every transition of either model.
 SMOOTH = 0.5
@@ -79,9 +80,10 @@ BASE = [(0, ASSIGN), (1, ACCESS), (2, HEX)]
 def _apart(found: DataFrame) -> DataFrame:
     """The rows of the fixed kinds, and those others that touch none of them."""
     base = F.col("kind") < 3
-    by_start = Window.partitionBy("_id", "_hash").orderBy("start")
-    before = F.max(F.when(base, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    # both frames only grow, so a text with many findings takes linear time
+    whole = Window.partitionBy("_id", "_hash")
+    before = F.max(F.when(base, F.col("end"))).over(whole.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(base, F.col("start"))).over(whole.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
     marked = found.withColumns({"_before": before, "_after": after})
     clash = (F.coalesce("_before", F.lit(-1)) > F.col("start")) | (F.coalesce("_after", F.lit(1 << 62)) < F.col("end"))
     return marked.where(base | ~clash).drop("_before", "_after")
@@ -90,11 +92,12 @@ def _apart(found: DataFrame) -> DataFrame:
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[float]:
     """Log-likelihood ratio of each transition, random over ordinary, as one flat table.
 
+    A string teaches each of its transitions once, so that no long one drowns the others.
     Without samples both models are uniform and every ratio is 0.
     """
     sample = bounded_sample(docs.select("doc_id", "text"), F.col("doc_id"), max_rows)
     known = _apart(_found(sample, [*BASE, (3, WORD)]))
-    counts = known.select((F.col("kind") < 3).alias("random"), F.explode(_pairs(F.col("body"))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n")).collect()
+    counts = known.select((F.col("kind") < 3).alias("random"), F.explode(F.array_distinct(_pairs(F.col("body")))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n")).collect()
     ratio = [0.0] * (_STATES * _STATES)
     for random in (True, False):
         n = [SMOOTH] * (_STATES * _STATES)
