@@ -31,9 +31,9 @@ CAPACITY = 2048
 END = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept with their ids in a worker; beyond, it starts anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 #: Bytes of text that are cut into words at a time.
-SLICE = 1 << 23
+SLICE = 1 << 22
 #: Pieces that are ranked together, on average.
 RANK_ROWS = 4_096
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
