@@ -30,7 +30,3 @@ def reverse_complement(seq: Column) -> Column:
 def dna_only(text: Column) -> Column:
     """Keep nucleotide letters, in upper case."""
     return F.upper(F.regexp_replace(text, "[^ACGTNacgtn]+", ""))
-
-
-def with_lengths(reads: DataFrame) -> DataFrame:
-    return reads.select("*", seq_length(F.col("seq")).alias("len"))

@@ -30,23 +30,22 @@ Width = int | None | str
 
 KEY_BUCKETS = 1 << 16
 TASK_ROWS = 1_000_000
-FAIR_SHARES = 4
 
 
 def choose_width(df: DataFrame, keys: Sequence[str], width: Width = AUTO) -> int | None:
     """None if no key is too large for one task, else a chunk width.
 
     Rows are counted per hash bucket of the key, which sums up almost wholly
-    before the shuffle. A bucket bounds each of its keys; one that is neither
-    large in itself nor in comparison with the others holds no hot key.
+    before the shuffle. A bucket bounds each of its keys. The bar is absolute: it
+    does not rise with the input, so no key above it ever gets into one task, and an
+    input whose buckets are all that large is cut as well.
     """
     if width != AUTO:
         return width
     bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS))
     sizes = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
-    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    limit = max(TASK_ROWS, FAIR_SHARES * (total or 0) // KEY_BUCKETS)
-    return None if (largest or 0) <= limit else DEFAULT_WIDTH
+    largest = sizes.agg(F.max("n")).first()[0]
+    return None if (largest or 0) <= TASK_ROWS else DEFAULT_WIDTH
 
 
 def chunk_of(position: str, width: int) -> Column:

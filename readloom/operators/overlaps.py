@@ -30,9 +30,10 @@ PAIR = ["a", "b", "strand"]
 def stitch(overlap: DataFrame, max_distance: int = 40, width: Width = AUTO) -> DataFrame:
     """Join overlaps of one pair and strand that lie within ``max_distance`` on both reads.
 
-    In order of place on a, an overlap joins those before it if it starts at
-    most ``max_distance`` past the furthest end so far, on a and on b alike.
-    Bounds are the outermost, diffs add up.
+    In order of place on a, an overlap joins the one before it if it starts at most
+    ``max_distance`` past that one's end on a, and if their spans on b, whichever
+    comes first, are at most ``max_distance`` apart. Bounds are the outermost, diffs
+    add up.
     """
     per_pair = [*PAIR, "a_len", "b_len", "block"]
     distinct = overlap.groupBy(*per_pair, "ab", "ae", "bb", "be").agg(F.sum("diffs").alias("diffs"))
@@ -41,14 +42,13 @@ def stitch(overlap: DataFrame, max_distance: int = 40, width: Width = AUTO) -> D
     if width is not None:
         distinct = distinct.withColumn(CHUNK, chunk_of("ab", width))
     reached = with_preceding(
-        distinct,
-        [Running("_reach_a", "max", F.col("ae")), Running("_reach_b", "max", F.col("be"))],
-        PAIR, order, width,
+        distinct, [Running("_last", "last", F.struct("ae", "bb", "be"))], PAIR, order, width
     )
     apart = (
-        F.col("_reach_a").isNull()
-        | (F.col("ab") - F.col("_reach_a") > max_distance)
-        | (F.col("bb") - F.col("_reach_b") > max_distance)
+        F.col("_last").isNull()
+        | (F.col("ab") - F.col("_last.ae") > max_distance)
+        | (F.col("bb") - F.col("_last.be") > max_distance)
+        | (F.col("_last.bb") - F.col("be") > max_distance)
     )
     opened = reached.withColumn("_opens", F.when(apart, F.struct(*order)))
     grouped = with_preceding(

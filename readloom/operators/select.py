@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.operators.ordered import with_rank, with_running_sum
+from readloom.operators.ordered import with_running_sum
+from readloom.session import cut_lineage
 
 TOP_ROWS = 10_000
 LENGTH_STEP = 1 << 10
@@ -17,8 +18,9 @@ WIDE = "decimal(38,0)"
 def longest_n(reads: DataFrame, n: int, length: str = "len", tie: str = "id") -> DataFrame:
     """The n longest reads in ascending order of length; earliest ``tie`` wins.
 
-    A small n is a per-partition top-n. A large one, which a single task should
-    not hold, is cut at the length where the count is reached.
+    ``tie`` is a unique column of any type that can be ordered, at every n. A small
+    n is a per-partition top-n. A large one, which a single task should not hold, is
+    cut at the length where the count is reached; the rows are the same.
     """
     if n <= TOP_ROWS:
         chosen = reads.orderBy(F.desc(length), F.asc(tie)).limit(n)
@@ -37,7 +39,7 @@ def longest_to_coverage(
     """Longest reads first until they add up to genome_size x coverage.
 
     The read that reaches the target is included, and there is always one read.
-    ``tie`` is a unique numeric column giving the order among equal lengths.
+    ``tie`` is a unique column, text or number, giving the order among equal lengths.
     """
     target = F.lit(str(genome_size * coverage)).cast(WIDE)
     return _longest_until(reads, target, length, tie, by_bases=True)
@@ -49,8 +51,8 @@ def _longest_until(
     """Reads, longest first, up to and with the one whose weight reaches the target.
 
     A read weighs its length, or 1. The cut is found on a histogram of lengths:
-    longer reads pass a plain filter, and only reads of the one length at the
-    cut are ranked.
+    longer reads pass a plain filter, and so do those of the length at the cut up
+    to the last ``tie`` that is taken.
     """
     weight = F.col("_len") if by_bases else F.lit(1)
     histogram = (
@@ -77,15 +79,30 @@ def _longest_until(
         .otherwise(F.lit(0))
     )
     reached = counted.select("_len", take.alias("_take")).filter(F.col("_take") > 0)
-    cut = reached.select(F.min(F.struct("_len", "_take"))).scalar()
-    longer = reads.filter(F.col(length) > cut["_len"])
-    at_cut = with_rank(reads.filter(F.col(length) == cut["_len"]), "_rank", [], [tie])
-    return longer.unionByName(at_cut.filter(F.col("_rank") <= cut["_take"]).drop("_rank"))
+    cut = reached.select(F.min(F.struct("_len", "_take")).alias("_cut")).first()._cut
+    if cut is None:
+        return reads.limit(0)
+    at_cut = reads.filter(F.col(length) == cut._len)
+    last = _nth(at_cut.select(F.col(tie).alias("_tie")), cut._take)
+    return reads.filter((F.col(length) > cut._len) | ((F.col(length) == cut._len) & (F.col(tie) <= F.lit(last))))
 
 
-def above_similarity(matches: DataFrame, cutoff: float) -> DataFrame:
-    """Matches strictly above the cutoff."""
-    return matches.filter(F.col("ji") > F.lit(cutoff))
+def _nth(values: DataFrame, n: int) -> object:
+    """The n-th smallest of a column _tie of unique values, or the largest if there are fewer.
+
+    The values are dealt out by range; counts per partition tell where the n-th lies,
+    and only that partition is sorted.
+    """
+    dealt = cut_lineage(values.repartitionByRange("_tie").withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # one row per partition
+    passed = 0
+    for size in sizes:
+        if passed + size.n >= n or size is sizes[-1]:
+            own = dealt.filter(F.col("_part") == size._part)
+            nth = min(n - passed, size.n)
+            ranked = own.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_tie")))
+            return ranked.filter(F.col("_rank") == nth).first()._tie
+        passed += size.n
 
 
 def with_status(work: DataFrame, statuses: Sequence[str]) -> DataFrame:

@@ -102,22 +102,22 @@ def best_match(
     )
     ji = F.col("hits") / (F.col("asize") + F.col("bsize") - F.col("hits"))
     ranked = F.struct(
-        F.coalesce(ji, F.lit(0.0)).alias("ji"),
-        (-F.col("reference_id")).alias("_low"),
+        (-F.coalesce(ji, F.lit(0.0))).alias("_down"),
+        "reference_id",
         "hits",
         F.col("asize").cast("bigint").alias("asize"),
         F.coalesce(F.col("bsize"), F.lit(0)).cast("bigint").alias("bsize"),
     )
     return (
         counted.groupBy("target_id")
-        .agg(F.max(ranked).alias("_best"))
+        .agg(F.min(ranked).alias("_best"))
         .select(
             "target_id",
-            (-F.col("_best._low")).alias("reference_id"),
+            "_best.reference_id",
             "_best.hits",
             "_best.asize",
             "_best.bsize",
-            "_best.ji",
+            (-F.col("_best._down")).alias("ji"),
         )
     )
 

@@ -9,9 +9,9 @@ from readloom import schemas
 from readloom.operators.ordered import AUTO, CHUNK, Running, Width, choose_width, with_preceding
 
 # Line shapes of the task logs.
-STARTED = r"Starting job\(s\) ((?:[0-9]+ ?)+)"
-FINISHED = r"Finished job\(s\) ((?:[0-9]+ ?)+)"
-FAILED = r"Failed job\(s\) ((?:[0-9]+ ?)+)"
+STARTED = r"Starting job\(s\) ([0-9][0-9 ]*)"
+FINISHED = r"Finished job\(s\) ([0-9][0-9 ]*)"
+FAILED = r"Failed job\(s\) ([0-9][0-9 ]*)"
 SCHEDULER_ERROR = r"^slurmstepd: error: \*\*\*"
 
 # Later entries win when a row has several.

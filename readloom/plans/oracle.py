@@ -92,7 +92,7 @@ VIEWS: dict[str, str] = {
         SELECT r.job_raw, array_id || '_' || task_id AS jobid, r.node, s.localtime, raw_time, elapsed, mem_used_gb, cores
         FROM samples s JOIN records r ON s.cluster = r.cluster AND s.node = r.node AND s.job_raw = r.job_raw""",
     "blocks": """
-        SELECT unnest(range(1, CAST(floor((sqrt(n * 8 + 1) - 1) / 2) AS BIGINT) + 1)) AS block_id FROM (SELECT count(*) AS n FROM orders)""",
+        SELECT unnest(range(1, CAST(ceil((sqrt(n * 8 + 1) - 1) / 2) AS BIGINT) + 1)) AS block_id FROM (SELECT count(*) AS n FROM orders)""",
     "plan": """
         SELECT row_number() OVER (ORDER BY x.block_id <> y.block_id, x.block_id, y.block_id) AS rowid,
                x.block_id AS block_id1, y.block_id AS block_id2,
@@ -157,10 +157,11 @@ VIEWS: dict[str, str] = {
         FROM (SELECT *, unnest(range((ab + 99) // 100, ae // 100)) AS s FROM overlap) GROUP BY ALL""",
     "stitched": """
         SELECT a, b, strand, min(ab) AS ab, max(ae) AS ae, min(bb) AS bb, max(be) AS be, a_len, b_len, CAST(sum(diffs) AS BIGINT) AS diffs
-        FROM (SELECT *, sum(CASE WHEN ra IS NULL OR ab - ra > {gap} OR bb - rb > {gap} THEN 1 ELSE 0 END)
+        FROM (SELECT *, sum(CASE WHEN ra IS NULL OR ab - ra > {gap} OR greatest(bb - rb, lb - be) > {gap} THEN 1 ELSE 0 END)
                         OVER (PARTITION BY a, b, strand ORDER BY ab, ae, bb, be ROWS UNBOUNDED PRECEDING) AS g
-              FROM (SELECT *, max(ae) OVER w AS ra, max(be) OVER w AS rb FROM overlap
-                    WINDOW w AS (PARTITION BY a, b, strand ORDER BY ab, ae, bb, be ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+              FROM (SELECT *, lag(ae) OVER w AS ra, lag(bb) OVER w AS lb, lag(be) OVER w AS rb
+                    FROM (SELECT a, b, strand, a_len, b_len, block, ab, ae, bb, be, sum(diffs) AS diffs FROM overlap GROUP BY ALL)
+                    WINDOW w AS (PARTITION BY a, b, strand ORDER BY ab, ae, bb, be)))
         GROUP BY a, b, strand, a_len, b_len, g""",
     "clipped": """
         SELECT a, b, strand, ab + head AS ab, ae - tail AS ae, bb + head AS bb, be - tail AS be, a_len, b_len, diffs, tab, tae, tbb, tbe

@@ -97,12 +97,12 @@ class Tables:
             F.when(F.col("event_type") == "error", two).otherwise(four).alias("cores"),
         )
 
-    # Work: a pairwise plan with at most one item per order, which gives its status.
+    # Work: a pairwise plan whose first items are the orders, one each, which give the status.
 
     def blocks(self) -> DataFrame:
-        """As many blocks as make no more pairs than there are orders, so the plan grows with them."""
+        """The fewest blocks with a pair for every order, so the plan grows with them and uses all."""
         n_orders = F.count(F.lit(1))
-        n = F.floor((F.sqrt(n_orders * 8 + 1) - 1) / 2).cast("bigint")
+        n = F.ceil((F.sqrt(n_orders * 8 + 1) - 1) / 2).cast("bigint")
         counted = self.table("orders").agg(n.alias("n"))
         return counted.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("block_id"))
 

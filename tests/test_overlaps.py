@@ -34,20 +34,28 @@ def test_stitch(many, gap, width):
         groups.setdefault((r.a, r.b, r.strand), {}).setdefault((r.ab, r.ae, r.bb, r.be), []).append(r.diffs)
     expected = []
     for key, spans in groups.items():
-        current = None
+        current, last = None, None
         for span in sorted(spans):
-            if current and span[0] - current[1] <= gap and span[2] - current[3] <= gap:
+            if last and span[0] - last[1] <= gap and span[2] - last[3] <= gap and last[2] - span[3] <= gap:
                 current = [min(current[0], span[0]), max(current[1], span[1]), min(current[2], span[2]), max(current[3], span[3]), current[4]]
             else:
                 if current:
                     expected.append((*key, *current))
                 current = [*span, 0]
+            last = span
             current[4] += sum(spans[span])
         expected.append((*key, *current))
     got = rows(O.stitch(many, gap, width), "a", "b", "strand", "ab", "ae", "bb", "be", "diffs")
     assert got == sorted(expected, key=repr)
 
 
+def test_stitch_keeps_distant_places_apart(spark):
+    far = [(1, 2, "+", 0, 100, 10_000, 10_100, 300, 20_000, 1, 1), (1, 2, "+", 110, 200, 50, 140, 300, 20_000, 1, 1)]
+    near = [(3, 4, "+", 0, 100, 10_000, 10_100, 300, 20_000, 1, 1), (3, 4, "+", 110, 200, 10_120, 10_200, 300, 20_000, 1, 1)]
+    got = rows(O.stitch(spark.createDataFrame(far + near, schemas.OVERLAP), 40), "a", "ab", "ae", "bb", "be")
+    assert got == [(1, 0, 100, 10_000, 10_100), (1, 110, 200, 50, 140), (3, 0, 200, 10_000, 10_200)]
+
+
 def test_repeats(many):
     expected = []
     for read in (0, 1, 2, 3):

@@ -210,3 +210,9 @@ def test_telemetry(spark):
     assert rows(T.missing_telemetry(records, samples), "job_raw") == [("79",)]
     assert rows(T.core_width_check(attached)) == [("78", 1, 1)]
     assert rows(T.widen_cores(attached), "job_raw", "core1", "core2") == [("77", 1.0, 2.0), ("78", 3.0, None)]
+
+
+def test_a_line_may_name_very_many_ids(spark):
+    ids = " ".join(str(i) for i in range(100_000))
+    lines = spark.createDataFrame([(f"Starting job(s) {ids} and more",)], "line string")
+    assert S.log_events(lines).distinct().count() == 100_000

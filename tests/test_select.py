@@ -45,3 +45,14 @@ def test_coverage_of_empty_reads(spark):
     assert rows(longest_to_coverage(zeros, 1, 1)) == [(1, 0), (2, 0)]
     assert rows(longest_to_coverage(zeros.limit(0), 5, 1)) == []
 
+
+
+@pytest.mark.parametrize("top_rows", [0, 10_000])
+def test_text_ids(spark, reads, top_rows, monkeypatch):
+    monkeypatch.setattr(select, "TOP_ROWS", top_rows)
+    named = reads.selectExpr("concat('read/', id) AS id", "len")
+    order = sorted(((r.len, r.id) for r in named.collect()), key=lambda x: (-x[0], x[1]))
+    assert sorted((r.len, r.id) for r in longest_n(named, 60).collect()) == sorted(order[:60])
+    got = longest_to_coverage(named, 500, 1).collect()
+    assert sorted((r.len, r.id) for r in got) == sorted(order[: len(got)])
+    assert sum(r.len for r in got) >= 500 > sum(r.len for r in got) - min(r.len for r in got)
