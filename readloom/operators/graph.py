@@ -117,12 +117,12 @@ def dovetail_edges(overlap: DataFrame) -> DataFrame:
 
 
 def _degrees(edges: DataFrame) -> DataFrame:
-    """(node, n_out, n_in) of every node with an edge."""
+    """(node, n_out, n_in) of every node with an edge; parallel edges lead to one neighbour."""
     ends = F.array(
         F.struct(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")),
         F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")),
     )
-    per_end = edges.select(F.explode(ends).alias("_e")).select("_e.*")
+    per_end = edges.select("src", "dst").distinct().select(F.explode(ends).alias("_e")).select("_e.*")
     return per_end.groupBy("node").agg(F.sum("out").alias("n_out"), F.sum("in").alias("n_in"))
 
 
@@ -264,13 +264,20 @@ def path_pieces(path: DataFrame, reads: DataFrame) -> DataFrame:
     """``path`` with ``piece``: what each read adds, and ``offset``: where on the path.
 
     The first read adds itself, later ones their overhang; reads on the other
-    strand are reverse complemented first. ``reads`` holds trimmed sequences.
+    strand are reverse complemented first. ``reads`` holds trimmed sequences; a path
+    that names a read without one is an error, as is an overhang beyond its read.
     """
+    named = F.col("read_id").cast("string")
     turned = F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     added = F.when(F.col("pos") == 0, turned).otherwise(
         F.substring(turned, F.length("seq") - F.col("overhang") + 1, F.col("overhang"))
     )
-    pieces = path.join(reads.select("read_id", "seq"), "read_id").select(*path.columns, added.alias("piece"))
+    added = (
+        F.when(F.col("seq").isNull(), F.raise_error(F.concat(F.lit("no sequence for read "), named)))
+        .when((F.col("pos") > 0) & (F.col("overhang") > F.length("seq")), F.raise_error(F.concat(F.lit("overhang beyond read "), named)))
+        .otherwise(added)
+    )
+    pieces = path.join(reads.select("read_id", "seq"), "read_id", "left").select(*path.columns, added.alias("piece"))
     keys = ["component", "path_id"]
     sized = with_running_sum(
         pieces, "_end", F.length("piece").cast("bigint"), keys, ["pos"], choose_width(path, keys)

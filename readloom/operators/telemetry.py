@@ -41,10 +41,22 @@ def malformed_batch_records(accounting: DataFrame) -> DataFrame:
     return _batch_only(accounting).filter(~_well_formed())
 
 
+def elapsed_seconds(elapsed: Column) -> Column:
+    """Seconds of a [days-]hours:minutes:seconds text; null for other texts."""
+    part = lambda n: F.regexp_extract(elapsed, r"^(?:([0-9]+)-)?([0-9]+):([0-9]+):([0-9]+)$", n)
+    number = lambda n: F.when(part(n) == "", 0).otherwise(part(n).try_cast("bigint"))
+    return F.when(part(4) != "", ((number(1) * 24 + number(2)) * 60 + number(3)) * 60 + number(4))
+
+
 def latest_records(records: DataFrame, order: str = "elapsed") -> DataFrame:
-    """One record per raw job id, the last in ``order``; a plain aggregate, so copies fold early."""
+    """One record per raw job id, the last in ``order``; a plain aggregate, so copies fold early.
+
+    Elapsed times are ordered by their length, so a day comes after 23 hours. Where the
+    records hold their place in the file, that is the ``order`` to give.
+    """
     rest = [c for c in records.columns if c not in ("job_raw", order)]
-    newest = F.max(F.struct(order, *rest)).alias("_r")
+    key = [elapsed_seconds(F.col(order)).alias("_seconds")] if order == "elapsed" else []
+    newest = F.max(F.struct(*key, order, *rest)).alias("_r")
     return records.groupBy("job_raw").agg(newest).select(
         "job_raw", *[F.col(f"_r.{c}").alias(c) for c in records.columns if c != "job_raw"]
     )

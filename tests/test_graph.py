@@ -101,3 +101,16 @@ def test_reverse_reads_are_turned(spark):
     data = [(1, 1, 0, 1, "+", None), (1, 1, 1, 2, "-", 2)]
     path = spark.createDataFrame(data, schemas.PATH)
     assert [r.seq for r in G.path_sequences(path, reads).collect()] == ["AACC" + "AC"]
+
+
+def test_a_missing_read_is_an_error(spark):
+    path = spark.createDataFrame([(1, 1, 0, 7, "+", 0), (1, 1, 1, 8, "+", 2)], schemas.PATH)
+    reads = spark.createDataFrame([(7, "ACGT"), (8, "CGTAA")], "read_id bigint, seq string")
+    assert [r.seq for r in G.path_sequences(path, reads).collect()] == ["ACGTAA"]
+    with pytest.raises(Exception, match="no sequence for read 8"):
+        G.path_sequences(path, reads.filter("read_id = 7")).collect()
+
+
+def test_parallel_edges_are_one_neighbour(spark):
+    edges = spark.createDataFrame([(1, 2, "+", 5), (1, 2, "-", 6)], schemas.EDGE)
+    assert G.drop_tips(edges).count() == 2

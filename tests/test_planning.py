@@ -216,3 +216,9 @@ def test_a_line_may_name_very_many_ids(spark):
     ids = " ".join(str(i) for i in range(100_000))
     lines = spark.createDataFrame([(f"Starting job(s) {ids} and more",)], "line string")
     assert S.log_events(lines).distinct().count() == 100_000
+
+
+def test_a_day_comes_after_23_hours(spark):
+    rows_ = [("j", "23:00:00", "early"), ("j", "1-00:00:00", "late"), ("k", None, "only")]
+    got = T.latest_records(spark.createDataFrame(rows_, "job_raw string, elapsed string, state string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("j", "1-00:00:00", "late"), ("k", None, "only")]
