@@ -11,10 +11,11 @@ So each window of a text is compared once, and the union of its repeated windows
 its matches extended to the left and right as far as they go: the result is that of
 comparing all windows of all texts, without listing those whose seed is unique.
 
-Of all words about one in ``(least - seed + 2) / 2`` becomes a suffix. Seeds with more
-than ``hot`` suffixes are compared by one aggregate over their windows instead of in one
-task; its partial sums fold the copies before they move. That lists the windows one by
-one, so it is kept for seeds that no task could hold.
+Of all words about one in ``(least - seed + 2) / 2`` becomes a suffix. The suffixes of a
+seed with more than ``hot`` of them are cut into parts of about that many. Each part names
+its different windows once, with the least and greatest id that hold them; these summaries
+are merged by window, and the parts get back which of their windows are repeated. So the
+rows that move are those of a part's different windows, however many copies it holds.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ from xxhash import xxh3_64_intdigest
 from readloom.llm.common import batches, cut_lineage
 
 LEAST, SEED = 50, 8
-#: Most suffixes of a seed that are compared in one task: some 100 MB of window hashes.
-HOT = 32_768
+#: Suffixes of a seed that are compared together, on average, once it has more.
+HOT = 4_096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Windows of a text that are handled at a time.
 _SPAN = 1 << 16
@@ -87,13 +89,13 @@ def _suffixes(docs: DataFrame, least: int, seed: int) -> DataFrame:
 
 
 def _compared(docs: DataFrame, least: int, seed: int) -> DataFrame:
-    """_key, _hot, _id, _from (first window), _hashes of its windows, per wanted suffix of ``docs`` (with _places)."""
+    """_key, _parts, _id, _from (first window), _hashes of its windows, per wanted suffix of ``docs`` (with _places)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, hot, rows, starts, found = [], [], [], [], []
+            keys, parts, rows, starts, found = [], [], [], [], []
             for n, (text, places) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
-                wanted = {p["_at"]: p["_hot"] for p in places}
+                wanted = {p["_at"]: p["_parts"] for p in places}
                 for at, first, key, part in windows(text.as_py(), least, seed):
                     cut = np.flatnonzero(np.diff(first, prepend=-1))
                     chosen = [(s, e) for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(first)], strict=True) if int(first[s]) in wanted]
@@ -102,16 +104,53 @@ def _compared(docs: DataFrame, least: int, seed: int) -> DataFrame:
                     hashes = _rolling(part, least).view(np.int64)
                     for s, e in chosen:
                         keys.append(int(key[s : s + 1].view(np.int64)[0]))
-                        hot.append(wanted[int(first[s])])
+                        parts.append(wanted[int(first[s])])
                         rows.append(n)
                         starts.append(at + s)
                         found.append(hashes[s:e])
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hot, pa.bool_()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), lists], ["_key", "_hot", "_id", "_from", "_hashes"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), lists], ["_key", "_parts", "_id", "_from", "_hashes"])
 
         return step
 
-    return batches(docs, make, "_key long, _hot boolean, _id long, _from long, _hashes array<long>")
+    return batches(docs, make, "_key long, _parts long, _id long, _from long, _hashes array<long>")
+
+
+def _together(source: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables in which every value of the first column has all its rows, which are adjacent."""
+    held: list[pa.RecordBatch] = []
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        key = batch.column(0).to_numpy()
+        ready = int(np.searchsorted(key, key[-1]))
+        if ready or held[0].column(0)[0].as_py() != key[-1]:
+            table = pa.Table.from_batches([*held[:-1], batch.slice(0, ready)])
+            held = [batch.slice(ready)]
+            if table.num_rows:
+                yield table
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _spread(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per window: the row of its suffix, its place among that row's, and its hash."""
+    lists = table.column("_hashes").combine_chunks()
+    begins = lists.offsets.to_numpy()
+    sizes = np.diff(begins)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(begins[:-1] - begins[0], sizes), lists.flatten().to_numpy()
+
+
+def _runs(ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, step: np.ndarray, keep: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """_id, _from, _to, _first of the runs of windows in ``keep``."""
+    at, row, first = (starts[owner] + step)[keep], owner[keep], first[keep]
+    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1))))
+    return [ids[row[new]], at[new], at[np.append(new[1:], len(at)) - 1], np.minimum.reduceat(first, new)]
+
+
+_RUN = "_id long, _from long, _to long, _first long"
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -121,12 +160,10 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def repeated(table: pa.Table) -> pa.RecordBatch | None:
-            lists = table.column("_hashes").combine_chunks()
-            sizes = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            step = np.arange(len(owner)) - np.repeat(lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0], sizes)
-            hashes, ids = lists.flatten().to_numpy(), table.column("_id").to_numpy()[owner]
+        for table in _together(source):
+            owner, step, hashes = _spread(table)
+            own = table.column("_id").to_numpy()
+            ids = own[owner]
             order = np.lexsort((ids, hashes))
             h, i = hashes[order], ids[order]
             head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -134,34 +171,55 @@ def _neighbours(rows: DataFrame) -> DataFrame:
             least, most = i[head], i[np.append(head[1:], len(h)) - 1]
             shared = np.repeat(least != most, size)
             if not shared.any():
-                return None
-            first = np.empty(len(h), np.int64)
-            first[order] = np.repeat(least, size)
-            keep = np.zeros(len(h), bool)
-            keep[order] = shared
-            at = (table.column("_from").to_numpy()[owner] + step)[keep]
-            row, first = owner[keep], first[keep]
-            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1))))
-            ends = np.append(new[1:], len(at)) - 1
-            doc = table.column("_id").to_numpy()[row[new]]
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at[new]), pa.array(at[ends]), pa.array(np.minimum.reduceat(first, new))], ["_id", "_from", "_to", "_first"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in source:
-            if not batch.num_rows:
                 continue
-            held.append(batch)
-            key = batch.column(0).to_numpy()
-            ready = int(np.searchsorted(key, key[-1]))
-            if ready or held[0].column(0)[0].as_py() != key[-1]:
-                table = pa.Table.from_batches([*held[:-1], batch.slice(0, ready)])
-                held = [batch.slice(ready)]
-                if table.num_rows and (found := repeated(table)) is not None:
-                    yield found
-        if held and (found := repeated(pa.Table.from_batches(held))) is not None:
-            yield found
+            first, keep = np.empty(len(h), np.int64), np.zeros(len(h), bool)
+            first[order], keep[order] = np.repeat(least, size), shared
+            found = _runs(own, table.column("_from").to_numpy(), owner, step, keep, first)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["_id", "_from", "_to", "_first"])
+
+    return rows.mapInArrow(run, _RUN)
+
+
+def _summaries(rows: DataFrame) -> DataFrame:
+    """_part, _window, _low, _high: each part's different windows, and the ids that bound their holders.
 
-    return rows.mapInArrow(run, "_id long, _from long, _to long, _first long")
+    Rows of a part are adjacent in ``rows`` and come together.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _together(source):
+            owner, _, hashes = _spread(table)
+            ids, parts = table.column("_id").to_numpy()[owner], table.column("_part").to_numpy()[owner]
+            order = np.lexsort((ids, hashes, parts))
+            p, h, i = parts[order], hashes[order], ids[order]
+            head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (p[1:] != p[:-1]))))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p[head], h[head], i[head], i[np.append(head[1:], len(h)) - 1])], ["_part", "_window", "_low", "_high"])
+
+    return rows.mapInArrow(run, "_part long, _window long, _low long, _high long")
+
+
+def _marked(_: tuple, suffixes: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+    """The runs of a part, given its repeated windows."""
+    names = ["_id", "_from", "_to", "_first"]
+    if not len(suffixes) or not len(marks):
+        return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
+    marks = marks.sort_values("_window")
+    window, first = marks["_window"].to_numpy(), marks["_first"].to_numpy()
+    sizes = suffixes["_hashes"].map(len).to_numpy()
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    hashes = np.concatenate(suffixes["_hashes"].to_numpy())
+    at = np.minimum(np.searchsorted(window, hashes), len(window) - 1)
+    found = _runs(suffixes["_id"].to_numpy(), suffixes["_from"].to_numpy(), owner, step, window[at] == hashes, first[at])
+    return pd.DataFrame(dict(zip(names, found, strict=True)))
+
+
+def _across_parts(rows: DataFrame) -> DataFrame:
+    """As :func:`_neighbours`, for seeds whose suffixes lie in several parts."""
+    sums = cut_lineage(_summaries(rows.repartition("_part").sortWithinPartitions("_part")))
+    twice = sums.groupBy("_window").agg(F.min("_low").alias("_first"), F.max("_high").alias("_last")).where("_first < _last")
+    marks = sums.select("_part", "_window").join(twice, "_window").select("_part", "_window", "_first")
+    return rows.groupBy("_part").cogroup(marks.groupBy("_part")).applyInPandas(_marked, _RUN)
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, seed: int = SEED, hot: int = HOT) -> DataFrame:
@@ -176,14 +234,13 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).where("_id IS NOT NULL AND _text IS NOT NULL")
     kept = cut_lineage(_suffixes(rows, least, seed))
     seeds = kept.groupBy("_key").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.count("*").alias("_n"))
-    seeds = cut_lineage(seeds.where("_low < _high").select("_key", (F.col("_n") > hot).alias("_hot")))
-    wanted = kept.join(seeds, "_key").groupBy("_id").agg(F.collect_list(F.struct("_at", "_hot")).alias("_places"))
+    seeds = cut_lineage(seeds.where("_low < _high").select("_key", F.ceil(F.col("_n") / hot).alias("_parts")))
+    wanted = kept.join(seeds, "_key").groupBy("_id").agg(F.collect_set(F.struct("_at", "_parts")).alias("_places"))
     compared = cut_lineage(_compared(rows.join(wanted, "_id").select("_id", "_text", "_places"), least, seed))
-    cold = compared.where("NOT _hot").select("_key", "_id", "_from", "_hashes").repartition("_key").sortWithinPartitions("_key")
-    each = compared.where("_hot").select("_id", F.posexplode("_hashes").alias("_i", "_window"), "_from").select("_id", (F.col("_from") + F.col("_i")).alias("_from"), "_window")
-    twice = cut_lineage(each.groupBy("_window").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last"))
-    warm = each.join(twice, "_window").select("_id", "_from", F.col("_from").alias("_to"), "_first")
-    runs = _neighbours(cold).unionByName(warm)
+    whole = compared.where("_parts = 1").select("_key", "_id", "_from", "_hashes").repartition("_key").sortWithinPartitions("_key")
+    part = F.xxhash64("_key", F.pmod(F.xxhash64("_id", "_from"), F.col("_parts"))).alias("_part")
+    cut = compared.where("_parts > 1").select(part, "_id", "_from", "_hashes")
+    runs = _neighbours(whole).unionByName(_across_parts(cut))
     by_start = Window.partitionBy("_id").orderBy("_from", "_to")
     reach = F.max("_to").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     begun = runs.withColumn("_new", F.coalesce((F.col("_from") > reach + least).cast("int"), F.lit(1)))
