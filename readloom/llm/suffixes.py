@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,41 +142,44 @@ def _spread(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(begins[:-1] - begins[0], sizes), lists.flatten().to_numpy()
 
 
-def _runs(ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, step: np.ndarray, keep: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """_id, _from, _to, _first of the runs of windows in ``keep``."""
-    at, row, first = (starts[owner] + step)[keep], owner[keep], first[keep]
-    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1))))
-    return [ids[row[new]], at[new], at[np.append(new[1:], len(at)) - 1], np.minimum.reduceat(first, new)]
-
-
-_RUN = "_id long, _from long, _to long, _first long"
+#: Rows of :func:`_neighbours`: suffix of a whole seed, suffix of a seed that is cut, repeated window of a part.
+_WHOLE, _CUT, _MARK = 0, 1, 2
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
     """_id, _from, _to, _first (least id that has one of these windows): runs of repeated windows.
 
-    Rows of a seed are adjacent in ``rows`` and come together.
+    ``rows`` holds _part, _kind, _id, _from, _hashes; rows of a part are adjacent and come
+    together. A whole seed's windows are sorted and compared with their neighbours. A
+    part of a cut seed is told its repeated windows by marks, whose _id is the least holder.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _together(source):
             owner, step, hashes = _spread(table)
             own = table.column("_id").to_numpy()
-            ids = own[owner]
-            order = np.lexsort((ids, hashes))
-            h, i = hashes[order], ids[order]
-            head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            size = np.diff(np.append(head, len(h)))
-            least, most = i[head], i[np.append(head[1:], len(h)) - 1]
-            shared = np.repeat(least != most, size)
-            if not shared.any():
+            ids, kind = own[owner], table.column("_kind").to_numpy()[owner]
+            first, keep = np.empty(len(hashes), np.int64), np.zeros(len(hashes), bool)
+            whole, cut, mark = (np.flatnonzero(kind == k) for k in (_WHOLE, _CUT, _MARK))
+            if len(whole):
+                order = whole[np.lexsort((ids[whole], hashes[whole]))]
+                h, i = hashes[order], ids[order]
+                head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                size = np.diff(np.append(head, len(h)))
+                least, most = i[head], i[np.append(head[1:], len(h)) - 1]
+                first[order], keep[order] = np.repeat(least, size), np.repeat(least != most, size)
+            if len(cut) and len(mark):
+                mark = mark[np.argsort(hashes[mark])]
+                at = mark[np.minimum(np.searchsorted(hashes[mark], hashes[cut]), len(mark) - 1)]
+                first[cut], keep[cut] = ids[at], hashes[at] == hashes[cut]
+            if not keep.any():
                 continue
-            first, keep = np.empty(len(h), np.int64), np.zeros(len(h), bool)
-            first[order], keep[order] = np.repeat(least, size), shared
-            found = _runs(own, table.column("_from").to_numpy(), owner, step, keep, first)
+            place, row, first = (table.column("_from").to_numpy()[owner] + step)[keep], owner[keep], first[keep]
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))))
+            found = own[row[new]], place[new], place[np.append(new[1:], len(place)) - 1], np.minimum.reduceat(first, new)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["_id", "_from", "_to", "_first"])
 
-    return rows.mapInArrow(run, _RUN)
+    return rows.mapInArrow(run, "_id long, _from long, _to long, _first long")
 
 
 def _summaries(rows: DataFrame) -> DataFrame:
@@ -198,28 +200,11 @@ def _summaries(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "_part long, _window long, _low long, _high long")
 
 
-def _marked(_: tuple, suffixes: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-    """The runs of a part, given its repeated windows."""
-    names = ["_id", "_from", "_to", "_first"]
-    if not len(suffixes) or not len(marks):
-        return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
-    marks = marks.sort_values("_window")
-    window, first = marks["_window"].to_numpy(), marks["_first"].to_numpy()
-    sizes = suffixes["_hashes"].map(len).to_numpy()
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    hashes = np.concatenate(suffixes["_hashes"].to_numpy())
-    at = np.minimum(np.searchsorted(window, hashes), len(window) - 1)
-    found = _runs(suffixes["_id"].to_numpy(), suffixes["_from"].to_numpy(), owner, step, window[at] == hashes, first[at])
-    return pd.DataFrame(dict(zip(names, found, strict=True)))
-
-
-def _across_parts(rows: DataFrame) -> DataFrame:
-    """As :func:`_neighbours`, for seeds whose suffixes lie in several parts."""
+def _marks(rows: DataFrame) -> DataFrame:
+    """_part, _window, _first: the windows of each part that two different ids hold in any part."""
     sums = cut_lineage(_summaries(rows.repartition("_part").sortWithinPartitions("_part")))
     twice = sums.groupBy("_window").agg(F.min("_low").alias("_first"), F.max("_high").alias("_last")).where("_first < _last")
-    marks = sums.select("_part", "_window").join(twice, "_window").select("_part", "_window", "_first")
-    return rows.groupBy("_part").cogroup(marks.groupBy("_part")).applyInPandas(_marked, _RUN)
+    return sums.select("_part", "_window").join(twice, "_window").select("_part", "_window", "_first")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, seed: int = SEED, hot: int = HOT) -> DataFrame:
@@ -237,10 +222,12 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     seeds = cut_lineage(seeds.where("_low < _high").select("_key", F.ceil(F.col("_n") / hot).alias("_parts")))
     wanted = kept.join(seeds, "_key").groupBy("_id").agg(F.collect_set(F.struct("_at", "_parts")).alias("_places"))
     compared = cut_lineage(_compared(rows.join(wanted, "_id").select("_id", "_text", "_places"), least, seed))
-    whole = compared.where("_parts = 1").select("_key", "_id", "_from", "_hashes").repartition("_key").sortWithinPartitions("_key")
-    part = F.xxhash64("_key", F.pmod(F.xxhash64("_id", "_from"), F.col("_parts"))).alias("_part")
-    cut = compared.where("_parts > 1").select(part, "_id", "_from", "_hashes")
-    runs = _neighbours(whole).unionByName(_across_parts(cut))
+    part = F.when(F.col("_parts") == 1, F.col("_key")).otherwise(F.xxhash64("_key", F.pmod(F.xxhash64("_id", "_from"), F.col("_parts"))))
+    kind = F.when(F.col("_parts") == 1, _WHOLE).otherwise(_CUT)
+    suffixes = compared.select(part.alias("_part"), kind.alias("_kind"), "_id", "_from", "_hashes")
+    marks = _marks(suffixes.where(F.col("_kind") == _CUT))
+    marks = marks.select("_part", F.lit(_MARK).alias("_kind"), F.col("_first").alias("_id"), F.lit(0).cast("long").alias("_from"), F.array("_window").alias("_hashes"))
+    runs = _neighbours(suffixes.unionByName(marks).repartition("_part").sortWithinPartitions("_part"))
     by_start = Window.partitionBy("_id").orderBy("_from", "_to")
     reach = F.max("_to").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     begun = runs.withColumn("_new", F.coalesce((F.col("_from") > reach + least).cast("int"), F.lit(1)))
