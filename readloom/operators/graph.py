@@ -1,5 +1,9 @@
 """Overlap graph: edges, components, unbranched paths, and their sequences.
 
+Reads lie on either strand, so a node is a read in one of its two orientations. Every
+overlap says an edge and its mirror, which leads back between the turned reads; every
+path has a mirror as well, and one of the two is kept.
+
 The rules here are this library's own. Loops run a logarithmic number of rounds
 on DataFrames; each round is written to the shared folder, and only a yes/no
 answer or a count ever comes back to the driver.
@@ -26,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every node points at its lowest neighbour, pointers are followed to their
     roots, and the graph is contracted to the roots. At least half of the nodes
-    that still have an edge vanish in a round.
+    that still have an edge vanish in two rounds.
     """
     both = edges.select(F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")),
                                           F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))).alias("_e"))
@@ -90,9 +94,14 @@ def contained_reads(overlap: DataFrame) -> DataFrame:
     return overlap.filter(F.col("a") != F.col("b")).select(lost.alias("read_id")).filter(F.col("read_id").isNotNull()).distinct()
 
 
+def _turned(strand: Column) -> Column:
+    return F.when(strand == "+", "-").otherwise("+")
+
+
 def dovetail_edges(overlap: DataFrame) -> DataFrame:
-    """(src, dst, strand, overhang): end-to-start overlaps between reads that are not contained.
+    """(src, src_strand, dst, dst_strand, overhang): end-to-start overlaps between reads that are not contained.
 
+    bb and be count along b as the overlap turns it. Each edge comes with its mirror.
     overhang: bases dst adds past the end of src. Of several overlaps that say
     the same edge, the one with the least overhang stays.
     """
@@ -104,45 +113,56 @@ def dovetail_edges(overlap: DataFrame) -> DataFrame:
     )
     a_then_b = (F.col("ae") >= F.col("a_len")) & (F.col("bb") <= 0)
     b_then_a = (F.col("ab") <= 0) & (F.col("be") >= F.col("b_len"))
+    plus, minus, same, other = F.lit("+"), F.lit("-"), F.col("strand"), _turned(F.col("strand"))
 
-    def edge(src: str, dst: str, overhang: Column) -> Column:
+    def edge(src: str, src_strand: Column, dst: str, dst_strand: Column, overhang: Column) -> Column:
         return F.struct(
-            F.col(src).alias("src"), F.col(dst).alias("dst"), "strand", overhang.alias("overhang")
+            F.col(src).alias("src"), src_strand.alias("src_strand"),
+            F.col(dst).alias("dst"), dst_strand.alias("dst_strand"), overhang.alias("overhang"),
         )
 
-    forward = F.when(a_then_b, edge("a", "b", F.col("b_len") - F.col("be")))
-    backward = F.when(b_then_a, edge("b", "a", F.col("a_len") - F.col("ae")))
-    said = kept.select(F.coalesce(forward, backward).alias("_e")).filter(F.col("_e").isNotNull()).select("_e.*")
-    return said.groupBy("src", "dst", "strand").agg(F.min("overhang").alias("overhang"))
+    forward = F.array(edge("a", plus, "b", same, F.col("b_len") - F.col("be")), edge("b", other, "a", minus, F.col("ab")))
+    backward = F.array(edge("b", same, "a", plus, F.col("a_len") - F.col("ae")), edge("a", minus, "b", other, F.col("bb")))
+    said = kept.select(F.explode(F.when(a_then_b, forward).when(b_then_a, backward)).alias("_e")).select("_e.*")
+    return said.groupBy("src", "src_strand", "dst", "dst_strand").agg(F.min("overhang").alias("overhang"))
 
 
-def _degrees(edges: DataFrame) -> DataFrame:
+def _with_nodes(edges: DataFrame) -> DataFrame:
+    """``edges`` with the nodes _u and _v they lead from and to."""
+    return edges.withColumns({
+        node: F.struct(F.col(end).alias("read"), F.col(f"{end}_strand").alias("strand"))
+        for node, end in (("_u", "src"), ("_v", "dst"))
+    })
+
+
+def _degrees(linked: DataFrame) -> DataFrame:
     """(node, n_out, n_in) of every node with an edge; parallel edges lead to one neighbour."""
     ends = F.array(
-        F.struct(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")),
-        F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")),
+        F.struct(F.col("_u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")),
+        F.struct(F.col("_v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")),
     )
-    per_end = edges.select("src", "dst").distinct().select(F.explode(ends).alias("_e")).select("_e.*")
+    per_end = linked.select("_u", "_v").distinct().select(F.explode(ends).alias("_e")).select("_e.*")
     return per_end.groupBy("node").agg(F.sum("out").alias("n_out"), F.sum("in").alias("n_in"))
 
 
 def drop_tips(edges: DataFrame) -> DataFrame:
     """Edges without single-edge dead ends: leaves hanging off a node that goes on elsewhere."""
-    degrees = _degrees(edges)
+    linked = _with_nodes(edges)
+    degrees = _degrees(linked)
 
     def of(end: str) -> DataFrame:
         return degrees.select(
-            F.col("node").alias(end), F.col("n_out").alias(f"_{end}_out"), F.col("n_in").alias(f"_{end}_in")
+            F.col("node").alias(end), F.col("n_out").alias(f"{end}_out"), F.col("n_in").alias(f"{end}_in")
         )
 
-    rows = edges.join(of("src"), "src").join(of("dst"), "dst")
-    leads_nowhere = (F.col("_dst_out") == 0) & (F.col("_dst_in") == 1) & (F.col("_src_out") > 1)
-    comes_from_nowhere = (F.col("_src_in") == 0) & (F.col("_src_out") == 1) & (F.col("_dst_in") > 1)
+    rows = linked.join(of("_u"), "_u").join(of("_v"), "_v")
+    leads_nowhere = (F.col("_v_out") == 0) & (F.col("_v_in") == 1) & (F.col("_u_out") > 1)
+    comes_from_nowhere = (F.col("_u_in") == 0) & (F.col("_u_out") == 1) & (F.col("_v_in") > 1)
     return rows.filter(~(leads_nowhere | comes_from_nowhere)).select(*edges.columns)
 
 
 def overlap_graph(overlap: DataFrame, dead_end_edges: int = 1) -> DataFrame:
-    """(component, src, dst, strand, overhang): the graph's edges, split by component.
+    """(component, src, src_strand, dst, dst_strand, overhang): the graph's edges, split by component.
 
     Contained reads are left out, and dead ends of one edge removed once if
     ``dead_end_edges`` is 1. a_len and b_len are lengths after trimming.
@@ -159,69 +179,72 @@ def overlap_graph(overlap: DataFrame, dead_end_edges: int = 1) -> DataFrame:
 
 
 def unbranched_links(edges: DataFrame) -> DataFrame:
-    """Edges that leave a node no other edge leaves and enter one no other enters."""
-    pairs = edges.groupBy("src", "dst").agg(
-        F.min_by(F.struct(*[c for c in edges.columns if c not in ("src", "dst")]), "strand").alias("_e")
-    ).select("src", "dst", "_e.*")
+    """(_u, _v, overhang): edges that leave a node no other edge leaves and enter one no other enters.
+
+    Edges from a read to itself are no links.
+    """
+    pairs = _with_nodes(edges).groupBy("_u", "_v").agg(F.min("overhang").alias("overhang"))
     degrees = _degrees(pairs)
-    single_out = degrees.filter("n_out = 1").select(F.col("node").alias("src"))
-    single_in = degrees.filter("n_in = 1").select(F.col("node").alias("dst"))
-    return pairs.filter(F.col("src") != F.col("dst")).join(single_out, "src", "left_semi").join(single_in, "dst", "left_semi")
+    single_out = degrees.filter("n_out = 1").select(F.col("node").alias("_u"))
+    single_in = degrees.filter("n_in = 1").select(F.col("node").alias("_v"))
+    between = pairs.filter(F.col("_u.read") != F.col("_v.read"))
+    return between.join(single_out, "_u", "left_semi").join(single_in, "_v", "left_semi")
 
 
 def tour(edges: DataFrame, circular: bool = True) -> DataFrame:
     """(component, path_id, pos, read_id, strand, overhang): maximal unbranched chains.
 
-    path_id is the first read of the path. ``strand`` is relative to it, and
-    ``overhang`` what the read adds to the one before (null at pos 0). Pure
-    cycles start at their lowest read when ``circular``, and are left out
+    ``edges`` hold each edge and its mirror. Of a chain and its mirror, the one that
+    starts on the forward strand is kept; if both or neither do, the one with the lower
+    first read. path_id is the first read of the path, ``strand`` the orientation a read
+    is walked in, and ``overhang`` what it adds to the one before (null at pos 0). Pure
+    cycles start at their lowest read, forward, when ``circular``, and are left out
     otherwise. Every read with an edge is on one path.
     """
     links = cut_lineage(unbranched_links(edges))
-    placed = _rank_chains(links, edges)
+    nodes = _with_nodes(edges).select(F.explode(F.array("_u", "_v")).alias("node")).distinct()
+    placed = _rank_chains(links, nodes)
     cyclic = placed.filter(~F.col("done"))
-    chains = placed.filter("done").drop("low")
-    if circular and not cyclic.isEmpty():
-        members = cyclic.select(F.col("node").alias("dst"), F.col("low").alias("_low"))
-        opened = cut_lineage(links.join(members, "dst").filter(F.col("dst") != F.col("_low")).drop("_low"))
-        reopened = _rank_chains(opened, opened)
-        chains = chains.unionByName(reopened.drop("low"))
-    entered = links.select(
-        F.col("dst").alias("node"), F.col("src").alias("_src"), "overhang"
+    # The mirror of a chain starts at the turned node of its end; every node asks its own turned one.
+    mirror = placed.filter("done").select(
+        F.struct(F.col("node.read").alias("read"), _turned(F.col("node.strand")).alias("strand")).alias("node"),
+        F.col("anchor").alias("_other"),
     )
-    component = edges.select(F.explode(F.array("src", "dst")).alias("node"), "component").distinct()
-    return (
-        chains.join(entered, "node", "left").join(component, "node")
-        .select(
-            "component",
-            F.col("anchor").alias("path_id"),
-            F.col("steps").alias("pos"),
-            F.col("node").alias("read_id"),
-            F.when(F.col("flips") % 2 == 1, F.lit("-")).otherwise(F.lit("+")).alias("strand"),
-            F.when(F.col("steps") > 0, F.col("overhang")).alias("overhang"),
-        )
+    ranked = lambda head: F.struct(F.col(f"{head}.strand"), F.col(f"{head}.read"))
+    chains = placed.filter("done").join(mirror, "node").filter(ranked("anchor") < ranked("_other")).drop("_other", "low")
+    if circular and not cyclic.isEmpty():
+        members = cyclic.filter("low.strand = '+'").select(F.col("node").alias("_v"), F.col("low").alias("_low"))
+        opened = cut_lineage(links.join(members, "_v").filter(F.col("_v") != F.col("_low")).drop("_low"))
+        ends = opened.select(F.explode(F.array("_u", "_v")).alias("node")).distinct()
+        chains = chains.unionByName(_rank_chains(opened, ends).drop("low"))
+    entered = links.select(F.col("_v").alias("node"), "overhang")
+    component = edges.select(F.explode(F.array("src", "dst")).alias("read_id"), "component").distinct()
+    walked = chains.join(entered, "node", "left").select(
+        F.col("anchor.read").alias("path_id"),
+        F.col("steps").alias("pos"),
+        F.col("node.read").alias("read_id"),
+        F.col("node.strand").alias("strand"),
+        F.when(F.col("steps") > 0, F.col("overhang")).alias("overhang"),
     )
+    return walked.join(component, "read_id").select("component", "path_id", "pos", "read_id", "strand", "overhang")
 
 
-def _rank_chains(links: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, anchor, steps, flips, done, low): each node's chain head and distance from it.
+def _rank_chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, anchor, steps, done, low): each node's chain head and distance from it.
 
     Pointer doubling: a node knows the node 2^i steps back, so i doublings settle
     all nodes within 2^i of their head. Nodes of cycles never settle; they learn
     the lowest node of their cycle. Only unsettled nodes are joined, and their
     anchors are all different, so no key is hot.
     """
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    back = links.select(F.col("dst").alias("node"), F.col("src").alias("_back"),
-                        (F.col("strand") == "-").cast("bigint").alias("_flip"))
+    back = links.select(F.col("_v").alias("node"), F.col("_u").alias("_back"))
     # A head is its own anchor, 0 steps away.
     current = cut_lineage(nodes.join(back, "node", "left").select(
         "node",
         F.coalesce("_back", "node").alias("anchor"),
         F.when(F.col("_back").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("steps"),
-        F.coalesce("_flip", F.lit(0)).cast("bigint").alias("flips"),
         F.col("_back").isNull().alias("done"),
-        F.least("node", "_back").alias("low"),
+        F.least("node", F.coalesce("_back", "node")).alias("low"),
     ))
     state = _unsettled(current)
     for _ in range(MAX_ROUNDS):
@@ -238,22 +261,21 @@ def _rank_chains(links: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _unsettled(current: DataFrame) -> tuple:
-    """How many nodes are not settled, and the sum of the lowest nodes they know."""
+    """How many nodes are not settled, and a sum over the lowest nodes they know."""
     inner = ~F.col("done")
-    low = F.sum(F.when(inner, F.col("low")).cast("decimal(38,0)"))
+    low = F.sum(F.when(inner, F.xxhash64("node", "low")).cast("decimal(38,0)"))
     return tuple(current.select(F.count_if(inner), low).first())
 
 
 def _double(current: DataFrame) -> DataFrame:
     at = current.select(
         F.col("node").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("steps").alias("_steps"),
-        F.col("flips").alias("_flips"), F.col("done").alias("_done"), F.col("low").alias("_low"),
+        F.col("done").alias("_done"), F.col("low").alias("_low"),
     )
     moved = current.filter(~F.col("done")).join(at, "anchor").select(
         "node",
         F.col("_anchor").alias("anchor"),
         (F.col("steps") + F.col("_steps")).alias("steps"),
-        (F.col("flips") + F.col("_flips")).alias("flips"),
         F.col("_done").alias("done"),
         F.least("low", "_low").alias("low"),
     )

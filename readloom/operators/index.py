@@ -10,20 +10,28 @@ from readloom.functions.sequence import base_counts, seq_length
 from readloom.operators.ordered import DEFAULT_WIDTH, Running, with_preceding
 
 
+INDEX_COLUMNS = ("id", "len", "na", "nc", "ng", "nt", "nn", "offset", "hash")
+
+
 def index_rows(reads: DataFrame, fold_case: bool = False) -> DataFrame:
-    """(id, len, na..nn, offset, hash); ``reads`` holds id, seq and offset."""
+    """(id, len, na..nn, offset, hash); ``reads`` holds id, seq and, if it is known, offset."""
     seq = F.col("seq")
+    known = ["offset"] if "offset" in reads.columns else []
     return reads.select(
-        "id", seq_length(seq).alias("len"), *base_counts(seq, fold_case), "offset", seq_hash(seq).alias("hash")
+        "id", seq_length(seq).alias("len"), *base_counts(seq, fold_case), *known, seq_hash(seq).alias("hash")
     )
 
 
-def build_index(reads: DataFrame, fold_case: bool = False) -> DataFrame:
+def build_index(reads: DataFrame, fold_case: bool = False, offsets: DataFrame | None = None) -> DataFrame:
     """The index in ascending order of length, then place in the file.
 
-    Only the narrow index rows are sorted; sequences stay out of the shuffle.
+    ``offsets`` (id, offset) is given where ``reads`` does not hold the places. Only the
+    narrow index rows are joined and sorted; sequences stay out of the shuffle.
     """
-    return index_rows(reads, fold_case).orderBy("len", "offset")
+    rows = index_rows(reads, fold_case)
+    if offsets is not None:
+        rows = rows.join(offsets.select("id", "offset"), "id")
+    return rows.select(*INDEX_COLUMNS).orderBy("len", "offset")
 
 
 def record_offsets(

@@ -171,8 +171,7 @@ def record_offsets(t: Tables) -> DataFrame:
 
 @_query
 def read_index(t: Tables) -> DataFrame:
-    placed = index.record_offsets(t.reads()).select("id", "offset")
-    return index.build_index(t.reads().join(placed, "id"))
+    return index.build_index(t.reads(), offsets=index.record_offsets(t.reads()))
 
 
 @_query

@@ -176,30 +176,36 @@ VIEWS: dict[str, str] = {
     "layout_reads": """
         SELECT read_id, substr(repeat(translate(md5(CAST(read_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 40), 1, len) AS seq FROM layout""",
     "layout_overlap": """
-        SELECT x.read_id AS a, y.read_id AS b, '+' AS strand, y.b - x.b AS ab, least(x.b + x.len, y.b + y.len) - x.b AS ae,
-               CAST(0 AS BIGINT) AS bb, least(x.b + x.len, y.b + y.len) - y.b AS be, x.len AS a_len, y.len AS b_len,
-               CAST(0 AS BIGINT) AS diffs, CAST(1 AS BIGINT) AS block
-        FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY b, read_id) AS r FROM layout) x
-        JOIN (SELECT *, row_number() OVER (PARTITION BY line ORDER BY b, read_id) AS r FROM layout) y
-        ON x.line = y.line AND y.r - x.r IN (1, 2) AND y.b < x.b + x.len""",
+        SELECT x.read_id AS a, y.read_id AS b, CASE WHEN x.read_id % 2 = y.read_id % 2 THEN '+' ELSE '-' END AS strand,
+               CASE WHEN x.read_id % 2 = 1 THEN x.b + x.len - least(x.b + x.len, y.b + y.len) ELSE y.b - x.b END AS ab,
+               CASE WHEN x.read_id % 2 = 1 THEN x.b + x.len - y.b ELSE least(x.b + x.len, y.b + y.len) - x.b END AS ae,
+               CASE WHEN x.read_id % 2 = 1 THEN y.b + y.len - least(x.b + x.len, y.b + y.len) ELSE 0 END AS bb,
+               CASE WHEN x.read_id % 2 = 1 THEN y.len ELSE least(x.b + x.len, y.b + y.len) - y.b END AS be,
+               x.len AS a_len, y.len AS b_len, CAST(0 AS BIGINT) AS diffs, CAST(1 AS BIGINT) AS block
+        FROM layout x JOIN layout y ON x.line = y.line AND y.b < x.b + x.len AND (y.b > x.b OR (y.b = x.b AND y.read_id > x.read_id))""",
     "contained": """
         SELECT DISTINCT read_id FROM (SELECT CASE
             WHEN ab <= 0 AND ae >= a_len AND bb <= 0 AND be >= b_len THEN greatest(a, b)
             WHEN bb <= 0 AND be >= b_len THEN b WHEN ab <= 0 AND ae >= a_len THEN a END AS read_id FROM layout_overlap WHERE a <> b)
         WHERE read_id IS NOT NULL""",
+    "ends": """
+        SELECT *, ae >= a_len AND bb <= 0 AS a_first, CASE strand WHEN '+' THEN '-' ELSE '+' END AS other
+        FROM layout_overlap WHERE a <> b AND ((ae >= a_len AND bb <= 0) OR (ab <= 0 AND be >= b_len))
+          AND a NOT IN (SELECT read_id FROM contained) AND b NOT IN (SELECT read_id FROM contained)""",
     "dovetails": """
-        SELECT src, dst, strand, min(overhang) AS overhang FROM (
-            SELECT CASE WHEN ae >= a_len AND bb <= 0 THEN a ELSE b END AS src, CASE WHEN ae >= a_len AND bb <= 0 THEN b ELSE a END AS dst, strand,
-                   CASE WHEN ae >= a_len AND bb <= 0 THEN b_len - be ELSE a_len - ae END AS overhang
-            FROM layout_overlap WHERE a <> b AND ((ae >= a_len AND bb <= 0) OR (ab <= 0 AND be >= b_len))
-              AND a NOT IN (SELECT read_id FROM contained) AND b NOT IN (SELECT read_id FROM contained)) GROUP BY ALL""",
+        SELECT *, src || src_strand AS u, dst || dst_strand AS v FROM (SELECT src, src_strand, dst, dst_strand, min(overhang) AS overhang FROM (
+            SELECT a AS src, '+' AS src_strand, b AS dst, strand AS dst_strand, b_len - be AS overhang FROM ends WHERE a_first
+            UNION ALL SELECT b, other, a, '-', ab FROM ends WHERE a_first
+            UNION ALL SELECT b, strand, a, '+', a_len - ae FROM ends WHERE NOT a_first
+            UNION ALL SELECT a, '-', b, other, bb FROM ends WHERE NOT a_first) GROUP BY ALL)""",
     "edges": """
-        SELECT * FROM (SELECT d.*, count(*) OVER (PARTITION BY src) AS so, count(*) OVER (PARTITION BY dst) AS di,
-                       (SELECT count(*) FROM dovetails x WHERE x.dst = d.src) AS si, (SELECT count(*) FROM dovetails x WHERE x.src = d.dst) AS dou FROM dovetails d)
-        WHERE NOT (dou = 0 AND di = 1 AND so > 1) AND NOT (si = 0 AND so = 1 AND di > 1)""",
+        SELECT d.* FROM (SELECT *, count(*) OVER (PARTITION BY u) AS so, count(*) OVER (PARTITION BY v) AS di FROM dovetails) d
+        LEFT JOIN (SELECT v AS n, count(*) AS si FROM dovetails GROUP BY v) i ON i.n = d.u
+        LEFT JOIN (SELECT u AS n, count(*) AS dou FROM dovetails GROUP BY u) o ON o.n = d.v
+        WHERE NOT (dou IS NULL AND di = 1 AND so > 1) AND NOT (si IS NULL AND so = 1 AND di > 1)""",
 }
 
-GRAPH = ["layout", "layout_overlap", "contained", "dovetails", "edges"]
+GRAPH = ["layout", "layout_overlap", "contained", "ends", "dovetails", "edges"]
 
 # Reachability and chains need recursion; they are appended to the graph views.
 COMPONENT = """
@@ -207,11 +213,15 @@ COMPONENT = """
         UNION SELECT r.node, e.v FROM reach r JOIN (SELECT src AS u, dst AS v FROM edges UNION ALL SELECT dst, src FROM edges) e ON r.other = e.u),
     component AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
 CHAINS = """
-    links AS (SELECT src, dst, overhang FROM (SELECT src, dst, overhang, count(*) OVER (PARTITION BY src) AS so, count(*) OVER (PARTITION BY dst) AS di FROM edges)
-              WHERE so = 1 AND di = 1),
-    chain(path_id, read_id, pos, overhang) AS (
-        SELECT n, n, 0, CAST(NULL AS BIGINT) FROM (SELECT src AS n FROM edges UNION SELECT dst FROM edges) WHERE n NOT IN (SELECT dst FROM links)
-        UNION ALL SELECT c.path_id, l.dst, c.pos + 1, l.overhang FROM chain c JOIN links l ON c.read_id = l.src)"""
+    nodes AS (SELECT src AS r, src_strand AS s, u AS n FROM edges UNION SELECT dst, dst_strand, v FROM edges),
+    links AS (SELECT u, v, dst, dst_strand, overhang FROM (SELECT *, count(*) OVER (PARTITION BY u) AS lo, count(*) OVER (PARTITION BY v) AS li FROM edges)
+              WHERE lo = 1 AND li = 1),
+    walk(head, head_strand, n, read_id, strand, pos, overhang) AS (
+        SELECT r, s, n, r, s, 0, CAST(NULL AS BIGINT) FROM nodes WHERE n NOT IN (SELECT v FROM links)
+        UNION ALL SELECT c.head, c.head_strand, l.v, l.dst, l.dst_strand, c.pos + 1, l.overhang FROM walk c JOIN links l ON c.n = l.u),
+    tails AS (SELECT head, head_strand, arg_max(read_id, pos) AS last, CASE arg_max(strand, pos) WHEN '+' THEN '-' ELSE '+' END AS last_strand FROM walk GROUP BY ALL),
+    chain AS (SELECT w.head AS path_id, read_id, strand, pos, overhang FROM walk w JOIN tails t ON w.head = t.head AND w.head_strand = t.head_strand
+              WHERE t.head_strand < last_strand OR (t.head_strand = last_strand AND t.head < last))"""
 
 
 def _with(views: list[str], body: str, extra: str = "", **params: object) -> str:
@@ -415,13 +425,14 @@ def all_sql() -> dict[str, str]:
         FROM repeats r JOIN part_trim p ON r.read_id = p.read_id WHERE p.e - p.b >= 3000 AND least(r.e, p.e) > greatest(r.b, p.b)""")
 
     q["contained_reads"] = _with(GRAPH[:3], "SELECT * FROM contained")
-    q["overlap_graph"] = _with(GRAPH, "SELECT component, src, dst, strand, overhang FROM edges JOIN component ON src = node", COMPONENT)
-    toured = """SELECT component, path_id, pos, read_id, '+' AS strand, overhang FROM chain JOIN component ON node = path_id"""
+    q["overlap_graph"] = _with(GRAPH, "SELECT component, src, src_strand, dst, dst_strand, overhang FROM edges JOIN component ON src = node", COMPONENT)
+    toured = """SELECT component, path_id, pos, read_id, strand, overhang FROM chain JOIN component ON node = path_id"""
     q["tour"] = _with(GRAPH, toured, f"{COMPONENT}, {CHAINS}")
     q["path_sequences"] = _with([*GRAPH, "layout_reads"], f"""
         SELECT component, path_id, off // 500 AS segment, count(*) AS n_reads, string_agg(piece, '' ORDER BY pos) AS seq FROM (
             SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY path_id ORDER BY pos) AS BIGINT) - length(piece) AS off FROM (
-                SELECT t.*, CASE WHEN pos = 0 THEN seq ELSE right(seq, overhang) END AS piece FROM ({toured}) t JOIN layout_reads r ON t.read_id = r.read_id))
+                SELECT t.*, CASE WHEN pos = 0 THEN turned ELSE right(turned, overhang) END AS piece FROM ({toured}) t JOIN (
+                    SELECT *, reverse(translate(seq, 'ACGT', 'TGCA')) AS back FROM layout_reads) r ON t.read_id = r.read_id, LATERAL (SELECT CASE t.strand WHEN '-' THEN back ELSE seq END AS turned)))
         GROUP BY ALL""", f"{COMPONENT}, {CHAINS}")
 
     q["streamed_status"] = _with(_LOGS[:1], """

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from readloom import schemas
 from readloom.functions.sequence import dna_only, seq_length
 from readloom.operators.blocks import block_pairs
-from readloom.operators.ordered import Running, choose_width, with_preceding
 from readloom.sources.tables import spread
 
 
@@ -228,25 +227,30 @@ class Tables:
         return self.layout().select("read_id", F.substring(F.repeat(letters, 40), F.lit(1), F.col("len")).alias("seq"))
 
     def layout_overlap(self) -> DataFrame:
-        """Overlaps of each order with the two before it on its customer's line."""
-        order = ["b", "read_id"]
-        # Dates are few, so a crowded line is cut by the day.
-        width = choose_width(self.layout(), ["line"]) and 1
-        here = F.struct("read_id", "b", "len")
-        once = with_preceding(self.layout(), [Running("_one", "last", here)], ["line"], order, width)
-        twice = with_preceding(once, [Running("_two", "last", F.col("_one"))], ["line"], order, width)
-        pairs = twice.select(
-            F.explode(F.array("_one", "_two")).alias("_a"), F.col("read_id").alias("b"),
-            F.col("b").alias("_start"), F.col("len").alias("b_len"),
-        )
-        a_end = F.col("_a.b") + F.col("_a.len")
-        end = F.least(a_end, F.col("_start") + F.col("b_len"))
+        """All overlaps of two orders on their customer's line; odd orders lie there turned round.
+
+        An order is named in each stretch of the line it touches, and meets the
+        orders that start there, so a pair meets once.
+        """
+        stretch = lambda day: F.floor(day / 64)
+        start, end = F.col("b"), F.col("b") + F.col("len")
+        place = F.struct("b", "read_id", "len", (F.col("read_id") % 2 == 1).alias("back"))
+        left = self.layout().select("line", F.explode(F.sequence(stretch(start), stretch(end - 1))).alias("_at"), place.alias("x"))
+        right = self.layout().select("line", stretch(start).alias("_at"), place.alias("y"))
+        x_end, y_end = F.col("x.b") + F.col("x.len"), F.col("y.b") + F.col("y.len")
+        later = F.struct("y.b", "y.read_id") > F.struct("x.b", "x.read_id")
+        met = left.join(right, ["line", "_at"]).filter(later & (F.col("y.b") < x_end))
+        end = F.least(x_end, y_end)
+        back = lambda turned, straight: F.when(F.col("x.back"), turned).otherwise(straight)
         zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-        return pairs.filter(F.col("_start") < a_end).select(
-            F.col("_a.read_id").alias("a"), "b", F.lit("+").alias("strand"),
-            (F.col("_start") - F.col("_a.b")).alias("ab"), (end - F.col("_a.b")).alias("ae"),
-            zero.alias("bb"), (end - F.col("_start")).alias("be"),
-            F.col("_a.len").alias("a_len"), "b_len", zero.alias("diffs"), one.alias("block"),
+        return met.select(
+            F.col("x.read_id").alias("a"), F.col("y.read_id").alias("b"),
+            F.when(F.col("x.back") == F.col("y.back"), "+").otherwise("-").alias("strand"),
+            back(x_end - end, F.col("y.b") - F.col("x.b")).alias("ab"),
+            back(x_end - F.col("y.b"), end - F.col("x.b")).alias("ae"),
+            back(y_end - end, zero).alias("bb"),
+            back(F.col("y.len"), end - F.col("y.b")).alias("be"),
+            F.col("x.len").alias("a_len"), F.col("y.len").alias("b_len"), zero.alias("diffs"), one.alias("block"),
         )
 
 

@@ -39,7 +39,7 @@ OVERLAP = _struct(
 
 TRACK = _struct(read_id=_L, kind=_S, b=_L, e=_L)
 
-EDGE = _struct(src=_L, dst=_L, strand=_S, overhang=_L)
+EDGE = _struct(src=_L, src_strand=_S, dst=_L, dst_strand=_S, overhang=_L)
 
 PATH = _struct(component=_L, path_id=_L, pos=_L, read_id=_L, strand=_S, overhang=_L)
 

@@ -8,8 +8,17 @@ from readloom.operators import graph as G
 from tests.conftest import rows
 
 
-def edges(spark, pairs, strand="+"):
-    return spark.createDataFrame([(a, b, strand, 5) for a, b in pairs], schemas.EDGE)
+TURNED = {"+": "-", "-": "+"}
+
+
+def oriented(spark, data):
+    """Edges between reads in orientations, each with its mirror."""
+    mirrors = [(b, TURNED[t], a, TURNED[s], n) for a, s, b, t, n in data]
+    return spark.createDataFrame(data + mirrors, schemas.EDGE)
+
+
+def edges(spark, pairs):
+    return oriented(spark, [(a, "+", b, "+", 5) for a, b in pairs])
 
 
 def test_components(spark):
@@ -50,20 +59,28 @@ def test_chain_branch_and_cycles(spark):
     assert toured(spark, chain + branch + cycles) == {**expected, 200: [200, 201, 202], 300: [300, 301]}
 
 
-def test_strand_is_relative_to_the_first_read(spark):
-    data = [(1, 2, "-", 3), (2, 3, "+", 3), (3, 4, "-", 3)]
-    graph = spark.createDataFrame(data, schemas.EDGE).withColumn("component", F.lit(1).cast("bigint"))
-    assert [r.strand for r in G.tour(graph).orderBy("pos").collect()] == ["+", "-", "-", "+"]
+def test_strands_follow_the_path(spark):
+    data = [(1, "+", 2, "-", 3), (2, "-", 3, "-", 3), (3, "-", 4, "+", 3)]
+    graph = oriented(spark, data).withColumn("component", F.lit(1).cast("bigint"))
+    assert [(r.read_id, r.strand) for r in G.tour(graph).orderBy("pos").collect()] == [(1, "+"), (2, "-"), (3, "-"), (4, "+")]
 
 
-def layout(spark, spans):
-    """Overlaps of all pairs of intervals on a line."""
+def test_one_of_two_mirrored_cycles(spark):
+    data = [(3, "+", 1, "-", 3), (1, "-", 2, "+", 4), (2, "+", 3, "+", 5)]
+    graph = oriented(spark, data).withColumn("component", F.lit(1).cast("bigint"))
+    assert [(r.read_id, r.strand) for r in G.tour(graph).orderBy("pos").collect()] == [(1, "+"), (3, "-"), (2, "-")]
+
+
+def layout(spark, spans, back=()):
+    """Overlaps of all pairs of intervals on a line; the reads in ``back`` lie there turned round."""
     data = []
     for a, (s1, e1) in spans.items():
         for b, (s2, e2) in spans.items():
             lo, hi = max(s1, s2), min(e1, e2)
             if a < b and hi > lo:
-                data.append((a, b, "+", lo - s1, hi - s1, lo - s2, hi - s2, e1 - s1, e2 - s2, 0, 1))
+                strand = "+" if (a in back) == (b in back) else "-"
+                place = (e1 - hi, e1 - lo, e2 - hi, e2 - lo) if a in back else (lo - s1, hi - s1, lo - s2, hi - s2)
+                data.append((a, b, strand, *place, e1 - s1, e2 - s2, 0, 1))
     return spark.createDataFrame(data, schemas.OVERLAP)
 
 
@@ -71,8 +88,10 @@ def test_graph_of_a_layout(spark):
     spans = {1: (0, 100), 2: (60, 160), 3: (70, 90), 4: (120, 220), 5: (210, 300), 6: (120, 220)}
     overlap = layout(spark, spans)
     assert rows(G.contained_reads(overlap)) == [(3,), (6,)]
-    got = rows(G.overlap_graph(overlap, dead_end_edges=0), "component", "src", "dst", "overhang")
+    got = rows(G.overlap_graph(overlap, dead_end_edges=0).filter("src_strand = '+'"), "component", "src", "dst", "overhang")
     assert got == [(1, 1, 2, 60), (1, 2, 4, 60), (1, 4, 5, 80)]
+    mirrors = rows(G.overlap_graph(overlap, dead_end_edges=0).filter("src_strand = '-'"), "src", "dst", "dst_strand", "overhang")
+    assert mirrors == [(2, 1, "-", 60), (4, 2, "-", 60), (5, 4, "-", 90)]
 
 
 def test_tips(spark):
@@ -83,15 +102,17 @@ def test_tips(spark):
         G.overlap_graph(layout(spark, {1: (0, 9), 2: (5, 14)}), dead_end_edges=2)
 
 
-@pytest.mark.parametrize("segment", [1 << 26, 100])
-def test_sequences_rebuild_the_line(spark, segment):
+@pytest.mark.parametrize("segment, back", [(1 << 26, ()), (100, ()), (1 << 26, (1, 2, 5, 8)), (100, (0, 3, 4, 9))])
+def test_sequences_rebuild_the_line(spark, segment, back):
     rng = random.Random(6)
     genome = "".join(rng.choices("ACGT", k=500))
     spans = {i: (i * 40, i * 40 + 100) for i in range(10)}
-    nearest = layout(spark, spans).filter("b = a + 1")
-    reads = spark.createDataFrame([(i, genome[s:e]) for i, (s, e) in spans.items()], "read_id bigint, seq string")
+    nearest = layout(spark, spans, back).filter("b = a + 1")
+    turned = lambda seq: seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = spark.createDataFrame([(i, turned(genome[s:e]) if i in back else genome[s:e]) for i, (s, e) in spans.items()], "read_id bigint, seq string")
     paths = G.path_sequences(G.tour(G.overlap_graph(nearest)), reads, segment).orderBy("segment").collect()
-    assert "".join(p.seq for p in paths) == genome[: 9 * 40 + 100]
+    line = genome[: 9 * 40 + 100]
+    assert "".join(p.seq for p in paths) in (line, turned(line))
     assert sum(p.n_reads for p in paths) == 10
     assert len(paths) == (1 if segment > 500 else 5)
 
@@ -112,5 +133,12 @@ def test_a_missing_read_is_an_error(spark):
 
 
 def test_parallel_edges_are_one_neighbour(spark):
-    edges = spark.createDataFrame([(1, 2, "+", 5), (1, 2, "-", 6)], schemas.EDGE)
-    assert G.drop_tips(edges).count() == 2
+    graph = oriented(spark, [(1, "+", 2, "+", 5), (1, "+", 2, "+", 6)])
+    assert G.drop_tips(graph).count() == 4
+
+
+def test_text_ids_on_both_strands(spark):
+    overlap = layout(spark, {1: (0, 100), 2: (60, 160), 3: (120, 220)}, back=(2,)).filter("b = a + 1")
+    named = overlap.withColumns({c: F.concat(F.lit("r"), F.col(c).cast("string")) for c in ("a", "b")})
+    path = G.tour(G.overlap_graph(named)).orderBy("pos").collect()
+    assert [(r.path_id, r.read_id, r.strand) for r in path] == [("r1", "r1", "+"), ("r1", "r2", "-"), ("r1", "r3", "+")]

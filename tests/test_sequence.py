@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from readloom.functions import murmur
 from readloom.functions.murmur import murmur3_32, seq_hash
 from readloom.functions.sequence import base_counts, reverse_complement, seq_length
+from readloom.operators.index import build_index, record_offsets
 
 # Published test vectors, seed 0.
 VECTORS = {
@@ -43,3 +44,18 @@ def test_lengths_counts_and_complement(spark):
     assert tuple(df.select(*base_counts(seq)).first()) == (1, 1, 1, 1, 1)
     assert tuple(df.select(*base_counts(seq, fold_case=True)).first()) == (2, 2, 2, 2, 2)
     assert df.select(reverse_complement(F.lit("AACGN"))).first()[0] == "NCGTT"
+
+
+def test_index_shuffles_no_sequence(spark, tmp_path):
+    spark.createDataFrame([(1, "ACGT"), (2, "AC")], "id bigint, seq string").write.parquet(str(tmp_path / "reads"))
+    reads = spark.read.parquet(str(tmp_path / "reads"))
+    built = build_index(reads, offsets=record_offsets(reads))
+    assert [(r.id, r.len, r.offset) for r in built.collect()] == [(2, 2, 8), (1, 4, 0)]
+    todo, shuffled = [built._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() in ("Join", "Sort", "Window", "Aggregate"):
+            shuffled += [child.output().mkString(",") for child in below]
+        todo += below
+    assert len(shuffled) >= 3 and not any("seq#" in columns for columns in shuffled)
