@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.sequence import reverse_complement
 from readloom.operators.ordered import choose_width, with_running_sum
-from readloom.session import cut_lineage
+from readloom.session import cut_lineage, drop_table, scratch_path
 
 MAX_ROUNDS = 64
 SEGMENT_BASES = 1 << 26
@@ -30,15 +30,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every node points at its lowest neighbour, pointers are followed to their
     roots, and the graph is contracted to the roots. At least half of the nodes
-    that still have an edge vanish in two rounds.
+    that still have an edge vanish in two rounds, so MAX_ROUNDS settle 2^32 nodes
+    for certain; more rounds than that raise an error. The tables of a round are
+    dropped once the next one's are written.
     """
+    spark = edges.sparkSession
     both = edges.select(F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")),
                                           F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))).alias("_e"))
-    links = cut_lineage(both.select("_e.u", "_e.v").distinct())
-    labels: DataFrame | None = None
+    path = scratch_path(spark)
+    links = cut_lineage(both.select("_e.u", "_e.v").distinct(), path)
+    labels, spent = None, [path]
     for _ in range(MAX_ROUNDS):
         parents = links.groupBy("u").agg(F.least("u", F.min("v")).alias("p")).withColumnRenamed("u", "node")
-        roots = _follow(parents)
+        roots, path = _follow(parents)
+        kept = [path]
         if labels is None:
             labels = roots.withColumnRenamed("p", "component")
         else:
@@ -48,35 +53,46 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         of_u = roots.select(F.col("node").alias("u"), F.col("p").alias("_ru"))
         of_v = roots.select(F.col("node").alias("v"), F.col("p").alias("_rv"))
+        path = scratch_path(spark)
         links = cut_lineage(
             links.join(of_u, "u").join(of_v, "v")
             .filter(F.col("_ru") != F.col("_rv"))
             .select(F.col("_ru").alias("u"), F.col("_rv").alias("v"))
-            .distinct()
+            .distinct(),
+            path,
         )
         if links.isEmpty():
             return labels
-        labels = cut_lineage(labels)
+        spent += kept
+        kept = [path, scratch_path(spark)]
+        labels = cut_lineage(labels, kept[1])
+        for table in spent:
+            drop_table(spark, table)
+        spent = kept
     raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
 
 
-def _follow(parents: DataFrame) -> DataFrame:
-    """(node, p) with p the root of each node's tree; roots point at themselves."""
-    current = cut_lineage(parents)
+def _follow(parents: DataFrame) -> tuple[DataFrame, str]:
+    """(node, p) with p the root of each node's tree, and the table's path; roots point at themselves.
+
+    A node that knows its root is settled and is not joined again.
+    """
+    spark = parents.sparkSession
+    path = scratch_path(spark)
+    current = cut_lineage(parents.withColumn("done", F.col("node") == F.col("p")), path)
     for _ in range(MAX_ROUNDS):
-        moved = cut_lineage(_jump(_jump(current).drop("moved")))
-        current = moved.drop("moved")
-        # If the last jump moved nothing, every parent is its own parent.
-        if moved.filter("moved").isEmpty():
-            return current
+        if current.filter(~F.col("done")).isEmpty():
+            return current.select("node", "p"), path
+        old, path = path, scratch_path(spark)
+        current = cut_lineage(_jump(_jump(current)), path)
+        drop_table(spark, old)
     raise RuntimeError(f"pointers not settled after {MAX_ROUNDS} rounds")
 
 
 def _jump(pointers: DataFrame) -> DataFrame:
-    above = pointers.select(F.col("node").alias("p"), F.col("p").alias("_pp"))
-    return pointers.join(above, "p").select(
-        "node", F.col("_pp").alias("p"), (F.col("_pp") != F.col("p")).alias("moved")
-    )
+    above = pointers.select(F.col("node").alias("p"), F.col("p").alias("_pp"), F.col("done").alias("_done"))
+    moved = pointers.filter(~F.col("done")).join(above, "p")
+    return pointers.filter("done").unionByName(moved.select("node", F.col("_pp").alias("p"), F.col("_done").alias("done")))
 
 
 # --- edges --------------------------------------------------------------------
@@ -239,18 +255,22 @@ def _rank_chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     back = links.select(F.col("_v").alias("node"), F.col("_u").alias("_back"))
     # A head is its own anchor, 0 steps away.
+    spark = links.sparkSession
+    path = scratch_path(spark)
     current = cut_lineage(nodes.join(back, "node", "left").select(
         "node",
         F.coalesce("_back", "node").alias("anchor"),
         F.when(F.col("_back").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("steps"),
         F.col("_back").isNull().alias("done"),
         F.least("node", F.coalesce("_back", "node")).alias("low"),
-    ))
+    ), path)
     state = _unsettled(current)
     for _ in range(MAX_ROUNDS):
         if state[0] == 0:
             return current
-        current = cut_lineage(_double(_double(current)))
+        old, path = path, scratch_path(spark)
+        current = cut_lineage(_double(_double(current)), path)
+        drop_table(spark, old)
         following = _unsettled(current)
         # Chains settle nodes in every round, and cycles lower some node's lowest
         # until all know it; so a round that changes neither was the last.

@@ -25,6 +25,7 @@ def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
     pairs += [(i, i + 1) for i in range(1000, 1200)] + [(2000, 2001 + i) for i in range(100)]
+    pairs += [(3000 + i, 9999) for i in range(100)]
     parent = {}
 
     def find(x):
