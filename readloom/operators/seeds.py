@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.operators import sketch
 from readloom.operators.intervals import merge_intervals, overlap_length
 from readloom.operators.ordered import choose_width
-from readloom.operators.sketch import kmers
+from readloom.session import cut_lineage
 
 HOT_KMER = 100_000
 MAX_HOT = 1_000_000
@@ -17,35 +18,39 @@ def seed_positions(reads: DataFrame, k: int, masks: DataFrame | None = None) ->
     """(kmer, read_id, pos): every k-mer with its 0-based place.
 
     Those that touch an interval of the track ``masks`` are left out. A read
-    meets its masks before it is taken apart.
+    meets its masks before it is taken apart. It is taken apart a piece at a
+    time, so the k-mers of a long read never lie in one row.
     """
+    def apart(rows: DataFrame, *kept: str) -> DataFrame:
+        cut = rows.select("read_id", *kept, F.posexplode(sketch.pieces(F.col("seq"), k)).alias("_piece", "_text"))
+        found = cut.select("read_id", *kept, "_piece", F.posexplode(sketch.kmers(F.col("_text"), k)).alias("_in", "kmer"))
+        return found.select("read_id", *kept, (F.col("_piece") * sketch.PIECE + F.col("_in")).alias("pos"), "kmer")
+
     if masks is None:
-        return reads.select("read_id", F.posexplode(kmers(F.col("seq"), k)).alias("pos", "kmer"))
+        return apart(reads)
     per_read = merge_intervals(masks, ["read_id"]).groupBy("read_id")
     lists = per_read.agg(F.collect_list(F.struct("b", "e")).alias("_masks"))
-    placed = reads.select("read_id", "seq").join(lists, "read_id", "left").select(
-        "read_id", "_masks", F.posexplode(kmers(F.col("seq"), k)).alias("pos", "kmer")
-    )
+    placed = apart(reads.select("read_id", "seq").join(lists, "read_id", "left"), "_masks")
     touched = F.exists(
         "_masks", lambda m: overlap_length(F.col("pos"), F.col("pos") + k, m["b"], m["e"]) > 0
     )
     return placed.filter(~F.coalesce(touched, F.lit(False))).select("read_id", "pos", "kmer")
 
 
-def without_hot_kmers(seeds: DataFrame) -> DataFrame:
-    """Seeds whose k-mer is not so frequent that its rows alone would burden a task.
+def without_hot_kmers(seeds: DataFrame, max_freq: int) -> DataFrame:
+    """Seeds without the k-mers that are too frequent to be used and would burden a task.
 
-    Mostly there is none, and the seeds come back as they are. Else at most
-    MAX_HOT k-mers can exceed the bar, which grows with the number of seeds, so
-    their list is safe to broadcast and their rows go before any shuffle.
+    Mostly there is none, and the seeds come back as they are. Else those found more
+    than HOT_KMER and ``max_freq`` times are listed. A list of up to MAX_HOT is sent to the
+    seeds, so that their rows go before any shuffle; a longer one is joined.
     """
     if choose_width(seeds, ["kmer"]) is None:
         return seeds
     counts = seeds.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.select(F.sum("_n")).scalar()
-    bar = F.greatest(F.lit(HOT_KMER), F.expr(f"_total div {MAX_HOT}"))
-    hot = counts.withColumn("_total", total).filter(F.col("_n") > bar).select("kmer")
-    return seeds.join(F.broadcast(hot), "kmer", "left_anti")
+    hot = cut_lineage(counts.filter(F.col("_n") > max(HOT_KMER, max_freq)).select("kmer"))
+    if hot.count() <= MAX_HOT:
+        hot = F.broadcast(hot)
+    return seeds.join(hot, "kmer", "left_anti")
 
 
 def candidate_pairs(
@@ -63,15 +68,13 @@ def candidate_pairs(
     definition and bounds the pairs made per place. a < b, or a <= b with
     ``identity``; a seed never pairs with itself.
     """
-    if max_freq > HOT_KMER:
-        raise ValueError(f"max_freq is at most {HOT_KMER}")
     seeds = seed_positions(reads, k, masks)
     # One shuffle by k-mer serves both windows. A seed of a usable k-mer has all its
     # partners among the max_freq - 1 rows after it.
     places = Window.partitionBy("kmer").orderBy("read_id", "pos")
     found = F.count(F.lit(1)).over(places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     later = F.collect_list(F.struct("read_id", "pos")).over(places.rowsBetween(1, max(1, max_freq - 1)))
-    usable = without_hot_kmers(seeds).withColumn("_n", found).filter(F.col("_n").between(2, max_freq))
+    usable = without_hot_kmers(seeds, max_freq).withColumn("_n", found).filter(F.col("_n").between(2, max_freq))
     pairs = usable.withColumn("_later", later).select(
         F.col("read_id").alias("a"), "pos", F.explode("_later").alias("_b")
     ).select("a", F.col("_b.read_id").alias("b"), (F.col("pos") - F.col("_b.pos")).alias("_shift"))

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import reverse_complement, seq_length
+from readloom.session import cut_lineage
 
 PIECE = 1 << 16
 BROADCAST_ROWS = 2_000_000
+MATCH_ROWS = 500_000
 
 
 def kmers(text: Column, k: int) -> Column:
@@ -22,8 +24,8 @@ def kmers(text: Column, k: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
-def _pieces(text: Column, k: int) -> Column:
-    """The text in pieces, each prolonged by the k - 1 letters that follow it."""
+def pieces(text: Column, k: int) -> Column:
+    """The text in pieces of PIECE letters, each prolonged by the k - 1 letters that follow it."""
     shape = f"(?s)(.{{1,{PIECE}}})(?=(.{{0,{k - 1}}}))"
     return F.zip_with(
         F.regexp_extract_all(text, F.lit(shape), F.lit(1)),
@@ -52,7 +54,7 @@ def minhash_array(text: Column, k: int = 13, n: int = 100, canonical: bool = Fal
     # text holds the k-mers of one piece at a time.
     empty = F.array().cast("array<string>" if hash_name == "md5" else "array<bigint>")
     long_text = F.aggregate(
-        _pieces(text, k), empty, lambda kept, piece: smallest(F.concat(kept, sketch(piece)))
+        pieces(text, k), empty, lambda kept, piece: smallest(F.concat(kept, sketch(piece)))
     )
     return F.when(seq_length(text) <= PIECE, sketch(text)).otherwise(long_text)
 
@@ -73,23 +75,34 @@ def minhash_sketch(seqs: DataFrame, options: SketchOptions = SketchOptions()) ->
     return seqs.select("id", F.explode(options.of(F.col("seq"))).alias("h"))
 
 
-def best_match(
-    targets: DataFrame, references: DataFrame, options: SketchOptions = SketchOptions()
-) -> DataFrame:
-    """(target_id, reference_id, hits, asize, bsize, ji): the best reference per target.
+def sketch_references(references: DataFrame, options: SketchOptions = SketchOptions()) -> DataFrame:
+    """(reference_id, bsize, h): a table of the references' sketches, to be matched as often as needed.
 
-    Ties go to the lowest reference id; a target without a hit keeps hits 0 and
-    ji 0. References with equal sketches match alike, so only the lowest id of
-    them is tried.
+    References with equal sketches match alike, so only the lowest id of them is kept.
     """
-    refs = (
+    return cut_lineage(
         references.select("id", options.of(F.col("seq")).alias("_sketch"))
         .groupBy("_sketch")
         .agg(F.min("id").alias("reference_id"))
         .select("reference_id", F.size("_sketch").alias("bsize"), F.explode("_sketch").alias("h"))
     )
+
+
+def best_match(
+    targets: DataFrame, references: DataFrame, options: SketchOptions = SketchOptions()
+) -> DataFrame:
+    """(target_id, reference_id, hits, asize, bsize, ji): the best reference per target.
+
+    Ties go to the lowest reference id; a target without a hit keeps hits 0 and
+    ji 0.
+    """
+    return match_sketches(targets, sketch_references(references, options), options)
+
+
+def match_sketches(targets: DataFrame, refs: DataFrame, options: SketchOptions = SketchOptions()) -> DataFrame:
+    """``best_match`` against what ``sketch_references`` gave."""
     # Broadcast only a reference table known to be small; otherwise the join shuffles on h.
-    if references.count() * options.n <= BROADCAST_ROWS:
+    if refs.count() <= BROADCAST_ROWS:
         refs = F.broadcast(refs)
     sketched = targets.select(F.col("id").alias("target_id"), options.of(F.col("seq")).alias("_sketch"))
     hashes = sketched.select(
@@ -131,11 +144,34 @@ def screen(
     """Targets with their best match and ``is_contaminant`` (ji above the cutoff).
 
     Split it with ``contaminants`` and ``clean``. The cutoff has no default,
-    because one below 0 sends everything to the contaminants.
+    because one below 0 sends everything to the contaminants. A target that no
+    reference shares a hash with has hits 0, ji 0 and no asize.
+    """
+    return screen_sketched(targets, sketch_references(references, options), min_similarity, options)
+
+
+def screen_sketched(
+    targets: DataFrame,
+    refs: DataFrame,
+    min_similarity: float,
+    options: SketchOptions = SketchOptions(),
+) -> DataFrame:
+    """``screen`` against what ``sketch_references`` gave.
+
+    Matches with a hit are written as a narrow table. While it is small, it goes
+    to the targets, whose texts then stay where they are.
     """
-    matches = best_match(targets, references, options)
-    routed = matches.withColumn("is_contaminant", F.col("ji") > F.lit(min_similarity))
-    return targets.join(routed.withColumnRenamed("target_id", "id"), "id")
+    found = cut_lineage(match_sketches(targets, refs, options).filter("hits > 0"))
+    if found.count() <= MATCH_ROWS:
+        found = F.broadcast(found)
+    joined = targets.join(found.withColumnRenamed("target_id", "id"), "id", "left")
+    zero = F.lit(0).cast("bigint")
+    return joined.withColumns({
+        "hits": F.coalesce("hits", zero),
+        "bsize": F.coalesce("bsize", zero),
+        "ji": F.coalesce("ji", F.lit(0.0)),
+        "is_contaminant": F.coalesce("ji", F.lit(0.0)) > F.lit(min_similarity),
+    })
 
 
 def contaminants(screened: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from readloom.operators.select import longest_n
-from readloom.operators.sketch import SketchOptions, clean, contaminants, screen
+from readloom.operators.sketch import SketchOptions, clean, contaminants, screen_sketched, sketch_references
 from readloom.sources.tables import spread
 from readloom.streaming.versions import read_version, start_batches, write_version
 
@@ -35,10 +35,14 @@ def stream_screen(
     options: SketchOptions = SketchOptions(),
     once: bool = True,
 ) -> StreamingQuery:
-    """Screen arriving reads (id, seq) against a static reference set, into two sinks."""
+    """Screen arriving reads (id, seq) against a static reference set, into two sinks.
+
+    The references are sketched once, when the query starts.
+    """
+    refs = sketch_references(references, options)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        screened = screen(spread(batch, "id"), references, min_similarity, options).persist()
+        screened = screen_sketched(spread(batch, "id"), refs, min_similarity, options).persist()
         write_version(contaminants(screened), contaminant_dir, batch_id)
         write_version(clean(screened), clean_dir, batch_id)
         screened.unpersist()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from readloom import schemas
 from readloom.operators import overlaps as O
-from readloom.operators import seeds
+from readloom.operators import seeds, sketch
 from readloom.operators.intervals import longest_interval, merge_intervals
 from readloom.operators import ordered
 from tests.conftest import rows
@@ -160,7 +160,9 @@ def test_candidate_pairs(spark, identity, hot, monkeypatch):
     masks = {3: [(10, 60), (50, 80)]}
     if hot:  # every k-mer seen more than three times counts as very frequent
         monkeypatch.setattr(ordered, "TASK_ROWS", 3)
-        monkeypatch.setattr(seeds, "HOT_KMER", 8)
+        monkeypatch.setattr(seeds, "HOT_KMER", 5)
+    else:  # every read is taken apart in pieces
+        monkeypatch.setattr(sketch, "PIECE", 40)
     k, max_freq, band = 9, 8, 16
     places = {}
     for i, seq in reads.items():

@@ -58,7 +58,9 @@ def test_best_match(texts, limit, monkeypatch):
     assert rows(best_match(texts, refs, MD5)) == sorted(expected, key=repr)
 
 
-def test_screen(spark):
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_screen(spark, limit, monkeypatch):
+    monkeypatch.setattr(sketch, "MATCH_ROWS", limit)
     targets = spark.createDataFrame([(1, "ACGTACGGTT"), (2, "TTTTTTTTTT"), (3, "AC")], "id bigint, seq string")
     refs = spark.createDataFrame([(7, "ACGTACGGTT")], "id bigint, seq string")
     screened = screen(targets, refs, 0.5, MD5)
