@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readloom import schemas
-from readloom.operators.ordered import AUTO, DEFAULT_WIDTH, Width, choose_width, with_rank, with_running_sum
+from readloom.operators.ordered import AUTO, CHUNK, DEFAULT_WIDTH, Width, choose_width, with_rank, with_running_sum
 from readloom.operators.select import with_status
+from readloom.session import cut_lineage
 
 BLOCK_BASES = 200_000_000
 
@@ -22,11 +24,15 @@ def assign_blocks(
 ) -> DataFrame:
     """Add the 1-based ``block`` of each read: about ``block_bases`` bases per block.
 
-    A read belongs to the block its first base falls in, counting in ``order``.
+    A read belongs to the block its first base falls in, counting in ``order``, a
+    unique column. Whole numbers are cut into chunks of ``width``; a column of
+    another type, such as text ids, is dealt out by range, and the ranges are the chunks.
     """
+    if not isinstance(reads.schema[order].dataType, T.IntegralType):
+        reads = cut_lineage(reads.repartitionByRange(order).withColumn(CHUNK, F.spark_partition_id()))
     summed = with_running_sum(reads, "_cum", F.col("len"), [], [order], width)
     block = F.expr(f"(_cum - len) div {int(block_bases)} + 1")
-    return summed.withColumn("block", block).drop("_cum")
+    return summed.withColumn("block", block).drop("_cum", CHUNK)
 
 
 def block_pairs(blocks: DataFrame, use_masking: bool = True) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.murmur import seq_hash
 from readloom.functions.sequence import base_counts, seq_length
 from readloom.operators.ordered import DEFAULT_WIDTH, Running, with_preceding
+from readloom.sources.fasta import read_fasta_offsets
 
 
 INDEX_COLUMNS = ("id", "len", "na", "nc", "ng", "nt", "nn", "offset", "hash")
@@ -15,11 +18,18 @@ INDEX_COLUMNS = ("id", "len", "na", "nc", "ng", "nt", "nn", "offset", "hash")
 
 def index_rows(reads: DataFrame, fold_case: bool = False) -> DataFrame:
     """(id, len, na..nn, offset, hash); ``reads`` holds id, seq and, if it is known, offset."""
-    seq = F.col("seq")
     known = ["offset"] if "offset" in reads.columns else []
-    return reads.select(
-        "id", seq_length(seq).alias("len"), *base_counts(seq, fold_case), *known, seq_hash(seq).alias("hash")
-    )
+    return reads.select("id", *known, *_measures(F.col("seq"), fold_case))
+
+
+def _measures(seq: Column, fold_case: bool) -> list[Column]:
+    return [seq_length(seq).alias("len"), *base_counts(seq, fold_case), seq_hash(seq).alias("hash")]
+
+
+def index_fasta(spark: SparkSession, paths: str | Sequence[str], fold_case: bool = False) -> DataFrame:
+    """The index rows of FASTA files, with source_file; sequences are measured where they are read."""
+    placed = read_fasta_offsets(spark, paths, lambda seq: _measures(seq, fold_case))
+    return placed.select(*INDEX_COLUMNS, "source_file")
 
 
 def build_index(reads: DataFrame, fold_case: bool = False, offsets: DataFrame | None = None) -> DataFrame:

@@ -94,7 +94,12 @@ def fold_status(
     A row no line speaks of is RESERVED. Scheduler errors count as failures.
     """
     hit = attribute_failures(lines, order, chunk).select("rowid", F.lit(2).alias("rank"))
-    best = log_events(lines).unionByName(hit).groupBy("rowid").agg(F.max("rank").alias("rank"))
+    return named_status(requested, log_events(lines).unionByName(hit))
+
+
+def named_status(requested: DataFrame, events: DataFrame) -> DataFrame:
+    """(rowid, status) of every requested row by the highest rank among its ``events`` (rowid, rank)."""
+    best = events.groupBy("rowid").agg(F.max("rank").alias("rank"))
     name = F.element_at(F.array(*[F.lit(s) for s in RANKED]), F.coalesce("rank", F.lit(0)) + 1)
     return requested.select("rowid").join(best, "rowid", "left").select("rowid", name.alias("status"))
 

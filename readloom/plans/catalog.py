@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from readloom import schemas
 from readloom.functions.headers import parse_headers, rejected_headers
 from readloom.functions.murmur import seq_hash
-from readloom.functions.sequence import base_counts, seq_length
+from readloom.functions.sequence import base_counts, dna_only, seq_length
 from readloom.operators import (
     blocks,
     completeness,
@@ -29,8 +29,8 @@ from readloom.plans.views import Tables
 from readloom.session import scratch_path
 from readloom.sources import fasta, tables
 from readloom.streaming.reads import stream_longest, stream_screen
-from readloom.streaming.status import running_status, stream_failures
-from readloom.streaming.versions import read_all_versions, read_version, write_version
+from readloom.streaming.status import status_so_far, stream_failures, stream_status
+from readloom.streaming.versions import read_all_versions, read_version
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -174,6 +174,52 @@ def read_index(t: Tables) -> DataFrame:
     return index.build_index(t.reads(), offsets=index.record_offsets(t.reads()))
 
 
+def _fasta(t: Tables) -> str:
+    """The reads as FASTA files, where ids are text."""
+    path = scratch_path(t.spark)
+    fasta.write_fasta(t.reads(), path)
+    return path
+
+
+@_query
+def fasta_index(t: Tables) -> DataFrame:
+    return index.index_fasta(t.spark, _fasta(t)).drop("offset", "source_file")
+
+
+@_query
+def fasta_offsets(t: Tables) -> DataFrame:
+    """The places of all records in their files: each begins where the one before ends."""
+    end = F.octet_length("id") + F.col("len") + 3
+    placed = index.index_fasta(t.spark, _fasta(t)).select("source_file", "offset", "len", (F.col("offset") + end).alias("end"))
+    files = placed.groupBy("source_file").agg(
+        F.count("*").alias("n"), F.min("offset").alias("first"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("offset")).alias("size"),
+        F.count_distinct("offset").alias("places"), F.sum("len").alias("bases"),
+    )
+    gaps = F.count_if((F.col("first") != 0) | (F.col("last") != F.col("size")) | (F.col("places") != F.col("n")))
+    return files.agg(F.sum("n").alias("n_records"), F.sum("last").alias("n_bytes"), F.sum("bases").alias("n_bases"), gaps.alias("n_files_with_gaps"))
+
+
+@_query
+def fasta_longest_to_coverage(t: Tables) -> DataFrame:
+    lengths = fasta.read_fasta(t.spark, _fasta(t)).select("id", seq_length(F.col("seq")).alias("len"))
+    return select.longest_to_coverage(lengths, GENOME_SIZE, COVERAGE)
+
+
+@_query
+def fasta_blocks(t: Tables) -> DataFrame:
+    """Blocks in the order of text ids."""
+    lengths = fasta.read_fasta(t.spark, _fasta(t)).select("id", seq_length(F.col("seq")).alias("len"))
+    return blocks.assign_blocks(lengths, BLOCK_BASES)
+
+
+@_query
+def fasta_screen(t: Tables) -> DataFrame:
+    """Reads from files against the benchmark's nucleotide letters, both with text ids."""
+    letters = t.references().select(F.concat(F.lit("ref"), F.col("id").cast("string")).alias("id"), dna_only(F.col("seq")).alias("seq"))
+    screened = sketch.screen(fasta.read_fasta(t.spark, _fasta(t)), letters, CUTOFF, SKETCH)
+    return screened.select("id", "reference_id", "hits", "is_contaminant")
+
+
 @_query
 def longest_n(t: Tables) -> DataFrame:
     return select.longest_n(t.read_lengths(), LONGEST)
@@ -245,8 +291,9 @@ def contaminant_records(t: Tables) -> DataFrame:
 @_query
 def match_stats(t: Tables) -> DataFrame:
     path = scratch_path(t.spark)
-    tables.write_tsv(sketch.best_match(t.targets(), t.references(), SKETCH), path)
-    return t.spark.read.schema(schemas.MATCH).option("sep", "\t").option("header", True).csv(path)
+    matched = sketch.best_match(t.targets(), t.references(), SKETCH)
+    tables.write_tsv(matched, path)
+    return t.spark.read.schema(matched.schema).option("sep", "\t").option("header", True).csv(path)
 
 
 # --- telemetry -------------------------------------------------------------------
@@ -266,6 +313,11 @@ def malformed_batch_records(t: Tables) -> DataFrame:
     return telemetry.malformed_batch_records(t.accounting()).select("job_task", "job_raw")
 
 
+@_query
+def latest_records(t: Tables) -> DataFrame:
+    return telemetry.latest_records(t.repeated_jobs(), "place")
+
+
 @_query
 def attach_samples(t: Tables) -> DataFrame:
     attached = telemetry.attach_samples(_records(t), t.samples())
@@ -345,6 +397,11 @@ def status_summary(t: Tables) -> DataFrame:
     return status.status_summary(t.work())
 
 
+@_query
+def project_summary(t: Tables) -> DataFrame:
+    return status.project_summary(t.project(), t.blocks(), t.work())
+
+
 @_query
 def active_tokens(t: Tables) -> DataFrame:
     return status.active_tokens(t.work())
@@ -407,6 +464,12 @@ def candidate_pairs(t: Tables) -> DataFrame:
     return seeds.candidate_pairs(t.reads().withColumnRenamed("id", "read_id"))
 
 
+@_query
+def candidate_pairs_masked(t: Tables) -> DataFrame:
+    """With pairs inside a read, and without seeds that touch a mask."""
+    return seeds.candidate_pairs(t.reads().withColumnRenamed("id", "read_id"), identity=True, masks=t.document_mask())
+
+
 @_query
 def stitch(t: Tables) -> DataFrame:
     return overlaps.stitch(t.overlap().drop("block").withColumn("block", F.lit(1).cast("bigint")))
@@ -520,16 +583,9 @@ class _Arriving(Tables):
 @_query
 def streamed_status(t: Tables) -> DataFrame:
     root = scratch_path(t.spark)
-    found = running_status(_Arriving(t.spark, t.sf_dir).log_lines())
-    newest = [0]
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        write_version(batch, f"{root}/status", batch_id)
-        newest[0] = batch_id
-
-    writer = found.writeStream.outputMode("complete").foreachBatch(keep)
-    writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return read_version(t.spark, f"{root}/status", newest[0])
+    lines = _Arriving(t.spark, t.sf_dir).log_lines()
+    stream_status(lines, f"{root}/ranks", f"{root}/state", f"{root}/checkpoint").awaitTermination()
+    return status_so_far(t.spark, t.requested(), f"{root}/ranks")
 
 
 @_query

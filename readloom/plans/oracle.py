@@ -227,7 +227,7 @@ CHAINS = """
 def _with(views: list[str], body: str, extra: str = "", **params: object) -> str:
     named = []
     for v in views:
-        text = VIEWS[v]
+        text = (params.get("instead") or {}).get(v, VIEWS[v])
         if v == "stitched":
             text = text.format(gap=params["gap"])
         named.append(f"{v} AS ({text})")
@@ -293,6 +293,19 @@ def all_sql() -> dict[str, str]:
     q["record_offsets"] = _with(["reads", "offsets"], "SELECT * FROM offsets")
     q["read_index"] = _with([*hashed, "offsets"], f"""
         SELECT r.id, len, {counts}, "offset", hash FROM reads r JOIN offsets o ON r.id = o.id JOIN hashes h ON r.id = h.id""")
+    q["fasta_index"] = _with(hashed, f"SELECT CAST(r.id AS VARCHAR) AS id, strlen(seq) AS len, {counts}, hash FROM reads r JOIN hashes h ON r.id = h.id")
+    q["fasta_offsets"] = _with(["reads"], """
+        SELECT count(*) AS n_records, CAST(sum(strlen(CAST(id AS VARCHAR)) + strlen(seq) + 3) AS BIGINT) AS n_bytes,
+               CAST(sum(strlen(seq)) AS BIGINT) AS n_bases, CAST(0 AS BIGINT) AS n_files_with_gaps FROM reads""")
+    named = "(SELECT CAST(id AS VARCHAR) AS id, strlen(seq) AS len FROM reads)"
+    q["fasta_longest_to_coverage"] = _with(["reads"], f"""
+        SELECT id, len FROM (SELECT *, sum(len) OVER w AS cum, row_number() OVER w AS r FROM {named}
+            WINDOW w AS (ORDER BY len DESC, id ROWS UNBOUNDED PRECEDING)) WHERE cum - len < {GENOME_SIZE * COVERAGE} OR r = 1""")
+    q["fasta_blocks"] = _with(["reads"], f"""
+        SELECT id, len, CAST((sum(len) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) - len) // {BLOCK_BASES} + 1 AS BIGINT) AS block FROM {named}""")
+    q["fasta_screen"] = _with(["reads", *_MATCH], f"SELECT target_id AS id, reference_id, hits, ji > {CUTOFF} AS is_contaminant FROM match", instead={
+        "targets": "SELECT CAST(id AS VARCHAR) AS id, seq FROM reads",
+        "refs": "SELECT 'ref' || item_id AS id, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM benchmark"})
     q["longest_n"] = _with(["reads"], _LONGEST)
     q["longest_to_coverage"] = _with(["reads"], f"""
         SELECT id, len FROM (SELECT *, sum(len) OVER w AS cum, row_number() OVER w AS r FROM (SELECT id, strlen(seq) AS len FROM reads)
@@ -321,6 +334,8 @@ def all_sql() -> dict[str, str]:
         SELECT job_task, regexp_replace(job_raw, '\\.batch$', '') AS job_raw FROM accounting
         WHERE job_raw LIKE '%.batch' AND len(string_split(job_task, '_')) <> 2""")
     attached = ["accounting", "records", "samples", "attached"]
+    q["latest_records"] = """
+        SELECT CAST(o_custkey AS VARCHAR) AS job_raw, arg_max(o_orderstatus, o_orderkey) AS state, max(o_orderkey) AS place FROM orders GROUP BY o_custkey"""
     q["attach_samples"] = _with(attached, "SELECT * EXCLUDE (cores), len(cores) AS n_cores FROM attached")
     q["missing_telemetry"] = _with(attached, "SELECT job_raw, array_id, task_id FROM records WHERE job_raw NOT IN (SELECT job_raw FROM samples)")
     q["core_width_check"] = _with(attached, """
@@ -347,6 +362,9 @@ def all_sql() -> dict[str, str]:
     shown = ["RUNNING", "COMPLETED", "PENDING", "RESERVED", "CANCELLED", "FAILED", "NOTSTARTED"]
     per_status = ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in shown)
     q["status_summary"] = _with(_WORK, f"SELECT count(*) AS total, {per_status} FROM work")
+    q["project_summary"] = _with(_WORK, f"""
+        SELECT 'proj' AS name, (SELECT min(o_orderdate) FROM orders) AS started_on, (SELECT max(o_orderdate) FROM orders) AS prepared_on,
+               (SELECT count(*) FROM blocks) AS blocks, count(*) AS total, {per_status} FROM work""")
     q["active_tokens"] = _with(_WORK, """
         SELECT count(DISTINCT reservation_token) AS n_active FROM work
         WHERE status IN ('RUNNING', 'RESERVED', 'PENDING', 'COMPLETING', 'CONFIGURING')""")
@@ -384,6 +402,13 @@ def all_sql() -> dict[str, str]:
         kept AS (SELECT km.* FROM km JOIN ok ON km.kmer = ok.kmer)
         SELECT x.id AS a, y.id AS b, CAST(floor((x.pos - y.pos) / 64.0) AS BIGINT) AS diagonal, count(*) AS shared
         FROM kept x JOIN kept y ON x.kmer = y.kmer AND x.id < y.id GROUP BY ALL HAVING count(*) >= 2""")
+    q["candidate_pairs_masked"] = _with(["reads"], """
+        , km AS (SELECT * FROM (SELECT id, n, i - 1 AS pos, substr(seq, i, 14) AS kmer FROM (
+            SELECT id, seq, length(seq) AS n, unnest(range(1, length(seq) - 12)) AS i FROM reads)) WHERE pos >= n // 5),
+        ok AS (SELECT kmer FROM km GROUP BY kmer HAVING count(*) BETWEEN 2 AND 20),
+        kept AS (SELECT km.* FROM km JOIN ok ON km.kmer = ok.kmer)
+        SELECT x.id AS a, y.id AS b, CAST(floor((x.pos - y.pos) / 64.0) AS BIGINT) AS diagonal, count(*) AS shared
+        FROM kept x JOIN kept y ON x.kmer = y.kmer AND (x.id < y.id OR (x.id = y.id AND x.pos < y.pos)) GROUP BY ALL HAVING count(*) >= 2""")
     q["stitch"] = _with(["overlap", "stitched"], "SELECT *, CAST(1 AS BIGINT) AS block FROM stitched", gap=40)
     q["repeat_track"] = _with(_TRACKED, "SELECT * FROM repeats")
     q["quality_trim"] = _with(["overlap", "segments"], _best_run(_good_runs(20)))
@@ -435,10 +460,7 @@ def all_sql() -> dict[str, str]:
                     SELECT *, reverse(translate(seq, 'ACGT', 'TGCA')) AS back FROM layout_reads) r ON t.read_id = r.read_id, LATERAL (SELECT CASE t.strand WHEN '-' THEN back ELSE seq END AS turned)))
         GROUP BY ALL""", f"{COMPONENT}, {CHAINS}")
 
-    q["streamed_status"] = _with(_LOGS[:1], """
-        SELECT rowid, CASE max(rank) WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM (
-            SELECT unnest([id1, id2]) AS rowid, CASE kind WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS rank
-            FROM log_events WHERE kind IN ('signup', 'click', 'purchase')) GROUP BY rowid""")
+    q["streamed_status"] = q["fold_status"]
     q["streamed_failures"] = q["attribute_failures"]
     q["streamed_longest"] = q["longest_n"]
     q["streamed_screen"] = q["screen"]

@@ -80,6 +80,13 @@ class Tables:
             F.lit("COMPLETED").alias("state"),
         )
 
+    def repeated_jobs(self) -> DataFrame:
+        """A record per order; a customer's orders are records of one job, in the order of their ids."""
+        return self.table("orders").select(
+            F.col("o_custkey").cast("string").alias("job_raw"), F.col("o_orderstatus").alias("state"),
+            F.col("o_orderkey").alias("place"),
+        )
+
     def samples(self) -> DataFrame:
         value = F.col("value")
         two = F.array(value, value * 2)
@@ -131,6 +138,12 @@ class Tables:
             )
         )
 
+    def project(self) -> DataFrame:
+        """One row: a project that began with the first order and was prepared with the last."""
+        return self.table("orders").agg(
+            F.lit("proj").alias("name"), F.min("o_orderdate").alias("started_on"), F.max("o_orderdate").alias("prepared_on")
+        )
+
     # Task logs: one per user, a line per event, naming two rows.
 
     def log_lines(self) -> DataFrame:
@@ -205,6 +218,12 @@ class Tables:
             (4400 - F.col("p_size") * 5).cast("bigint").alias("e"),
         )
 
+    def document_mask(self) -> DataFrame:
+        """A mask per document: the first fifth of its sequence."""
+        return self.read_lengths().select(
+            F.col("id").alias("read_id"), F.lit("mask").alias("kind"), F.lit(0).cast("bigint").alias("b"), F.expr("len div 5").alias("e")
+        )
+
     def document_trim(self) -> DataFrame:
         """A trim per document: a tenth off the front of its sequence, a twentieth off the end."""
         return self.read_lengths().select(

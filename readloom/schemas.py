@@ -15,8 +15,6 @@ SUBREAD = _struct(cell=_S, hole=_L, qs=_L, qe=_L)
 
 INDEX = _struct(id=_S, len=_L, na=_L, nc=_L, ng=_L, nt=_L, nn=_L, offset=_L, hash=_L)
 
-MATCH = _struct(target_id=_L, reference_id=_L, hits=_L, asize=_L, bsize=_L, ji=_D)
-
 ACCOUNTING = _struct(
     job_task=_S, job_raw=_S, node=_S, cluster=_S,
     disk_read=_S, disk_write=_S, elapsed=_S, state=_S,

@@ -6,7 +6,7 @@ stay splittable. Gzip files are read whole by one task each; repartition after.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,15 +46,22 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str], key: bool = Fals
     return raw.select(*columns, *(["split_start", "split_row"] if key else []))
 
 
-def read_fasta_offsets(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``read_fasta`` plus the byte position of each record in its file.
+def read_fasta_offsets(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    measures: Callable[[Column], Sequence[Column]] = lambda seq: [seq.alias("seq")],
+) -> DataFrame:
+    """(id, measures, source_file, offset): records with their byte position in the file.
 
     Sums record sizes inside each input split and carries one total per split,
-    so no file passes through one task. For uncompressed files.
+    so no file passes through one task. For uncompressed files. ``measures`` makes
+    columns of a record's sequence before it is placed, so that only these are
+    shuffled; without it the sequence itself is.
     """
-    raw = _raw_records(spark, paths).select(
+    measured = measures(F.col("_seq"))
+    raw = _raw_records(spark, paths).withColumn("_seq", _sequence(F.col("value"))).select(
         _header(F.col("value")).alias("id"),
-        _sequence(F.col("value")).alias("seq"),
+        *measured,
         "source_file",
         "split_start",
         "split_row",
@@ -65,7 +72,7 @@ def read_fasta_offsets(spark: SparkSession, paths: str | Sequence[str]) -> DataF
     )
     # All but the first record lost their leading '>' to the separator.
     offset = F.when(F.col("_before") == 0, F.lit(0)).otherwise(F.col("_before") - 1)
-    return placed.select("id", "seq", "source_file", offset.cast("bigint").alias("offset"))
+    return placed.withColumn("offset", offset.cast("bigint")).drop("split_row", "_bytes", "_before", CHUNK)
 
 
 def read_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

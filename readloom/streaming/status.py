@@ -7,12 +7,12 @@ segments of one log in order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from readloom.operators.status import RANKED, STARTED, attribute_failures, log_events
-from readloom.streaming.versions import read_version, start_batches, write_version
+from readloom.operators.status import RANKED, STARTED, attribute_failures, log_events, named_status
+from readloom.streaming.versions import read_all_versions, read_version, start_batches, write_version
 
 
 def running_status(lines: DataFrame) -> DataFrame:
@@ -26,6 +26,19 @@ def running_status(lines: DataFrame) -> DataFrame:
     return best.select("rowid", name.alias("status"))
 
 
+def _with_last_starts(arrived: DataFrame, state_dir: str, batch_id: int) -> DataFrame:
+    """The batch's lines behind the last start line each file had before."""
+    if batch_id == 0:
+        return arrived
+    return arrived.unionByName(read_version(arrived.sparkSession, state_dir, batch_id - 1))
+
+
+def _keep_last_starts(known: DataFrame, state_dir: str, batch_id: int) -> None:
+    starts = known.filter(F.col("line").rlike(STARTED))
+    latest = starts.groupBy("file").agg(F.max(F.struct("line_no", "line")).alias("_last"))
+    write_version(latest.select("file", "_last.line_no", "_last.line"), state_dir, batch_id)
+
+
 def stream_failures(
     lines: DataFrame, hits_dir: str, state_dir: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
@@ -36,15 +49,36 @@ def stream_failures(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         arrived = batch.select("file", "line_no", "line").persist()
-        known = arrived
-        if batch_id > 0:
-            known = arrived.unionByName(read_version(spark, state_dir, batch_id - 1))
+        known = _with_last_starts(arrived, state_dir, batch_id)
         write_version(attribute_failures(known), hits_dir, batch_id)
-        starts = known.filter(F.col("line").rlike(STARTED))
-        latest = starts.groupBy("file").agg(F.max(F.struct("line_no", "line")).alias("_last"))
-        write_version(latest.select("file", "_last.line_no", "_last.line"), state_dir, batch_id)
+        _keep_last_starts(known, state_dir, batch_id)
         arrived.unpersist()
 
     return start_batches(lines, handle, checkpoint, once)
+
+
+def stream_status(
+    lines: DataFrame, ranks_dir: str, state_dir: str, checkpoint: str, once: bool = True
+) -> StreamingQuery:
+    """What arriving lines say about rows, scheduler errors included, into ``ranks_dir``.
+
+    Each batch adds the rows it speaks of, with their highest rank in it; rows of
+    earlier batches are not written again. ``status_so_far`` folds them.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        arrived = batch.select("file", "line_no", "line").persist()
+        known = _with_last_starts(arrived, state_dir, batch_id)
+        hit = attribute_failures(known).select("rowid", F.lit(2).alias("rank"))
+        said = log_events(arrived).unionByName(hit)
+        write_version(said.groupBy("rowid").agg(F.max("rank").alias("rank")), ranks_dir, batch_id)
+        _keep_last_starts(known, state_dir, batch_id)
+        arrived.unpersist()
+
+    return start_batches(lines, handle, checkpoint, once)
+
+
+def status_so_far(spark: SparkSession, requested: DataFrame, ranks_dir: str) -> DataFrame:
+    """(rowid, status) of every requested row: ``fold_status`` of all lines that arrived."""
+    return named_status(requested, read_all_versions(spark, ranks_dir))

@@ -79,6 +79,16 @@ def test_blocks_by_bases(spark):
         assert rows(B.assign_blocks(reads, 10, width=width)) == expected
 
 
+def test_blocks_by_bases_of_text_ids(spark):
+    lengths = {f"r{i}": 3 + i % 7 for i in range(60)}
+    before, expected = 0, {}
+    for name in sorted(lengths):
+        expected[name] = before // 20 + 1
+        before += lengths[name]
+    reads = spark.createDataFrame(list(lengths.items()), "id string, len bigint").repartition(5)
+    assert dict(rows(B.assign_blocks(reads, 20), "id", "block")) == expected
+
+
 def test_fixed_batches(spark):
     ids = spark.createDataFrame([(i * 3,) for i in range(45)], "block_id bigint")
     got = rows(B.fixed_batches(ids, 20, "block_id", cap=41, width=8))

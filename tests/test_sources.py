@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions.headers import parse_headers
-from readloom.operators.index import build_index, record_offsets
+from readloom.operators.index import INDEX_COLUMNS, build_index, index_fasta, record_offsets
 from readloom.operators.status import fold_status
 from readloom.sources import fasta, tables
 from tests.conftest import rows
@@ -71,6 +71,7 @@ def test_offsets_over_many_splits(spark, tmp_path):
         assert {r.id: r.offset for r in found.collect()} == expected
         assert {r.id: r.seq for r in found.collect()} == dict(whole)
         index = build_index(found).collect()
+        assert rows(index_fasta(spark, path), *INDEX_COLUMNS) == sorted(map(tuple, index), key=repr)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")

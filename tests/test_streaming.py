@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from readloom.operators.select import longest_n
 from readloom.operators.sketch import SketchOptions, screen
-from readloom.operators.status import attribute_failures, log_events
+from readloom.operators.status import attribute_failures, fold_status, log_events
 from readloom.streaming.reads import stream_longest, stream_screen
-from readloom.streaming.status import running_status, stream_failures
+from readloom.streaming.status import running_status, status_so_far, stream_failures, stream_status
 from readloom.streaming.versions import read_all_versions, read_version
 from tests.conftest import rows
 
@@ -65,7 +65,16 @@ def test_failures_equal_batch_and_restart_adds_nothing(spark, log, tmp_path):
         assert rows(read_all_versions(spark, dirs[0])) == rows(attribute_failures(log.all()))
 
 
-def test_status_equals_batch(spark, log):
+def test_status_with_failures_equals_batch_over_a_restart(spark, log, tmp_path):
+    dirs = [f"{tmp_path}/{d}" for d in ("ranks", "state", "cp")]
+    requested = spark.range(50).withColumnRenamed("id", "rowid")
+    for part in ((0, 1), (2, 3)):
+        log.add(*part)
+        stream_status(log.stream(), *dirs).awaitTermination()
+        assert rows(status_so_far(spark, requested, dirs[0])) == rows(fold_status(requested, log.all()))
+
+
+def test_running_status_equals_events(spark, log):
     log.add(0, 1, 2, 3)
     query = running_status(log.stream()).writeStream.outputMode("complete").format("memory").queryName("seen")
     query.trigger(availableNow=True).start().awaitTermination()
