@@ -1,6 +1,7 @@
 """Numbered operators against brute force and SQL, and on awkward tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -518,23 +519,59 @@ def test_stages_on_awkward_tables(spark, edge, empty, labels, tmp_path):
             assert docs is edge or not rows, name
 
 
+def brute_shingles(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", words) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def brute_groups(sets):
+    """Smallest id that links of similarity 0.8 or more reach."""
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return top
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = corpus_pipeline.quality_stage(spark, docs, sf_dir).collect()
     first = {}
     for r in sorted(good, key=lambda r: r.doc_id):
         first.setdefault(flat(r.text), r.doc_id)
-    prints = {i: brute_print(t) for t, i in first.items()}
-    parent = {i: i for i in prints}
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
-                parent[max(top(a), top(b))] = min(top(a), top(b))
+    top = brute_groups({i: brute_shingles(t) for t, i in first.items()})
     got = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r.doc_id for r in got} == {i for i in prints if top(i) == i}
+    assert {r.doc_id for r in got} == {i for i in first.values() if top(i) == i}
+
+
+@pytest.mark.parametrize("shard", [512, 3])
+def test_similar_texts_are_those_of_brute_force(spark, shard):
+    dice = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(12):
+        base = dice.choices(words, k=dice.choice([6, 40, 150, 400]))
+        texts.append(base)
+        for _ in range(dice.choice([0, 1, 4])):
+            other = list(base)
+            for _ in range(dice.choice([1, 1, 2, 5, 12])):
+                other[dice.randrange(len(other))] = dice.choice(words)
+            texts.append(other)
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(90, None), (91, ""), (92, " \n"), (93, "one two"), (94, "ONE  two"), (95, "one three"), (96, texts[0][0]), (None, "one two")]
+    sets = {i: brute_shingles(t) for i, t in data if i is not None}
+    top = brute_groups(sets)
+    sizes = {i: sum(top(j) == top(i) for j in sets) for i in sets}
+    docs = spark.createDataFrame([(i, t, i) for i, t in data], "doc_id long, text string, _id long")
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs, shard=shard).collect()} == {i: top(i) for i in sets if sizes[i] > 1}
+    kept = [r.doc_id for r in simhash.deduplicate_similar(docs, shard=shard).collect()]
+    assert sorted(kept, key=str) == sorted([None, *{top(i) for i in sets}], key=str)
+    assert simhash.deduplicate_similar(docs.where("false")).count() == 0
