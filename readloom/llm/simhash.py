@@ -12,8 +12,9 @@ Out of a shard go the links of a spanning forest, not all pairs.
 
 Three bits of 64 are far less than two texts of similarity 0.8 differ in: about ten.
 :func:`similar` finds those on shingles of five words. At so wide a radius bit blocks do not
-prune, so its shards are what equal bands of a MinHash signature connect; a shard's
-BK-tree proposes pairs, and the shingles themselves decide.
+prune, and no radius below 64 is sure to hold every such pair, so its shards are what
+equal bands of a MinHash signature connect, and inside a shard the shingles of all
+pairs whose set sizes allow the similarity are compared.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ _SPAN = 1 << 17
 WORDS, SIMILAR = 5, 0.8
 #: Bands of the signature and hashes in a band: of pairs at 0.8 all but one in 1,400 agree in a band.
 BANDS, BAND_ROWS = 24, 6
-#: Most bits between fingerprints of compared texts; pairs at 0.8 differ in 9.7 on average, with a deviation of 2.9.
-REACH = 20
 #: Texts whose shingles are compared together, on average.
 SIMILAR_SHARD = 512
+#: Slots of the table that bounds the shingles two texts share; a power of two.
+_SLOTS = 1 << 20
 _TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -229,50 +230,62 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(starts)))
 
 
-def _signature(found: np.ndarray) -> tuple[int, np.ndarray]:
-    """Fingerprint of distinct shingles, and the hashes of the bands of their MinHash signature."""
-    ones, least = np.zeros(64, np.int64), np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
+def _signature(found: np.ndarray) -> np.ndarray:
+    """Hashes of the bands of the MinHash signature of distinct shingles."""
+    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), _SPAN):
         part = found[at : at + _SPAN]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         for i, turn in enumerate(_TURNS):
             least[i] = min(least[i], (part * turn).min())
     rows = least.reshape(BANDS, BAND_ROWS)
-    bands = np.array([xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)], np.uint64)
-    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0]), bands.view(np.int64)
+    return np.array([xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _linked(sets: list[np.ndarray], asks: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest among ``sets``, or between those that ask and the others, by position.
+
+    Sets are visited by size, so those that a set can be similar to are neighbours. A table of
+    slots bounds from above how many shingles it shares with each of them; where the
+    bound allows the similarity, the shingles are compared.
+    """
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    known = order if asks is None else order[~asks[order]]
+    if not len(known):
+        return []
+    slots = np.concatenate([(sets[m] & np.uint64(_SLOTS - 1)).astype(np.int32) for m in known])
+    begins = np.concatenate(([0], np.cumsum(sizes[known])))
+    seen, group, out = np.zeros(_SLOTS, bool), np.arange(len(sets)), []
+    for at, n in enumerate(order if asks is None else order[asks[order]]):
+        # a little wide; the comparison decides
+        low = np.searchsorted(sizes[known], np.floor(least * sizes[n]))
+        high = at if asks is None else np.searchsorted(sizes[known], np.ceil(sizes[n] / least), "right")
+        if low >= high or (group[known[low:high]] == group[n]).all():
+            continue
+        own = (sets[n] & np.uint64(_SLOTS - 1)).astype(np.int32)
+        seen[own] = True
+        most = np.add.reduceat(seen[slots[begins[low] : begins[high]]], begins[low:high] - begins[low], dtype=np.int64)
+        seen[own] = False
+        near = known[low:high]
+        for m in near[most >= least * (sizes[n] + sizes[near] - most)].tolist():
+            if group[m] == group[n]:
+                continue
+            both = len(np.intersect1d(sets[n], sets[m], assume_unique=True))
+            if both >= least * (sizes[n] + sizes[m] - both):
+                group[group == group[m]] = group[n]
+                out.append((int(n), m))
+    return out
 
 
 def _compare(least: float):
     """Links of a spanning forest among the texts of one shard part, or between two parts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_query", "_id"])
-        ids, asks = rows["_id"].tolist(), rows["_query"].tolist()
-        prints = rows["_fp"].to_numpy(np.int64).view(np.uint64).tolist()
-        sets = [np.frombuffer(s, np.uint64) for s in rows["_set"]]
+        rows = rows.sort_values("_id")
+        ids, sets = rows["_id"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["_set"]]
         alone = bool((rows["_left"] == rows["_right"]).all())
-        parent, tree, held, out = list(range(len(ids))), BKTree(), {}, []
-
-        def top(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for n, value in enumerate(prints):
-            if alone or asks[n]:
-                for m in (m for known in tree.within(value, REACH) for m in held[known]):
-                    small, large = sorted((len(sets[n]), len(sets[m])))
-                    if small < least * large or top(n) == top(m):
-                        continue
-                    both = len(np.intersect1d(sets[n], sets[m], assume_unique=True))
-                    if both >= least * (small + large - both):
-                        parent[top(n)] = top(m)
-                        out.append((ids[n], ids[m]))
-            if alone or not asks[n]:
-                if value not in held:
-                    tree.add(value)
-                held.setdefault(value, []).append(n)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        links = np.array(_linked(sets, None if alone else rows["_query"].to_numpy(bool), least), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
     return run
 
@@ -289,34 +302,33 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
 
     def sign():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [_signature(shingles(t.as_py())) for t in batch.column(1)]
-            bands = pa.array([b for _, b in found], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.int64()), bands], ["_id", "_fp", "_bands"])
+            bands = pa.array([_signature(shingles(t.as_py())) for t in batch.column(1)], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), bands], ["_id", "_bands"])
 
         return step
 
-    signed = cut_lineage(batches(rows, sign, "_id long, _fp long, _bands array<long>"))
+    signed = cut_lineage(batches(rows, sign, "_id long, _bands array<long>"))
     keyed = signed.select("_id", F.explode("_bands").alias("_key"))
     heads = cut_lineage(keyed.groupBy("_key").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most"))
     coarse = components(keyed.join(heads, "_key").select(F.col("_id").alias("a"), F.col("_least").alias("b")).distinct())
     members = cut_lineage(coarse.select(F.col("node").alias("_id"), F.col("root").alias("_root")))
     parts = cut_lineage(members.groupBy("_root").agg(F.ceil(F.count("*") / shard).alias("_parts")))
-    members = members.join(parts, "_root").join(signed.select("_id", "_fp"), "_id").select("_id", "_root", "_fp", "_parts")
+    members = members.join(parts, "_root").select("_id", "_root", "_parts")
 
     def gather():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], sets], ["_id", "_root", "_fp", "_parts", "_set"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], sets], ["_id", "_root", "_parts", "_set"])
 
         return step
 
-    sets = cut_lineage(batches(rows.join(members, "_id").select("_id", "_text", "_root", "_fp", "_parts"), gather, "_id long, _root long, _fp long, _parts long, _set binary"))
+    sets = cut_lineage(batches(rows.join(members, "_id").select("_id", "_text", "_root", "_parts"), gather, "_id long, _root long, _parts long, _set binary"))
     own = F.pmod(F.xxhash64("_id"), F.col("_parts"))
     ways = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1),
         lambda other: F.struct(F.least(own, other).alias("_left"), F.greatest(own, other).alias("_right"), (other < own).alias("_query")),
     )
-    spread = sets.select("_root", "_id", "_fp", "_set", F.explode(ways).alias("_way")).select("_root", "_id", "_fp", "_set", "_way.*")
+    spread = sets.select("_root", "_id", "_set", F.explode(ways).alias("_way")).select("_root", "_id", "_set", "_way.*")
     links = spread.groupBy("_root", "_left", "_right").applyInPandas(_compare(least), "a long, b long")
     return components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 

@@ -575,3 +575,12 @@ def test_similar_texts_are_those_of_brute_force(spark, shard):
     kept = [r.doc_id for r in simhash.deduplicate_similar(docs, shard=shard).collect()]
     assert sorted(kept, key=str) == sorted([None, *{top(i) for i in sets}], key=str)
     assert simhash.deduplicate_similar(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("shard", [512, 1])
+def test_similar_short_texts_whose_fingerprints_are_far_apart(spark, shard):
+    # four shingles against five: half of the bits are tied, and more than 20 of 64 differ in 18 of these 80 pairs
+    words = [[f"t{k}w{i}" for i in range(9)] for k in range(80)]
+    data = [(2 * k + n, " ".join(w[: 8 + n])) for k, w in enumerate(words) for n in range(2)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs, shard=shard).collect()} == {i: i - i % 2 for i, _ in data}
