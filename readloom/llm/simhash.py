@@ -25,7 +25,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -281,24 +281,27 @@ def _compare(least: float):
     """Links of a spanning forest among the texts of one shard part, or between two parts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_id")
-        ids, sets = rows["_id"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["_set"]]
+        rows = rows.sort_values(["_id_id", "_id_text"])
+        ids, texts, sets = rows["_id_id"].to_numpy(), rows["_id_text"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["_set"]]
         alone = bool((rows["_left"] == rows["_right"]).all())
         links = np.array(_linked(sets, None if alone else rows["_query"].to_numpy(bool), least), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
+        a, b = links.T
+        return pd.DataFrame({"a": ids[a], "a_text": texts[a], "b": ids[b], "b_text": texts[b]})
 
     return run
 
 
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILAR, shard: int = SIMILAR_SHARD) -> DataFrame:
-    """doc_id, component_id of the documents that similar ones connect with others: one row each.
+#: A document of the near stage: its id and a hash of its text, so that an id may repeat with other texts.
+_NODE = "struct<id: long, text: long>"
 
-    Similar are texts whose sets of five-word shingles have a Jaccard similarity of ``least`` or
-    more; component_id is the smallest id reachable. Texts of fewer words, null and blank ones
-    included, are similar to equal ones only. Rows without an id take no part. Only
-    documents that share a band with another have their shingles gathered.
-    """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).where("_id IS NOT NULL")
+
+def _node(text: str, doc_id: str) -> Column:
+    return F.struct(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text"))
+
+
+def _similar(docs: DataFrame, text: str, doc_id: str, least: float, shard: int) -> DataFrame:
+    """node, root: documents (id and text hash) that similar ones connect with others, and the smallest of their group."""
+    rows = docs.select(_node(text, doc_id).alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).where("_id.id IS NOT NULL")
 
     def sign():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -307,7 +310,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
 
         return step
 
-    signed = cut_lineage(batches(rows, sign, "_id long, _bands array<long>"))
+    signed = cut_lineage(batches(rows, sign, f"_id {_NODE}, _bands array<long>"))
     keyed = signed.select("_id", F.explode("_bands").alias("_key"))
     heads = cut_lineage(keyed.groupBy("_key").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most"))
     coarse = components(keyed.join(heads, "_key").select(F.col("_id").alias("a"), F.col("_least").alias("b")).distinct())
@@ -322,21 +325,42 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
 
         return step
 
-    sets = cut_lineage(batches(rows.join(members, "_id").select("_id", "_text", "_root", "_parts"), gather, "_id long, _root long, _parts long, _set binary"))
+    sets = cut_lineage(batches(rows.join(members, "_id").select("_id", "_text", "_root", "_parts"), gather, f"_id {_NODE}, _root {_NODE}, _parts long, _set binary"))
     own = F.pmod(F.xxhash64("_id"), F.col("_parts"))
     ways = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1),
         lambda other: F.struct(F.least(own, other).alias("_left"), F.greatest(own, other).alias("_right"), (other < own).alias("_query")),
     )
-    spread = sets.select("_root", "_id", "_set", F.explode(ways).alias("_way")).select("_root", "_id", "_set", "_way.*")
-    links = spread.groupBy("_root", "_left", "_right").applyInPandas(_compare(least), "a long, b long")
-    return components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    fields = [F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in ("_id", "_root") for y in ("id", "text")]
+    spread = sets.select("*", F.explode(ways).alias("_way")).select(*fields, "_set", "_way.*")
+    links = spread.groupBy("_root_id", "_root_text", "_left", "_right").applyInPandas(_compare(least), "a long, a_text long, b long, b_text long")
+    ends = [F.struct(F.col(x).alias("id"), F.col(f"{x}_text").alias("text")).alias(x) for x in "ab"]
+    return components(links.select(*ends))
+
+
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILAR, shard: int = SIMILAR_SHARD) -> DataFrame:
+    """doc_id, component_id of the documents that similar ones connect with others: one row each.
+
+    Similar are texts whose sets of five-word shingles have a Jaccard similarity of ``least`` or
+    more; component_id is the smallest id reachable. Texts of fewer words, null and blank ones
+    included, are similar to equal ones only. Rows without an id take no part. A document is an
+    id with a text: an id that repeats with different texts has a row for each that is
+    connected, and rows equal in both count once. Only
+    documents that share a band with another have their shingles gathered.
+    """
+    return _similar(docs, text, doc_id, least, shard).select(F.col("node.id").alias("doc_id"), F.col("root.id").alias("component_id"))
 
 
 def deduplicate_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILAR, shard: int = SIMILAR_SHARD) -> DataFrame:
-    """The rows of ``docs`` but those whose id :func:`similar` connects with a smaller one; rows without an id stay."""
-    gone = cut_lineage(similar(docs, text, doc_id, least, shard).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` but those that :func:`similar` connects with a smaller document; rows without an id stay.
+
+    Documents are ordered by id, then by a hash of the text. Of an id that repeats with different
+    texts only the texts with a smaller near copy go, and of near copies under one id one
+    stays. Rows equal in id and text share their fate; exact deduplication drops such copies.
+    """
+    gone = cut_lineage(_similar(docs, text, doc_id, least, shard).where("node <> root").select("node.*").toDF("_gone", "_gone_text"))
+    same = (F.col(f"`{doc_id}`").cast("long") == F.col("_gone")) & (_node(text, doc_id)["text"] == F.col("_gone_text"))
+    return docs.join(gone, same, "left_anti")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:

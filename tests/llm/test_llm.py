@@ -584,3 +584,15 @@ def test_similar_short_texts_whose_fingerprints_are_far_apart(spark, shard):
     data = [(2 * k + n, " ".join(w[: 8 + n])) for k, w in enumerate(words) for n in range(2)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar(docs, shard=shard).collect()} == {i: i - i % 2 for i, _ in data}
+
+
+def test_similar_texts_under_repeated_ids(spark):
+    words = [f"r{i}" for i in range(60)]
+    near, other = " ".join(words), [f"o{i}" for i in range(60)]
+    # id 2: a near copy of 1 and a text of its own; id 3: two near copies
+    data = [(1, near), (2, f"{near} end"), (2, "a clean text of its own"), (3, " ".join(other)), (3, " ".join([*other, "end"])), (4, None), (5, ""), (None, near)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.deduplicate_similar(docs).collect()]
+    assert sorted(r[0] or 0 for r in kept) == [0, 1, 2, 3, 4]
+    assert {data[0], data[2], data[5], data[7]} < set(kept)
+    assert sorted((r.doc_id, r.component_id) for r in simhash.similar(docs).collect()) == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 4), (5, 4)]
