@@ -34,6 +34,19 @@ def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key.cast("string"), F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
+def labelled_texts(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """_id, _text and the other columns of ``known`` (one row per _id): one row per id and text.
+
+    If these are more than ``most``, each id has one row, that of its text with the smallest hash: an
+    id that repeats in ``docs`` neither fills the driver nor outweighs the other ids.
+    """
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    chosen = cut_lineage(rows.select("_id", "_hash").join(known, "_id").distinct())
+    if chosen.count() > most:
+        chosen = chosen.groupBy(*[c for c in chosen.columns if c != "_hash"]).agg(F.min("_hash").alias("_hash"))
+    return rows.join(chosen, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).drop("_hash")
+
+
 def batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
@@ -60,4 +73,4 @@ def unpacked(df: DataFrame, struct: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(struct).getField(c).alias(c) for c in columns])
 
 
-__all__ = ["BLANK", "batches", "bounded_sample", "cut_lineage", "held_out", "packed", "table", "unpacked"]
+__all__ = ["BLANK", "batches", "bounded_sample", "cut_lineage", "held_out", "labelled_texts", "packed", "table", "unpacked"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import batches, bounded_sample, held_out
+from readloom.llm.common import batches, bounded_sample, held_out, labelled_texts
 from readloom.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 
 #: Bound of the labelled sample.
@@ -105,13 +105,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Quali
     """Fit on labelled rows that are not held out.
 
     Rows without an id or with a label other than 0 and 1 teach nothing; of a repeated
-    label row the smaller label counts. With one class or none, every text scores the share
+    label row the smaller label counts. Rows equal in id and text teach once, and an id with
+    several texts as in :func:`labelled_texts`. With one class or none, every text scores the share
     of class 1 (1 if there are no labels at all).
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("_label"))
     known = bounded_sample(known.where(~held_out(F.col("_id"))), F.col("_id"), max_rows)
     # the labels choose the rows before any text is read
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text")).join(known, "_id")
+    rows = labelled_texts(docs, known, max_rows)
 
     def make():
         seen = np.zeros(FEATURES, bool)

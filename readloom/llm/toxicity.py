@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import batches, bounded_sample, cut_lineage, held_out
+from readloom.llm.common import batches, bounded_sample, cut_lineage, held_out, labelled_texts
 from readloom.llm.linear import fit_logistic, sigmoid
 
 #: Label columns in chain order. The value 0 of ``quality`` is its positive class.
@@ -86,12 +86,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     """Fit the chain on labelled rows that are not held out.
 
     Rows without an id or without one of the labels teach nothing; of repeated label rows
-    the larger positive label counts. A category with one class only has a constant model.
+    the larger positive label counts. Rows equal in id and text teach once, and an id with
+    several texts as in :func:`labelled_texts`. A category with one class only has a constant model.
     """
     known = labels.select(F.col("doc_id").alias("_id"), *[_positive(c).alias(f"_y{i}") for i, c in enumerate(categories)]).dropna()
     known = known.groupBy("_id").agg(*[F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(categories))]).where(~held_out(F.col("_id")))
     known = bounded_sample(known, F.col("_id"), max_rows)
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text")).join(known, "_id")
+    rows = labelled_texts(docs, known, max_rows)
     targets = [f"_y{i}" for i in range(len(categories))]
 
     def make():

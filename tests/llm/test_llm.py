@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from readloom.llm import components, exact_dedup, langid, linear, mixing, packing, quality, queries, secrets, simhash, suffixes, toxicity, voronoi
+from readloom.llm import common, components, exact_dedup, langid, linear, mixing, packing, quality, queries, secrets, simhash, suffixes, toxicity, voronoi
 from tests import oracle
 
 TOKENIZER = public_tokenizers.path(packing.TOKENIZER)
@@ -596,3 +596,15 @@ def test_similar_texts_under_repeated_ids(spark):
     assert sorted(r[0] or 0 for r in kept) == [0, 1, 2, 3, 4]
     assert {data[0], data[2], data[5], data[7]} < set(kept)
     assert sorted((r.doc_id, r.component_id) for r in simhash.similar(docs).collect()) == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 4), (5, 4)]
+
+
+def test_repeated_ids_do_not_fill_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)] + [(1, f"more {i}") for i in range(60)] + [(2, "text 2")] * 60, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(8)], "_id long, _label int")
+    got = common.labelled_texts(docs, known, 8)
+    assert sorted(r._id for r in got.collect()) == list(range(8))
+    assert common.labelled_texts(docs, known, 100).count() == 68
+    taught = []
+    monkeypatch.setattr(quality, "_fit", lambda rows, labels: taught.append(len(rows)) or (np.zeros(quality.FEATURES), np.zeros(quality.FEATURES + 1)))
+    quality.train(docs, known.select(F.col("_id").alias("doc_id"), F.col("_label").alias("quality")), max_rows=8)
+    assert max(taught) <= 8
