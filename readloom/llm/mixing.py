@@ -7,13 +7,15 @@ a step is one aggregate over the source table, of which only 65 numbers reach th
 driver.
 
 The weights become a token quota per source. Each source's rows lie in blocks, by a
-hash of their ids; an epoch is a permutation of the blocks (another one each epoch),
+hash of their ids and texts; an epoch is a permutation of the blocks (another one each epoch),
 and the last epoch stops where the quota is met. A row's place in its source's
 stream also gives its place in the output, so every stretch of the output holds the
 sources at their weights.
 
 DataFrame functions only. Blocks have about ``block_rows`` rows at every size, so a
-source with most of the rows is many blocks, never one task.
+source with most of the rows is many blocks, never one task, whatever its ids: rows
+equal in id and text, where more than a block of them exist, are dealt out by a row
+number that is written once with the table.
 """
 
 from __future__ import annotations
@@ -100,6 +102,24 @@ def quotas(docs: DataFrame, exponent: float, budget: float | None = None) -> Dat
     return powers.select("_source", "_tokens", (F.col("_power") / F.lit(float(norm.s or 1.0))).alias("_weight"), F.ceil(F.round(F.col("_power") * F.lit(each), 3)).alias("_quota"))
 
 
+def _dealt(docs: DataFrame, text: str, doc_id: str, source: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """_row, _source, _tokens, _key, _bin of every row; _source, _bin, _tokens of every block."""
+    content = F.col(f"`{text}`").cast("string")
+    rows = docs.select(packed(docs).alias("_row"), _source_key(F.col(f"`{source}`")).alias("_source"), word_tokens(content).alias("_tokens"), F.xxhash64(F.col(f"`{doc_id}`").cast("string"), content, F.lit(SEED)).alias("_key"))
+    bins = max(1, -(-docs.count() // block_rows))
+    in_blocks = lambda df: df.withColumn("_bin", F.pmod("_key", F.lit(bins)))
+    sizes = lambda df: cut_lineage(in_blocks(df.select("_source", "_tokens", "_key")).groupBy("_source", "_bin").agg(F.sum("_tokens").alias("_tokens"), F.count("*").alias("_n")))
+    blocks = sizes(rows)
+    if blocks.where(F.col("_n") > 2 * block_rows).head(1):
+        hot = cut_lineage(rows.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows))
+        if hot.head(1):
+            numbered = cut_lineage(rows.withColumn("_no", F.monotonically_increasing_id()))
+            own = F.when(F.col("_n").isNull(), F.col("_key")).otherwise(F.xxhash64("_key", "_no"))
+            rows = numbered.join(hot, "_key", "left").select("_row", "_source", "_tokens", own.alias("_key"))
+            blocks = sizes(rows)
+    return in_blocks(rows), blocks.drop("_n")
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -117,11 +137,7 @@ def mix(
     sources are one source; null ids, repeated rows and empty texts are rows like any
     other. The row that crosses the quota is the last one of its source.
     """
-    rows = docs.select(packed(docs).alias("_row"), _source_key(F.col(f"`{source}`")).alias("_source"), word_tokens(F.col(f"`{text}`").cast("string")).alias("_tokens"), F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.lit(SEED)).alias("_key"))
-    narrow = rows.select("_source", "_tokens", "_key")
-    n = docs.count()
-    in_blocks = lambda df: df.withColumn("_bin", F.pmod("_key", F.lit(max(1, -(-n // block_rows)))))
-    blocks = cut_lineage(in_blocks(narrow).groupBy("_source", "_bin").agg(F.sum("_tokens").alias("_tokens")))
+    rows, blocks = _dealt(docs, text, doc_id, source, block_rows)
     sources = cut_lineage(blocks.groupBy("_source").agg(F.sum("_tokens").alias("_tokens")))
     wanted = quotas(sources, fit_exponent(sources, entropy, repeat), budget)
     epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_quota") / F.col("_all")) - 1, F.lit(0).cast("long"))))
@@ -131,7 +147,7 @@ def mix(
     read = cut_lineage(read.where("_before < _quota"))
     total = wanted.agg(F.sum("_quota")).first()[0] or 1
     inside = Window.partitionBy("_source", "_bin").orderBy("_key", "_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = in_blocks(rows).withColumn("_inside", F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
+    placed = rows.withColumn("_inside", F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
     out = placed.join(read, ["_source", "_bin"]).withColumn("_start", F.col("_before") + F.col("_inside")).where("_start < _quota")
     middle = F.least((F.col("_start") + F.col("_tokens") / 2) / F.col("_quota"), F.lit(1.0))
     last = F.lit(max(0, -(-int(total) // OUTPUT_BLOCK) - 1))

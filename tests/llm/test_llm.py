@@ -608,3 +608,13 @@ def test_repeated_ids_do_not_fill_the_sample(spark, monkeypatch):
     monkeypatch.setattr(quality, "_fit", lambda rows, labels: taught.append(len(rows)) or (np.zeros(quality.FEATURES), np.zeros(quality.FEATURES + 1)))
     quality.train(docs, known.select(F.col("_id").alias("doc_id"), F.col("_label").alias("quality")), max_rows=8)
     assert max(taught) <= 8
+
+
+@pytest.mark.parametrize("text", ["concat('w ', id)", "'same'"])
+def test_rows_of_one_id_lie_in_many_blocks(spark, text):
+    docs = spark.range(600).selectExpr("CAST(NULL AS long) AS doc_id", f"{text} AS text", "'hot' AS source")
+    got = mixing.mixed(docs, block_rows=20).collect()
+    assert len(got) == 600 and len({r.place for r in got}) == 600
+    assert sorted(r.start for r in got) == list(range(0, sum(r.n_tokens for r in got), got[0].n_tokens))
+    rows, _ = mixing._dealt(docs, "text", "doc_id", "source", 20)
+    assert max(r["count"] for r in rows.groupBy("_source", "_bin").count().collect()) < 60
