@@ -94,16 +94,17 @@ def _compared(docs: DataFrame, least: int, seed: int) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, parts, rows, starts, found = [], [], [], [], []
             for n, (text, places) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
-                wanted = {p["_at"]: p["_parts"] for p in places}
+                wanted = {(p["_at"], p["_key"]): p["_parts"] for p in places}  # an id may repeat with other texts
                 for at, first, key, part in windows(text.as_py(), least, seed):
                     cut = np.flatnonzero(np.diff(first, prepend=-1))
-                    chosen = [(s, e) for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(first)], strict=True) if int(first[s]) in wanted]
+                    seeds = zip(first[cut].tolist(), key[cut].view(np.int64).tolist(), strict=True)
+                    chosen = [(s, e, *own) for s, e, own in zip(cut.tolist(), [*cut[1:].tolist(), len(first)], seeds, strict=True) if own in wanted]
                     if not chosen:
                         continue
                     hashes = _rolling(part, least).view(np.int64)
-                    for s, e in chosen:
-                        keys.append(int(key[s : s + 1].view(np.int64)[0]))
-                        parts.append(wanted[int(first[s])])
+                    for s, e, place, own in chosen:
+                        keys.append(own)
+                        parts.append(wanted[place, own])
                         rows.append(n)
                         starts.append(at + s)
                         found.append(hashes[s:e])
@@ -220,7 +221,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     kept = cut_lineage(_suffixes(rows, least, seed))
     seeds = kept.groupBy("_key").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.count("*").alias("_n"))
     seeds = cut_lineage(seeds.where("_low < _high").select("_key", F.ceil(F.col("_n") / hot).alias("_parts")))
-    wanted = kept.join(seeds, "_key").groupBy("_id").agg(F.collect_set(F.struct("_at", "_parts")).alias("_places"))
+    wanted = kept.join(seeds, "_key").groupBy("_id").agg(F.collect_set(F.struct("_at", "_key", "_parts")).alias("_places"))
     compared = cut_lineage(_compared(rows.join(wanted, "_id").select("_id", "_text", "_places"), least, seed))
     part = F.when(F.col("_parts") == 1, F.col("_key")).otherwise(F.xxhash64("_key", F.pmod(F.xxhash64("_id", "_from"), F.col("_parts"))))
     kind = F.when(F.col("_parts") == 1, _WHOLE).otherwise(_CUT)

@@ -618,3 +618,12 @@ def test_rows_of_one_id_lie_in_many_blocks(spark, text):
     assert sorted(r.start for r in got) == list(range(0, sum(r.n_tokens for r in got), got[0].n_tokens))
     rows, _ = mixing._dealt(docs, "text", "doc_id", "source", 20)
     assert max(r["count"] for r in rows.groupBy("_source", "_bin").count().collect()) < 60
+
+
+def test_passages_of_an_id_with_two_texts(spark):
+    # the texts of id 100 have seeds at the same places; those of the first text are cut, those of the second whole
+    hot, cold = [" ".join(f"{x}{i}" for i in range(40)) for x in "hc"]
+    rows = [(i, f"{hot} own{i}") for i in range(30)] + [(100, hot), (100, cold), (101, cold)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffixes.repeated_passages(df, least=12, seed=3, hot=8).collect())
+    assert got == brute_passages(rows, 12)
