@@ -34,6 +34,22 @@ def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key.cast("string"), F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
+def bounded_sample_of_each(rows: DataFrame, key: Column, group: str, sizes: dict[str, int], most: int) -> DataFrame:
+    """About ``most`` rows at most, chosen by a hash of the key: small groups whole, the others in about equal numbers.
+
+    ``sizes`` has the rows of every group; a group gets what smaller ones leave of their equal shares.
+    """
+    left, share = most, {}
+    for i, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: x[1])):
+        got = min(n, max(1, left // (len(sizes) - i)))
+        share[name], left = got / n, left - got
+    if all(x >= 1 for x in share.values()):
+        return rows
+    bars = rows.sparkSession.createDataFrame([(k, int((1 << 30) * x)) for k, x in share.items()], f"`{group}` string, _bar long")
+    chosen = F.pmod(F.xxhash64(key.cast("string"), F.lit(17)), F.lit(1 << 30)) < F.col("_bar")
+    return rows.join(bars, group).where(chosen).drop("_bar")
+
+
 def labelled_texts(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """_id, _text and the other columns of ``known`` (one row per _id): one row per id and text.
 
@@ -73,4 +89,4 @@ def unpacked(df: DataFrame, struct: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(struct).getField(c).alias(c) for c in columns])
 
 
-__all__ = ["BLANK", "batches", "bounded_sample", "cut_lineage", "held_out", "labelled_texts", "packed", "table", "unpacked"]
+__all__ = ["BLANK", "batches", "bounded_sample", "bounded_sample_of_each", "cut_lineage", "held_out", "labelled_texts", "packed", "table", "unpacked"]

@@ -6,7 +6,8 @@ language, so three look-ups and two ANDs return all languages that contain an n-
 A text's n-grams are looked up, the bits are counted per language, the count that false
 positives alone would give is taken off, and the largest rest decides.
 
-The filters are learned from at most about ``max_rows`` labelled rows and have a fixed
+The filters are learned from at most about ``max_rows`` labelled rows, of which a rare
+language keeps all it has up to its equal share, and have a fixed
 largest size; prediction reads every row and its whole text, a piece at a time.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import batches, bounded_sample, held_out
+from readloom.llm.common import batches, bounded_sample_of_each, held_out
 
 MAX_ROWS = 8_000
 #: An n-gram is typical of a language that uses it at least this share of how often its heaviest user does.
@@ -106,8 +107,9 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
     """
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"))
     rows = rows.where("_id IS NOT NULL AND _text IS NOT NULL AND _lang IS NOT NULL").where(~held_out(F.col("_id")))
-    languages = [r._lang for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").collect()]
-    sample = bounded_sample(rows, F.col("_id"), max_rows).select("_lang", "_text")
+    sizes = {r._lang: r.n for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").collect()}
+    languages = list(sizes)
+    sample = bounded_sample_of_each(rows, F.col("_id"), "_lang", sizes, max_rows).select("_lang", "_text")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

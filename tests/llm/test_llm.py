@@ -627,3 +627,10 @@ def test_passages_of_an_id_with_two_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(tuple(r) for r in suffixes.repeated_passages(df, least=12, seed=3, hot=8).collect())
     assert got == brute_passages(rows, 12)
+
+
+def test_rare_language_is_learned_at_any_size(spark):
+    rows = [(i, f"the common tongue speaks of house {i}", "big") for i in range(4000)] + [(10_000 + i, "zyxqu vwkro pljzi", "rare") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_rows=100)
+    assert model.languages == ["big", "rare"] and model.predict("zyxqu vwkro")[0] == "rare"
