@@ -634,3 +634,12 @@ def test_rare_language_is_learned_at_any_size(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(docs, max_rows=100)
     assert model.languages == ["big", "rare"] and model.predict("zyxqu vwkro")[0] == "rare"
+
+
+def test_seeds_of_two_texts_at_one_position_keep_their_parts(spark):
+    text = " ".join(f"h{i}" for i in range(12))
+    _, first, key, _ = next(suffixes.windows(text, 12, 3))
+    at, own = int(first[0]), int(key.view(np.int64)[0])
+    places = [(at, own, 4), (at, own ^ 1, 1)]
+    docs = spark.createDataFrame([(1, text, places)], "_id long, _text string, _places array<struct<_at: long, _key: long, _parts: long>>")
+    assert [(r._key, r._parts) for r in suffixes._compared(docs, 12, 3).collect()] == [(own, 4)]
