@@ -24,8 +24,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (0.8 on five words), keep the document with the smallest id."""
-    return simhash.deduplicate_similar(docs)
+    """Of documents whose fingerprints (three words) links of at most three bits connect, keep the one with the smallest id."""
+    return simhash.deduplicate(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
