@@ -9,12 +9,6 @@ parent; a search follows only the edges that the radius allows. A shard above
 ``shard`` fingerprints is cut into parts, and each part's tree is sent to every
 other part of its shard, so a tree and its queries always have a bounded size.
 Out of a shard go the links of a spanning forest, not all pairs.
-
-Three bits of 64 are far less than two texts of similarity 0.8 differ in: about ten.
-:func:`similar` finds those on shingles of five words. At so wide a radius bit blocks do not
-prune, and no radius below 64 is sure to hold every such pair, so its shards are what
-equal bands of a MinHash signature connect, and inside a shard the shingles of all
-pairs whose set sizes allow the similarity are compared.
 """
 
 from __future__ import annotations
@@ -23,9 +17,8 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -40,15 +33,6 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Most fingerprints in a tree.
 SHARD = 1024
 _SPAN = 1 << 17
-#: Words in a shingle and least Jaccard similarity of near duplicates.
-WORDS, SIMILAR = 5, 0.8
-#: Bands of the signature and hashes in a band: of pairs at 0.8 all but one in 1,400 agree in a band.
-BANDS, BAND_ROWS = 24, 6
-#: Texts whose shingles are compared together, on average.
-SIMILAR_SHARD = 512
-#: Slots of the table that bounds the shingles two texts share; a power of two.
-_SLOTS = 1 << 20
-_TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None) -> int:
@@ -218,156 +202,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return prints.join(of_print, "_fp").select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles in lower case; a shorter text is one shingle, also if it has no word."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    whole = b" ".join(parts)
-    if len(parts) <= words:
-        return np.array([xxh64_intdigest(whole, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(parts) - words + 1]
-    cut = map(whole.__getitem__, map(slice, starts.tolist(), ends[words - 1 :].tolist()))
-    return np.unique(np.fromiter(map(xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(starts)))
-
-
-def _signature(found: np.ndarray) -> np.ndarray:
-    """Hashes of the bands of the MinHash signature of distinct shingles."""
-    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), _SPAN):
-        part = found[at : at + _SPAN]
-        for i, turn in enumerate(_TURNS):
-            least[i] = min(least[i], (part * turn).min())
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return np.array([xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
-
-
-def _linked(sets: list[np.ndarray], asks: np.ndarray | None, least: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest among ``sets``, or between those that ask and the others, by position.
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group that links connect, one document stays, the smallest.
 
-    Sets are visited by size, so those that a set can be similar to are neighbours. A table of
-    slots bounds from above how many shingles it shares with each of them; where the
-    bound allows the similarity, the shingles are compared.
+    A document is an id with a text; documents are ordered by id, null ids last, then by a hash of the text. So
+    an id that repeats with different texts loses only those that have a smaller near copy, and of near copies
+    under one id one stays. Rows equal in id and text share their fate; exact deduplication drops such copies. Null and blank texts
+    are one group. An empty table stays empty. All columns stay, whatever their names.
     """
-    sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    known = order if asks is None else order[~asks[order]]
-    if not len(known):
-        return []
-    slots = np.concatenate([(sets[m] & np.uint64(_SLOTS - 1)).astype(np.int32) for m in known])
-    begins = np.concatenate(([0], np.cumsum(sizes[known])))
-    seen, group, out = np.zeros(_SLOTS, bool), np.arange(len(sets)), []
-    for at, n in enumerate(order if asks is None else order[asks[order]]):
-        # a little wide; the comparison decides
-        low = np.searchsorted(sizes[known], np.floor(least * sizes[n]))
-        high = at if asks is None else np.searchsorted(sizes[known], np.ceil(sizes[n] / least), "right")
-        if low >= high or (group[known[low:high]] == group[n]).all():
-            continue
-        own = (sets[n] & np.uint64(_SLOTS - 1)).astype(np.int32)
-        seen[own] = True
-        most = np.add.reduceat(seen[slots[begins[low] : begins[high]]], begins[low:high] - begins[low], dtype=np.int64)
-        seen[own] = False
-        near = known[low:high]
-        for m in near[most >= least * (sizes[n] + sizes[near] - most)].tolist():
-            if group[m] == group[n]:
-                continue
-            both = len(np.intersect1d(sets[n], sets[m], assume_unique=True))
-            if both >= least * (sizes[n] + sizes[m] - both):
-                group[group == group[m]] = group[n]
-                out.append((int(n), m))
-    return out
-
-
-def _compare(least: float):
-    """Links of a spanning forest among the texts of one shard part, or between two parts."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_id_id", "_id_text"])
-        ids, texts, sets = rows["_id_id"].to_numpy(), rows["_id_text"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["_set"]]
-        alone = bool((rows["_left"] == rows["_right"]).all())
-        links = np.array(_linked(sets, None if alone else rows["_query"].to_numpy(bool), least), np.int64).reshape(-1, 2)
-        a, b = links.T
-        return pd.DataFrame({"a": ids[a], "a_text": texts[a], "b": ids[b], "b_text": texts[b]})
-
-    return run
-
-
-#: A document of the near stage: its id and a hash of its text, so that an id may repeat with other texts.
-_NODE = "struct<id: long, text: long>"
-
-
-def _node(text: str, doc_id: str) -> Column:
-    return F.struct(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text"))
-
-
-def _similar(docs: DataFrame, text: str, doc_id: str, least: float, shard: int) -> DataFrame:
-    """node, root: documents (id and text hash) that similar ones connect with others, and the smallest of their group."""
-    rows = docs.select(_node(text, doc_id).alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).where("_id.id IS NOT NULL")
-
-    def sign():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bands = pa.array([_signature(shingles(t.as_py())) for t in batch.column(1)], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column(0), bands], ["_id", "_bands"])
-
-        return step
+    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text"))
+    rows = docs.select(key.alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
 
-    signed = cut_lineage(batches(rows, sign, f"_id {_NODE}, _bands array<long>"))
-    keyed = signed.select("_id", F.explode("_bands").alias("_key"))
-    heads = cut_lineage(keyed.groupBy("_key").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most"))
-    coarse = components(keyed.join(heads, "_key").select(F.col("_id").alias("a"), F.col("_least").alias("b")).distinct())
-    members = cut_lineage(coarse.select(F.col("node").alias("_id"), F.col("root").alias("_root")))
-    parts = cut_lineage(members.groupBy("_root").agg(F.ceil(F.count("*") / shard).alias("_parts")))
-    members = members.join(parts, "_root").select("_id", "_root", "_parts")
-
-    def gather():
+    def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], sets], ["_id", "_root", "_parts", "_set"])
+            found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["_key", "_fp"])
 
         return step
 
-    sets = cut_lineage(batches(rows.join(members, "_id").select("_id", "_text", "_root", "_parts"), gather, f"_id {_NODE}, _root {_NODE}, _parts long, _set binary"))
-    own = F.pmod(F.xxhash64("_id"), F.col("_parts"))
-    ways = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1),
-        lambda other: F.struct(F.least(own, other).alias("_left"), F.greatest(own, other).alias("_right"), (other < own).alias("_query")),
-    )
-    fields = [F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in ("_id", "_root") for y in ("id", "text")]
-    spread = sets.select("*", F.explode(ways).alias("_way")).select(*fields, "_set", "_way.*")
-    links = spread.groupBy("_root_id", "_root_text", "_left", "_right").applyInPandas(_compare(least), "a long, a_text long, b long, b_text long")
-    ends = [F.struct(F.col(x).alias("id"), F.col(f"{x}_text").alias("text")).alias(x) for x in "ab"]
-    return components(links.select(*ends))
-
-
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILAR, shard: int = SIMILAR_SHARD) -> DataFrame:
-    """doc_id, component_id of the documents that similar ones connect with others: one row each.
-
-    Similar are texts whose sets of five-word shingles have a Jaccard similarity of ``least`` or
-    more; component_id is the smallest id reachable. Texts of fewer words, null and blank ones
-    included, are similar to equal ones only. Rows without an id take no part. A document is an
-    id with a text: an id that repeats with different texts has a row for each that is
-    connected, and rows equal in both count once. Only
-    documents that share a band with another have their shingles gathered.
-    """
-    return _similar(docs, text, doc_id, least, shard).select(F.col("node.id").alias("doc_id"), F.col("root.id").alias("component_id"))
-
-
-def deduplicate_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILAR, shard: int = SIMILAR_SHARD) -> DataFrame:
-    """The rows of ``docs`` but those that :func:`similar` connects with a smaller document; rows without an id stay.
-
-    Documents are ordered by id, then by a hash of the text. Of an id that repeats with different
-    texts only the texts with a smaller near copy go, and of near copies under one id one
-    stays. Rows equal in id and text share their fate; exact deduplication drops such copies.
-    """
-    gone = cut_lineage(_similar(docs, text, doc_id, least, shard).where("node <> root").select("node.*").toDF("_gone", "_gone_text"))
-    same = (F.col(f"`{doc_id}`").cast("long") == F.col("_gone")) & (_node(text, doc_id)["text"] == F.col("_gone_text"))
-    return docs.join(gone, same, "left_anti")
-
-
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """The rows of ``docs`` whose id names their group: one document of each stays.
-
-    Rows that share an id share its fate; rows without an id stay.
-    """
-    found = near_duplicates(docs, text, doc_id, radius, shard)
-    gone = cut_lineage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    prints = cut_lineage(batches(rows, make, "_key struct<none: boolean, id: long, text: long>, _fp long"))
+    roots = components(link_forest(prints.select("_fp").distinct(), radius, shard)).toDF("_fp", "_root")
+    grouped = prints.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
+    stays = grouped.groupBy("_root").agg(F.min("_key").alias("_stays"))
+    gone = cut_lineage(grouped.join(stays, "_root").where("_key <> _stays").select(F.col("_key").alias("_gone")).distinct())
+    return docs.join(gone, key.eqNullSafe(F.col("_gone")), "left_anti")
