@@ -30,7 +30,7 @@ class Bits:
 
 def bits_of(rows: DataFrame, column: str, n: int) -> Bits:
     """Of a column of longs in ``n`` rows; one row per 64 slots, 2 ** (MAX_BITS - 6) at most, comes to the driver."""
-    bits = min(MAX_BITS, max(MIN_BITS, (16 * n).bit_length()))
+    bits = min(MAX_BITS, max(MIN_BITS, (64 * n).bit_length()))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(1 << bits - 6, np.uint64)

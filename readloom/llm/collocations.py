@@ -8,8 +8,8 @@ frequent fingerprints of that length. The table is of bounded size: where it fil
 prunes less and loses nothing. Only fingerprints and counts of what is left are shuffled.
 
 A last pass over the texts verifies and materialises. Occurrences whose
-fingerprint is frequent point at the first one of their block, word for word comparison
-with it tells collisions apart, and each block sends one row per phrase: its text, its
+fingerprint is frequent point at the first one of their task, word for word comparison
+with it tells collisions apart, and each task sends one row per phrase: its text, its
 count and a document that holds it. Counts are then added up by text, so a collision costs a
 row and never changes a result.
 """
@@ -17,10 +17,10 @@ row and never changes a result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import count
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,86 +28,31 @@ from xxhash import xxh64_intdigest
 
 from readloom.llm.bits import Bits, bits_of
 from readloom.llm.common import cut_lineage
+from readloom.llm.grams import ALL, Block
 
 #: Fixed values of the contract: longest phrase, least occurrences, factor of the score, per cent that a longer phrase may hold, phrases per language.
 LONGEST, LEAST, SCALE, INSIDE, TOP = 4, 30, 2_000_000, 80, 2000
 #: Bytes of text handled together; a piece longer than this is one block.
 BLOCK = 1 << 21
-#: Fingerprints counted together before they leave a task.
-HELD = 1 << 21
+#: Fingerprints counted, or words and phrases held, before they leave a task; rows that leave it together.
+HELD, ROWS = 1 << 21, 1 << 16
 #: Phrases ranked by one task, on average.
 RANKED = 50_000
 
 #: 0 inside a word, 1 blank, 2 between pieces.
 _KIND = bytes(2 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 1 if chr(c) in " \t" else 0 for c in range(256))
-_BASES = (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15)
-_ALL = (1 << 64) - 1
 
 
-@lru_cache(maxsize=2)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse modulo 2 ** 64, for i below n."""
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(n, b, np.uint64)
-        steps[0] = 1
-        both.append(np.cumprod(steps))
-    return both[0], both[1]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _sums(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix polynomials of ``values``, and what brings a difference of two back to power 0."""
-    room = 1 << max(len(values), 1).bit_length()
-    power, inverse = _powers(base, room)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=out[1:])
-    return out, inverse
-
-
-class Block:
-    """The words of some texts: where they stand, their piece and document, and the fingerprints of their runs.
-
-    ``mask`` keeps only some bits of a fingerprint, to make collisions in tests.
-    """
-
-    def __init__(self, texts: list[bytes], keys: np.ndarray, mask: int = _ALL) -> None:
-        self.text = b"\n".join(texts).lower()
-        kind = np.frombuffer(self.text.translate(_KIND), np.uint8)
-        edge = np.diff(np.concatenate(([0], (kind == 0).view(np.int8), [0])))
-        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
-        begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-        self.doc = np.searchsorted(begins, self.starts, "right") - 1
-        letters, inverse = _sums(np.frombuffer(self.text, np.uint8).astype(np.uint64) + np.uint64(1), _BASES[0])
-        words = _mixed((letters[self.ends] - letters[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
-        self._words, self._inverse = _sums(words, _BASES[1])
-        self._key = keys[self.doc]
-        self._mask = np.uint64(mask)
-
-    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and fingerprint of every run of ``n`` words inside a piece."""
-        if len(self.starts) < n:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        first = np.flatnonzero(self.piece[: len(self.piece) - n + 1] == self.piece[n - 1 :])
-        raw = (self._words[first + n] - self._words[first]) * self._inverse[first]
-        return first, _mixed(raw + self._key[first] + np.uint64(n)) & self._mask
-
-    def candidates(self, n: int, shorter: Bits | None) -> tuple[np.ndarray, np.ndarray]:
-        """Those of :meth:`runs` whose two runs of one word less may be frequent."""
-        first, found = self.runs(n)
-        if shorter is None or not len(first):
-            return first, found
-        some, less = self.runs(n - 1)
-        good = np.zeros(len(self.starts), bool)
-        good[some] = shorter.has(less)
-        may = good[first] & good[first + 1]
-        return first[may], found[may]
+def _candidates(block: Block, n: int, shorter: Bits | None) -> tuple[np.ndarray, np.ndarray]:
+    """First word and fingerprint of the runs of ``n`` words whose two runs of one word less may be frequent."""
+    first, found = block.runs(n)
+    if shorter is None or not len(first):
+        return first, found
+    some, less = block.runs(n - 1)
+    good = np.zeros(len(block.starts), bool)
+    good[some] = shorter.has(less)
+    may = good[first] & good[first + 1]
+    return first[may], found[may]
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -130,7 +75,7 @@ def _blocks(batch: pa.RecordBatch, mask: int) -> Iterator[tuple[Block, list[str]
 
     def block():
         keys = {x: xxh64_intdigest(x) for x in set(langs)}
-        return Block(texts, np.array([keys[x] for x in langs], np.uint64), mask), langs, ids
+        return Block(texts, _KIND, np.array([keys[x] for x in langs], np.uint64), mask), langs, ids
 
     for doc_id, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
         for part in _pieces(text or b""):
@@ -157,7 +102,7 @@ def _counted(rows: DataFrame, n: int, shorter, least: int, mask: int) -> DataFra
 
         for batch in source:
             for block, _, _ in _blocks(batch, mask):
-                held.append(block.candidates(n, shorter and shorter.value)[1])
+                held.append(_candidates(block, n, shorter and shorter.value)[1])
                 size += len(held[-1])
                 if size >= HELD:
                     yield out()
@@ -169,49 +114,93 @@ def _counted(rows: DataFrame, n: int, shorter, least: int, mask: int) -> DataFra
     return cut_lineage(counts.where(F.col("_n") >= least).select("_print"))
 
 
+class _Found:
+    """Phrases of a task: for each the words it points at, as numbers, and how often they occurred."""
+
+    def __init__(self, longest: int) -> None:
+        self.words: dict[bytes, int] = {}
+        self.place = [{} for _ in range(longest)]
+        # per phrase its language, its document and its words
+        self.shown = [np.empty((0, n + 2), np.int64) for n in range(1, longest + 1)]
+        self.times = [np.empty(0, np.int64) for _ in range(longest)]
+        self.others: dict[tuple[str, bytes], list] = {}
+        self.langs: dict[str, int] = {}
+        self.ids: list[int | None] = []
+
+    def size(self) -> int:
+        return len(self.words) + sum(map(len, self.times)) + len(self.others)
+
+    def add(self, block: Block, langs: list[str], ids: list[int | None], tables: list[Bits]) -> None:
+        words = [block.text[s:e] for s, e in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
+        fresh = set(words) - self.words.keys()
+        self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
+        number = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        for lang in langs:
+            self.langs.setdefault(lang, len(self.langs))
+        lang = np.array([self.langs[x] for x in langs], np.int64)
+        for name, n in zip(langs, np.bincount(block.doc, minlength=len(langs)).tolist(), strict=True):
+            self.others.setdefault((name, b""), [0, 0, None])[1] += n
+        for n, table in enumerate(tables, 1):
+            first, found = block.runs(n)
+            may = table.has(found)
+            first = first[may]
+            codes, values = pd.factorize(found[may])
+            head = np.empty(len(values), np.int64)
+            head[codes[::-1]] = first[::-1]
+            place, times, shown = self.place[n - 1], self.times[n - 1], self.shown[n - 1]
+            values = values.tolist()
+            at = np.fromiter(map(place.get, values, repeat(-1)), np.int64, len(values))
+            new = np.flatnonzero(at < 0)
+            at[new] = np.arange(len(times), len(times) + len(new))
+            place.update(zip(map(values.__getitem__, new.tolist()), at[new].tolist(), strict=True))
+            doc = block.doc[head[new]]
+            shown = np.concatenate((shown, np.stack([lang[doc], len(self.ids) + doc, *(number[head[new] + k] for k in range(n))], axis=1)))
+            # an equal fingerprint is not enough: language and words have to be those of the occurrence pointed at
+            of = at[codes]
+            same = lang[block.doc[first]] == shown[of, 0]
+            for k in range(n):
+                same &= number[first + k] == shown[of, k + 2]
+            self.shown[n - 1] = shown
+            self.times[n - 1] = np.bincount(of[same], minlength=len(shown)) + np.concatenate((times, np.zeros(len(new), np.int64)))
+            for other in first[~same].tolist():
+                own = block.doc[other]
+                self.others.setdefault((langs[own], b" ".join(words[other : other + n])), [n, 0, ids[own]])[1] += 1
+        self.ids += ids
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        words, langs = list(self.words), list(self.langs)
+        names, kinds = ["_lang", "_words", "_phrase", "_n", "_doc"], [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        rest = [[k[0] for k in self.others], [v[0] for v in self.others.values()], [k[1] for k in self.others], [v[1] for v in self.others.values()], [v[2] for v in self.others.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rest, kinds, strict=True)], names)
+        for n, (shown, times) in enumerate(zip(self.shown, self.times, strict=True), 1):
+            for at in range(0, len(times), ROWS):
+                part = shown[at : at + ROWS]
+                texts = [list(map(words.__getitem__, part[:, k + 2].tolist())) for k in range(n)]
+                phrases = list(map(b" ".join, zip(*texts, strict=True)))
+                columns = [[langs[i] for i in part[:, 0].tolist()], np.full(len(part), n, np.int32), phrases, times[at : at + ROWS], [self.ids[i] for i in part[:, 1].tolist()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
 def _phrases(rows: DataFrame, tables, mask: int) -> DataFrame:
-    """_lang, _words, _phrase, _n, _doc: a row per block and phrase of a frequent fingerprint; no word stands for the sum of all words."""
+    """_lang, _words, _phrase, _n, _doc: a row per phrase of a frequent fingerprint and task, or part of one; no word stands for the sum of all words."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Found(len(tables.value))
         for batch in source:
             for block, langs, ids in _blocks(batch, mask):
-                words = [block.text[s:e] for s, e in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
-                seen: dict[bytes, int] = {}
-                # a word's number is the place where it first stands in the block
-                number = np.fromiter(map(seen.setdefault, words, count()), np.int64, len(words))
-                out: dict[tuple[str, bytes], list] = {}
-                per_doc = np.bincount(block.doc, minlength=len(langs)).tolist()
-                for lang, n in zip(langs, per_doc, strict=True):
-                    out.setdefault((lang, b""), [0, 0, None])[1] += n
-                for n, table in enumerate(tables.value, 1):
-                    first, found = block.runs(n)
-                    may = table.has(found)
-                    first, found = first[may], found[may]
-                    order = np.argsort(found, kind="stable")
-                    first, found = first[order], found[order]
-                    begin = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.empty(0, np.int64)
-                    sizes = np.diff(np.append(begin, len(found)))
-                    head = np.repeat(first[begin], sizes)
-                    # an equal fingerprint is not enough: the words have to be those of the occurrence pointed at
-                    same = block._key[first] == block._key[head]
-                    for k in range(n):
-                        same &= number[first + k] == number[head + k]
-                    heads = zip(first[begin].tolist(), np.add.reduceat(same, begin, dtype=np.int64).tolist() if len(begin) else [], strict=True)
-                    for at, times in [*heads, *((x, 1) for x in first[~same].tolist())]:
-                        doc = block.doc[at]
-                        entry = out.setdefault((langs[doc], b" ".join(words[at : at + n])), [n, 0, ids[doc]])
-                        entry[1] += times
-                columns = [[k[0] for k in out], [v[0] for v in out.values()], [k[1] for k in out], [v[1] for v in out.values()], [v[2] for v in out.values()]]
-                kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["_lang", "_words", "_phrase", "_n", "_doc"])
+                found.add(block, langs, ids, tables.value)
+                if found.size() > HELD:
+                    yield from found.rows()
+                    found = _Found(len(tables.value))
+        yield from found.rows()
 
     return rows.mapInArrow(run, "_lang string, _words int, _phrase binary, _n long, _doc long").withColumn("_phrase", F.col("_phrase").cast("string"))
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: int = LEAST, longest: int = LONGEST, mask: int = _ALL) -> DataFrame:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: int = LEAST, longest: int = LONGEST, mask: int = ALL) -> DataFrame:
     """lang, words, phrase, n, doc_id: every run of up to ``longest`` words that occurs ``least`` times in its language.
 
-    words is the number of words, doc_id one document that holds the phrase: the occurrence its rows pointed at, the
+    words is the number of words, doc_id one document that holds the phrase: that of the occurrence its rows pointed at, the
     smallest of several. The row of zero words has the number of all words of the language.
     """
     rows = docs.select(
@@ -266,7 +255,7 @@ def _best(rows: DataFrame, top: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: int = LEAST, longest: int = LONGEST, inside: int = INSIDE, top: int = TOP, mask: int = _ALL) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: int = LEAST, longest: int = LONGEST, inside: int = INSIDE, top: int = TOP, mask: int = ALL) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score, doc_id: the ``top`` phrases of each language.
 
     Null languages are ``und``; null and empty texts have no words; repeated rows count each time. Ties of

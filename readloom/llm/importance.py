@@ -33,7 +33,7 @@ BUCKETS, WORDS, SEED, LEAST_WORDS = 10_000, 3, 42, 20
 #: Of every 100 documents with enough words, this many are drawn.
 PERCENT = 5
 #: Most words and pairs in the broadcast vocabulary, longest word in it, slots of its table of pairs.
-HEAD, PAIRS, HEAD_BYTES, SLOTS = 1 << 16, 1 << 17, 31, 1 << 19
+HEAD, PAIRS, HEAD_BYTES, SLOTS = 1 << 15, 1 << 15, 31, 1 << 17
 #: Words handled together.
 CHUNK = 1 << 18
 

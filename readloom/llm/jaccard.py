@@ -4,8 +4,8 @@ Shingles are ordered by how often they occur, rare ones first; how often is read
 counters of fixed size, which orders all shingles alike in every task. Two sets of similarity
 ``LEAST`` share a shingle among the first tenth of each (the prefix), so only prefixes are
 joined. Where two meet, their sizes (length filter), the places of the shared shingle in
-both (positional filter) and counts of what follows it by ranges of hashes (suffix
-filter) bound the similarity from above, before a pair is made. Pairs that are left are
+both (positional filter) and counts of their shingles by ranges of hashes (suffix
+filter, over all of a set and not only what follows) bound the similarity from above. Pairs that are left are
 compared on their whole sets, each once.
 
 Equal sets are folded first: a class of copies is one node. A shingle that very many
@@ -19,42 +19,56 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh3_128_digest
 
-from readloom.llm.bits import bits_of
+from readloom.llm.bits import Bits, bits_of
 from readloom.llm.common import cut_lineage
 from readloom.llm.components import components
+from readloom.llm.grams import Block
 
 #: Fixed values of the contract: words of a shingle, per cent of the union that the intersection holds at least.
 WORDS, LEAST = 3, 90
-SEED = 42
+#: Bytes of text hashed together; a longer text is hashed alone.
+BYTES = 1 << 20
 #: Counters that order the shingles, a power of two, and the parts in which they are added up.
 SLOTS, SLOT_PARTS = 1 << 20, 64
 #: Ranges of hashes of the suffix filter.
 RANGES = 16
+_RANGES = np.arange(RANGES, dtype=np.uint64) << np.uint64(60)
 #: Sets of a shingle that are compared in one task, on average.
 BLOCK = 1024
+#: Keys of rows up to this many go to every task; beyond, a table of bits finds the rows.
+BROADCAST_KEYS = 200_000
 
+_KIND = bytes(1 if c == 32 or 9 <= c <= 13 else 0 for c in range(256))
 _NODE = "struct<high: long, low: long>"
 
 
-def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; fewer words are one shingle, none give no shingle."""
-    parts = text.lower().split() if text else []
-    whole = b" ".join(parts)
-    if len(parts) <= words:
-        return np.array([xxh64_intdigest(whole, SEED)] if parts else [], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(parts) - words + 1]
-    cut = map(whole.__getitem__, map(slice, starts.tolist(), ends[words - 1 :].tolist()))
-    return np.unique(np.fromiter(map(xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(starts)))
+def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles; fewer words are one shingle, none give no shingle."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < BYTES:
+            size += len(texts[end] or b"")
+            end += 1
+        block = Block([t or b"" for t in texts[at:end]], _KIND)
+        counts = np.bincount(block.doc, minlength=end - at)
+        begins = np.cumsum(counts) - counts
+        first, found = block.runs(words)
+        cuts = np.searchsorted(first, np.append(begins, len(block.starts))).tolist()
+        short = np.flatnonzero((counts > 0) & (counts < words))
+        whole = dict(zip(short.tolist(), block.prints(begins[short], counts[short]), strict=True))
+        for i in range(end - at):
+            own = np.sort(found[cuts[i] : cuts[i + 1]])
+            yield np.array([whole[i]], np.uint64) if i in whole else own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
+        at = end
 
 
 def node_of(found: np.ndarray) -> tuple[int, int]:
@@ -73,23 +87,28 @@ def _nodes(pairs: list[tuple[int, int]]) -> pa.Array:
 
 
 def _signed(rows: DataFrame, words: int) -> DataFrame:
-    """_id, _n, _node per row of (_id, _text); and per task a row with the counters of its shingles."""
+    """_id, _n, _node, _ranges per row of (_id, _text); and per task a row with the counters of its shingles.
+
+    _ranges counts the shingles by range of their hashes.
+    """
+
+    names = ["_id", "_n", "_node", "_ranges", "_counts"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in source:
-            sizes, nodes = [], []
-            for text in batch.column(1):
-                found = shingles(text.as_py(), words)
-                np.add.at(total, slot_of(found), 1)
+            sizes, nodes, ranges = [], [], []
+            for found in shingle_sets(batch.column(1).to_pylist(), words):
+                ranges.append(np.minimum(np.diff(np.searchsorted(found, _RANGES), append=len(found)), 65535).astype(np.uint16).tobytes())
+                total[slot_of(found)] += 1  # once where two shingles of a text share a counter: the order stays one order
                 sizes.append(len(found))
                 nodes.append(node_of(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _nodes(nodes), pa.nulls(len(sizes), pa.binary())], ["_id", "_n", "_node", "_counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _nodes(nodes), pa.array(ranges, pa.binary()), pa.nulls(len(sizes), pa.binary())], names)
         if total.any():
             blob = zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), _nodes([(0, 0)]), pa.array([blob], pa.binary())], ["_id", "_n", "_node", "_counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), _nodes([(0, 0)]), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names)
 
-    return cut_lineage(rows.mapInArrow(run, f"_id long, _n long, _node {_NODE}, _counts binary"))
+    return cut_lineage(rows.mapInArrow(run, f"_id long, _n long, _node {_NODE}, _ranges binary, _counts binary"))
 
 
 def _order(signed: DataFrame) -> np.ndarray:
@@ -116,6 +135,11 @@ def _order(signed: DataFrame) -> np.ndarray:
     return out
 
 
+def _chosen(batch: pa.RecordBatch, keys: Bits) -> list[bytes | None]:
+    """The texts of a batch (_text, _key) whose key may be in the table."""
+    return batch.column(0).filter(pa.array(keys.has(batch.column(1).to_numpy().view(np.uint64)))).to_pylist()
+
+
 def _prefix(found: np.ndarray, order: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``found``, rare shingles first, and how many of them are the prefix."""
     # found is sorted, so equal counters leave the order of the hashes
@@ -123,100 +147,81 @@ def _prefix(found: np.ndarray, order: np.ndarray, least: int) -> tuple[np.ndarra
     return by, len(found) - -(-least * len(found) // 100) + 1
 
 
-def _prefixes(rows: DataFrame, order, words: int, least: int) -> DataFrame:
-    """_token, _low: the prefixes of all sets, sets named by half of their name."""
+def _prefixes(rows: DataFrame, reps, order, words: int, least: int) -> DataFrame:
+    """_token, _node, _n, _pos: the prefixes of all sets, each of a row that speaks for its copies."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            tokens, lows = [], []
-            for text in batch.column(0):
-                found = shingles(text.as_py(), words)
+            tokens, names, counts = [np.empty(0, np.uint64)], [], []
+            for found in shingle_sets(_chosen(batch, reps.value), words):
                 if len(found):
                     by, n = _prefix(found, order.value, least)
                     tokens.append(found[by[:n]])
-                    lows.append(np.full(n, node_of(found)[1]))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(lows))], ["_token", "_low"])
-
-    return rows.select("_text").mapInArrow(run, "_token long, _low long")
+                    names.append((*node_of(found), len(found)))
+                    counts.append(n)
+            high, low, n = np.repeat(np.array(names, np.int64).reshape(-1, 3), counts, axis=0).T
+            place = np.arange(len(n)) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.int64)
+            node = pa.StructArray.from_arrays([pa.array(high), pa.array(low)], ["high", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), node, pa.array(n), pa.array(place)], ["_token", "_node", "_n", "_pos"])
 
+    return rows.select("_text", "_key").mapInArrow(run, f"_token long, _node {_NODE}, _n long, _pos long")
 
-def _entries(rows: DataFrame, order, shared, words: int, least: int) -> DataFrame:
-    """_token, _node, _n, _pos, _after: the entries of the prefixes whose shingle another set may share.
 
-    _after counts the shingles that follow in the order of the set, by range of their hashes.
-    """
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """The entries of the prefixes whose shingle another set may share; a table of bits keeps the others out of the shuffles."""
+    twice = prefixes.groupBy("_token").agg(F.min("_node.low").alias("_a"), F.max("_node.low").alias("_b")).where("_a < _b")
+    twice = cut_lineage(twice.select("_token"))
+    bits = prefixes.sparkSession.sparkContext.broadcast(bits_of(twice, "_token", twice.count()))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            tokens, nodes, sizes, places, after = [], [], [], [], []
-            for text in batch.column(0):
-                found = shingles(text.as_py(), words)
-                if not len(found):
-                    continue
-                by, n = _prefix(found, order.value, least)
-                prefix = found[by[:n]]
-                at = np.flatnonzero(shared.value.has(prefix))
-                if not len(at):
-                    continue
-                ranges = (found >> np.uint64(60)).astype(np.int64)
-                seen = np.zeros((n, RANGES), np.int64)
-                seen[np.arange(n), ranges[by[:n]]] = 1
-                left = np.bincount(ranges, minlength=RANGES) - np.cumsum(seen, axis=0)[at]
-                tokens.append(prefix[at])
-                nodes += [node_of(found)] * len(at)
-                sizes.append(np.full(len(at), len(found)))
-                places.append(at)
-                after += [x.tobytes() for x in np.minimum(left, 65535).astype(np.uint16)]
-            if tokens:
-                numbers = [np.concatenate(x) for x in (tokens, sizes, places)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers[0].view(np.int64)), _nodes(nodes), pa.array(numbers[1]), pa.array(numbers[2]), pa.array(after, pa.binary())],
-                    ["_token", "_node", "_n", "_pos", "_after"],
-                )
-
-    return rows.select("_text").mapInArrow(run, f"_token long, _node {_NODE}, _n long, _pos long, _after binary")
-
-
-def may_link(n, pos, after, m, at, following, least: int) -> np.ndarray:
-    """Whether sets of sizes n and m that share a shingle at pos and at (and none before) can reach the similarity."""
+            yield batch.filter(pa.array(bits.value.has(batch.column(0).to_numpy().view(np.uint64))))
+
+    return cut_lineage(prefixes.mapInArrow(run, prefixes.schema))
+
+
+def may_link(n, pos, ranges, m, at, others, least: int) -> np.ndarray:
+    """Whether sets of sizes n and m that share a shingle at pos and at, and none before, can reach the similarity.
+
+    ``ranges`` and ``others`` count their shingles by range of hashes: where the counts differ, so do the sets.
+    """
     need = -(-least * (n + m) // (100 + least))
     size = (100 * np.minimum(n, m) >= least * np.maximum(n, m)) & (np.minimum(n - pos, m - at) >= need)
-    apart = np.abs(after.astype(np.int64) - following.astype(np.int64)).sum(axis=-1)
-    # of what follows in both, twice the common part is at most the sum less what is surely apart
-    return size & (2 + (n - pos - 1) + (m - at - 1) - apart >= 2 * need)
+    apart = np.abs(ranges.astype(np.int64) - others.astype(np.int64)).sum(axis=-1)
+    return size & (n + m - np.maximum(apart, pos + at) >= 2 * need)
 
 
-def _after_of(column: pa.Array | list) -> np.ndarray:
+def _counts_of(column: pa.Array | list) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, RANGES)
 
 
-def _pairs(met: DataFrame, least: int) -> DataFrame:
-    """a, b, each pair once: of the pairs (_node, _n, _pos, _after and the same in _other) those that pass the filters."""
+def _pairs(met: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """a, b, each pair once: of the pairs (_node, _n, _pos and the same in _other) those that pass the filters."""
     n, m, pos, at = F.col("_n"), F.col("_other._n"), F.col("_pos"), F.col("_other._pos")
-    sizes = (100 * F.least(n, m) >= least * F.greatest(n, m)) & ((100 + least) * F.least(n - pos, m - at) >= least * (n + m))
-    columns = [F.col("_node").alias("a"), "_n", "_pos", "_after", F.col("_other._node").alias("b"), m.alias("_m"), at.alias("_at"), F.col("_other._after").alias("_following")]
+    size = (100 * F.least(n, m) >= least * F.greatest(n, m)) & ((100 + least) * F.least(n - pos, m - at) >= least * (n + m))
+    near = met.where(size).select(F.col("_node").alias("a"), "_n", "_pos", F.col("_other._node").alias("b"), m.alias("_m"), at.alias("_at"))
+    near = near.join(sets.select(F.col("_node").alias("a"), "_ranges"), "a").join(sets.select(F.col("_node").alias("b"), F.col("_ranges").alias("_others")), "b")
 
     def suffix(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             if batch.num_rows:
-                n, pos, m, at = (batch.column(i).to_numpy() for i in (1, 2, 5, 6))
-                good = may_link(n, pos, _after_of(batch.column(3).to_pylist()), m, at, _after_of(batch.column(7).to_pylist()), least)
+                n, pos, m, at = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
+                good = may_link(n, pos, _counts_of(batch.column(6).to_pylist()), m, at, _counts_of(batch.column(7).to_pylist()), least)
                 kept = batch.filter(pa.array(good))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(4)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
-    found = met.where(sizes).select(*columns).mapInArrow(suffix, f"a {_NODE}, b {_NODE}")
+    found = near.select("a", "b", "_n", "_pos", "_m", "_at", "_ranges", "_others").mapInArrow(suffix, f"a {_NODE}, b {_NODE}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _hub_pairs(entries: DataFrame, least: int) -> DataFrame:
+def _hub_pairs(entries: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Every set with the hub of each of its shingles: the set that holds it earliest, as it has the fewest shingles of its own."""
-    hub = F.min(F.struct("_pos", "_n", "_node", "_after")).alias("_other")
+    hub = F.min(F.struct("_pos", "_n", "_node")).alias("_other")
     hubs = entries.groupBy("_token").agg(hub, F.count("*").alias("_sets")).where("_sets > 1").drop("_sets")
-    return _pairs(entries.join(hubs, "_token").where("_node <> _other._node"), least)
+    return _pairs(entries.join(hubs, "_token").where("_node <> _other._node"), sets, least)
 
 
-def _block_pairs(entries: DataFrame, least: int, block: int) -> DataFrame:
+def _block_pairs(entries: DataFrame, sets: DataFrame, least: int, block: int) -> DataFrame:
     """Sets of different components (_root) that share a shingle with others.
 
     The sets of a shingle are cut into parts of about ``block``, and each part meets each other one and itself in a
@@ -231,34 +236,42 @@ def _block_pairs(entries: DataFrame, least: int, block: int) -> DataFrame:
         lambda other: F.struct(F.least(own, other).alias("_left"), F.greatest(own, other).alias("_right"), (other < own).alias("_asks")),
     )
     keys = ["_token", "_left", "_right"]
-    rows = entries.join(crowd, "_token").select("*", F.explode(ways).alias("_way")).select("_token", "_node", "_root", "_n", "_pos", "_after", "_way.*")
-    others = rows.select(*keys, "_asks", F.struct("_node", "_root", "_n", "_pos", "_after").alias("_other")).where("NOT _asks").drop("_asks")
+    rows = entries.join(crowd, "_token").select("*", F.explode(ways).alias("_way")).select("_token", "_node", "_root", "_n", "_pos", "_way.*")
+    others = rows.select(*keys, "_asks", F.struct("_node", "_root", "_n", "_pos").alias("_other")).where("NOT _asks").drop("_asks")
     once = F.col("_asks") | ((F.col("_left") == F.col("_right")) & (F.col("_node") > F.col("_other._node")))
     met = rows.join(others, keys).where(once & (F.col("_root") != F.col("_other._root")))
-    return _pairs(met, least)
+    return _pairs(met, sets, least)
+
+
+def _key(doc_id: str) -> Column:
+    """A long for an id, null ones included."""
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """_node, _set of the wanted sets (_node, distinct), gathered from the texts; a table of bits keeps the others out of the shuffle."""
-    some = rows.sparkSession.sparkContext.broadcast(bits_of(wanted.select(F.col("_node.low").alias("_low")), "_low", wanted.count()))
+    """_node, _set of the wanted sets (_node, _key of a row that has it), gathered from the texts; tables of bits keep the others out."""
+    context, n = rows.sparkSession.sparkContext, wanted.count()
+    owners = context.broadcast(bits_of(wanted, "_key", n))
+    if n <= BROADCAST_KEYS:
+        rows = rows.join(F.broadcast(wanted.select("_key").distinct()), "_key", "left_semi")
+    some = context.broadcast(bits_of(wanted.select(F.col("_node.low").alias("_low")), "_low", n))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             sets = {}
-            for text in batch.column(0):
-                found = shingles(text.as_py(), words)
+            for found in shingle_sets(_chosen(batch, owners.value), words):
                 node = node_of(found)
                 if node not in sets and some.value.has(np.array([node[1]]).view(np.uint64))[0]:
                     sets[node] = found.view(np.int64)
             if sets:
                 yield pa.RecordBatch.from_arrays([_nodes(list(sets)), pa.array(list(sets.values()), pa.list_(pa.int64()))], ["_node", "_set"])
 
-    return rows.select("_text").mapInArrow(run, f"_node {_NODE}, _set array<long>").groupBy("_node").agg(F.first("_set").alias("_set")).join(wanted, "_node", "left_semi")
+    return rows.select("_text", "_key").mapInArrow(run, f"_node {_NODE}, _set array<long>").groupBy("_node").agg(F.first("_set").alias("_set")).join(wanted, "_node", "left_semi")
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, words: int, least: int) -> DataFrame:
+def _verified(rows: DataFrame, known: DataFrame, pairs: DataFrame, words: int, least: int) -> DataFrame:
     """The pairs (a, b, each once) whose sets are similar enough."""
-    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct())
+    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct().join(known.select("_node", _key("_least").alias("_key")), "_node"))
     sets = cut_lineage(_sets(rows, wanted, words))
     both = pairs.join(sets.toDF("b", "_of_b"), "b").join(sets.toDF("a", "_of_a"), "a")
     common = F.size(F.array_intersect("_of_a", "_of_b"))
@@ -275,25 +288,30 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     sets, so they are linked. Null ids link others but never name a component; one that only null ids
     reach has a null component_id. An empty table gives no rows. Other columns take no part, whatever their names.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("_text"))
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("_text"))
+    rows = own.select("_text", _key("_id").alias("_key"))
     context = docs.sparkSession.sparkContext
-    signed = _signed(rows, words)
+    signed = _signed(own, words)
     order = context.broadcast(_order(signed))
     signed = signed.where("_n IS NOT NULL").drop("_counts")
-    shared = _prefixes(rows, order, words, least).groupBy("_token").agg(F.min("_low").alias("_least"), F.max("_low").alias("_most")).where("_least < _most")
-    shared = cut_lineage(shared.select("_token"))
-    bits = context.broadcast(bits_of(shared, "_token", shared.count()))
-    entries = _entries(rows, order, bits, words, least).dropDuplicates(["_token", "_node"])
-    entries = cut_lineage(entries)
-    tried = cut_lineage(_hub_pairs(entries, least))
-    links = _verified(rows, tried, words, least)
+    # one row of each class of copies speaks for it, found by its id
+    sets = cut_lineage(signed.where("_n > 0").groupBy("_node").agg(F.min("_id").alias("_least"), F.max("_ranges").alias("_ranges")))
+    reps = context.broadcast(bits_of(sets.select(_key("_least").alias("_key")), "_key", sets.count()))
+    entries = _shared(cut_lineage(_prefixes(rows, reps, order, words, least)))
+    tried = cut_lineage(_hub_pairs(entries, sets, least))
+    links = _verified(rows, sets, tried, words, least)
     roots = cut_lineage(components(links).toDF("_node", "_root"))
     placed = entries.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-    rest = cut_lineage(_block_pairs(placed, least, block).join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rows, rest, words, least))
-        roots = cut_lineage(components(links).toDF("_node", "_root"))
-    sets = signed.where("_n > 0").groupBy("_node").agg(F.min("_id").alias("_least"))
+    rest = cut_lineage(_block_pairs(placed, sets, least, block).join(tried, ["a", "b"], "left_anti"))
+    more = _verified(rows, sets, rest, words, least) if not rest.isEmpty() else rest
+    if not more.isEmpty():
+        # between components only, so few
+        of = roots.toDF("_node", "_root")
+        ends = more.join(of.toDF("a", "_a"), "a", "left").join(of.toDF("b", "_b"), "b", "left")
+        tops = cut_lineage(components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))).toDF("_root", "_top"))
+        # a set that had no link so far is its own component
+        known = sets.join(roots, "_node", "left").select("_node", F.coalesce("_root", "_node").alias("_root"))
+        roots = known.join(tops, "_root", "left").select("_node", F.coalesce("_top", "_root").alias("_root"))
     rooted = sets.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     names = rooted.groupBy("_root").agg(F.min("_least").alias("_name"))
     of_set = cut_lineage(rooted.join(names, "_root").select("_node", "_name"))
