@@ -17,7 +17,6 @@ row and never changes a result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -119,7 +118,9 @@ class _Found:
 
     def __init__(self, longest: int) -> None:
         self.words: dict[bytes, int] = {}
-        self.place = [{} for _ in range(longest)]
+        # fingerprints in order, and which phrase each one is
+        self.known = [np.empty(0, np.uint64) for _ in range(longest)]
+        self.place = [np.empty(0, np.int64) for _ in range(longest)]
         # per phrase its language, its document and its words
         self.shown = [np.empty((0, n + 2), np.int64) for n in range(1, longest + 1)]
         self.times = [np.empty(0, np.int64) for _ in range(longest)]
@@ -131,10 +132,10 @@ class _Found:
         return len(self.words) + sum(map(len, self.times)) + len(self.others)
 
     def add(self, block: Block, langs: list[str], ids: list[int | None], tables: list[Bits]) -> None:
-        words = [block.text[s:e] for s, e in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
-        fresh = set(words) - self.words.keys()
+        own, texts = block.distinct()
+        fresh = set(texts) - self.words.keys()
         self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
-        number = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        number = np.fromiter(map(self.words.__getitem__, texts), np.int64, len(texts))[own]
         for lang in langs:
             self.langs.setdefault(lang, len(self.langs))
         lang = np.array([self.langs[x] for x in langs], np.int64)
@@ -147,12 +148,14 @@ class _Found:
             codes, values = pd.factorize(found[may])
             head = np.empty(len(values), np.int64)
             head[codes[::-1]] = first[::-1]
-            place, times, shown = self.place[n - 1], self.times[n - 1], self.shown[n - 1]
-            values = values.tolist()
-            at = np.fromiter(map(place.get, values, repeat(-1)), np.int64, len(values))
+            known, place, times, shown = self.known[n - 1], self.place[n - 1], self.times[n - 1], self.shown[n - 1]
+            where = np.searchsorted(known, values)
+            at = np.append(place, -1)[where]
+            at[np.append(known, 0)[where] != values] = -1
             new = np.flatnonzero(at < 0)
+            new = new[np.argsort(values[new])]
             at[new] = np.arange(len(times), len(times) + len(new))
-            place.update(zip(map(values.__getitem__, new.tolist()), at[new].tolist(), strict=True))
+            self.known[n - 1], self.place[n - 1] = np.insert(known, where[new], values[new]), np.insert(place, where[new], at[new])
             doc = block.doc[head[new]]
             shown = np.concatenate((shown, np.stack([lang[doc], len(self.ids) + doc, *(number[head[new] + k] for k in range(n))], axis=1)))
             # an equal fingerprint is not enough: language and words have to be those of the occurrence pointed at
@@ -163,8 +166,9 @@ class _Found:
             self.shown[n - 1] = shown
             self.times[n - 1] = np.bincount(of[same], minlength=len(shown)) + np.concatenate((times, np.zeros(len(new), np.int64)))
             for other in first[~same].tolist():
-                own = block.doc[other]
-                self.others.setdefault((langs[own], b" ".join(words[other : other + n])), [n, 0, ids[own]])[1] += 1
+                doc = block.doc[other]
+                phrase = b" ".join(texts[i] for i in own[other : other + n].tolist())
+                self.others.setdefault((langs[doc], phrase), [n, 0, ids[doc]])[1] += 1
         self.ids += ids
 
     def rows(self) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ gains, and the Gumbel-max trick turns weights into a draw without replacement.
 
 Almost all features are made of a few words. One pass over all documents finds the
 frequent words and pairs: a word or pair of a share above 1 / ``HEAD`` of all reaches
-that share in some chunk of words, so every chunk reports only those. At most ``HEAD``
+that share in some block of texts, so every block reports only those. At most ``HEAD``
 words and ``PAIRS`` pairs are kept and broadcast: the exact CRC states of a word alone
 and after a space, and the buckets of the pairs with the states to go on from. A word of the
 head extends the state of what stands before it by table look-ups (CRCs are linear);
@@ -19,14 +19,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import count, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import cut_lineage
+from readloom.llm.grams import Block
 
 #: Fixed values of the contract: buckets, words in a feature, seed of the draw, fewest words of a drawn document.
 BUCKETS, WORDS, SEED, LEAST_WORDS = 10_000, 3, 42, 20
@@ -34,19 +35,14 @@ BUCKETS, WORDS, SEED, LEAST_WORDS = 10_000, 3, 42, 20
 PERCENT = 5
 #: Most words and pairs in the broadcast vocabulary, longest word in it, slots of its table of pairs.
 HEAD, PAIRS, HEAD_BYTES, SLOTS = 1 << 15, 1 << 15, 31, 1 << 17
-#: Words handled together.
-CHUNK = 1 << 18
+#: Slots of its table of words; bytes of text handled together.
+WORD_SLOTS, CHUNK = 1 << 18, 1 << 20
 
-_SPACED = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(128)) + bytes(range(128, 256))
+_KIND = bytes(0 if c > 127 or chr(c).isalnum() else 1 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MASK = 0xFFFFFFFF
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words in lower case: runs of ASCII letters and digits and of anything beyond ASCII."""
-    return text.lower().translate(_SPACED).split() if text else []
-
-
 def _shifts() -> np.ndarray:
     """[n, k, b]: what byte k = b of a CRC becomes when n more bytes are read, the XOR over k being the whole."""
     step = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)
@@ -62,14 +58,19 @@ class Head:
 
     def __init__(self, words: list[bytes], pairs: list[tuple[bytes, bytes]]) -> None:
         words = [w for w in words if len(w) <= HEAD_BYTES]
-        self.ids = {w: i for i, w in enumerate(words)}
+        ids = {w: i for i, w in enumerate(words)}
+        own = Block([b" ".join(words)], _KIND)
+        self.of_word = np.full(WORD_SLOTS, -1, np.int64)
+        # the words come in order of their counts: of two in a slot the more frequent one stays
+        self.of_word[self.word_slot(own.words[::-1])] = np.arange(len(words))[::-1]
+        self.letters = np.stack([own.letters(np.arange(len(words)), k) for k in range(-(-HEAD_BYTES // 8))]) if words else np.zeros((4, 1), np.uint64)
         self.alone = np.array([zlib.crc32(w) for w in words] or [0], np.uint32)
         self.after_space = np.array([zlib.crc32(b" " + w) for w in words] or [0], np.uint32)
         self.size = np.array([len(w) + 1 for w in words] or [0], np.int64)
         self.shifts = _shifts()
         self.keys = np.full(SLOTS, np.iinfo(np.int64).max, np.int64)
         self.states = np.zeros(SLOTS, np.uint32)
-        known = [(self.ids[a] << 32 | self.ids[b], zlib.crc32(a + b" " + b)) for a, b in reversed(pairs) if a in self.ids and b in self.ids]
+        known = [(ids[a] << 32 | ids[b], zlib.crc32(a + b" " + b)) for a, b in reversed(pairs) if a in ids and b in ids]
         if known:
             keys, states = (np.array(x) for x in zip(*known, strict=True))
             slots = self.slot(keys)
@@ -78,6 +79,20 @@ class Head:
             self.keys[slots[last]], self.states[slots[last]] = keys[last], states[last]
         self.buckets = self.states % np.uint32(BUCKETS)
 
+    @staticmethod
+    def word_slot(prints: np.ndarray) -> np.ndarray:
+        return (prints >> np.uint64(64 - WORD_SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def ids(self, block: Block) -> np.ndarray:
+        """Numbers of the words of a block, -1 for those of the tail; the words are compared, not only their fingerprints."""
+        found = self.of_word[self.word_slot(block.words)]
+        good = (found >= 0) & (block.ends - block.starts + 1 == self.size[found])
+        todo = np.flatnonzero(good)
+        for k, letters in enumerate(self.letters):
+            good[todo] = block.letters(todo, k) == letters[found[todo]]
+            todo = todo[good[todo] & (self.size[found[todo]] - 1 > 8 * k + 8)]
+        return np.where(good, found, -1)
+
     @staticmethod
     def slot(keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
@@ -91,24 +106,22 @@ class Head:
         return out
 
 
-def features(words: list[bytes], sizes: list[int], head: Head) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and document number of every feature; ``sizes`` has the words of each document."""
-    n = len(words)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    ids = np.fromiter(map(head.ids.get, words, repeat(-1)), np.int64, n)
-    rare = ids < 0
+def features(block: Block, head: Head) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and document number of every feature of a block."""
+    doc, ids = block.doc, head.ids(block)
+    rare, text = ids < 0, block.text
 
     def extended(states: np.ndarray, last: np.ndarray) -> np.ndarray:
         """States after a space and the words at ``last`` more: the head's by look-up, the tail's from their bytes."""
         out = head.extend(states, ids[last])
         tail = np.flatnonzero(rare[last])
-        pieces = [b" " + words[i] for i in last[tail].tolist()]
+        pieces = (b" " + text[s:e] for s, e in zip(block.starts[last[tail]].tolist(), block.ends[last[tail]].tolist(), strict=True))
         out[tail] = np.fromiter(map(zlib.crc32, pieces, states[tail].tolist()), np.uint32, len(tail))
         return out
 
     states = head.alone[ids]
     tail = np.flatnonzero(rare)
-    states[tail] = np.fromiter(map(zlib.crc32, map(words.__getitem__, tail.tolist())), np.uint32, len(tail))
+    states[tail] = np.fromiter((zlib.crc32(text[s:e]) for s, e in zip(block.starts[tail].tolist(), block.ends[tail].tolist(), strict=True)), np.uint32, len(tail))
     found, owners = [states % np.uint32(BUCKETS)], [doc]
     second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
     keys = ids[second - 1] << 32 | ids[second]
@@ -128,18 +141,17 @@ def features(words: list[bytes], sizes: list[int], head: Head) -> tuple[np.ndarr
     return np.concatenate(found).astype(np.int64), np.concatenate(owners)
 
 
-def _chunks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, list[bytes], list[int]]]:
-    """(first row, end row, words, words of each row) of about ``CHUNK`` words; a longer text is one chunk."""
-    words, sizes, begin = [], [], 0
-    for row, value in enumerate(batch.column(text)):
-        own = words_of(value.as_py())
-        words += own
-        sizes.append(len(own))
-        if len(words) >= CHUNK:
-            yield begin, row + 1, words, sizes
-            words, sizes, begin = [], [], row + 1
-    if sizes:
-        yield begin, batch.num_rows, words, sizes
+def _blocks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, Block]]:
+    """(first row, end row, block) of about ``CHUNK`` bytes; a longer text is a block of its own."""
+    texts, size, begin = [], 0, 0
+    for row, value in enumerate(batch.column(text).to_pylist()):
+        texts.append(value or b"")
+        size += len(texts[-1])
+        if size >= CHUNK:
+            yield begin, row + 1, Block(texts, _KIND)
+            texts, size, begin = [], 0, row + 1
+    if texts:
+        yield begin, batch.num_rows, Block(texts, _KIND)
 
 
 def _texts(rows: DataFrame, text: str) -> DataFrame:
@@ -151,17 +163,16 @@ def frequent(docs: DataFrame, text: str = "text") -> Head:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for _, _, words, sizes in _chunks(batch, 0):
-                seen: dict[bytes, int] = {}
-                # a word's number is the place where it first stands
-                ids = np.fromiter(map(seen.setdefault, words, count()), np.int64, len(words))
-                inside = np.flatnonzero(np.diff(np.repeat(np.arange(len(sizes)), sizes)) == 0)
-                for pair, most, keys in ((False, HEAD, ids), (True, PAIRS, ids[inside] << 32 | ids[inside + 1])):
-                    values, counts = np.unique(keys, return_counts=True)
+            for _, _, block in _blocks(batch, 0):
+                codes, texts = block.distinct()
+                inside = np.flatnonzero(block.doc[1:] == block.doc[:-1])
+                for pair, most, keys in ((False, HEAD, codes), (True, PAIRS, codes[inside] << 32 | codes[inside + 1])):
+                    numbers, values = pd.factorize(keys)
+                    counts = np.bincount(numbers, minlength=len(values))
                     heavy = counts >= max(2, len(keys) // most)
                     values, counts = values[heavy], counts[heavy]
-                    first = [words[i] for i in (values >> 32 if pair else values).tolist()]
-                    second = [words[i] for i in (values & _MASK).tolist()] if pair else [None] * len(first)
+                    first = [texts[i] for i in (values >> 32 if pair else values).tolist()]
+                    second = [texts[i] for i in (values & _MASK).tolist()] if pair else [None] * len(first)
                     yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.array(counts)], ["_a", "_b", "_n"])
 
     parts = _texts(docs, text).mapInArrow(run, "_a binary, _b binary, _n long")
@@ -178,8 +189,8 @@ def bucket_totals(rows: DataFrame, head, text: str = "text") -> np.ndarray:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in source:
-            for _, _, words, sizes in _chunks(batch, 0):
-                total += np.bincount(features(words, sizes, head.value)[0], minlength=BUCKETS)
+            for _, _, block in _blocks(batch, 0):
+                total += np.bincount(features(block, head.value)[0], minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["_bucket", "_n"])
 
@@ -203,11 +214,11 @@ def weights(docs: DataFrame, head, gain: np.ndarray, text: str = "text", doc_id:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for begin, end, words, sizes in _chunks(batch, 1):
-                buckets, owner = features(words, sizes, head.value)
+            for begin, end, block in _blocks(batch, 1):
+                buckets, owner = features(block, head.value)
                 # sums below 2^53 are exact in doubles
-                weight = np.bincount(owner, gain.value[buckets], len(sizes)).astype(np.int64)
-                n = np.array(sizes, np.int64)
+                weight = np.bincount(owner, gain.value[buckets], end - begin).astype(np.int64)
+                n = np.bincount(block.doc, minlength=end - begin)
                 several = sum(np.maximum(n - k, 0) for k in range(WORDS))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(n), pa.array(several), pa.array(weight)], ["_id", "_words", "n_features", "weight"])
 

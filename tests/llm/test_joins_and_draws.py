@@ -225,11 +225,20 @@ def test_resampling_edges(spark, edge):
 def test_crc_states_are_those_of_the_bytes():
     dice = random.Random(1)
     vocabulary = [bytes(dice.choices(b"abcdefgh0", k=dice.randint(1, 5))) for _ in range(60)] + [b"x" * 40, "é漢".encode()]
-    docs = [importance.words_of(b" ".join(dice.choices(vocabulary, k=dice.randint(0, 9)))) for _ in range(200)]
+    docs = [b" ".join(dice.choices(vocabulary, k=dice.randint(0, 9))) for _ in range(200)]
     head = importance.Head(vocabulary[:30] + vocabulary[60:], [(a, b) for a in vocabulary[:20] for b in vocabulary[:20]])
-    buckets, owners = importance.features([w for d in docs for w in d], [len(d) for d in docs], head)
+    buckets, owners = importance.features(grams.Block(docs, importance._KIND), head)
     got = defaultdict(list)
     for bucket, owner in zip(buckets.tolist(), owners.tolist(), strict=True):
         got[owner].append(bucket)
     for i, d in enumerate(docs):
+        d = d.split()
         assert sorted(got[i]) == sorted(zlib.crc32(b" ".join(d[j : j + k])) % 10_000 for k in (1, 2, 3) for j in range(len(d) - k + 1))
+
+
+def test_words_of_a_block_are_compared_by_their_bytes(monkeypatch):
+    texts = [b"one two  one\tthree", b"", b"a-very-long-word-of-many-bytes a-very-long-word-of-many-bytez two", b"x"]
+    block = grams.Block(texts, collocations._KIND)
+    block.words = block.words & np.uint64(1)
+    codes, words = block.distinct()
+    assert [words[i] for i in codes.tolist()] == b" ".join(texts).split() and len(set(words)) == len(words)
