@@ -177,16 +177,57 @@ def drop_tips(edges: DataFrame) -> DataFrame:
     return rows.filter(~(leads_nowhere | comes_from_nowhere)).select(*edges.columns)
 
 
+def drop_dead_ends(edges: DataFrame, most: int) -> DataFrame:
+    """Edges without dead ends of up to ``most`` edges.
+
+    A dead end is an unbranched chain from a fork to a node where nothing goes on, or
+    its mirror, from a node that nothing leads to into a node that others lead to as well.
+    Forks are those of the graph given, so short ends of one fork go together. Nodes learn
+    the head of their chain by doubling, in as many rounds as ``most`` has binary digits;
+    longer chains are not followed to their ends.
+    """
+    if most < 0:
+        raise ValueError("a number of edges is not negative")
+    if most < 2:
+        return drop_tips(edges) if most else edges
+    spark = edges.sparkSession
+    linked = _with_nodes(edges)
+    pairs = linked.select("_u", "_v").distinct()
+    links, degrees = cut_lineage(unbranched_links(edges)), cut_lineage(_degrees(linked))
+    path = scratch_path(spark)
+    current = cut_lineage(_one_step_back(links, degrees.select("node")), path)
+    for _ in range((most - 1).bit_length()):
+        old, path = path, scratch_path(spark)
+        current = cut_lineage(_double(current), path)
+        drop_table(spark, old)
+    near = current.filter(F.col("done") & (F.col("steps") < most)).select("node", "anchor")
+    last = near.join(links.select(F.col("_u").alias("node")), "node", "left_anti")
+    of = lambda end: degrees.select(F.col("node").alias(end), F.col("n_out").alias(f"{end}_out"), F.col("n_in").alias(f"{end}_in"))
+    # chains of few enough edges with the degrees at both ends
+    chains = last.withColumnRenamed("node", "_v").join(of("_v"), "_v").withColumnRenamed("_v", "_end")
+    chains = chains.withColumnRenamed("anchor", "_u").join(of("_u"), "_u").withColumnRenamed("_u", "_head")
+    ends = pairs.join(of("_u"), "_u").join(of("_v"), "_v")
+    leads_nowhere = chains.filter("_v_out = 0 AND _u_in = 1").select(F.col("_head").alias("_v"), "_head")
+    from_nowhere = chains.filter("_u_in = 0 AND _v_out = 1").select(F.col("_end").alias("_u"), "_head")
+    outer = ends.filter("_u_out > 1").join(leads_nowhere, "_v").select("_u", "_v", "_head").unionByName(
+        ends.filter("_v_in > 1").join(from_nowhere, "_u").select("_u", "_v", "_head")
+    )
+    outer = cut_lineage(outer)
+    inner = near.join(outer.select(F.col("_head").alias("anchor")).distinct(), "anchor").select(F.col("node").alias("_v"))
+    gone = outer.select("_u", "_v").unionByName(links.join(inner, "_v").select("_u", "_v")).distinct()
+    return linked.join(gone, ["_u", "_v"], "left_anti").select(*edges.columns)
+
+
 def overlap_graph(overlap: DataFrame, dead_end_edges: int = 1) -> DataFrame:
     """(component, src, src_strand, dst, dst_strand, overhang): the graph's edges, split by component.
 
-    Contained reads are left out, and dead ends of one edge removed once if
-    ``dead_end_edges`` is 1. a_len and b_len are lengths after trimming.
+    Contained reads are left out, and dead ends of up to ``dead_end_edges`` edges removed
+    once. a_len and b_len are lengths after trimming.
     """
-    if dead_end_edges not in (0, 1):
-        raise ValueError("dead_end_edges is 0 or 1")
     edges = dovetail_edges(overlap)
-    edges = cut_lineage(drop_tips(edges) if dead_end_edges else edges)
+    if dead_end_edges > 1:
+        edges = cut_lineage(edges)
+    edges = cut_lineage(drop_dead_ends(edges, dead_end_edges))
     labels = connected_components(edges).withColumnRenamed("node", "src")
     return edges.join(labels, "src").select("component", *edges.columns)
 
@@ -253,17 +294,9 @@ def _rank_chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
     the lowest node of their cycle. Only unsettled nodes are joined, and their
     anchors are all different, so no key is hot.
     """
-    back = links.select(F.col("_v").alias("node"), F.col("_u").alias("_back"))
-    # A head is its own anchor, 0 steps away.
     spark = links.sparkSession
     path = scratch_path(spark)
-    current = cut_lineage(nodes.join(back, "node", "left").select(
-        "node",
-        F.coalesce("_back", "node").alias("anchor"),
-        F.when(F.col("_back").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("steps"),
-        F.col("_back").isNull().alias("done"),
-        F.least("node", F.coalesce("_back", "node")).alias("low"),
-    ), path)
+    current = cut_lineage(_one_step_back(links, nodes), path)
     state = _unsettled(current)
     for _ in range(MAX_ROUNDS):
         if state[0] == 0:
@@ -280,6 +313,18 @@ def _rank_chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
     raise RuntimeError(f"chains not settled after {MAX_ROUNDS} rounds")
 
 
+def _one_step_back(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Where the doubling starts: a node's anchor is the one before it; a head is its own, 0 steps away."""
+    back = links.select(F.col("_v").alias("node"), F.col("_u").alias("_back"))
+    return nodes.join(back, "node", "left").select(
+        "node",
+        F.coalesce("_back", "node").alias("anchor"),
+        F.when(F.col("_back").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("steps"),
+        F.col("_back").isNull().alias("done"),
+        F.least("node", F.coalesce("_back", "node")).alias("low"),
+    )
+
+
 def _unsettled(current: DataFrame) -> tuple:
     """How many nodes are not settled, and a sum over the lowest nodes they know."""
     inner = ~F.col("done")

@@ -16,46 +16,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.operators.intervals import (
-    covered_by,
     hysteresis,
     longest_interval,
     merge_intervals,
     step_function,
 )
 from readloom.operators.ordered import AUTO, CHUNK, Running, Width, choose_width, chunk_of, with_preceding
+from readloom.session import cut_lineage
 
 PAIR = ["a", "b", "strand"]
 
 
-def stitch(overlap: DataFrame, max_distance: int = 40, width: Width = AUTO) -> DataFrame:
-    """Join overlaps of one pair and strand that lie within ``max_distance`` on both reads.
+def _islands(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], spans: Sequence[tuple[str, str]], distance: int, width: int | None, name: str
+) -> DataFrame:
+    """Add ``name``: the first row of the island a row belongs to, as a struct of ``order``.
 
-    In order of place on a, an overlap joins the one before it if it starts at most
-    ``max_distance`` past that one's end on a, and if their spans on b, whichever
-    comes first, are at most ``max_distance`` apart. Bounds are the outermost, diffs
-    add up.
+    In ``order``, a row opens an island if one of its ``spans`` (start, end) starts more
+    than ``distance`` past the farthest end of all rows before it.
+    """
+    if width is not None:
+        rows = rows.withColumn(CHUNK, chunk_of(order[0], width))
+    ends = [Running(f"_reach{i}", "max", F.col(end)) for i, (_, end) in enumerate(spans)]
+    reached = with_preceding(rows, ends, keys, order, width)
+    opens = F.col("_reach0").isNull()
+    for i, (start, _) in enumerate(spans):
+        opens = opens | (F.col(start) - F.col(f"_reach{i}") > distance)
+    opened = reached.withColumn("_opens", F.when(opens, F.struct(*order)))
+    grouped = with_preceding(opened, [Running("_before", "last", F.col("_opens"))], keys, order, width)
+    return grouped.withColumn(name, F.coalesce("_opens", "_before")).drop("_opens", "_before", CHUNK, *[r.name for r in ends])
+
+
+def stitch(overlap: DataFrame, max_distance: int = 40, width: Width = AUTO) -> DataFrame:
+    """Join collinear overlaps of one pair and strand that lie within ``max_distance`` on both reads.
+
+    An overlap runs along the diagonals from its start to its end (place on a less
+    place on b). Diagonals that touch, or lie within ``max_distance`` of each other,
+    are one band, so chains on other diagonals may interleave. Within a band, in order
+    of place on a, an overlap opens a new chain if it starts more than ``max_distance``
+    past the farthest end of all before it, on a or on b; overlaps inside an earlier one join it.
+    Bounds are the outermost, diffs add up.
     """
     per_pair = [*PAIR, "a_len", "b_len", "block"]
+    starts, ends = F.col("ab") - F.col("bb"), F.col("ae") - F.col("be")
     distinct = overlap.groupBy(*per_pair, "ab", "ae", "bb", "be").agg(F.sum("diffs").alias("diffs"))
+    distinct = distinct.withColumns({"_low": F.least(starts, ends), "_high": F.greatest(starts, ends)})
     order = ["ab", "ae", "bb", "be"]
     width = choose_width(overlap, PAIR, width)
-    if width is not None:
-        distinct = distinct.withColumn(CHUNK, chunk_of("ab", width))
-    reached = with_preceding(
-        distinct, [Running("_last", "last", F.struct("ae", "bb", "be"))], PAIR, order, width
-    )
-    apart = (
-        F.col("_last").isNull()
-        | (F.col("ab") - F.col("_last.ae") > max_distance)
-        | (F.col("bb") - F.col("_last.be") > max_distance)
-        | (F.col("_last.bb") - F.col("be") > max_distance)
-    )
-    opened = reached.withColumn("_opens", F.when(apart, F.struct(*order)))
-    grouped = with_preceding(
-        opened, [Running("_before", "last", F.col("_opens"))], PAIR, order, width
-    ).withColumn("_group", F.coalesce("_opens", "_before"))
+    if width is None:
+        banded = _islands(distinct, PAIR, ["_low", "_high", *order], [("_low", "_high")], max_distance, None, "_band")
+    else:
+        # All overlaps of a hot pair may share a diagonal; one row stands for them.
+        diagonals = distinct.groupBy(*PAIR, "_low").agg(F.max("_high").alias("_high"))
+        bands = _islands(diagonals, PAIR, ["_low"], [("_low", "_high")], max_distance, width, "_band").drop("_high")
+        banded = distinct.join(bands, [*PAIR, "_low"])
+    banded = banded.withColumn("_band", F.col("_band._low"))
+    chained = _islands(banded, [*PAIR, "_band"], order, [("ab", "ae"), ("bb", "be")], max_distance, width, "_chain")
     return (
-        grouped.groupBy(*per_pair, "_group")
+        chained.groupBy(*per_pair, "_band", "_chain")
         .agg(
             F.min("ab").alias("ab"), F.max("ae").alias("ae"),
             F.min("bb").alias("bb"), F.max("be").alias("be"),
@@ -219,19 +237,36 @@ def filter_overlaps(
     reaching = clipped.filter(
         (F.col("ae") - F.col("ab") >= min_len) & (left <= max_leftover) & (right <= max_leftover)
     )
-    # Merged, a read's repeats are disjoint, so its list is bounded by its length.
-    per_read = (
-        merge_intervals(repeats.select("read_id", "b", "e"), ["read_id"])
-        .groupBy(F.col("read_id").alias("a"))
-        .agg(F.collect_list(F.struct("b", "e")).alias("_repeats"))
-    )
-    unique = F.col("ae") - F.col("ab") - F.coalesce(
-        covered_by(F.col("ab"), F.col("ae"), F.col("_repeats")), F.lit(0)
-    )
-    return (
-        reaching.join(per_read, "a", "left")
-        .filter(unique >= min_non_repeat)
-        .select(*overlap.columns)
+    inside = covered_bases(reaching.select(F.col("a").alias("read_id"), "ab", "ae"), repeats)
+    places = ["a", "ab", "ae"]
+    masked = reaching.join(inside.toDF(*places, "_masked"), places)
+    return masked.filter(F.col("ae") - F.col("ab") - F.col("_masked") >= min_non_repeat).select(*overlap.columns)
+
+
+def covered_bases(spans: DataFrame, track: DataFrame, width: Width = AUTO) -> DataFrame:
+    """(read_id, start, end, n) of the distinct ``spans`` (read_id and two places): bases of ``track`` inside each.
+
+    The bases that intervals cover before a place are a running sum; a place looks up the
+    last interval that begins before it, as of its position in the read. No list
+    of a read's intervals is made, so many intervals and many spans take linear time.
+    """
+    start, end = spans.columns[1:]
+    width = choose_width(spans.select("read_id").unionByName(track.select("read_id")), ["read_id"], width)
+    merged = merge_intervals(track.select("read_id", "b", "e"), ["read_id"])
+    summed = with_preceding(merged, [Running("_sum", "sum", F.col("e") - F.col("b"))], ["read_id"], ["b"], width)
+    intervals = summed.select("read_id", F.col("b").alias("_at"), F.struct("b", "e", "_sum").alias("_interval"))
+    spans = spans.distinct()
+    places = spans.select("read_id", F.explode(F.array(start, end)).alias("_at")).distinct()
+    every = intervals.unionByName(places.withColumn("_interval", F.lit(None).cast(intervals.schema["_interval"].dataType)))
+    # an interval that begins at a place covers nothing before it, so the order of equals does not matter
+    asked = with_preceding(every, [Running("_last", "last", F.col("_interval"))], ["read_id"], ["_at"], width).filter("_interval IS NULL")
+    before = F.coalesce(F.col("_last._sum") + F.least(F.col("_at"), F.col("_last.e")) - F.col("_last.b"), F.lit(0))
+    # written, as both ends of a span look it up
+    known = cut_lineage(asked.select("read_id", "_at", before.cast("bigint").alias("_before")))
+    at_start = known.toDF("read_id", start, "_to_start")
+    at_end = known.toDF("read_id", end, "_to_end")
+    return spans.join(at_start, ["read_id", start]).join(at_end, ["read_id", end]).select(
+        "read_id", start, end, (F.col("_to_end") - F.col("_to_start")).alias("n")
     )
 
 

@@ -475,6 +475,12 @@ def stitch(t: Tables) -> DataFrame:
     return overlaps.stitch(t.overlap().drop("block").withColumn("block", F.lit(1).cast("bigint")))
 
 
+@_query
+def stitch_interleaved(t: Tables) -> DataFrame:
+    """Chains of a pair on several diagonals."""
+    return overlaps.stitch(t.shifted_overlap())
+
+
 @_query
 def repeat_track(t: Tables) -> DataFrame:
     return overlaps.repeat_track(t.overlap(), coverage=5)
@@ -518,6 +524,18 @@ def filter_overlaps(t: Tables) -> DataFrame:
     return overlaps.filter_overlaps(whole, t.part_trim(), repeats, max_leftover=1000)
 
 
+@_query
+def filter_overlaps_interleaved(t: Tables) -> DataFrame:
+    repeats = overlaps.repeat_track(t.overlap(), 5)
+    return overlaps.filter_overlaps(t.shifted_overlap(), t.part_trim(), repeats, max_leftover=1000)
+
+
+@_query
+def covered_bases(t: Tables) -> DataFrame:
+    spans = t.overlap().select(F.col("a").alias("read_id"), "ab", "ae")
+    return overlaps.covered_bases(spans, overlaps.repeat_track(t.overlap(), 5))
+
+
 @_query
 def merge_overlaps(t: Tables) -> DataFrame:
     return overlaps.merge_overlaps([t.overlap(), t.layout_overlap()])
@@ -557,6 +575,12 @@ def overlap_graph(t: Tables) -> DataFrame:
     return graph.overlap_graph(t.layout_overlap())
 
 
+@_query
+def overlap_graph_dead_ends(t: Tables) -> DataFrame:
+    """Dead ends of up to three edges."""
+    return graph.overlap_graph(t.layout_overlap(), dead_end_edges=3)
+
+
 @_query
 def tour(t: Tables) -> DataFrame:
     return graph.tour(graph.overlap_graph(t.layout_overlap()))

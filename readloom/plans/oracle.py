@@ -155,14 +155,26 @@ VIEWS: dict[str, str] = {
     "segments": """
         SELECT a AS read_id, s, sum(diffs) AS diffs, sum(ae - ab) AS bases
         FROM (SELECT *, unnest(range((ab + 99) // 100, ae // 100)) AS s FROM overlap) GROUP BY ALL""",
+    "spans": """
+        SELECT *, row_number() OVER (PARTITION BY a, b, strand ORDER BY lo, hi, ab, ae, bb, be) AS i
+        FROM (SELECT *, least(ab - bb, ae - be) AS lo, greatest(ab - bb, ae - be) AS hi
+              FROM (SELECT a, b, strand, a_len, b_len, block, ab, ae, bb, be, sum(diffs) AS diffs FROM overlap GROUP BY ALL))""",
+    # Row by row, with the farthest end of all rows so far.
+    "bands": """
+        SELECT a, b, strand, i, hi, 1 AS band FROM spans WHERE i = 1
+        UNION ALL SELECT s.a, s.b, s.strand, s.i, greatest(w.hi, s.hi), CASE WHEN s.lo - w.hi > {gap} THEN w.band + 1 ELSE w.band END
+        FROM bands w JOIN spans s ON s.a = w.a AND s.b = w.b AND s.strand = w.strand AND s.i = w.i + 1""",
+    "placed": """
+        SELECT s.*, band, row_number() OVER (PARTITION BY s.a, s.b, s.strand, band ORDER BY ab, ae, bb, be) AS j
+        FROM spans s JOIN bands USING (a, b, strand, i)""",
+    "chained": """
+        SELECT a, b, strand, band, j, ae, be, 1 AS chain FROM placed WHERE j = 1
+        UNION ALL SELECT p.a, p.b, p.strand, p.band, p.j, greatest(w.ae, p.ae), greatest(w.be, p.be),
+            CASE WHEN p.ab - w.ae > {gap} OR p.bb - w.be > {gap} THEN w.chain + 1 ELSE w.chain END
+        FROM chained w JOIN placed p ON p.a = w.a AND p.b = w.b AND p.strand = w.strand AND p.band = w.band AND p.j = w.j + 1""",
     "stitched": """
-        SELECT a, b, strand, min(ab) AS ab, max(ae) AS ae, min(bb) AS bb, max(be) AS be, a_len, b_len, CAST(sum(diffs) AS BIGINT) AS diffs
-        FROM (SELECT *, sum(CASE WHEN ra IS NULL OR ab - ra > {gap} OR greatest(bb - rb, lb - be) > {gap} THEN 1 ELSE 0 END)
-                        OVER (PARTITION BY a, b, strand ORDER BY ab, ae, bb, be ROWS UNBOUNDED PRECEDING) AS g
-              FROM (SELECT *, lag(ae) OVER w AS ra, lag(bb) OVER w AS lb, lag(be) OVER w AS rb
-                    FROM (SELECT a, b, strand, a_len, b_len, block, ab, ae, bb, be, sum(diffs) AS diffs FROM overlap GROUP BY ALL)
-                    WINDOW w AS (PARTITION BY a, b, strand ORDER BY ab, ae, bb, be)))
-        GROUP BY a, b, strand, a_len, b_len, g""",
+        SELECT p.a, p.b, p.strand, min(ab) AS ab, max(p.ae) AS ae, min(bb) AS bb, max(p.be) AS be, a_len, b_len, CAST(sum(diffs) AS BIGINT) AS diffs
+        FROM placed p JOIN chained c USING (a, b, strand, band, j) GROUP BY p.a, p.b, p.strand, a_len, b_len, band, chain""",
     "clipped": """
         SELECT a, b, strand, ab + head AS ab, ae - tail AS ae, bb + head AS bb, be - tail AS be, a_len, b_len, diffs, tab, tae, tbb, tbe
         FROM (SELECT *, greatest(0, tab - ab, tbb - bb) AS head, greatest(0, ae - tae, be - tbe) AS tail FROM (
@@ -205,8 +217,36 @@ VIEWS: dict[str, str] = {
         WHERE NOT (dou IS NULL AND di = 1 AND so > 1) AND NOT (si IS NULL AND so = 1 AND di > 1)""",
 }
 
+STITCHED = ["overlap", "spans", "bands", "placed", "chained", "stitched"]
+SHIFTED = f"""
+    SELECT * REPLACE (bb + diffs % 3 * 700 AS bb, be + diffs % 3 * 700 AS be, CAST(1 AS BIGINT) AS block) FROM ({VIEWS['overlap']})"""
 GRAPH = ["layout", "layout_overlap", "contained", "ends", "dovetails", "edges"]
 
+# Dead ends of up to three edges, followed from where they end.
+VIEWS |= {
+    "degree": """
+        SELECT n, count(DISTINCT v) AS o, count(DISTINCT u) AS i
+        FROM (SELECT u AS n, v, NULL AS u FROM dovetails UNION ALL SELECT v, NULL, u FROM dovetails) GROUP BY n""",
+    "link": """
+        SELECT DISTINCT d.u, d.v FROM dovetails d JOIN degree x ON x.n = d.u JOIN degree y ON y.n = d.v WHERE x.o = 1 AND y.i = 1 AND src <> dst""",
+    "sinking": """
+        SELECT n AS leaf, n, 1 AS m FROM degree WHERE o = 0
+        UNION ALL SELECT leaf, l.u, m + 1 FROM sinking s JOIN link l ON l.v = s.n WHERE m < 3""",
+    "rising": """
+        SELECT n AS leaf, n, 1 AS m FROM degree WHERE i = 0
+        UNION ALL SELECT leaf, l.v, m + 1 FROM rising s JOIN link l ON l.u = s.n WHERE m < 3""",
+    "fork": """
+        SELECT leaf, d.u, d.v FROM sinking s JOIN degree x ON x.n = s.n AND x.i = 1 JOIN dovetails d ON d.v = s.n JOIN degree y ON y.n = d.u AND y.o > 1
+        WHERE s.n NOT IN (SELECT v FROM link)
+        UNION SELECT leaf, d.u, d.v FROM rising s JOIN degree x ON x.n = s.n AND x.o = 1 JOIN dovetails d ON d.u = s.n JOIN degree y ON y.n = d.v AND y.i > 1
+        WHERE s.n NOT IN (SELECT u FROM link)""",
+    "gone": """
+        SELECT u, v FROM fork
+        UNION SELECT l.u, l.v FROM fork f JOIN sinking s USING (leaf) JOIN link l ON l.u = s.n
+        UNION SELECT l.u, l.v FROM fork f JOIN rising s USING (leaf) JOIN link l ON l.v = s.n""",
+}
+TIPS = ["degree", "link", "sinking", "rising", "fork", "gone"]
+
 # Reachability and chains need recursion; they are appended to the graph views.
 COMPONENT = """
     reach(node, other) AS (SELECT src, src FROM edges UNION SELECT dst, dst FROM edges
@@ -228,13 +268,12 @@ def _with(views: list[str], body: str, extra: str = "", **params: object) -> str
     named = []
     for v in views:
         text = (params.get("instead") or {}).get(v, VIEWS[v])
-        if v == "stitched":
+        if v in ("bands", "chained"):
             text = text.format(gap=params["gap"])
         named.append(f"{v} AS ({text})")
     if extra:
         named.append(extra)
-    recursive = "RECURSIVE " if extra else ""
-    return f"WITH {recursive}{', '.join(named)} {body}"
+    return f"WITH RECURSIVE {', '.join(named)} {body}"
 
 
 def _runs(source: str) -> str:
@@ -409,7 +448,8 @@ def all_sql() -> dict[str, str]:
         kept AS (SELECT km.* FROM km JOIN ok ON km.kmer = ok.kmer)
         SELECT x.id AS a, y.id AS b, CAST(floor((x.pos - y.pos) / 64.0) AS BIGINT) AS diagonal, count(*) AS shared
         FROM kept x JOIN kept y ON x.kmer = y.kmer AND (x.id < y.id OR (x.id = y.id AND x.pos < y.pos)) GROUP BY ALL HAVING count(*) >= 2""")
-    q["stitch"] = _with(["overlap", "stitched"], "SELECT *, CAST(1 AS BIGINT) AS block FROM stitched", gap=40)
+    q["stitch"] = _with(STITCHED, "SELECT *, CAST(1 AS BIGINT) AS block FROM stitched", gap=40)
+    q["stitch_interleaved"] = _with(STITCHED, "SELECT *, CAST(1 AS BIGINT) AS block FROM stitched", gap=40, instead={"overlap": SHIFTED})
     q["repeat_track"] = _with(_TRACKED, "SELECT * FROM repeats")
     q["quality_trim"] = _with(["overlap", "segments"], _best_run(_good_runs(20)))
     q["quality_trim_update"] = _with(["overlap", "part_trim", "segments"], _best_run(f"""
@@ -426,12 +466,21 @@ def all_sql() -> dict[str, str]:
             FROM (SELECT a, cb, ce, max(ce) OVER (PARTITION BY a ORDER BY cb, ce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM cut)) GROUP BY a, g),
         best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY e - b DESC, b) AS r FROM islands) WHERE r = 1)
         SELECT cut.* EXCLUDE (cb, ce) FROM cut JOIN best ON cut.a = best.a AND cb >= best.b AND ce <= best.e""")
-    q["filter_overlaps"] = _with([*_TRACKED, "part_trim", "stitched", "clipped"], """
+    filtered = """
         , cand AS (SELECT row_number() OVER () AS k, * FROM clipped WHERE ae - ab >= 1000
                    AND least(ab - tab, bb - tbb) <= 1000 AND least(tae - ae, tbe - be) <= 1000),
         masked AS (SELECT k, sum(greatest(0, least(c.ae, r.e) - greatest(c.ab, r.b))) AS n FROM cand c JOIN repeats r ON c.a = r.read_id GROUP BY k)
         SELECT a, b, strand, ab, ae, bb, be, a_len, b_len, diffs, CAST(1 AS BIGINT) AS block
-        FROM cand LEFT JOIN masked ON cand.k = masked.k WHERE ae - ab - coalesce(masked.n, 0) >= 300""", gap=100)
+        FROM cand LEFT JOIN masked ON cand.k = masked.k WHERE ae - ab - coalesce(masked.n, 0) >= 300"""
+    views = [*_TRACKED, "part_trim", *STITCHED[1:], "clipped"]
+    q["filter_overlaps"] = _with(views, filtered, gap=100)
+    # only the stitched overlaps are shifted; repeats are those of the overlaps as they are
+    shifted = VIEWS["spans"].replace("FROM overlap ", f"FROM ({SHIFTED}) ")
+    q["filter_overlaps_interleaved"] = _with(views, filtered, gap=100, instead={"spans": shifted})
+    q["covered_bases"] = _with(_TRACKED, """
+        , s AS (SELECT DISTINCT a AS read_id, ab, ae FROM overlap)
+        SELECT read_id, ab, ae, CAST(coalesce(sum(greatest(0, least(ae, e) - greatest(ab, b))) FILTER (e IS NOT NULL), 0) AS BIGINT) AS n
+        FROM s LEFT JOIN repeats USING (read_id) GROUP BY ALL""")
     q["merge_overlaps"] = _with(["overlap", "layout", "layout_overlap"], "SELECT * FROM overlap UNION ALL SELECT * FROM layout_overlap")
     q["check_overlaps"] = _with(["overlap", "requested"], """
         , known AS (SELECT p_partkey AS read_id FROM part UNION SELECT rowid FROM requested)
@@ -452,6 +501,9 @@ def all_sql() -> dict[str, str]:
     q["contained_reads"] = _with(GRAPH[:3], "SELECT * FROM contained")
     q["overlap_graph"] = _with(GRAPH, "SELECT component, src, src_strand, dst, dst_strand, overhang FROM edges JOIN component ON src = node", COMPONENT)
     toured = """SELECT component, path_id, pos, read_id, strand, overhang FROM chain JOIN component ON node = path_id"""
+    q["overlap_graph_dead_ends"] = _with(
+        [*GRAPH[:-1], *TIPS, "edges"], "SELECT component, src, src_strand, dst, dst_strand, overhang FROM edges JOIN component ON src = node", COMPONENT,
+        instead={"edges": "SELECT * FROM dovetails d WHERE NOT EXISTS (FROM gone g WHERE g.u = d.u AND g.v = d.v)"})
     q["tour"] = _with(GRAPH, toured, f"{COMPONENT}, {CHAINS}")
     q["path_sequences"] = _with([*GRAPH, "layout_reads"], f"""
         SELECT component, path_id, off // 500 AS segment, count(*) AS n_reads, string_agg(piece, '' ORDER BY pos) AS seq FROM (

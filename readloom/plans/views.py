@@ -207,6 +207,11 @@ class Tables:
             F.col("l_suppkey").alias("block"),
         )
 
+    def shifted_overlap(self) -> DataFrame:
+        """Overlaps on up to three diagonals a pair: chains that interleave, and overlaps inside others."""
+        shift = F.col("diffs") % 3 * 700
+        return self.overlap().withColumns({"bb": F.col("bb") + shift, "be": F.col("be") + shift, "block": F.lit(1).cast("bigint")})
+
     def parts(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("read_id"))
 

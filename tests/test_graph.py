@@ -100,7 +100,45 @@ def test_tips(spark):
     kept = rows(G.drop_tips(edges(spark, pairs)), "src", "dst")
     assert (2, 9) not in kept and (8, 3) not in kept and (2, 3) in kept
     with pytest.raises(ValueError):
-        G.overlap_graph(layout(spark, {1: (0, 9), 2: (5, 14)}), dead_end_edges=2)
+        G.overlap_graph(layout(spark, {1: (0, 9), 2: (5, 14)}), dead_end_edges=-1)
+
+
+def brute_dead_ends(pairs, most):
+    """Pairs of nodes that are no part of a dead end of up to ``most`` edges."""
+    pairs = set(pairs)
+    after, before = {}, {}
+    for u, v in pairs:
+        after.setdefault(u, set()).add(v)
+        before.setdefault(v, set()).add(u)
+
+    def ends(after, before):
+        for leaf in set(before) - set(after):
+            chain, node = [], leaf
+            while len(before.get(node, ())) == 1 and len(chain) < most:
+                (back,) = before[node]
+                chain.append((back, node))
+                if len(after[back]) > 1:
+                    yield from chain
+                    break
+                if back[0] == node[0]:
+                    break
+                node = back
+
+    gone = set(ends(after, before)) | {(u, v) for v, u in ends(before, after)}
+    return sorted(pairs - gone)
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 4, 9])
+def test_dead_ends_of_any_length(spark, most):
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(0, 30)] + [(5, 100), (100, 101), (101, 102), (12, 110), (110, 111), (200, 201), (201, 20)]
+    pairs += [(300 + i, 301 + i) for i in range(8)] + [(15, 300)]
+    data = [(a, "+", b, "+", 5) for a, b in pairs]
+    data += [(400 + rng.randrange(60), rng.choice("+-"), 400 + rng.randrange(60), rng.choice("+-"), 5) for _ in range(45)]
+    both = oriented(spark, data).distinct()
+    nodes = {((r.src, r.src_strand), (r.dst, r.dst_strand)) for r in both.collect()}
+    got = [((r.src, r.src_strand), (r.dst, r.dst_strand)) for r in G.drop_dead_ends(both, most).collect()]
+    assert sorted(got) == brute_dead_ends(nodes, most)
 
 
 @pytest.mark.parametrize("segment, back", [(1 << 26, ()), (100, ()), (1 << 26, (1, 2, 5, 8)), (100, (0, 3, 4, 9))])

@@ -26,29 +26,60 @@ def many(spark):
     return table(spark, data + data[:30])
 
 
+def brute_stitch(spans, gap):
+    """Spans (ab, ae, bb, be) with their diffs, stitched: diagonals first, then places."""
+    bands, chains = [], []
+    ranges = {s: sorted((s[0] - s[2], s[1] - s[3])) for s in spans}
+    for span in sorted(spans, key=lambda s: ranges[s]):
+        if not bands or ranges[span][0] - max(ranges[s][1] for s in bands[-1]) > gap:
+            bands.append([])
+        bands[-1].append(span)
+    for band in bands:
+        band.sort()
+        for i, span in enumerate(band):
+            if not i or span[0] - max(s[1] for s in band[:i]) > gap or span[2] - max(s[3] for s in band[:i]) > gap:
+                chains.append([])
+            chains[-1].append(span)
+    return [(min(s[0] for s in c), max(s[1] for s in c), min(s[2] for s in c), max(s[3] for s in c), sum(spans[s] for s in c)) for c in chains]
+
+
 @pytest.mark.parametrize("width", [None, 100, ordered.AUTO])
 @pytest.mark.parametrize("gap", [0, 40])
 def test_stitch(many, gap, width):
     groups = {}
     for r in many.collect():
-        groups.setdefault((r.a, r.b, r.strand), {}).setdefault((r.ab, r.ae, r.bb, r.be), []).append(r.diffs)
-    expected = []
-    for key, spans in groups.items():
-        current, last = None, None
-        for span in sorted(spans):
-            if last and span[0] - last[1] <= gap and span[2] - last[3] <= gap and last[2] - span[3] <= gap:
-                current = [min(current[0], span[0]), max(current[1], span[1]), min(current[2], span[2]), max(current[3], span[3]), current[4]]
-            else:
-                if current:
-                    expected.append((*key, *current))
-                current = [*span, 0]
-            last = span
-            current[4] += sum(spans[span])
-        expected.append((*key, *current))
+        spans = groups.setdefault((r.a, r.b, r.strand), {})
+        span = (r.ab, r.ae, r.bb, r.be)
+        spans[span] = spans.get(span, 0) + r.diffs
+    expected = [(*key, *row) for key, spans in groups.items() for row in brute_stitch(spans, gap)]
     got = rows(O.stitch(many, gap, width), "a", "b", "strand", "ab", "ae", "bb", "be", "diffs")
     assert got == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("width", [None, 64])
+def test_stitch_nested_and_interleaved(spark, width):
+    def span(a, ab, ae, shift):
+        return (a, 9, "+", ab, ae, ab + shift, ae + shift, 5000, 5000, 1, 1)
+
+    nested = [span(1, 0, 1000, 50), span(1, 100, 200, 50), span(1, 1010, 1100, 50)]
+    interleaved = [span(2, i * 100, i * 100 + 90, 900 * (i % 2)) for i in range(10)]
+    # b drifts by 60 over the first overlap; the next one goes on where it ends
+    drifting = [(3, 9, "+", 0, 1000, 0, 1060, 5000, 5000, 1, 1), span(3, 1010, 1100, 60)]
+    got = rows(O.stitch(spark.createDataFrame(nested + interleaved + drifting, schemas.OVERLAP), 110, width), "a", "ab", "ae", "bb", "diffs")
+    assert got == [(1, 0, 1100, 50, 3), (2, 0, 890, 0, 5), (2, 100, 990, 1000, 5), (3, 0, 1100, 0, 2)]
+
+
+@pytest.mark.parametrize("width", [None, 50])
+def test_covered_bases(spark, many, width):
+    rng = random.Random(5)
+    track = [(r, "x", b, b + rng.randint(1, 90)) for r in (0, 1) for b in (rng.randint(0, 2000) for _ in range(40))]
+    inside = {(r, x) for r, _, b, e in track for x in range(b, e)}
+    spans = many.select(F.col("a").alias("read_id"), "ab", "ae")
+    got = rows(O.covered_bases(spans, spark.createDataFrame(track, schemas.TRACK), width))
+    expected = {(r.a, r.ab, r.ae, sum((r.a, x) in inside for x in range(r.ab, r.ae))) for r in many.collect()}
+    assert got == sorted(expected, key=repr)
+
+
 def test_stitch_keeps_distant_places_apart(spark):
     far = [(1, 2, "+", 0, 100, 10_000, 10_100, 300, 20_000, 1, 1), (1, 2, "+", 110, 200, 50, 140, 300, 20_000, 1, 1)]
     near = [(3, 4, "+", 0, 100, 10_000, 10_100, 300, 20_000, 1, 1), (3, 4, "+", 110, 200, 10_120, 10_200, 300, 20_000, 1, 1)]
