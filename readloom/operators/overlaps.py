@@ -165,6 +165,23 @@ def track_duplicates(parts: Sequence[DataFrame]) -> DataFrame:
     return whole.groupBy(*whole.columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+def missing_blocks(rows: DataFrame, blocks: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """(kind, block_id) of the expected ``blocks`` that a track of one of ``kinds`` has no row of.
+
+    ``rows`` holds kind and block_id, as often as there are rows in the parts of the tracks; null
+    block ids count for nothing. Each task folds its rows into one bitmap per kind and 32,768
+    blocks, so only bitmaps are shuffled, and an expected block looks its bit up in one of them.
+    """
+    place = [F.bitmap_bucket_number("block_id").alias("_bucket"), F.bitmap_bit_position("block_id").alias("_bit")]
+    known = rows.filter(F.col("block_id").isNotNull()).select("kind", *place)
+    maps = known.groupBy("kind", "_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    wanted = blocks.select("block_id").filter(F.col("block_id").isNotNull()).distinct().select("block_id", *place)
+    asked = wanted.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.lit(1) == F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(1)
+    return asked.join(maps, ["kind", "_bucket"], "left").filter(F.col("_map").isNull() | ~there).select("kind", "block_id")
+
+
 def track_combine(first: DataFrame, second: DataFrame, kind: str = "combined_repeats") -> DataFrame:
     """Interval union of two tracks per read."""
     both = first.select("read_id", "b", "e").unionByName(second.select("read_id", "b", "e"))

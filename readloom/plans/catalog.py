@@ -506,6 +506,15 @@ def track_duplicates(t: Tables) -> DataFrame:
     return overlaps.track_duplicates([t.part_trim(), t.part_trim()])
 
 
+@_query
+def track_missing_blocks(t: Tables) -> DataFrame:
+    """Two tracks in blocks of ten reads: repeats, and trims of which every seventh block was lost."""
+    block = F.expr("read_id div 10 + 1").alias("block_id")
+    trims = t.part_trim().select("kind", block).filter("block_id % 7 <> 3")
+    rows = trims.unionByName(overlaps.repeat_track(t.overlap(), 5).select("kind", block))
+    return overlaps.missing_blocks(rows, t.parts().select(block), ["trim", "repeats"])
+
+
 @_query
 def track_combine(t: Tables) -> DataFrame:
     spans = t.overlap().select(F.col("a").alias("read_id"), F.col("ab").alias("b"), (F.col("ab") + F.col("diffs")).alias("e"))

@@ -457,6 +457,11 @@ def all_sql() -> dict[str, str]:
         FROM ({_good_runs(22)}) g JOIN part_trim p ON g.read_id = p.read_id"""))
     q["track_merge"] = _with([*_TRACKED, "part_trim"], "SELECT * FROM repeats UNION SELECT * FROM part_trim")
     q["track_duplicates"] = _with(["part_trim"], "SELECT *, CAST(2 AS BIGINT) AS n FROM part_trim")
+    q["track_missing_blocks"] = _with([*_TRACKED, "part_trim"], """
+        , known AS (SELECT 'trim' AS kind, read_id // 10 + 1 AS block_id FROM part_trim WHERE (read_id // 10 + 1) % 7 <> 3
+                    UNION SELECT 'repeats', read_id // 10 + 1 FROM repeats)
+        SELECT kind, block_id FROM (SELECT DISTINCT p_partkey // 10 + 1 AS block_id FROM part), (VALUES ('trim'), ('repeats')) AS k(kind)
+        EXCEPT SELECT kind, block_id FROM known""")
     q["track_combine"] = _with(_TRACKED, "SELECT read_id, 'combined_repeats' AS kind, b, e FROM (" + _runs("""
         SELECT a AS read_id, ab AS b, ab + diffs AS e FROM overlap WHERE diffs > 0 UNION ALL SELECT read_id, b, e FROM repeats""") + ")")
     q["remove_gaps"] = _with(["overlap", "part_trim"], """

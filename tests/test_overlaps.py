@@ -213,3 +213,11 @@ def test_candidate_pairs(spark, identity, hot, monkeypatch):
     track = spark.createDataFrame([(i, "mask", b, e) for i, spans in masks.items() for b, e in spans], schemas.TRACK)
     got = seeds.candidate_pairs(df, k, max_freq, 3, band, identity, track)
     assert rows(got) == sorted(expected, key=repr)
+
+
+def test_missing_blocks(spark):
+    there = {("x", i) for i in range(0, 70_000, 3)} | {("y", 5), ("y", 32_768), ("y", 32_769)}
+    parts = spark.createDataFrame([*there, *list(there)[:50], ("x", None), ("z", 1)], "kind string, block_id long")
+    wanted = [1, 2, 3, 5, 6, 32_767, 32_768, 32_769, 69_999, 70_000, 5, None]
+    got = rows(O.missing_blocks(parts, spark.createDataFrame([(i,) for i in wanted], "block_id long"), ["x", "y", "w"]))
+    assert got == sorted(((k, i) for k in "xyw" for i in set(wanted) - {None} if (k, i) not in there), key=repr)
