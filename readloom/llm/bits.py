@@ -28,19 +28,25 @@ class Bits:
         return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bits_of(rows: DataFrame, column: str, n: int) -> Bits:
-    """Of a column of longs in ``n`` rows; one row per 64 slots, 2 ** (MAX_BITS - 6) at most, comes to the driver."""
-    bits = min(MAX_BITS, max(MIN_BITS, (64 * n).bit_length()))
+def bits_of(rows: DataFrame, column: str, n: int, spread: int = 64) -> Bits:
+    """Of a column of longs in ``n`` rows, with ``spread`` bits for each or more while the bound allows.
+
+    One row per 512 slots comes to the driver, 2 ** (MAX_BITS - 9) at most.
+    """
+    bits = min(MAX_BITS, max(MIN_BITS, (spread * n).bit_length()))
+    words = [f"_w{i}" for i in range(8)]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(1 << bits - 6, np.uint64)
+        table = np.zeros(1 << bits - 6, np.uint64)
         for batch in source:
             slot = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) * TURN) >> np.uint64(64 - bits)
-            np.bitwise_or.at(words, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["_at", "_bits"])
-
-    found = rows.select(column).mapInArrow(run, "_at long, _bits long").groupBy("_at").agg(F.bit_or("_bits").alias("_bits")).toPandas()
-    words = np.zeros(1 << bits - 6, np.uint64)
-    words[found["_at"].to_numpy(np.int64)] = found["_bits"].to_numpy(np.int64).view(np.uint64)
-    return Bits(words, bits)
+            np.bitwise_or.at(table, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+        table = table.view(np.int64).reshape(-1, 8)
+        at = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(table[at, i]) for i in range(8))], ["_at", *words])
+
+    parts = rows.select(column).mapInArrow(run, ", ".join(f"{name} long" for name in ["_at", *words]))
+    found = parts.groupBy("_at").agg(*[F.bit_or(w).alias(w) for w in words]).toPandas()
+    table = np.zeros((1 << bits - 9, 8), np.int64)
+    table[found["_at"].to_numpy(np.int64)] = found[words].to_numpy(np.int64)
+    return Bits(table.reshape(-1).view(np.uint64), bits)

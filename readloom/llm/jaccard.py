@@ -171,7 +171,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     """The entries of the prefixes whose shingle another set may share; a table of bits keeps the others out of the shuffles."""
     twice = prefixes.groupBy("_token").agg(F.min("_node.low").alias("_a"), F.max("_node.low").alias("_b")).where("_a < _b")
     twice = cut_lineage(twice.select("_token"))
-    bits = prefixes.sparkSession.sparkContext.broadcast(bits_of(twice, "_token", twice.count()))
+    bits = prefixes.sparkSession.sparkContext.broadcast(bits_of(twice, "_token", twice.count(), 16))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -251,10 +251,10 @@ def _key(doc_id: str) -> Column:
 def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """_node, _set of the wanted sets (_node, _key of a row that has it), gathered from the texts; tables of bits keep the others out."""
     context, n = rows.sparkSession.sparkContext, wanted.count()
-    owners = context.broadcast(bits_of(wanted, "_key", n))
+    owners = context.broadcast(bits_of(wanted, "_key", n, 16))
     if n <= BROADCAST_KEYS:
         rows = rows.join(F.broadcast(wanted.select("_key").distinct()), "_key", "left_semi")
-    some = context.broadcast(bits_of(wanted.select(F.col("_node.low").alias("_low")), "_low", n))
+    some = context.broadcast(bits_of(wanted.select(F.col("_node.low").alias("_low")), "_low", n, 16))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -296,7 +296,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     signed = signed.where("_n IS NOT NULL").drop("_counts")
     # one row of each class of copies speaks for it, found by its id
     sets = cut_lineage(signed.where("_n > 0").groupBy("_node").agg(F.min("_id").alias("_least"), F.max("_ranges").alias("_ranges")))
-    reps = context.broadcast(bits_of(sets.select(_key("_least").alias("_key")), "_key", sets.count()))
+    reps = context.broadcast(bits_of(sets.select(_key("_least").alias("_key")), "_key", sets.count(), 16))
     entries = _shared(cut_lineage(_prefixes(rows, reps, order, words, least)))
     tried = cut_lineage(_hub_pairs(entries, sets, least))
     links = _verified(rows, sets, tried, words, least)
