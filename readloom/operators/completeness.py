@@ -75,12 +75,13 @@ def missing_artifacts(
     tracks: Sequence[str] = ("q", "trim", "repeats"),
     extensions: Sequence[str] = ("a2", "d2"),
 ) -> DataFrame:
-    """(block_id, track, ext): required track files that are absent or empty."""
+    """(block_id, track, ext): required track files that are absent or empty; ``project`` is a plain name, not a pattern."""
     kinds = F.array(
         *[F.struct(F.lit(t).alias("track"), F.lit(x).alias("ext")) for t in tracks for x in extensions]
     )
     required = blocks.select("block_id", F.explode(kinds).alias("_k")).select("block_id", "_k.track", "_k.ext")
-    shape = rf"^\.{project}\.([0-9]+)\.([a-z]+)\.([a-z0-9]+)$"
+    quoted = project.replace("\\E", r"\E\\E\Q")
+    shape = rf"^\.\Q{quoted}\E\.([0-9]+)\.([a-z]+)\.([a-z0-9]+)$"
     present = inventory.filter((F.col("size") > 0) & _file_name().rlike(shape)).select(
         F.regexp_extract(_file_name(), shape, 1).cast("bigint").alias("block_id"),
         F.regexp_extract(_file_name(), shape, 2).alias("track"),

@@ -232,3 +232,11 @@ def test_a_day_comes_after_23_hours(spark):
     rows_ = [("j", "23:00:00", "early"), ("j", "1-00:00:00", "late"), ("k", None, "only")]
     got = T.latest_records(spark.createDataFrame(rows_, "job_raw string, elapsed string, state string"))
     assert sorted(tuple(r) for r in got.collect()) == [("j", "1-00:00:00", "late"), ("k", None, "only")]
+
+
+def test_a_project_name_is_no_pattern(spark):
+    blocks = spark.createDataFrame([(1,), (2,)], "block_id long")
+    for name, other in (("a.b(c", "axb(c"), ("p\\Eq", "pEq")):
+        files = spark.createDataFrame([(f"/d/.{name}.1.q.a2", 5), (f"/d/.{other}.2.q.a2", 5)], "path string, size long")
+        got = C.missing_artifacts(blocks, files, name, ("q",), ("a2",)).collect()
+        assert [tuple(r) for r in got] == [(2, "q", "a2")]
