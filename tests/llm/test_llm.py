@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -142,6 +144,40 @@ def test_top_k_small(spark):
     assert [tuple(r) for r in voronoi.top_k(spark.createDataFrame([(20, [1.0]), (3, [-1.0]), (3, [-1.0])], schema)).collect()] == [(20, 1, 3, -4096)]
 
 
+def brute_vectors(rows, k=20):
+    """As the contract has it, where an id may have several vectors."""
+    whole = sorted({(i, tuple(int(np.floor(64 * x)) for x in v)) for i, v in rows})
+    out = []
+    for q, v in whole:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_top_k_repeated_ids(spark, block):
+    dice = np.random.default_rng(11)
+    vector = lambda scale=1: (scale * dice.normal(size=4)).round(2).tolist()
+    # a query id and another one hold most of the longest vectors; equal vectors under several ids; repeated rows
+    rows = [(20, vector(5)) for _ in range(60)] + [(7, vector(5)) for _ in range(60)] + [(i, vector()) for i in range(60)]
+    rows += [(i, [3.0, 3.0, 3.0, 3.0]) for i in (20, 20, 40, 41, 7)] + rows[:5]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in voronoi.top_k(df, query_block=block, data_chunk=4 * block, pivots=4).collect())
+    assert got == brute_vectors(rows)
+    if block == 8:
+        con = duckdb.connect()
+        con.register("embeddings", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+        assert sorted(con.execute(queries.OP2_SQL).fetchall()) == got
+
+
+def test_groups_with_the_same_data_are_joined():
+    same = np.ones((50, 6), bool)
+    assert [sorted(x) for x in voronoi.joined_groups(same, [3, 9, 1, 4, 4, 2], 100)] == [[0, 1, 2, 3, 4, 5]]
+    apart = np.repeat(np.eye(2, dtype=bool), 25, axis=0)
+    assert sorted(voronoi.joined_groups(apart, [100, 100], 100)) == [[0], [1]]
+
+
 # 3
 
 
