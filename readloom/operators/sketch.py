@@ -2,6 +2,11 @@
 
 A sequence's sketch is the n smallest distinct k-mer hashes. It is computed
 inside the row: no k-mer is ever shuffled.
+
+The best match joins on hashes. Where a hash is in many references, that join would make a
+row for each of them and each target. Then an index is searched instead: hashes are put in
+order of rarity, a first match gives each target a similarity to beat, and only those
+references are looked at whose first shared hash lies early enough on both sides to beat it.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from readloom.session import cut_lineage
 PIECE = 1 << 16
 BROADCAST_ROWS = 2_000_000
 MATCH_ROWS = 500_000
+#: References that may share a hash before matches are searched by the index.
+MOST_SHARED = 64
 
 
 def kmers(text: Column, k: int) -> Column:
@@ -101,18 +108,20 @@ def best_match(
 
 def match_sketches(targets: DataFrame, refs: DataFrame, options: SketchOptions = SketchOptions()) -> DataFrame:
     """``best_match`` against what ``sketch_references`` gave."""
-    # Broadcast only a reference table known to be small; otherwise the join shuffles on h.
-    if refs.count() <= BROADCAST_ROWS:
-        refs = F.broadcast(refs)
     sketched = targets.select(F.col("id").alias("target_id"), options.of(F.col("seq")).alias("_sketch"))
-    hashes = sketched.select(
-        "target_id", F.size("_sketch").alias("asize"), F.explode_outer("_sketch").alias("h")
-    )
-    counted = (
-        hashes.join(refs, "h", "left")
-        .groupBy("target_id", "asize", "reference_id", "bsize")
-        .agg(F.count("reference_id").alias("hits"))
-    )
+    counts = refs.groupBy("h").agg(F.count("*").alias("df"))
+    if (counts.agg(F.max("df")).first()[0] or 0) > MOST_SHARED:
+        return _match_by_index(sketched, refs)
+    return _match_by_hash(sketched, refs)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table, broadcast only if it is known to be small; otherwise its joins shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _best(matches: DataFrame, key: str) -> DataFrame:
+    """The first match per key by similarity, then reference id; ``matches`` holds hits, asize and bsize."""
     ji = F.col("hits") / (F.col("asize") + F.col("bsize") - F.col("hits"))
     ranked = F.struct(
         (-F.coalesce(ji, F.lit(0.0))).alias("_down"),
@@ -122,10 +131,10 @@ def match_sketches(targets: DataFrame, refs: DataFrame, options: SketchOptions =
         F.coalesce(F.col("bsize"), F.lit(0)).cast("bigint").alias("bsize"),
     )
     return (
-        counted.groupBy("target_id")
+        matches.groupBy(key)
         .agg(F.min(ranked).alias("_best"))
         .select(
-            "target_id",
+            key,
             "_best.reference_id",
             "_best.hits",
             "_best.asize",
@@ -135,6 +144,99 @@ def match_sketches(targets: DataFrame, refs: DataFrame, options: SketchOptions =
     )
 
 
+def _match_by_hash(sketched: DataFrame, refs: DataFrame) -> DataFrame:
+    """Every target hash meets every reference that has it."""
+    hashes = sketched.select(
+        "target_id", F.size("_sketch").alias("asize"), F.explode_outer("_sketch").alias("h")
+    )
+    counted = (
+        hashes.join(_small(refs), "h", "left")
+        .groupBy("target_id", "asize", "reference_id", "bsize")
+        .agg(F.count("reference_id").alias("hits"))
+    )
+    return _best(counted, "target_id")
+
+
+def _match_by_index(sketched: DataFrame, refs: DataFrame) -> DataFrame:
+    """Targets with equal sketches are matched once; the others by ``search_index``."""
+    sketched = cut_lineage(sketched)
+    distinct = cut_lineage(
+        sketched.filter(F.size("_sketch") > 0)
+        .select("_sketch")
+        .distinct()
+        .select(F.monotonically_increasing_id().alias("_key"), "_sketch")
+    )
+    first, others = search_index(distinct, refs)
+    found = distinct.join(_best(first.unionByName(others), "_key"), "_key").drop("_key", "asize")
+    zero = F.lit(0).cast("bigint")
+    return sketched.join(found, "_sketch", "left").select(
+        "target_id",
+        "reference_id",
+        F.coalesce("hits", zero).alias("hits"),
+        F.size("_sketch").cast("bigint").alias("asize"),
+        F.coalesce("bsize", zero).alias("bsize"),
+        F.coalesce("ji", F.lit(0.0)).alias("ji"),
+    )
+
+
+def search_index(distinct: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_key, reference_id, bsize, asize, hits): a first match per sketch, and all that may beat it.
+
+    ``distinct`` holds _key and _sketch, ``refs`` what ``sketch_references`` gave. Positions count
+    hashes from the rarest one. If a pair shares its first hash at position i of a and j of b, it
+    shares at most min(|a| - i, |b| - j). References alike in (hash, |b|, j) are a
+    block; a block that cannot beat the first match is passed over as one row.
+    """
+    rarity = cut_lineage(refs.groupBy("h").agg(F.count("*").alias("df"), F.min("reference_id").alias("_pilot")))
+    seen = _small(rarity)
+    order = F.array_sort(F.collect_list(F.struct("df", "h")))
+    whole = cut_lineage(refs.join(seen, "h").groupBy("reference_id", "bsize").agg(order.alias("_order")))
+    postings = cut_lineage(
+        whole.select("reference_id", "bsize", F.posexplode("_order").alias("j", "_x")).select("reference_id", "bsize", "j", "_x.h")
+    )
+    blocks = _small(postings.groupBy("h", "bsize", "j").agg(F.min("reference_id").alias("_least")))
+    sketches = _small(whole.select("reference_id", "bsize", F.transform("_order", lambda x: x["h"]).alias("_other")))
+    shared = F.size(F.array_intersect("_sketch", "_other")).cast("bigint")
+
+    # the reference named most often by the hashes goes first; hashes in no reference are the rarest
+    placed = (
+        distinct.select("_key", F.explode("_sketch").alias("h"))
+        .join(seen, "h", "left")
+        .withColumn("df", F.coalesce("df", F.lit(0)))
+        .groupBy("_key")
+        .agg(order.alias("_order"), F.mode("_pilot", True).alias("reference_id"))
+        .filter(F.col("reference_id").isNotNull())
+    )
+    placed = cut_lineage(
+        placed.join(distinct, "_key")
+        .join(sketches, "reference_id")
+        .select("_key", "reference_id", "bsize", F.size("_sketch").alias("asize"), shared.alias("hits"), "_order")
+    )
+    union = F.col("asize") + F.col("bsize") - F.col("hits")
+    early = placed.select(
+        "_key",
+        "asize",
+        "hits",
+        union.alias("_union"),
+        F.col("reference_id").alias("_first"),
+        F.posexplode("_order").alias("i", "_x"),
+    ).select("*", "_x.h").filter((F.col("_x.df") > 0) & ((F.col("asize") - F.col("i")) * F.col("_union") >= F.col("hits") * F.col("asize")))
+    most = F.least(F.col("asize") - F.col("i"), F.col("bsize") - F.col("j"))
+    ahead = most * F.col("_union") - F.col("hits") * (F.col("asize") + F.col("bsize") - most)
+    open_blocks = early.join(blocks, "h").filter((ahead > 0) | ((ahead == 0) & (F.col("_least") < F.col("_first"))))
+    tie = (ahead > 0).alias("_ahead")
+    pairs = (
+        open_blocks.select("_key", "asize", "_first", "h", "bsize", "j", tie)
+        .join(postings, ["h", "bsize", "j"])
+        .filter((F.col("reference_id") < F.col("_first")) | (F.col("_ahead") & (F.col("reference_id") != F.col("_first"))))
+        .select("_key", "asize", "reference_id", "bsize")
+        .distinct()
+    )
+    others = pairs.join(distinct, "_key").join(sketches.drop("bsize"), "reference_id")
+    columns = ["_key", "reference_id", "bsize", "asize"]
+    return placed.select(*columns, "hits"), others.select(*columns, shared.alias("hits"))
+
+
 def screen(
     targets: DataFrame,
     references: DataFrame,

@@ -41,9 +41,11 @@ def test_native_hash_keeps_the_n_smallest(texts):
     assert minhash_sketch(texts, SketchOptions(4, 10)).count() == sum(map(len, narrow.values()))
 
 
+@pytest.mark.parametrize("shared", [0, 64])
 @pytest.mark.parametrize("limit", [0, 2_000_000])
-def test_best_match(texts, limit, monkeypatch):
+def test_best_match(texts, limit, shared, monkeypatch):
     monkeypatch.setattr(sketch, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(sketch, "MOST_SHARED", shared)
     refs = texts.filter("id % 3 = 0").withColumn("id", F.col("id") + 100)
     refs = refs.unionByName(refs.withColumn("id", F.col("id") + 1000))  # every reference twice
     known = {r.id: set(brute(r.seq)) for r in refs.collect()}
@@ -58,6 +60,29 @@ def test_best_match(texts, limit, monkeypatch):
     assert rows(best_match(texts, refs, MD5)) == sorted(expected, key=repr)
 
 
+def test_near_equal_sketches_make_few_pairs(spark):
+    # 300 targets and 200 references of a hundred hashes, which share most of them
+    rng = random.Random(8)
+    common = list(range(90))
+    alike = [common + rng.sample(range(100, 140), 6) + [1000 + 4 * i + x for x in range(4)] for i in range(200)]
+    alike[77] = alike[55][:]  # two references match alike
+    mine = [common + rng.sample(range(100, 140), 6) + [9000 + 4 * i + x for x in range(4)] for i in range(300)]
+    mine[5], mine[6], mine[7] = alike[199][:], alike[77][:], [5_000_000]
+    refs = spark.createDataFrame([(i, len(s), h) for i, s in enumerate(alike) for h in s], "reference_id bigint, bsize int, h bigint")
+    targets = spark.createDataFrame(list(enumerate(mine)), "target_id bigint, _sketch array<bigint>")
+    expected = []
+    for i, s in enumerate(mine):
+        hits = [len(set(s) & set(r)) for r in alike]
+        best = max(range(200), key=lambda r: (hits[r] / (200 - hits[r]), -r))
+        expected.append((i, best if hits[best] else None, hits[best], 100 if i != 7 else 1, 100 if hits[best] else 0, hits[best] / (200 - hits[best])))
+    assert rows(sketch._match_by_index(targets, refs)) == sorted(expected, key=repr)
+    assert rows(sketch._match_by_hash(targets, refs)) == sorted(expected, key=repr)
+    distinct = targets.select(F.col("target_id").alias("_key"), "_sketch")
+    _, others = sketch.search_index(distinct, refs)
+    joined = distinct.select(F.explode("_sketch").alias("h")).join(refs, "h").count()
+    assert others.count() * 100 < joined
+
+
 @pytest.mark.parametrize("limit", [0, 500_000])
 def test_screen(spark, limit, monkeypatch):
     monkeypatch.setattr(sketch, "MATCH_ROWS", limit)
