@@ -133,7 +133,22 @@ def file_inventory(t: Tables) -> DataFrame:
     """Files of a written read set: their sizes add up to its records."""
     path = scratch_path(t.spark)
     fasta.write_fasta(t.reads(), path)
-    return tables.file_inventory(t.spark, path, "*.txt").agg(F.sum("size").alias("n_bytes"))
+    return tables.file_inventory(t.spark, path, "*.txt", empty=False).agg(F.sum("size").alias("n_bytes"))
+
+
+@_query
+def empty_files(t: Tables) -> DataFrame:
+    """Orders written into a folder per status: the bytes of each, and the empty marks of whole writes."""
+    path = scratch_path(t.spark)
+    for state in ("F", "O", "P"):
+        key = F.col("o_orderkey").cast("string").alias("value")
+        t.table("orders").filter(F.col("o_orderstatus") == state).select(key).write.text(f"{path}/{state}")
+    files = tables.file_inventory(t.spark, path).select(
+        F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "size"
+    )
+    return files.filter(~F.startswith("name", F.lit("."))).groupBy("folder").agg(
+        F.count_if(F.col("size") == 0).alias("n_empty"), F.sum("size").alias("n_bytes")
+    )
 
 
 # --- headers, sequences, index ---------------------------------------------------

@@ -320,6 +320,9 @@ def all_sql() -> dict[str, str]:
     q["accounting_round_trip"] = _with(["accounting"], "SELECT * FROM accounting")
     q["telemetry_files"] = _with(["samples"], "SELECT cluster, node, job_raw, localtime, raw_time, mem_used_gb, len(cores) AS n_cores FROM samples")
     q["task_log_files"] = _with(_LOGS, _FOLDED.format(said="said"))
+    q["empty_files"] = """
+        SELECT folder, CAST(1 AS BIGINT) AS n_empty, CAST(coalesce(sum(strlen(CAST(o_orderkey AS VARCHAR)) + 1), 0) AS BIGINT) AS n_bytes
+        FROM (VALUES ('F'), ('O'), ('P')) AS s(folder) LEFT JOIN orders ON o_orderstatus = folder GROUP BY folder"""
     q["file_inventory"] = _with(["reads"], "SELECT CAST(sum(strlen(CAST(id AS VARCHAR)) + strlen(seq) + 3) AS BIGINT) AS n_bytes FROM reads")
 
     q["parsed_headers"] = q["fasta_headers"]

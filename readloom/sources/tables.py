@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import schemas
+from readloom.sources import listing
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:
@@ -84,12 +85,16 @@ def read_telemetry(spark: SparkSession, directory: str, path_pattern: str = SAMP
     )
 
 
-def file_inventory(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """(path, size, mtime) of every file that is not empty; contents are never read.
+def file_inventory(spark: SparkSession, directory: str, pattern: str = "*", empty: bool = True) -> DataFrame:
+    """(path, size, mtime) of every file below a directory; contents are never read.
 
-    Spark's file sources pass over empty files. No check here counts those as
-    present, so a listing without them gives the same answers.
+    Empty files come with size 0, and hidden ones are listed too. The directory must be one that
+    every executor can list under the same name. With ``empty=False`` Spark's own
+    listing is used, for file systems only Spark can open: without empty or hidden files.
     """
+    if empty:
+        spark.dataSource.register(listing.FolderListing)
+        return spark.read.format(listing.FORMAT).option("pattern", pattern).load(directory)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from readloom.functions.headers import parse_headers
 from readloom.operators.index import INDEX_COLUMNS, build_index, index_fasta, record_offsets
 from readloom.operators.status import fold_status
-from readloom.sources import fasta, tables
+from readloom.sources import fasta, listing, tables
 from tests.conftest import rows
 
 
@@ -111,11 +111,40 @@ def test_inventory_reads_no_content(spark, tmp_path):
     write(tmp_path / "a.las", "12345")
     write(tmp_path / "b.las", "")
     write(tmp_path / "c.txt", "x")
-    listing = tables.file_inventory(spark, str(tmp_path), "*.las")
+    listing = tables.file_inventory(spark, str(tmp_path), "*.las", empty=False)
     assert rows(listing.select(F.substring_index("path", "/", -1), "size")) == [("a.las", 5)]
     assert "content:binary" not in listing._jdf.queryExecution().executedPlan().toString()
 
 
+def test_inventory_with_empty_and_hidden_files(spark, tmp_path):
+    (tmp_path / "d 1" / "deep").mkdir(parents=True)
+    (tmp_path / "none").mkdir()
+    sizes = {"a.las": 5, ".b.las": 0, "c.txt": 1, "d 1/e.las": 0, "d 1/deep/f.las": 3}
+    for name, size in sizes.items():
+        write(tmp_path / name, "x" * size)
+    for directory in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        listing = tables.file_inventory(spark, directory)
+        assert rows(listing.select("path", "size")) == sorted((f"file:{tmp_path}/{n}", s) for n, s in sizes.items())
+    listing = tables.file_inventory(spark, str(tmp_path), "*.las")
+    assert rows(listing.select(F.substring_index("path", "/", -1), "size")) == [(".b.las", 0), ("a.las", 5), ("e.las", 0), ("f.las", 3)]
+    assert listing.rdd.getNumPartitions() == 3  # the top and two folders
+    # times and names agree with Spark's own listing
+    own = tables.file_inventory(spark, str(tmp_path), empty=False)
+    assert own.exceptAll(tables.file_inventory(spark, str(tmp_path))).count() == 0
+    with pytest.raises(Exception, match="missing"):
+        tables.file_inventory(spark, str(tmp_path / "missing")).count()
+
+
+def test_listing_in_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "BATCH", 2)
+    (tmp_path / "d").mkdir()
+    for i in range(7):
+        write(tmp_path / "d" / f"{i}.txt", "")
+    reader = listing.ListingReader(str(tmp_path), "*")
+    batches = [b.num_rows for part in reader.partitions() for b in reader.read(part)]
+    assert batches == [2, 2, 2, 1]
+
+
 def test_tsv(spark, tmp_path):
     tables.write_tsv(spark.createDataFrame([(1, "x")], "a int, b string").coalesce(1), str(tmp_path / "t"))
     assert [p.read_text() for p in (tmp_path / "t").glob("*.csv")] == ["a\tb\n1\tx\n"]
