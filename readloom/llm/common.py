@@ -34,10 +34,27 @@ def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key.cast("string"), F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-def bounded_sample_of_each(rows: DataFrame, key: Column, group: str, sizes: dict[str, int], most: int) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of the key: small groups whole, the others in about equal numbers.
+def _row_key(rows: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c).cast("string") for c in rows.columns], F.lit(17))
 
-    ``sizes`` has the rows of every group; a group gets what smaller ones leave of their equal shares.
+
+def bounded_sample_of_rows(rows: DataFrame, most: int) -> DataFrame:
+    """All rows if there are at most ``most``; else at most about that many different ones.
+
+    They are chosen by a hash of all columns and come once each, so an id, or a row, that repeats is no larger part of
+    the sample than others.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    chosen = rows.withColumn("_key", _row_key(rows)).where(F.pmod("_key", F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return chosen.dropDuplicates(["_key"]).drop("_key")
+
+
+def bounded_sample_of_each(rows: DataFrame, group: str, sizes: dict[str, int], most: int) -> DataFrame:
+    """About ``most`` rows at most: small groups whole, the others in about equal numbers.
+
+    Rows are chosen as in :func:`bounded_sample_of_rows`. ``sizes`` has the rows of every group; a group gets what smaller ones leave of their equal shares.
     """
     left, share = most, {}
     for i, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: x[1])):
@@ -46,8 +63,8 @@ def bounded_sample_of_each(rows: DataFrame, key: Column, group: str, sizes: dict
     if all(x >= 1 for x in share.values()):
         return rows
     bars = rows.sparkSession.createDataFrame([(k, int((1 << 30) * x)) for k, x in share.items()], f"`{group}` string, _bar long")
-    chosen = F.pmod(F.xxhash64(key.cast("string"), F.lit(17)), F.lit(1 << 30)) < F.col("_bar")
-    return rows.join(bars, group).where(chosen).drop("_bar")
+    chosen = rows.withColumn("_key", _row_key(rows)).join(F.broadcast(bars), group).where(F.pmod("_key", F.lit(1 << 30)) < F.col("_bar"))
+    return chosen.dropDuplicates(["_key"]).drop("_bar", "_key")
 
 
 def labelled_texts(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
@@ -89,4 +106,4 @@ def unpacked(df: DataFrame, struct: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(struct).getField(c).alias(c) for c in columns])
 
 
-__all__ = ["BLANK", "batches", "bounded_sample", "bounded_sample_of_each", "cut_lineage", "held_out", "labelled_texts", "packed", "table", "unpacked"]
+__all__ = ["BLANK", "batches", "bounded_sample", "bounded_sample_of_each", "bounded_sample_of_rows", "cut_lineage", "held_out", "labelled_texts", "packed", "table", "unpacked"]

@@ -109,7 +109,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
     rows = rows.where("_id IS NOT NULL AND _text IS NOT NULL AND _lang IS NOT NULL").where(~held_out(F.col("_id")))
     sizes = {r._lang: r.n for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").collect()}
     languages = list(sizes)
-    sample = bounded_sample_of_each(rows, F.col("_id"), "_lang", sizes, max_rows).select("_lang", "_text")
+    sample = bounded_sample_of_each(rows, "_lang", sizes, max_rows).select("_lang", "_text")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import bounded_sample
+from readloom.llm.common import bounded_sample_of_rows
 
 #: The kinds in the order they are listed, their patterns, and the least
 #: length of a finding. For assign the length is that of group 2. A pattern whose run
@@ -95,7 +95,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[float]:
     A string teaches each of its transitions once, so that no long one drowns the others.
     Without samples both models are uniform and every ratio is 0.
     """
-    sample = bounded_sample(docs.select("doc_id", "text"), F.col("doc_id"), max_rows)
+    sample = bounded_sample_of_rows(docs.select("doc_id", "text"), max_rows)
     known = _apart(_found(sample, [*BASE, (3, WORD)]))
     counts = known.select((F.col("kind") < 3).alias("random"), F.explode(F.array_distinct(_pairs(F.col("body")))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n")).collect()
     ratio = [0.0] * (_STATES * _STATES)

@@ -66,7 +66,7 @@ def windows(text: str | None, least: int = LEAST, seed: int = SEED) -> Iterator[
 
 
 def _suffixes(docs: DataFrame, least: int, seed: int) -> DataFrame:
-    """_key (seed hash), _id, _at (word position): the kept suffixes."""
+    """_key (seed hash), _id, _doc (hash of the text), _at (word position): the kept suffixes."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -79,12 +79,12 @@ def _suffixes(docs: DataFrame, least: int, seed: int) -> DataFrame:
                     keys.append(key[new])
                     rows.append(np.full(len(new), n))
                     places.append(first[new])
-            ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids, pa.array(np.concatenate(places))], ["_key", "_id", "_at"])
+            row = pa.array(np.concatenate(rows))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(row), batch.column(2).take(row), pa.array(np.concatenate(places))], ["_key", "_id", "_doc", "_at"])
 
         return step
 
-    return batches(docs.select("_id", "_text"), make, "_key long, _id long, _at long")
+    return batches(docs.select("_id", "_text", "_doc"), make, "_key long, _id long, _doc long, _at long")
 
 
 def _compared(docs: DataFrame, least: int, seed: int) -> DataFrame:
@@ -215,21 +215,27 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     that another document holds, too; documents without one have no row. Words are what ASCII white space
     separates, compared as they are. first_doc_id is the smallest id that holds a window
     of the passage; the passage is the first of its kind where that is its own id. Null
-    texts and ids take no part; rows that share an id count as one document.
+    texts and ids, and texts of fewer words, take no part; rows that share an id, with equal or
+    other texts, count as one document, whose places add up. An empty table gives no
+    row. Other columns, whatever their names, are not read.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).where("_id IS NOT NULL AND _text IS NOT NULL")
+    rows = rows.withColumn("_doc", F.xxhash64("_text"))
     kept = cut_lineage(_suffixes(rows, least, seed))
     seeds = kept.groupBy("_key").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.count("*").alias("_n"))
     seeds = cut_lineage(seeds.where("_low < _high").select("_key", F.ceil(F.col("_n") / hot).alias("_parts")))
-    wanted = kept.join(seeds, "_key").groupBy("_id").agg(F.collect_set(F.struct("_at", "_key", "_parts")).alias("_places"))
-    compared = cut_lineage(_compared(rows.join(wanted, "_id").select("_id", "_text", "_places"), least, seed))
+    # the places of one text: an id with many texts has as many lists
+    wanted = kept.join(seeds, "_key").groupBy("_id", "_doc").agg(F.collect_set(F.struct("_at", "_key", "_parts")).alias("_places"))
+    compared = cut_lineage(_compared(rows.join(wanted, ["_id", "_doc"]).select("_id", "_text", "_places"), least, seed))
     part = F.when(F.col("_parts") == 1, F.col("_key")).otherwise(F.xxhash64("_key", F.pmod(F.xxhash64("_id", "_from"), F.col("_parts"))))
     kind = F.when(F.col("_parts") == 1, _WHOLE).otherwise(_CUT)
     suffixes = compared.select(part.alias("_part"), kind.alias("_kind"), "_id", "_from", "_hashes")
     marks = _marks(suffixes.where(F.col("_kind") == _CUT))
     marks = marks.select("_part", F.lit(_MARK).alias("_kind"), F.col("_first").alias("_id"), F.lit(0).cast("long").alias("_from"), F.array("_window").alias("_hashes"))
     runs = _neighbours(suffixes.unionByName(marks).repartition("_part").sortWithinPartitions("_part"))
-    by_start = Window.partitionBy("_id").orderBy("_from", "_to")
+    # runs that begin at one place end up together, so an id has no more rows here than its longest text has words
+    runs = runs.groupBy("_id", "_from").agg(F.max("_to").alias("_to"), F.min("_first").alias("_first"))
+    by_start = Window.partitionBy("_id").orderBy("_from")
     reach = F.max("_to").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     begun = runs.withColumn("_new", F.coalesce((F.col("_from") > reach + least).cast("int"), F.lit(1)))
     groups = begun.withColumn("_group", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))

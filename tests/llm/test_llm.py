@@ -625,6 +625,26 @@ def test_passages_of_an_id_with_two_texts(spark):
     assert got == brute_passages(rows, 12)
 
 
+def test_an_id_with_many_texts_has_a_list_for_each(spark, monkeypatch):
+    texts = [" ".join(f"t{n}x{i}" for i in range(40)) for n in range(30)]
+    rows = [(7, t) for t in texts] + [(100 + n, f"{t} more") for n, t in enumerate(texts)] + [(7, texts[0])] * 30
+    sizes, compared = [], suffixes._compared
+    monkeypatch.setattr(suffixes, "_compared", lambda docs, *a: sizes.append(docs.agg(F.max(F.size("_places"))).first()[0]) or compared(docs, *a))
+    got = sorted(tuple(r) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), least=12, seed=3, hot=8).collect())
+    assert got == brute_passages(rows, 12)
+    assert max(sizes) < 40
+
+
+def test_rows_of_one_id_do_not_outweigh_a_sample(spark):
+    rows = [(5, f"text {i}", "en") for i in range(1000)] + [(5, "same", "en")] * 500 + [(10 + i, f"other {i}", "de") for i in range(1000)] + [(None, f"none {i}", "de") for i in range(500)]
+    docs = spark.createDataFrame(rows, "_id long, _text string, _lang string")
+    some = common.bounded_sample_of_rows(docs, 300).collect()
+    assert 150 < len(some) < 400 and len(set(some)) == len(some) and 50 < sum(r._id == 5 for r in some) < 180
+    of_each = common.bounded_sample_of_each(docs, "_lang", {"en": 1500, "de": 1500}, 300).collect()
+    assert 150 < len(of_each) < 400 and len(set(of_each)) == len(of_each)
+    assert sorted(common.bounded_sample_of_rows(docs, 3000).collect(), key=str) == sorted(docs.collect(), key=str)
+
+
 def test_rare_language_is_learned_at_any_size(spark):
     rows = [(i, f"the common tongue speaks of house {i}", "big") for i in range(4000)] + [(10_000 + i, "zyxqu vwkro pljzi", "rare") for i in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
