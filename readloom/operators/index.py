@@ -32,6 +32,17 @@ def index_fasta(spark: SparkSession, paths: str | Sequence[str], fold_case: bool
     return placed.select(*INDEX_COLUMNS, "source_file")
 
 
+def measure_records(pieces: DataFrame, fold_case: bool = False) -> DataFrame:
+    """(id, source_file, record_start, len, na..nn) of records that ``read_record_pieces`` gave in pieces.
+
+    Counts add up, so each task sends one row per record that it has pieces of.
+    """
+    measures = [seq_length(F.col("seq")).alias("len"), *base_counts(F.col("seq"), fold_case)]
+    counted = pieces.select("id", "source_file", "record_start", *measures)
+    names = counted.columns[3:]
+    return counted.groupBy("id", "source_file", "record_start").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def build_index(reads: DataFrame, fold_case: bool = False, offsets: DataFrame | None = None) -> DataFrame:
     """The index in ascending order of length, then place in the file.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import reverse_complement, seq_length
@@ -82,6 +82,19 @@ def minhash_sketch(seqs: DataFrame, options: SketchOptions = SketchOptions()) ->
     return seqs.select("id", F.explode(options.of(F.col("seq"))).alias("h"))
 
 
+def sketch_pieces(pieces: DataFrame, options: SketchOptions = SketchOptions()) -> DataFrame:
+    """(id, source_file, record_start, h): sketches of records that ``read_record_pieces`` gave in pieces.
+
+    The pieces must be read with an overlap of k - 1 letters or more, so that each k-mer begins in one
+    piece. The n smallest hashes of a record are among the n smallest of its pieces.
+    """
+    record = ["id", "source_file", "record_start"]
+    whole = F.concat("seq", F.substring("following", 1, options.k - 1))
+    hashes = pieces.select(*record, F.explode(options.of(whole)).alias("h")).distinct()
+    place = F.row_number().over(Window.partitionBy(*record).orderBy("h"))
+    return hashes.withColumn("_place", place).filter(F.col("_place") <= options.n).drop("_place")
+
+
 def sketch_references(references: DataFrame, options: SketchOptions = SketchOptions()) -> DataFrame:
     """(reference_id, bsize, h): a table of the references' sketches, to be matched as often as needed.
 

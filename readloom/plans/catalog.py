@@ -27,7 +27,7 @@ from readloom.operators import (
 )
 from readloom.plans.views import Tables
 from readloom.session import scratch_path
-from readloom.sources import fasta, tables
+from readloom.sources import fasta, records, tables
 from readloom.streaming.reads import stream_longest, stream_screen
 from readloom.streaming.status import status_so_far, stream_failures, stream_status
 from readloom.streaming.versions import read_all_versions, read_version
@@ -40,6 +40,7 @@ AS_OF = "2000-01-01 00:00:00"
 LONGEST = 25
 GENOME_SIZE, COVERAGE = 10_000, 5
 BLOCK_BASES = 20_000
+PIECE, PIECE_RANGE = 100, 64 << 10
 STAGES = {
     "merged": r"^proj\.([0-9]+)\.las$",
     "quality_annotated": r"^\.proj\.([0-9]+)\.q\.a2$",
@@ -196,6 +197,23 @@ def _fasta(t: Tables) -> str:
     return path
 
 
+@_query
+def long_records(t: Tables) -> DataFrame:
+    """Records read in pieces that are shorter than they are, and put together again."""
+    pieces = records.read_record_pieces(t.spark, _fasta(t), PIECE, range_bytes=PIECE_RANGE)
+    measured = index.measure_records(pieces)
+    parts = pieces.groupBy("source_file", "record_start").agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "piece", "seq"))), lambda x: x["seq"]), "")).alias("seq_md5")
+    )
+    return measured.join(parts, ["source_file", "record_start"]).drop("source_file", "record_start")
+
+
+@_query
+def long_record_sketch(t: Tables) -> DataFrame:
+    pieces = records.read_record_pieces(t.spark, _fasta(t), PIECE, SKETCH.k - 1, PIECE_RANGE)
+    return sketch.sketch_pieces(pieces, SKETCH).select("id", "h")
+
+
 @_query
 def fasta_index(t: Tables) -> DataFrame:
     return index.index_fasta(t.spark, _fasta(t)).drop("offset", "source_file")

@@ -336,6 +336,9 @@ def all_sql() -> dict[str, str]:
     q["read_index"] = _with([*hashed, "offsets"], f"""
         SELECT r.id, len, {counts}, "offset", hash FROM reads r JOIN offsets o ON r.id = o.id JOIN hashes h ON r.id = h.id""")
     q["fasta_index"] = _with(hashed, f"SELECT CAST(r.id AS VARCHAR) AS id, strlen(seq) AS len, {counts}, hash FROM reads r JOIN hashes h ON r.id = h.id")
+    q["long_records"] = _with(["reads"], f"SELECT CAST(id AS VARCHAR) AS id, strlen(seq) AS len, {counts}, md5(seq) AS seq_md5 FROM reads")
+    q["long_record_sketch"] = _with(["reads", "targets", "target_sketch"], "SELECT id, h FROM target_sketch", instead={
+        "targets": "SELECT CAST(id AS VARCHAR) AS id, seq FROM reads"})
     q["fasta_offsets"] = _with(["reads"], """
         SELECT count(*) AS n_records, CAST(sum(strlen(CAST(id AS VARCHAR)) + strlen(seq) + 3) AS BIGINT) AS n_bytes,
                CAST(sum(strlen(seq)) AS BIGINT) AS n_bases, CAST(0 AS BIGINT) AS n_files_with_gaps FROM reads""")

@@ -26,7 +26,7 @@ class Folder(InputPartition):
         self.deep = deep
 
 
-def _opened(directory: str) -> tuple[fs.FileSystem, str, str]:
+def opened(directory: str) -> tuple[fs.FileSystem, str, str]:
     """File system, path in it, and what comes before that path in a name."""
     parts = urlsplit(directory)
     if parts.scheme in ("", "file"):
@@ -41,13 +41,13 @@ class ListingReader(DataSourceReader):
         self.pattern = pattern
 
     def partitions(self) -> list[Folder]:
-        system, path, _ = _opened(self.directory)
+        system, path, _ = opened(self.directory)
         top = system.get_file_info(fs.FileSelector(path))
         folders = sorted(x.path for x in top if x.type == fs.FileType.Directory)
         return [Folder(path, False), *(Folder(x, True) for x in folders)]
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
-        system, _, before = _opened(self.directory)
+        system, _, before = opened(self.directory)
         # a stack of folders, so that no list of all files of a tree is held
         waiting = [partition.path]
         rows: list[tuple[str, int, datetime]] = []
