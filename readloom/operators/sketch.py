@@ -273,10 +273,16 @@ def screen_sketched(
 ) -> DataFrame:
     """``screen`` against what ``sketch_references`` gave.
 
-    Matches with a hit are written as a narrow table. While it is small, it goes
-    to the targets, whose texts then stay where they are.
+    Matches with a hit are written as a narrow table.
+    """
+    return with_matches(targets, cut_lineage(match_sketches(targets, refs, options).filter("hits > 0")), min_similarity)
+
+
+def with_matches(targets: DataFrame, found: DataFrame, min_similarity: float) -> DataFrame:
+    """``targets`` with the written matches ``found``.
+
+    While these are few, they go to the targets, whose texts then stay where they are.
     """
-    found = cut_lineage(match_sketches(targets, refs, options).filter("hits > 0"))
     if found.count() <= MATCH_ROWS:
         found = F.broadcast(found)
     joined = targets.join(found.withColumnRenamed("target_id", "id"), "id", "left")

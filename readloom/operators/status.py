@@ -29,15 +29,28 @@ def _ids(line: Column, shape: str) -> Column:
     )
 
 
+def parse_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:
+    """(file, line_no, _started, _failed, _finished, _error) of lines that say something: ids by shape, in one pass."""
+    line = F.col("line")
+    said = [_ids(line, shape).alias(name) for shape, name in ((STARTED, "_started"), (FAILED, "_failed"), (FINISHED, "_finished"))]
+    parsed = lines.select("file", order, *said, line.rlike(SCHEDULER_ERROR).alias("_error"))
+    return parsed.filter(F.col("_error") | F.coalesce("_started", "_failed", "_finished").isNotNull())
+
+
+def parsed_events(parsed: DataFrame) -> DataFrame:
+    """``log_events`` of what ``parse_lines`` gave."""
+    return _events(parsed, (F.col("_started"), F.col("_failed"), F.col("_finished")))
+
+
 def log_events(lines: DataFrame) -> DataFrame:
     """(rowid, rank): what each line says about each row it names."""
-    line = F.col("line")
-    said = [
-        F.struct(_ids(line, shape).alias("ids"), F.lit(rank).alias("rank"))
-        for shape, rank in ((STARTED, 1), (FAILED, 2), (FINISHED, 3))
-    ]
+    return _events(lines, tuple(_ids(F.col("line"), shape) for shape in (STARTED, FAILED, FINISHED)))
+
+
+def _events(rows: DataFrame, ids: tuple[Column, Column, Column]) -> DataFrame:
+    said = [F.struct(named.alias("ids"), F.lit(rank).alias("rank")) for rank, named in enumerate(ids, 1)]
     return (
-        lines.select(F.explode(F.array(*said)).alias("_s"))
+        rows.select(F.explode(F.array(*said)).alias("_s"))
         .filter(F.col("_s.ids").isNotNull())
         .select(F.explode("_s.ids").alias("rowid"), F.col("_s.rank").alias("rank"))
     )
@@ -73,7 +86,16 @@ def attribute_failures(
         _ids(F.col("line"), STARTED).alias("_started"),
         F.col("line").rlike(SCHEDULER_ERROR).alias("_error"),
     ).filter(F.col("_error") | F.col("_started").isNotNull())
-    chosen = choose_width(lines, ["file"], width)
+    return _hits(marked, order, choose_width(lines, ["file"], width))
+
+
+def parsed_failures(parsed: DataFrame, order: str = "line_no", width: Width = AUTO) -> DataFrame:
+    """``attribute_failures`` of what ``parse_lines`` gave."""
+    marked = parsed.select("file", order, "_started", "_error").filter(F.col("_error") | F.col("_started").isNotNull())
+    return _hits(marked, order, choose_width(marked, ["file"], width))
+
+
+def _hits(marked: DataFrame, order: str, chosen: int | None) -> DataFrame:
     if chosen is None:
         marked = marked.drop(CHUNK)
     placed = with_preceding(

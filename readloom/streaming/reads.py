@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from readloom.operators.select import longest_n
-from readloom.operators.sketch import SketchOptions, clean, contaminants, screen_sketched, sketch_references
+from readloom.operators.sketch import SketchOptions, clean, contaminants, match_sketches, sketch_references, with_matches
+from readloom.session import cut_lineage, drop_table, scratch_path
 from readloom.sources.tables import spread
 from readloom.streaming.versions import read_version, start_batches, write_version
 
@@ -42,9 +43,12 @@ def stream_screen(
     refs = sketch_references(references, options)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        screened = screen_sketched(spread(batch, "id"), refs, min_similarity, options).persist()
+        # only the narrow matches are kept; the texts are read again for each sink
+        path = scratch_path(batch.sparkSession)
+        found = cut_lineage(match_sketches(spread(batch.select("id", "seq"), "id"), refs, options).filter("hits > 0"), path)
+        screened = with_matches(batch, found, min_similarity)
         write_version(contaminants(screened), contaminant_dir, batch_id)
         write_version(clean(screened), clean_dir, batch_id)
-        screened.unpersist()
+        drop_table(batch.sparkSession, path)
 
     return start_batches(targets, handle, checkpoint, once)

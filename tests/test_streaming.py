@@ -8,7 +8,7 @@ from readloom.operators.sketch import SketchOptions, screen
 from readloom.operators.status import attribute_failures, fold_status, log_events
 from readloom.streaming.reads import stream_longest, stream_screen
 from readloom.streaming.status import running_status, status_so_far, stream_failures, stream_status
-from readloom.streaming.versions import read_all_versions, read_version
+from readloom.streaming.versions import MergedTable, live_runs, read_all_versions, read_version
 from tests.conftest import rows
 
 
@@ -100,3 +100,58 @@ def test_screen_equals_batch(spark, reads, tmp_path):
     batch = screen(reads.all(), refs, 0.2, options)
     for sink, wanted in zip(sinks, ("is_contaminant", "not is_contaminant")):
         assert rows(read_all_versions(spark, sink), "id", "reference_id", "ji") == rows(batch.filter(wanted), "id", "reference_id", "ji")
+
+
+def _maximum(df):
+    return df.groupBy("k").agg(F.max("v").alias("v"))
+
+
+def test_runs_in_force_cover_every_batch_once():
+    for fan_in in (2, 3, 8):
+        for n in range(300):
+            runs = live_runs(n, fan_in)
+            assert [b for first, last in runs for b in range(first, last + 1)] == list(range(n))
+            powers = 1
+            while fan_in**powers <= max(n, 1):
+                powers += 1
+            assert len(runs) <= (fan_in - 1) * powers
+
+
+def test_merged_table_over_batches_replays_and_a_torn_write(spark, tmp_path):
+    rng = random.Random(4)
+    root, n_batches = f"{tmp_path}/t", 30
+    best, written = {}, []
+    for batch_id in range(n_batches):
+        data = [(rng.randint(0, 20), rng.randint(0, 1000)) for _ in range(5)]
+        batch = spark.createDataFrame(data, "k int, v int")
+        # a new object each time, as after a restart; some batches run twice
+        for _ in range(1 + (batch_id % 4 == 3)):
+            MergedTable(spark, root, _maximum, 3).add(batch, batch_id)
+        for k, v in data:
+            best[k] = max(v, best.get(k, 0))
+        table = MergedTable(spark, root, _maximum, 3)
+        if batch_id % 5 == 0 or batch_id == n_batches - 1:
+            assert dict(_maximum(table.read()).collect()) == best
+        written.append(len(table._folders()[1]))
+    assert max(written) <= 2 * 3 * 4
+    # a run that was begun but not finished is not read
+    (tmp_path / "t" / f"run-{n_batches}-{n_batches}").mkdir()
+    assert dict(_maximum(MergedTable(spark, root, _maximum, 3).read()).collect()) == best
+
+
+def test_state_follows_the_files_of_a_batch(spark, tmp_path):
+    """Old files cost nothing: what a batch writes are its own files' starts."""
+    data = [(f"f{i}", i, f"Starting job(s) {i}: x") for i in range(12)]
+    data += [("f3", 100, "slurmstepd: error: *** x"), ("f3", 101, "noise"), ("g", 102, "slurmstepd: error: *** x")]
+    log = Feed(spark, tmp_path, data, LOG, 5)
+    dirs = [f"{tmp_path}/{d}" for d in ("hits", "state", "cp")]
+    log.add(0, 1, 2, 3, 4)
+    stream_failures(log.stream(), *dirs).awaitTermination()
+    assert rows(read_all_versions(spark, dirs[0])) == [(3, "f3", 100)]
+    sizes = {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "state").glob("run-*")}
+    assert sizes == {"run-0-0": 3, "run-1-1": 3, "run-2-2": 3, "run-3-3": 3, "run-4-4": 0}
+
+
+def test_status_before_any_line(spark, tmp_path):
+    got = status_so_far(spark, spark.range(2).withColumnRenamed("id", "rowid"), f"{tmp_path}/none")
+    assert rows(got) == [(0, "RESERVED"), (1, "RESERVED")]
