@@ -659,3 +659,18 @@ def test_seeds_of_two_texts_at_one_position_keep_their_parts(spark):
     places = [(at, own, 4), (at, own ^ 1, 1)]
     docs = spark.createDataFrame([(1, text, places)], "_id long, _text string, _places array<struct<_at: long, _key: long, _parts: long>>")
     assert [(r._key, r._parts) for r in suffixes._compared(docs, 12, 3).collect()] == [(own, 4)]
+
+
+@pytest.mark.parametrize("ids", [[7], [None], [7, 7, 7, 9]])
+def test_exact_with_very_many_equal_rows_under_one_id(spark, ids):
+    """Equal rows are dealt out by number, so no chunk is above a bound, and one of them stays."""
+    n, chunk_rows = 3000, 20
+    texts = ["a  copy of a text", "a copy of a\ttext", "another text"]
+    data = [(ids[i % len(ids)], texts[0 if i % 5 else 1]) for i in range(n)] + [(3, texts[2]), (4, texts[2])]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
+    chunks = exact_dedup._sorted(df, "text", "doc_id", F.lit(None).cast("string"), chunk_rows).groupBy("_hash", "_chunk").count()
+    assert chunks.agg(F.max("count")).first()[0] <= 4 * chunk_rows
+    got = exact_dedup.decisions(df, chunk_rows=chunk_rows)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_exact(data)
+    stays = exact_dedup.deduplicate(df, chunk_rows=chunk_rows).collect()
+    assert len(stays) == 2 and {flat(r.text): r.doc_id for r in stays} == {flat(texts[0]): ids[0], texts[2]: 3}
