@@ -28,6 +28,7 @@ from readloom.operators import (
 from readloom.plans.views import Tables
 from readloom.session import scratch_path
 from readloom.sources import fasta, records, tables
+from readloom.sources.clustered import clustered
 from readloom.streaming.reads import stream_longest, stream_screen
 from readloom.streaming.status import status_so_far, stream_failures, stream_status
 from readloom.streaming.versions import read_all_versions, read_version
@@ -41,6 +42,7 @@ LONGEST = 25
 GENOME_SIZE, COVERAGE = 10_000, 5
 BLOCK_BASES = 20_000
 PIECE, PIECE_RANGE = 100, 64 << 10
+CLUSTERS = 16
 STAGES = {
     "merged": r"^proj\.([0-9]+)\.las$",
     "quality_annotated": r"^\.proj\.([0-9]+)\.q\.a2$",
@@ -519,6 +521,19 @@ def repeat_track(t: Tables) -> DataFrame:
     return overlaps.repeat_track(t.overlap(), coverage=5)
 
 
+@_query
+def clustered_repeat_track(t: Tables) -> DataFrame:
+    """Repeats of overlaps that are laid out by read a."""
+    return overlaps.repeat_track(clustered(t.overlap(), "a", ("a", "ab")), coverage=5)
+
+
+@_query
+def clustered_remove_gaps(t: Tables) -> DataFrame:
+    """Overlaps and trims, both laid out by read: they meet without a shuffle."""
+    laid = clustered(t.overlap(), "a", ("a", "ab"), CLUSTERS)
+    return overlaps.remove_gaps(laid, clustered(t.part_trim(), "read_id", buckets=CLUSTERS), 10)
+
+
 @_query
 def quality_trim(t: Tables) -> DataFrame:
     return overlaps.quality_trim(t.overlap(), threshold=20)

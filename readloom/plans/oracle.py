@@ -484,6 +484,7 @@ def all_sql() -> dict[str, str]:
         SELECT a, b, strand, ab, ae, bb, be, a_len, b_len, diffs, CAST(1 AS BIGINT) AS block
         FROM cand LEFT JOIN masked ON cand.k = masked.k WHERE ae - ab - coalesce(masked.n, 0) >= 300"""
     views = [*_TRACKED, "part_trim", *STITCHED[1:], "clipped"]
+    q["clustered_repeat_track"], q["clustered_remove_gaps"] = q["repeat_track"], q["remove_gaps"]
     q["filter_overlaps"] = _with(views, filtered, gap=100)
     # only the stitched overlaps are shifted; repeats are those of the overlaps as they are
     shifted = VIEWS["spans"].replace("FROM overlap ", f"FROM ({SHIFTED}) ")
