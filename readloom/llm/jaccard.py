@@ -34,8 +34,10 @@ from readloom.llm.grams import Block
 
 #: Fixed values of the contract: words of a shingle, per cent of the union that the intersection holds at least.
 WORDS, LEAST = 3, 90
-#: Bytes of text hashed together; a longer text is hashed alone.
-BYTES = 1 << 20
+#: Bytes of text hashed together, in arrays of some 100 times that size; a longer text is hashed alone.
+BYTES = 1 << 17
+#: Rows of a batch that are Python objects, or a batch of results, at a time.
+ROWS = 256
 #: Counters that order the shingles, a power of two, and the parts in which they are added up.
 SLOTS, SLOT_PARTS = 1 << 20, 64
 #: Ranges of hashes of the suffix filter.
@@ -81,6 +83,11 @@ def slot_of(found: np.ndarray) -> np.ndarray:
     return (found & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of ``ROWS`` rows, without a copy."""
+    return (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+
 def _nodes(pairs: list[tuple[int, int]]) -> pa.Array:
     high, low = zip(*pairs, strict=True) if pairs else ((), ())
     return pa.StructArray.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["high", "low"])
@@ -95,8 +102,8 @@ def _signed(rows: DataFrame, words: int) -> DataFrame:
     names = ["_id", "_n", "_node", "_ranges", "_counts"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in source:
+        total = np.zeros(SLOTS, np.uint32)
+        for batch in (part for whole in source for part in _slices(whole)):
             sizes, nodes, ranges = [], [], []
             for found in shingle_sets(batch.column(1).to_pylist(), words):
                 ranges.append(np.minimum(np.diff(np.searchsorted(found, _RANGES), append=len(found)), 65535).astype(np.uint16).tobytes())
@@ -151,7 +158,7 @@ def _prefixes(rows: DataFrame, reps, order, words: int, least: int) -> DataFrame
     """_token, _node, _n, _pos: the prefixes of all sets, each of a row that speaks for its copies."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (part for whole in source for part in _slices(whole)):
             tokens, names, counts = [np.empty(0, np.uint64)], [], []
             for found in shingle_sets(_chosen(batch, reps.value), words):
                 if len(found):
@@ -257,14 +264,17 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     some = context.broadcast(bits_of(wanted.select(F.col("_node.low").alias("_low")), "_low", n, 16))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            sets = {}
-            for found in shingle_sets(_chosen(batch, owners.value), words):
-                node = node_of(found)
-                if node not in sets and some.value.has(np.array([node[1]]).view(np.uint64))[0]:
-                    sets[node] = found.view(np.int64)
-            if sets:
-                yield pa.RecordBatch.from_arrays([_nodes(list(sets)), pa.array(list(sets.values()), pa.list_(pa.int64()))], ["_node", "_set"])
+        for whole in source:
+            seen = set()
+            for batch in _slices(whole):
+                sets = {}
+                for found in shingle_sets(_chosen(batch, owners.value), words):
+                    node = node_of(found)
+                    if node not in seen and some.value.has(np.array([node[1]]).view(np.uint64))[0]:
+                        seen.add(node)
+                        sets[node] = found.view(np.int64)
+                if sets:
+                    yield pa.RecordBatch.from_arrays([_nodes(list(sets)), pa.array(list(sets.values()), pa.list_(pa.int64()))], ["_node", "_set"])
 
     return rows.select("_text", "_key").mapInArrow(run, f"_node {_NODE}, _set array<long>").groupBy("_node").agg(F.first("_set").alias("_set")).join(wanted, "_node", "left_semi")
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -164,6 +165,20 @@ def test_jaccard_filters_lose_no_pair():
         assert jaccard.may_link(np.array([len(a)]), np.array([x[first]]), after[None], np.array([len(b)]), np.array([y[first]]), following[None], 90)[0]
 
 
+def test_jaccard_hashes_texts_in_little_memory():
+    words = [f"w{i}" for i in range(5000)]
+    dice = random.Random(6)
+    texts = [" ".join(dice.choices(words, k=300)).encode() for _ in range(2000)]
+    grams._powers.cache_clear()
+    tracemalloc.start()
+    try:
+        assert sum(1 for found in jaccard.shingle_sets(texts) if len(found)) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+        grams._powers.cache_clear()
+
+
 def test_jaccard_edges(spark, edge):
     got = jaccard.similar(edge)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_components([r[:2] for r in EDGE])
