@@ -17,6 +17,7 @@ what is skipped is a link inside a component that is already connected.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -40,9 +41,8 @@ BYTES = 1 << 17
 ROWS = 256
 #: Counters that order the shingles, a power of two, and the parts in which they are added up.
 SLOTS, SLOT_PARTS = 1 << 20, 64
-#: Ranges of hashes of the suffix filter.
-RANGES = 16
-_RANGES = np.arange(RANGES, dtype=np.uint64) << np.uint64(60)
+#: Ranges of hashes of the suffix filter, at least and at most; between, about one for each ``RANGE`` shingles.
+RANGES, MOST_RANGES, RANGE = 16, 4096, 32
 #: Sets of a shingle that are compared in one task, on average.
 BLOCK = 1024
 #: Keys of rows up to this many go to every task; beyond, a table of bits finds the rows.
@@ -83,6 +83,13 @@ def slot_of(found: np.ndarray) -> np.ndarray:
     return (found & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
+def ranges_of(found: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of equal ranges, up to 255; larger sets have more ranges, so chance evens out no less in them."""
+    ranges = min(max(RANGES, 1 << (len(found) // RANGE).bit_length()), MOST_RANGES)
+    counts = np.bincount((found >> np.uint64(65 - ranges.bit_length())).astype(np.int64), minlength=ranges)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in parts of ``ROWS`` rows, without a copy."""
     return (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
@@ -106,7 +113,7 @@ def _signed(rows: DataFrame, words: int) -> DataFrame:
         for batch in (part for whole in source for part in _slices(whole)):
             sizes, nodes, ranges = [], [], []
             for found in shingle_sets(batch.column(1).to_pylist(), words):
-                ranges.append(np.minimum(np.diff(np.searchsorted(found, _RANGES), append=len(found)), 65535).astype(np.uint16).tobytes())
+                ranges.append(ranges_of(found))
                 total[slot_of(found)] += 1  # once where two shingles of a text share a counter: the order stays one order
                 sizes.append(len(found))
                 nodes.append(node_of(found))
@@ -174,17 +181,30 @@ def _prefixes(rows: DataFrame, reps, order, words: int, least: int) -> DataFrame
     return rows.select("_text", "_key").mapInArrow(run, f"_token long, _node {_NODE}, _n long, _pos long")
 
 
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """The entries of the prefixes whose shingle another set may share; a table of bits keeps the others out of the shuffles."""
-    twice = prefixes.groupBy("_token").agg(F.min("_node.low").alias("_a"), F.max("_node.low").alias("_b")).where("_a < _b")
-    twice = cut_lineage(twice.select("_token"))
-    bits = prefixes.sparkSession.sparkContext.broadcast(bits_of(twice, "_token", twice.count(), 16))
+def _shared(prefixes: DataFrame, least: int) -> DataFrame:
+    """The entries of the prefixes whose shingle another set of similar size may share, and whether more than two may (_many).
+
+    Tables of bits keep the others out of the shuffles. Classes of sizes are so wide that sets which can link are in one or in
+    neighbouring ones; a shingle whose sets are in as many classes, no two of them neighbours, links none.
+    """
+    wide = max(math.log(100 / least) * 1.01, 1e-9)
+    size = F.floor(F.log("_n") / wide) % 64
+    some = prefixes.select("_token", F.col("_node.low").alias("_low"), size.cast("int").alias("_size"))
+    some = some.withColumn("_size", F.expr("shiftleft(1L, _size)"))
+    each = some.groupBy("_token").agg(F.min("_low").alias("_a"), F.max("_low").alias("_b"), F.bit_or("_size").alias("_sizes"), F.count("*").alias("_sets")).where("_a < _b")
+    apart = "bit_count(_sizes) = _sets AND (_sizes & (shiftleft(_sizes, 1) | shiftrightunsigned(_sizes, 63))) = 0"
+    twice = cut_lineage(each.where(f"NOT ({apart})").select("_token", "_sets"))
+    many = twice.where("_sets > 2")
+    context = prefixes.sparkSession.sparkContext
+    bits = context.broadcast([bits_of(x, "_token", x.count(), 32) for x in (twice, many)])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            yield batch.filter(pa.array(bits.value.has(batch.column(0).to_numpy().view(np.uint64))))
+            found = batch.column(0).to_numpy().view(np.uint64)
+            more = pa.array(bits.value[1].has(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns, more], [*batch.schema.names, "_many"]).filter(pa.array(bits.value[0].has(found)))
 
-    return cut_lineage(prefixes.mapInArrow(run, prefixes.schema))
+    return cut_lineage(prefixes.mapInArrow(run, f"_token long, _node {_NODE}, _n long, _pos long, _many boolean"))
 
 
 def may_link(n, pos, ranges, m, at, others, least: int) -> np.ndarray:
@@ -198,27 +218,39 @@ def may_link(n, pos, ranges, m, at, others, least: int) -> np.ndarray:
     return size & (n + m - np.maximum(apart, pos + at) >= 2 * need)
 
 
-def _counts_of(column: pa.Array | list) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, RANGES)
+def _counts_of(column: list[bytes], ranges: int) -> np.ndarray:
+    """The counts of :func:`ranges_of`, those of neighbouring ranges added up until ``ranges`` are left."""
+    counts = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), ranges, -1)
+    # cut at 255 once more, so that counts that were cut before and those that were not stay comparable
+    return np.minimum(counts.sum(axis=-1, dtype=np.int64), 255)
+
+
+def ranges_allow(n, ranges: list[bytes], m, others: list[bytes], least: int) -> np.ndarray:
+    """:func:`may_link` of sets with these counts by range, by what the counts alone say."""
+    good = np.zeros(len(n), bool)
+    widths = np.array([(len(x), len(y)) for x, y in zip(ranges, others, strict=True)]).reshape(-1, 2)
+    for pair in np.unique(widths, axis=0):
+        at, fewer = np.flatnonzero((widths == pair).all(axis=1)), int(pair.min())
+        good[at] = may_link(n[at], 0, _counts_of([ranges[i] for i in at], fewer), m[at], 0, _counts_of([others[i] for i in at], fewer), least)
+    return good
 
 
 def _pairs(met: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """a, b, each pair once: of the pairs (_node, _n, _pos and the same in _other) those that pass the filters."""
     n, m, pos, at = F.col("_n"), F.col("_other._n"), F.col("_pos"), F.col("_other._pos")
     size = (100 * F.least(n, m) >= least * F.greatest(n, m)) & ((100 + least) * F.least(n - pos, m - at) >= least * (n + m))
-    near = met.where(size).select(F.col("_node").alias("a"), "_n", "_pos", F.col("_other._node").alias("b"), m.alias("_m"), at.alias("_at"))
-    near = near.join(sets.select(F.col("_node").alias("a"), "_ranges"), "a").join(sets.select(F.col("_node").alias("b"), F.col("_ranges").alias("_others")), "b")
+    ends = met.where(size).select(F.least("_node", "_other._node").alias("a"), F.greatest("_node", "_other._node").alias("b")).distinct()
+    own = sets.select("_node", "_size", "_ranges")
+    near = ends.join(own.toDF("a", "_n", "_ranges"), "a").join(own.toDF("b", "_m", "_others"), "b")
 
     def suffix(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             if batch.num_rows:
-                n, pos, m, at = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
-                good = may_link(n, pos, _counts_of(batch.column(6).to_pylist()), m, at, _counts_of(batch.column(7).to_pylist()), least)
+                good = ranges_allow(batch.column(2).to_numpy(), batch.column(3).to_pylist(), batch.column(4).to_numpy(), batch.column(5).to_pylist(), least)
                 kept = batch.filter(pa.array(good))
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
-    found = near.select("a", "b", "_n", "_pos", "_m", "_at", "_ranges", "_others").mapInArrow(suffix, f"a {_NODE}, b {_NODE}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return near.select("a", "b", "_n", "_ranges", "_m", "_others").mapInArrow(suffix, f"a {_NODE}, b {_NODE}")
 
 
 def _hub_pairs(entries: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -235,7 +267,6 @@ def _block_pairs(entries: DataFrame, sets: DataFrame, least: int, block: int) ->
     partition of its own.
     """
     crowd = entries.groupBy("_token").agg(F.min("_root").alias("_least"), F.max("_root").alias("_most"), F.count("*").alias("_sets"))
-    # a shingle of two sets has paired them already
     crowd = cut_lineage(crowd.where("_least < _most AND _sets > 2").select("_token", F.ceil(F.col("_sets") / block).alias("_parts")))
     own = F.pmod(F.xxhash64("_node"), F.col("_parts"))
     ways = F.transform(
@@ -256,7 +287,10 @@ def _key(doc_id: str) -> Column:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """_node, _set of the wanted sets (_node, _key of a row that has it), gathered from the texts; tables of bits keep the others out."""
+    """_node, _set of the wanted sets (_node, _key of a row that has it), gathered from the texts, and of few others that tables of bits let through.
+
+    A set comes again where several rows that speak for it are read in different batches.
+    """
     context, n = rows.sparkSession.sparkContext, wanted.count()
     owners = context.broadcast(bits_of(wanted, "_key", n, 16))
     if n <= BROADCAST_KEYS:
@@ -276,13 +310,14 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 if sets:
                     yield pa.RecordBatch.from_arrays([_nodes(list(sets)), pa.array(list(sets.values()), pa.list_(pa.int64()))], ["_node", "_set"])
 
-    return rows.select("_text", "_key").mapInArrow(run, f"_node {_NODE}, _set array<long>").groupBy("_node").agg(F.first("_set").alias("_set")).join(wanted, "_node", "left_semi")
+    return rows.select("_text", "_key").mapInArrow(run, f"_node {_NODE}, _set array<long>")
 
 
 def _verified(rows: DataFrame, known: DataFrame, pairs: DataFrame, words: int, least: int) -> DataFrame:
     """The pairs (a, b, each once) whose sets are similar enough."""
     wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct().join(known.select("_node", _key("_least").alias("_key")), "_node"))
-    sets = cut_lineage(_sets(rows, wanted, words))
+    # written as read, so that making them one row a set and the join are one shuffle
+    sets = cut_lineage(_sets(rows, wanted, words)).groupBy("_node").agg(F.first("_set").alias("_set"))
     both = pairs.join(sets.toDF("b", "_of_b"), "b").join(sets.toDF("a", "_of_a"), "a")
     common = F.size(F.array_intersect("_of_a", "_of_b"))
     return cut_lineage(both.withColumn("_common", common).where(100 * F.col("_common") >= least * (F.size("_of_a") + F.size("_of_b") - F.col("_common"))).select("a", "b"))
@@ -305,13 +340,14 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     order = context.broadcast(_order(signed))
     signed = signed.where("_n IS NOT NULL").drop("_counts")
     # one row of each class of copies speaks for it, found by its id
-    sets = cut_lineage(signed.where("_n > 0").groupBy("_node").agg(F.min("_id").alias("_least"), F.max("_ranges").alias("_ranges")))
+    sets = cut_lineage(signed.where("_n > 0").groupBy("_node").agg(F.min("_id").alias("_least"), F.max("_ranges").alias("_ranges"), F.max("_n").alias("_size")))
     reps = context.broadcast(bits_of(sets.select(_key("_least").alias("_key")), "_key", sets.count(), 16))
-    entries = _shared(cut_lineage(_prefixes(rows, reps, order, words, least)))
+    entries = _shared(cut_lineage(_prefixes(rows, reps, order, words, least)), least)
     tried = cut_lineage(_hub_pairs(entries, sets, least))
     links = _verified(rows, sets, tried, words, least)
     roots = cut_lineage(components(links).toDF("_node", "_root"))
-    placed = entries.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    # a shingle of two sets has paired them already
+    placed = entries.where("_many").drop("_many").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     rest = cut_lineage(_block_pairs(placed, sets, least, block).join(tried, ["a", "b"], "left_anti"))
     more = _verified(rows, sets, rest, words, least) if not rest.isEmpty() else rest
     if not more.isEmpty():

@@ -179,6 +179,30 @@ def test_jaccard_hashes_texts_in_little_memory():
         grams._powers.cache_clear()
 
 
+def test_jaccard_ranges_tell_large_sets_apart_and_lose_no_pair():
+    dice = np.random.default_rng(8)
+    draw = lambda n: np.unique(dice.integers(0, 1 << 64, n, np.uint64))
+    pairs = [(draw(3000), draw(3000)) for _ in range(20)]
+    for n in (1, 30, 500, 511, 2047, 2100, 300_000):
+        # one end is close to a number of shingles at which the ranges double
+        whole = draw(n)
+        pairs += [(whole, whole[dice.random(len(whole)) > 0.04]) for _ in range(5)]
+    # nearly all hashes in one range, so that counts are cut at 255
+    pairs += [(x := np.arange(2060, dtype=np.uint64), x[40:]), (x, x)]
+    sizes = [np.array([len(p[i]) for p in pairs]) for i in (0, 1)]
+    got = jaccard.ranges_allow(sizes[0], [jaccard.ranges_of(a) for a, _ in pairs], sizes[1], [jaccard.ranges_of(b) for _, b in pairs], 90)
+    common = np.array([len(np.intersect1d(a, b)) for a, b in pairs])
+    assert got[100 * common >= 90 * (sizes[0] + sizes[1] - common)].all()
+    assert not got[:20].any()
+
+
+def test_jaccard_keeps_shingles_of_similar_sizes_only(spark):
+    sizes = {1: [10, 1000], 2: [100, 95], 3: [10, 100, 1000], 4: [10, 1000, 950], 5: [7], 6: [40, 40, 40]}
+    rows = [(token, (i, 100 * token + i), n, 0) for token, some in sizes.items() for i, n in enumerate(some)]
+    entries = spark.createDataFrame(rows, "_token long, _node struct<high: long, low: long>, _n long, _pos long")
+    assert sorted((r["_token"], r["_many"]) for r in jaccard._shared(entries, 90).collect()) == [(2, False)] * 2 + [(4, True)] * 3 + [(6, True)] * 3
+
+
 def test_jaccard_edges(spark, edge):
     got = jaccard.similar(edge)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_components([r[:2] for r in EDGE])
