@@ -22,6 +22,15 @@ MAX_ROUNDS = 64
 SEGMENT_BASES = 1 << 26
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The join of two tables that grow with the graph, by sorting.
+
+    A file of ids is many times smaller than its rows in memory, so Spark would send a table that
+    it takes for small through the driver.
+    """
+    return left.hint("merge").join(right, on, how)
+
+
 # --- components ---------------------------------------------------------------
 
 
@@ -48,14 +57,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             labels = roots.withColumnRenamed("p", "component")
         else:
             moved = roots.select(F.col("node").alias("component"), F.col("p").alias("_to"))
-            labels = labels.join(moved, "component", "left").select(
+            labels = _met(labels, moved, "component", "left").select(
                 "node", F.coalesce("_to", "component").alias("component")
             )
         of_u = roots.select(F.col("node").alias("u"), F.col("p").alias("_ru"))
         of_v = roots.select(F.col("node").alias("v"), F.col("p").alias("_rv"))
         path = scratch_path(spark)
         links = cut_lineage(
-            links.join(of_u, "u").join(of_v, "v")
+            _met(_met(links, of_u, "u"), of_v, "v")
             .filter(F.col("_ru") != F.col("_rv"))
             .select(F.col("_ru").alias("u"), F.col("_rv").alias("v"))
             .distinct(),
@@ -91,7 +100,7 @@ def _follow(parents: DataFrame) -> tuple[DataFrame, str]:
 
 def _jump(pointers: DataFrame) -> DataFrame:
     above = pointers.select(F.col("node").alias("p"), F.col("p").alias("_pp"), F.col("done").alias("_done"))
-    moved = pointers.filter(~F.col("done")).join(above, "p")
+    moved = _met(pointers.filter(~F.col("done")), above, "p")
     return pointers.filter("done").unionByName(moved.select("node", F.col("_pp").alias("p"), F.col("_done").alias("done")))
 
 
@@ -124,8 +133,8 @@ def dovetail_edges(overlap: DataFrame) -> DataFrame:
     lost = contained_reads(overlap).withColumnRenamed("read_id", "_lost")
     kept = (
         overlap.filter(F.col("a") != F.col("b"))
-        .join(lost, F.col("a") == F.col("_lost"), "left_anti")
-        .join(lost, F.col("b") == F.col("_lost"), "left_anti")
+        .hint("merge").join(lost, F.col("a") == F.col("_lost"), "left_anti")
+        .hint("merge").join(lost, F.col("b") == F.col("_lost"), "left_anti")
     )
     a_then_b = (F.col("ae") >= F.col("a_len")) & (F.col("bb") <= 0)
     b_then_a = (F.col("ab") <= 0) & (F.col("be") >= F.col("b_len"))
@@ -171,7 +180,7 @@ def drop_tips(edges: DataFrame) -> DataFrame:
             F.col("node").alias(end), F.col("n_out").alias(f"{end}_out"), F.col("n_in").alias(f"{end}_in")
         )
 
-    rows = linked.join(of("_u"), "_u").join(of("_v"), "_v")
+    rows = _met(_met(linked, of("_u"), "_u"), of("_v"), "_v")
     leads_nowhere = (F.col("_v_out") == 0) & (F.col("_v_in") == 1) & (F.col("_u_out") > 1)
     comes_from_nowhere = (F.col("_u_in") == 0) & (F.col("_u_out") == 1) & (F.col("_v_in") > 1)
     return rows.filter(~(leads_nowhere | comes_from_nowhere)).select(*edges.columns)
@@ -201,21 +210,21 @@ def drop_dead_ends(edges: DataFrame, most: int) -> DataFrame:
         current = cut_lineage(_double(current), path)
         drop_table(spark, old)
     near = current.filter(F.col("done") & (F.col("steps") < most)).select("node", "anchor")
-    last = near.join(links.select(F.col("_u").alias("node")), "node", "left_anti")
+    last = _met(near, links.select(F.col("_u").alias("node")), "node", "left_anti")
     of = lambda end: degrees.select(F.col("node").alias(end), F.col("n_out").alias(f"{end}_out"), F.col("n_in").alias(f"{end}_in"))
     # chains of few enough edges with the degrees at both ends
-    chains = last.withColumnRenamed("node", "_v").join(of("_v"), "_v").withColumnRenamed("_v", "_end")
-    chains = chains.withColumnRenamed("anchor", "_u").join(of("_u"), "_u").withColumnRenamed("_u", "_head")
-    ends = pairs.join(of("_u"), "_u").join(of("_v"), "_v")
+    chains = _met(last.withColumnRenamed("node", "_v"), of("_v"), "_v").withColumnRenamed("_v", "_end")
+    chains = _met(chains.withColumnRenamed("anchor", "_u"), of("_u"), "_u").withColumnRenamed("_u", "_head")
+    ends = _met(_met(pairs, of("_u"), "_u"), of("_v"), "_v")
     leads_nowhere = chains.filter("_v_out = 0 AND _u_in = 1").select(F.col("_head").alias("_v"), "_head")
     from_nowhere = chains.filter("_u_in = 0 AND _v_out = 1").select(F.col("_end").alias("_u"), "_head")
-    outer = ends.filter("_u_out > 1").join(leads_nowhere, "_v").select("_u", "_v", "_head").unionByName(
-        ends.filter("_v_in > 1").join(from_nowhere, "_u").select("_u", "_v", "_head")
+    outer = _met(ends.filter("_u_out > 1"), leads_nowhere, "_v").select("_u", "_v", "_head").unionByName(
+        _met(ends.filter("_v_in > 1"), from_nowhere, "_u").select("_u", "_v", "_head")
     )
     outer = cut_lineage(outer)
-    inner = near.join(outer.select(F.col("_head").alias("anchor")).distinct(), "anchor").select(F.col("node").alias("_v"))
-    gone = outer.select("_u", "_v").unionByName(links.join(inner, "_v").select("_u", "_v")).distinct()
-    return linked.join(gone, ["_u", "_v"], "left_anti").select(*edges.columns)
+    inner = _met(near, outer.select(F.col("_head").alias("anchor")).distinct(), "anchor").select(F.col("node").alias("_v"))
+    gone = outer.select("_u", "_v").unionByName(_met(links, inner, "_v").select("_u", "_v")).distinct()
+    return _met(linked, gone, ["_u", "_v"], "left_anti").select(*edges.columns)
 
 
 def overlap_graph(overlap: DataFrame, dead_end_edges: int = 1) -> DataFrame:
@@ -229,7 +238,7 @@ def overlap_graph(overlap: DataFrame, dead_end_edges: int = 1) -> DataFrame:
         edges = cut_lineage(edges)
     edges = cut_lineage(drop_dead_ends(edges, dead_end_edges))
     labels = connected_components(edges).withColumnRenamed("node", "src")
-    return edges.join(labels, "src").select("component", *edges.columns)
+    return _met(edges, labels, "src").select("component", *edges.columns)
 
 
 # --- paths --------------------------------------------------------------------
@@ -245,7 +254,7 @@ def unbranched_links(edges: DataFrame) -> DataFrame:
     single_out = degrees.filter("n_out = 1").select(F.col("node").alias("_u"))
     single_in = degrees.filter("n_in = 1").select(F.col("node").alias("_v"))
     between = pairs.filter(F.col("_u.read") != F.col("_v.read"))
-    return between.join(single_out, "_u", "left_semi").join(single_in, "_v", "left_semi")
+    return _met(_met(between, single_out, "_u", "left_semi"), single_in, "_v", "left_semi")
 
 
 def tour(edges: DataFrame, circular: bool = True) -> DataFrame:
@@ -268,22 +277,22 @@ def tour(edges: DataFrame, circular: bool = True) -> DataFrame:
         F.col("anchor").alias("_other"),
     )
     ranked = lambda head: F.struct(F.col(f"{head}.strand"), F.col(f"{head}.read"))
-    chains = placed.filter("done").join(mirror, "node").filter(ranked("anchor") < ranked("_other")).drop("_other", "low")
+    chains = _met(placed.filter("done"), mirror, "node").filter(ranked("anchor") < ranked("_other")).drop("_other", "low")
     if circular and not cyclic.isEmpty():
         members = cyclic.filter("low.strand = '+'").select(F.col("node").alias("_v"), F.col("low").alias("_low"))
-        opened = cut_lineage(links.join(members, "_v").filter(F.col("_v") != F.col("_low")).drop("_low"))
+        opened = cut_lineage(_met(links, members, "_v").filter(F.col("_v") != F.col("_low")).drop("_low"))
         ends = opened.select(F.explode(F.array("_u", "_v")).alias("node")).distinct()
         chains = chains.unionByName(_rank_chains(opened, ends).drop("low"))
     entered = links.select(F.col("_v").alias("node"), "overhang")
     component = edges.select(F.explode(F.array("src", "dst")).alias("read_id"), "component").distinct()
-    walked = chains.join(entered, "node", "left").select(
+    walked = _met(chains, entered, "node", "left").select(
         F.col("anchor.read").alias("path_id"),
         F.col("steps").alias("pos"),
         F.col("node.read").alias("read_id"),
         F.col("node.strand").alias("strand"),
         F.when(F.col("steps") > 0, F.col("overhang")).alias("overhang"),
     )
-    return walked.join(component, "read_id").select("component", "path_id", "pos", "read_id", "strand", "overhang")
+    return _met(walked, component, "read_id").select("component", "path_id", "pos", "read_id", "strand", "overhang")
 
 
 def _rank_chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -316,7 +325,7 @@ def _rank_chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def _one_step_back(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Where the doubling starts: a node's anchor is the one before it; a head is its own, 0 steps away."""
     back = links.select(F.col("_v").alias("node"), F.col("_u").alias("_back"))
-    return nodes.join(back, "node", "left").select(
+    return _met(nodes, back, "node", "left").select(
         "node",
         F.coalesce("_back", "node").alias("anchor"),
         F.when(F.col("_back").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("steps"),
@@ -337,7 +346,7 @@ def _double(current: DataFrame) -> DataFrame:
         F.col("node").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("steps").alias("_steps"),
         F.col("done").alias("_done"), F.col("low").alias("_low"),
     )
-    moved = current.filter(~F.col("done")).join(at, "anchor").select(
+    moved = _met(current.filter(~F.col("done")), at, "anchor").select(
         "node",
         F.col("_anchor").alias("anchor"),
         (F.col("steps") + F.col("_steps")).alias("steps"),
@@ -364,7 +373,7 @@ def path_pieces(path: DataFrame, reads: DataFrame) -> DataFrame:
         .when((F.col("pos") > 0) & (F.col("overhang") > F.length("seq")), F.raise_error(F.concat(F.lit("overhang beyond read "), named)))
         .otherwise(added)
     )
-    pieces = path.join(reads.select("read_id", "seq"), "read_id", "left").select(*path.columns, added.alias("piece"))
+    pieces = _met(path, reads.select("read_id", "seq"), "read_id", "left").select(*path.columns, added.alias("piece"))
     keys = ["component", "path_id"]
     sized = with_running_sum(
         pieces, "_end", F.length("piece").cast("bigint"), keys, ["pos"], choose_width(path, keys)
