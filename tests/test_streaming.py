@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from readloom.operators.select import longest_n
 from readloom.operators.sketch import SketchOptions, screen
 from readloom.operators.status import attribute_failures, fold_status, log_events
+from readloom.plans.catalog import all_queries
 from readloom.streaming.reads import stream_longest, stream_screen
 from readloom.streaming.status import running_status, status_so_far, stream_failures, stream_status
 from readloom.streaming.versions import MergedTable, live_runs, read_all_versions, read_version
@@ -155,3 +157,18 @@ def test_state_follows_the_files_of_a_batch(spark, tmp_path):
 def test_status_before_any_line(spark, tmp_path):
     got = status_so_far(spark, spark.range(2).withColumnRenamed("id", "rowid"), f"{tmp_path}/none")
     assert rows(got) == [(0, "RESERVED"), (1, "RESERVED")]
+
+
+@pytest.fixture
+def folders(spark, sf_dir, tmp_path):
+    """The test tables with the documents as a folder of three files."""
+    for name in ("benchmark", "events"):
+        os.symlink(f"{sf_dir}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("streamed, batch", [("streamed_longest", "longest_n")])
+def test_table_in_several_files(spark, folders, streamed, batch):
+    got = all_queries()[streamed](spark, folders)
+    assert got.count() > 0 and rows(got) == rows(all_queries()[batch](spark, folders), *got.columns)
