@@ -168,7 +168,7 @@ def folders(spark, sf_dir, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("streamed, batch", [("streamed_longest", "longest_n")])
+@pytest.mark.parametrize("streamed, batch", [("streamed_longest", "longest_n"), ("streamed_screen", "screen")])
 def test_table_in_several_files(spark, folders, streamed, batch):
     got = all_queries()[streamed](spark, folders)
     assert got.count() > 0 and rows(got) == rows(all_queries()[batch](spark, folders), *got.columns)
