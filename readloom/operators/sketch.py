@@ -11,9 +11,11 @@ references are looked at whose first shared hash lies early enough on both sides
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import reverse_complement, seq_length
@@ -22,6 +24,10 @@ from readloom.session import cut_lineage
 PIECE = 1 << 16
 BROADCAST_ROWS = 2_000_000
 MATCH_ROWS = 500_000
+#: Letters, and texts, in one batch of pieces put together; letters of a record whose sketches are merged at once.
+BATCH_LETTERS = 4 << 20
+BATCH_TEXTS = 4_096
+MERGED_LETTERS = 1 << 26
 #: References that may share a hash before matches are searched by the index.
 MOST_SHARED = 64
 
@@ -86,13 +92,50 @@ def sketch_pieces(pieces: DataFrame, options: SketchOptions = SketchOptions()) -
     """(id, source_file, record_start, h): sketches of records that ``read_record_pieces`` gave in pieces.
 
     The pieces must be read with an overlap of k - 1 letters or more, so that each k-mer begins in one
-    piece. The n smallest hashes of a record are among the n smallest of its pieces.
+    piece. The n smallest hashes of a record are among the n smallest of its pieces. Pieces are put
+    together to texts before they are hashed, so short ones do not bring n hashes each, and a record that is one text is not shuffled.
     """
     record = ["id", "source_file", "record_start"]
-    whole = F.concat("seq", F.substring("following", 1, options.k - 1))
-    hashes = pieces.select(*record, F.explode(options.of(whole)).alias("h")).distinct()
-    place = F.row_number().over(Window.partitionBy(*record).orderBy("h"))
-    return hashes.withColumn("_place", place).filter(F.col("_place") <= options.n).drop("_place")
+    narrow = pieces.select(*record, "offset", "seq", F.substring("following", 1, options.k - 1).alias("following"))
+    texts = narrow.mapInArrow(_joined, narrow.schema)
+    whole = (F.col("offset") == 0) & (F.col("following") == "") if options.k > 1 else F.lit(False)
+    whole = F.coalesce(whole, F.lit(False))
+    sketched = lambda rows: rows.select(*record, "offset", options.of(F.concat("seq", "following")).alias("_sketch"))
+    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_sketch")))), 1, options.n).alias("_sketch")
+    # a long record's texts are merged by stretches first, so that no group outgrows a row
+    stretch = F.expr(f"offset div {MERGED_LETTERS}").alias("_stretch")
+    parts = sketched(texts.filter(~whole)).groupBy(*record, stretch).agg(merged).groupBy(*record).agg(merged)
+    return sketched(texts.filter(whole)).drop("offset").unionByName(parts).select(*record, F.explode("_sketch").alias("h"))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces that follow one another in a task as texts of up to PIECE letters, with what follows the last."""
+    schema, ready, letters = None, [], 0
+    key, offset, held, size, following = None, 0, [], 0, ""
+
+    def text() -> tuple:
+        return (*key, offset, "".join(held), following)
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*ready, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        schema = batch.schema
+        for *record, at, seq, after in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if record != key or at != offset + size or size + len(seq) > PIECE:
+                if key is not None:
+                    ready.append(text())
+                    letters += size
+                key, offset, held, size = record, at, [], 0
+            held.append(seq)
+            size += len(seq)
+            following = after
+            if letters >= BATCH_LETTERS or len(ready) >= BATCH_TEXTS:
+                yield packed()
+                ready, letters = [], 0
+    if key is not None:
+        ready.append(text())
+        yield packed()
 
 
 def sketch_references(references: DataFrame, options: SketchOptions = SketchOptions()) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.operators.index import measure_records
+from readloom.operators import sketch
 from readloom.operators.sketch import SketchOptions, minhash_sketch, sketch_pieces
 from readloom.sources import fasta, records
 from tests.conftest import rows
@@ -121,3 +122,23 @@ def test_no_text_is_shuffled(spark, tmp_path):
     plan = records.read_record_pieces(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     last = plan.index("MapInArrow")
     assert "Exchange" in plan[last:] and "Exchange" not in plan[:last].replace("AdaptiveSparkPlan", "")
+
+
+def test_short_pieces_are_hashed_together(spark, tmp_path, monkeypatch):
+    """A record in pieces of 100 letters is a few texts, and its sketch that of the whole."""
+    rng = random.Random(5)
+    seqs = {"a": 3 * sketch.PIECE, "b": 250, "c": 0, "d": 7}
+    text = "".join(f">{name}\n" + "".join(rng.choices("ACGT", k=n)) + "\n" for name, n in seqs.items())
+    (tmp_path / "x.fa").write_text(text)
+    reads = fasta.read_fasta(spark, str(tmp_path / "x.fa"))
+    expected = rows(minhash_sketch(reads, OPTIONS))
+    for range_bytes in (1 << 30, 90_000):
+        pieces = records.read_record_pieces(spark, str(tmp_path / "x.fa"), 100, OPTIONS.k - 1, range_bytes)
+        texts = pieces.select("id", "source_file", "record_start", "offset", "seq", "following").mapInArrow(
+            sketch._joined, "id string, source_file string, record_start bigint, offset bigint, seq string, following string"
+        )
+        n = texts.groupBy("id").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("most")).filter("id = 'a'").first()
+        assert n["n"] <= 8 and n["most"] <= sketch.PIECE
+        for stretch in (sketch.MERGED_LETTERS, 1_000):
+            monkeypatch.setattr(sketch, "MERGED_LETTERS", stretch)
+            assert rows(sketch_pieces(pieces, OPTIONS), "id", "h") == expected
