@@ -215,6 +215,29 @@ def test_candidate_pairs(spark, identity, hot, monkeypatch):
     assert rows(got) == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("k", [9, 30])
+def test_seeds_of_other_letters_and_text_ids(spark, k):
+    """k-mers with letters beyond ACGTN, or too long to be numbers, are compared as text; no list is made per place."""
+    rng = random.Random(k)
+    core = "".join(rng.choices("ACGTacgt\u00e9", k=80))
+    reads = {f"r{i}": "".join(rng.choices("ACGTN", k=10 * i)) + core[i : 80 - i] + "ACGTT" * i for i in range(6)}
+    places = {}
+    for i, seq in reads.items():
+        for p in range(len(seq) - k + 1):
+            places.setdefault(seq[p : p + k], []).append((i, p))
+    counts = {}
+    for at in places.values():
+        for x in at if len(at) <= 8 else []:
+            for y in at:
+                if x[0] < y[0]:
+                    key = (x[0], y[0], (x[1] - y[1]) // 16)
+                    counts[key] = counts.get(key, 0) + 1
+    df = spark.createDataFrame(list(reads.items()), "read_id string, seq string")
+    got = seeds.candidate_pairs(df, k, 8, 3, 16)
+    assert counts and rows(got) == sorted(((*key, n) for key, n in counts.items() if n >= 3), key=repr)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_missing_blocks(spark):
     there = {("x", i) for i in range(0, 70_000, 3)} | {("y", 5), ("y", 32_768), ("y", 32_769)}
     parts = spark.createDataFrame([*there, *list(there)[:50], ("x", None), ("z", 1)], "kind string, block_id long")
