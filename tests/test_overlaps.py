@@ -238,6 +238,16 @@ def test_seeds_of_other_letters_and_text_ids(spark, k):
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_masked_seeds_are_numbers(spark):
+    """Seeds that touch a mask are left out; the others are numbers to the base 5 with their places."""
+    seq, masks = "ACGTNACGTA", [(3, 4), (9, 9)]
+    df = spark.createDataFrame([(1, seq), (2, None), (3, "AC")], "read_id bigint, seq string")
+    track = spark.createDataFrame([(1, "mask", b, e) for b, e in masks], schemas.TRACK)
+    number = lambda p: sum("ACGTN".index(c) * 5 ** (2 - i) for i, c in enumerate(seq[p : p + 3]))
+    got = seeds.seed_positions(df, 3, track)
+    assert rows(got, "read_id", "pos", "code", "text") == [(1, p, number(p), "") for p in (0, 4, 5, 6, 7)]
+
+
 def test_missing_blocks(spark):
     there = {("x", i) for i in range(0, 70_000, 3)} | {("y", 5), ("y", 32_768), ("y", 32_769)}
     parts = spark.createDataFrame([*there, *list(there)[:50], ("x", None), ("z", 1)], "kind string, block_id long")
